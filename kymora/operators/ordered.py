@@ -54,8 +54,12 @@ def width_bucket(order: Column, width: float) -> Column:
     return F.floor(order / F.lit(width)).cast("long")
 
 
-def time_bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+def time_bucket(df: DataFrame, ts: str, seconds: int) -> Column:
+    """Chunk number of a time column, with or without time zone."""
+    if dict(df.dtypes)[ts] == "timestamp":
+        return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+    day = F.unix_date(F.to_date(ts)).cast("long") * 86400
+    return F.floor((day + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)) / F.lit(seconds)).cast("long")
 
 
 def _offsets(sizes: DataFrame, keys: Sequence[str], total: str, out: str) -> DataFrame:

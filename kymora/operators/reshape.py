@@ -54,12 +54,12 @@ def stratified_split(df: DataFrame, stratum: str, key: str, share: float, rank_h
     from kymora.operators.ordered import attach_stats, with_row_index
 
     df = df.withColumn("__h", rank_hash)
-    df = with_row_index(df, [stratum], ["__h", key], F.floor(F.col("__h") / F.lit(2**32 // bits)), "__rn", 1)
+    df = with_row_index(df, [stratum], ["__h", key], F.floor(F.col("__h") / F.lit(2**32 // bits)), "__pos", 1)
     df = attach_stats(df, [stratum], F.count(F.lit(1)).alias("__n"))
     out = df.withColumn(
-        "split", F.when(F.col("__rn") <= F.floor(F.col("__n") * share), "validation").otherwise("training")
+        "split", F.when(F.col("__pos") <= F.floor(F.col("__n") * share), "validation").otherwise("training")
     )
-    return out.drop("__h", "__rn", "__n")
+    return out.drop("__h", "__pos", "__n")
 
 
 def group_pairs(groups: DataFrame, name: str, references: Sequence[str]) -> DataFrame:

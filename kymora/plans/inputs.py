@@ -35,7 +35,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = readings(spark, sf_dir)
-    return with_row_index(df, ["subject"], ["ts", "event_id"], time_bucket(F.col("ts"), HOUR)).drop("ts")
+    return with_row_index(df, ["subject"], ["ts", "event_id"], time_bucket(df, "ts", HOUR)).drop("ts")
 
 
 # Image frames: four vectors of 64 values tile one 16x16 frame; 25 frames make a video.

@@ -175,7 +175,7 @@ def unpack_images(images: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = images.select(
         *keys, "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")
     ).select(*keys, "y", "nChannels", F.hex(F.substring(F.col("data"), F.col("y") * n + 1, n)).alias("h"))
-    cells = rows.select(*keys, "y", "nChannels", "h", F.explode(F.sequence(F.lit(0), F.length("h") / 2 - 1)).alias("i"))
+    cells = rows.select(*keys, "y", "nChannels", "h", F.explode(F.sequence(F.lit(0), (F.length("h") / 2).cast("int") - 1)).alias("i"))
     value = F.conv(F.substring(F.col("h"), (F.col("i") * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("double")
     return cells.select(
         *keys,
