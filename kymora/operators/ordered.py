@@ -123,14 +123,14 @@ def running_total(
     name: str,
 ) -> DataFrame:
     """Inclusive running sum in group order, carried across buckets."""
-    rows = df.withColumn("__b", bucket).withColumn("__v", value)
+    rows = df.withColumn("__b", bucket).withColumn("__rt", value)
     local = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = rows.withColumn("__run", F.sum("__v").over(local))
-    totals = rows.groupBy(*keys, "__b").agg(F.sum("__v").alias("__t"))
+    inner = rows.withColumn("__run", F.sum("__rt").over(local))
+    totals = rows.groupBy(*keys, "__b").agg(F.sum("__rt").alias("__t"))
     offsets = _offsets(totals, keys, "__t", "__off").drop("__t")
     out = null_safe_join(inner, offsets, [*keys, "__b"])
     return out.withColumn(name, F.coalesce(F.col("__run"), F.lit(0)) + F.col("__off")).drop(
-        "__run", "__off", "__b", "__v"
+        "__run", "__off", "__b", "__rt"
     )
 
 

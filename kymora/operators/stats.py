@@ -165,7 +165,7 @@ def binned_counts(df: DataFrame, sources: Sequence[str], binnings: dict[str, int
     spec = F.array(*[F.struct(F.lit(name).alias("binning"), F.lit(n).alias("k")) for name, n in binnings.items()])
     names = F.array(*[F.lit(s) for s in sources])
     dim = df.sparkSession.range(1).select(F.explode(names).alias("source")).select("source", F.explode(spec).alias("s"))
-    dim = dim.select("source", "s.binning", F.explode(F.sequence(F.lit(1), F.col("s.k"))).cast("long").alias("bin"))
+    dim = dim.select("source", "s.binning", F.explode(F.sequence(F.lit(1).cast("long"), F.col("s.k").cast("long"))).alias("bin"))
     out = dim.join(counts, ["source", "binning", "bin"], "left")
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
