@@ -144,15 +144,15 @@ def nearest_valid(
     width: int = CHUNK,
 ) -> DataFrame:
     """Nearest non-null payload strictly before and after each row of its group."""
-    rows = df.withColumn("__b", width_bucket(F.col(order), width)).withColumn("__p", payload)
+    rows = df.withColumn("__b", width_bucket(F.col(order), width)).withColumn("__pay", payload)
     w = Window.partitionBy(*keys, "__b").orderBy(order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     inner = rows.withColumns(
-        {"__lp": F.last("__p", True).over(back), "__ln": F.first("__p", True).over(ahead)}
+        {"__lp": F.last("__pay", True).over(back), "__ln": F.first("__pay", True).over(ahead)}
     )
-    edge = F.when(F.col("__p").isNotNull(), F.col(order))
+    edge = F.when(F.col("__pay").isNotNull(), F.col(order))
     ends = rows.groupBy(*keys, "__b").agg(
-        F.max_by("__p", edge).alias("__last"), F.min_by("__p", edge).alias("__first")
+        F.max_by("__pay", edge).alias("__last"), F.min_by("__pay", edge).alias("__first")
     )
     kw = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__b")
     ends = ends.select(
@@ -164,7 +164,7 @@ def nearest_valid(
     out = null_safe_join(inner, ends, [*keys, "__b"])
     return out.withColumns(
         {prev: F.coalesce("__lp", "__op"), next: F.coalesce("__ln", "__on")}
-    ).drop("__b", "__p", "__lp", "__ln", "__op", "__on")
+    ).drop("__b", "__pay", "__lp", "__ln", "__op", "__on")
 
 
 def run_ids(

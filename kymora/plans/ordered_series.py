@@ -94,7 +94,7 @@ def w11(spark, d):
 FAIL = "value < 12"
 
 
-@query("w12_fill_failed_frames", f"""{SER}, e AS (SELECT subject, frame, CASE WHEN {FAIL} THEN 0 ELSE angle END AS a, CASE WHEN {FAIL} THEN 0.0 ELSE value / 200 END AS b, {FAIL} AS bad FROM n WHERE frame % 5 <> 3),
+@query("w12_fill_failed_frames", f"""{SER}, e AS (SELECT subject, frame, CASE WHEN {FAIL} THEN 0 ELSE angle END AS a, CASE WHEN {FAIL} THEN 0.0 ELSE value / 170 END AS b, {FAIL} AS bad FROM n WHERE frame % 5 <> 3),
   g AS (SELECT *, last_value(CASE WHEN NOT bad THEN {{'f': frame, 'a': a, 'b': b}} END IGNORE NULLS) OVER (PARTITION BY subject ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
     first_value(CASE WHEN NOT bad THEN {{'f': frame, 'a': a, 'b': b}} END IGNORE NULLS) OVER (PARTITION BY subject ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM e),
   x AS (SELECT *, CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN p.a * (1 - (frame - p.f) / (q.f - p.f)) + q.a * (frame - p.f) / (q.f - p.f) WHEN p IS NOT NULL THEN p.a * 0.9 ** (frame - p.f) WHEN q IS NOT NULL THEN q.a * 0.9 ** (q.f - frame) ELSE 0 END AS na,
@@ -105,7 +105,7 @@ def w12(spark, d):
     bad = F.col("value") < 12
     s = I.series(spark, d).filter(F.col("frame") % 5 != 3).select(
         "subject", "frame", F.when(bad, 0.0).otherwise(F.col("angle")).alias("angle_degrees"),
-        F.when(bad, 0.0).otherwise(F.col("value") / 200).alias("bend_location"), F.when(bad, F.lit("Empty skeleton")).alias("error"),
+        F.when(bad, 0.0).otherwise(F.col("value") / 170).alias("bend_location"), F.when(bad, F.lit("Empty skeleton")).alias("error"),
     )
     return rounded(W.fill_failed_frames(s, KEY, "frame", ["angle_degrees", "bend_location"]))
 
