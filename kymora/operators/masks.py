@@ -335,16 +335,12 @@ def raster_index(px: DataFrame) -> DataFrame:
 
 def remove_relative_overlaps(px: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
     """For each pair in turn, drop the mask-relative pixels that ever meet the other mask."""
+    place = Window.partitionBy(*FRAME, *POS)
+    relative = Window.partitionBy("video_id", "object_id", "idx")
     for a, b in pairs:
-        i = raster_index(px.filter(F.col("object_id").isin(a, b)))
-        left = i.filter(F.col("object_id") == a).select(*FRAME, *POS, F.col("idx").alias("ia"))
-        right = i.filter(F.col("object_id") == b).select(*FRAME, *POS, F.col("idx").alias("ib"))
-        hits = left.join(right, [*FRAME, *POS])
-        drop = hits.select("video_id", F.lit(a).alias("object_id"), F.col("ia").alias("idx")).unionByName(
-            hits.select("video_id", F.lit(b).alias("object_id"), F.col("ib").alias("idx"))
-        ).distinct()
-        kept = i.join(drop, ["video_id", "object_id", "idx"], "left_anti").drop("idx")
-        px = px.filter(~F.col("object_id").isin(a, b)).unionByName(kept.select(*px.columns))
+        both = F.col("object_id").isin(a, b)
+        i = raster_index(px).withColumn("__meets", both & (F.count_if(both).over(place) > 1))
+        px = i.withColumn("__ever", F.max("__meets").over(relative)).filter(~F.col("__ever")).select(*px.columns)
     return px
 
 
@@ -578,12 +574,21 @@ def components(px: DataFrame, keys: Sequence[str] = MASK, diagonal: bool = False
 
     tiled = px.select(*keys, F.floor(F.col("y") / tile).alias("__ty"), F.floor(F.col("x") / tile).alias("__tx"), (F.col("y").cast("long") * SHIFT + F.col("x")).alias("__c"))
     packed = tiled.groupBy(*keys, "__ty", "__tx").agg(F.collect_list("__c").alias("__c"))
-    local = packed.withColumn("__z", F.explode(F.arrays_zip("__c", label("__c").alias("__r")))).select(
-        *keys, F.col("__z.__c").alias("__c"), F.col("__z.__r").alias("__r")
-    )
+
+    def labelled(tiles: DataFrame) -> DataFrame:
+        return tiles.withColumn("__z", F.explode(F.arrays_zip("__c", label("__c").alias("__r")))).select(
+            *keys, F.col("__z.__c").alias("__c"), F.col("__z.__r").alias("__r")
+        )
+
+    local = labelled(packed)
     y, x = F.floor(F.col("__c") / SHIFT), F.col("__c") % SHIFT
     edge = (y % tile).isin(0, tile - 1) | (x % tile).isin(0, tile - 1)
-    border = local.filter(edge)
+    # Only masks that lie in several tiles have labels to join.
+    wide = tiled.groupBy(*keys).agg(
+        ((F.max("__ty") > F.min("__ty")) | (F.max("__tx") > F.min("__tx"))).alias("__wide")
+    ).filter("__wide").select(*keys)
+    local_wide = labelled(packed.join(wide, list(keys), "left_semi"))
+    border = local_wide.filter(edge)
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
     moves = F.array(*[F.lit(dy * SHIFT + dx) for dy, dx in steps])
     ahead = border.select(*keys, F.col("__r").alias("__ra"), F.col("__c").alias("__from"), F.explode(moves).alias("__m")).withColumn("__c", F.col("__from") + F.col("__m"))

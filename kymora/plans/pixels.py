@@ -55,11 +55,11 @@ def a47(spark, d):
 @query("a26_intensity_stats", f"""{WITH}, j AS (SELECT m.*, intensity FROM mask_pixels m JOIN frame_pixels USING (video_id, frame, y, x)),
   r AS (SELECT {MKG}, round(intensity, 1) AS q, count(*) AS n FROM j GROUP BY ALL), md AS (SELECT {MKG}, arg_max(q, {{'n': n, 'q': -q}}) AS mode FROM r GROUP BY ALL),
   s AS (SELECT {MKG}, avg(round(intensity, 1)) AS mean, stddev_pop(round(intensity, 1)) AS std, quantile_cont(round(intensity, 1), 0.5) AS median, min(round(intensity, 1)) AS min, max(round(intensity, 1)) AS max, count(*) AS n FROM j GROUP BY ALL)
-  SELECT i.video_id, i.frame::BIGINT AS frame, i.object_id::BIGINT AS object_id, round(mean, 6) AS mean, round(std, 6) AS std, round(median, 6) AS median, min, max, mode, coalesce(n, 0) AS pixel_count
+  SELECT i.video_id, i.frame::BIGINT AS frame, i.object_id::BIGINT AS object_id, round(mean, 8) AS mean, round(std, 8) AS std, round(median, 8) AS median, min, max, mode, coalesce(n, 0) AS pixel_count
   FROM mask_index i LEFT JOIN s USING ({MKG}) LEFT JOIN md USING ({MKG})""")
 def a26(spark, d):
     values = I.frame_pixels(spark, d).withColumn("intensity", F.round("intensity", 1))
-    return rounded(M.intensity_stats(I.mask_index(spark, d), I.mask_pixels(spark, d), values))
+    return rounded(M.intensity_stats(I.mask_index(spark, d), I.mask_pixels(spark, d), values), 8)
 
 
 @query("a27_top_share_means", f"""{WITH}, j AS (SELECT m.*, intensity, row_number() OVER (PARTITION BY {MKG} ORDER BY intensity DESC) AS rn, count(*) OVER (PARTITION BY {MKG}) AS n FROM mask_pixels m JOIN frame_pixels USING (video_id, frame, y, x))
@@ -168,8 +168,8 @@ def a34(spark, d):
 INNER = "inner_px AS (SELECT * FROM mask_pixels WHERE y BETWEEN 3 AND 12 AND x BETWEEN 3 AND 12)"
 ALIGN = f"""{INNER}, g AS (SELECT {MKG}, count(*) AS area, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM inner_px GROUP BY ALL),
   t AS (SELECT video_id, object_id, arg_max({{'f': frame, 'cy': cy, 'cx': cx, 'y0': y0, 'x0': x0, 'y1': y1, 'x1': x1}}, {{'a': area, 'f': -frame}}) AS t FROM g GROUP BY 1, 2),
-  c AS (SELECT g.video_id, g.frame, g.object_id, t.t, dy, dx, CAST(trunc(g.cy - t.t.cy) AS BIGINT) + dy AS sy, CAST(trunc(g.cx - t.t.cx) AS BIGINT) + dx AS sx, g.cy - t.t.cy AS by, g.cx - t.t.cx AS bx FROM g JOIN t USING (video_id, object_id), range(-2, 3) a(dy), range(-2, 3) b(dx)),
-  s AS (SELECT *, row_number() OVER (PARTITION BY {MKG} ORDER BY round((sy - by) ** 2 + (sx - bx) ** 2, 9), dy, dx) AS rn FROM c WHERE t.y0 + sy >= 0 AND t.x0 + sx >= 0 AND t.y1 + sy < 16 AND t.x1 + sx < 16),
+  c AS (SELECT g.video_id, g.frame, g.object_id, t.t, dy, dx, CAST(trunc(g.cy - t.t.cy) AS BIGINT) + dy AS sy, CAST(trunc(g.cx - t.t.cx) AS BIGINT) + dx AS sx, g.cy - t.t.cy AS fy, g.cx - t.t.cx AS fx FROM g JOIN t USING (video_id, object_id), range(-2, 3) a(dy), range(-2, 3) b(dx)),
+  s AS (SELECT *, row_number() OVER (PARTITION BY {MKG} ORDER BY round((sy - fy) ** 2 + (sx - fx) ** 2, 9), dy, dx) AS rn FROM c WHERE t.y0 + sy >= 0 AND t.x0 + sx >= 0 AND t.y1 + sy < 16 AND t.x1 + sx < 16),
   aligned AS (SELECT s.video_id, s.frame, s.object_id, p.y + sy AS y, p.x + sx AS x FROM s JOIN inner_px p ON p.video_id = s.video_id AND p.object_id = s.object_id AND p.frame = s.t.f WHERE rn = 1)"""
 
 
