@@ -23,6 +23,7 @@ from kymora.operators.ordered import (
     null_safe_join,
     with_row_index,
 )
+from kymora.session import cut_lineage
 
 FRAME = ["video_id", "frame"]
 MASK = [*FRAME, "object_id"]
@@ -668,8 +669,8 @@ def clean_masks(px: DataFrame, ids: Sequence[int] = (2, 3, 4), distance: float =
     Also returns how many pixels each mask had after each step.
     """
     known = px.filter(F.col("object_id").isin(*ids)).select(*MASK, *POS)
-    largest = keep_largest(known)
-    apart = remove_shared(largest)
+    largest = cut_lineage(keep_largest(known))
+    apart = cut_lineage(remove_shared(largest))
     done = separate_pair(apart, 3, 4, distance, min_pixels)
     steps = {"input": known, "largest": largest, "unshared": apart, "separated": done}
     tagged = None

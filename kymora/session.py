@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
@@ -30,3 +30,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kymora-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Store a shared step reliably, so that several readers do not compute it again."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
