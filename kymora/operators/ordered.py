@@ -64,7 +64,7 @@ def time_bucket(df: DataFrame, ts: str, seconds: int) -> Column:
 
 def _offsets(sizes: DataFrame, keys: Sequence[str], total: str, out: str) -> DataFrame:
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    w = w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    w = w.orderBy("__o_b").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn(out, F.coalesce(F.sum(total).over(w), F.lit(0)))
 
 
@@ -81,14 +81,14 @@ def with_row_index(
     ``bucket`` is a non-decreasing function of the leading order column; rows are
     ranked inside (group, bucket) and shifted by the sizes of earlier buckets.
     """
-    rows = df.withColumn("__b", bucket)
-    local = Window.partitionBy(*keys, "__b").orderBy(*order)
-    ranked = rows.withColumn("__rn", F.row_number().over(local))
-    sizes = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = _offsets(sizes, keys, "__n", "__off").drop("__n")
-    out = null_safe_join(ranked, offsets, [*keys, "__b"])
-    return out.withColumn(name, (F.col("__rn") + F.col("__off") + F.lit(start - 1)).cast("long")).drop(
-        "__rn", "__off", "__b"
+    rows = df.withColumn("__o_b", bucket)
+    local = Window.partitionBy(*keys, "__o_b").orderBy(*order)
+    ranked = rows.withColumn("__o_rn", F.row_number().over(local))
+    sizes = rows.groupBy(*keys, "__o_b").agg(F.count(F.lit(1)).alias("__o_n"))
+    offsets = _offsets(sizes, keys, "__o_n", "__o_off").drop("__o_n")
+    out = null_safe_join(ranked, offsets, [*keys, "__o_b"])
+    return out.withColumn(name, (F.col("__o_rn") + F.col("__o_off") + F.lit(start - 1)).cast("long")).drop(
+        "__o_rn", "__o_off", "__o_b"
     )
 
 
@@ -108,10 +108,10 @@ def neighbour_columns(
     chunk = max(chunk, reach + 1)
     low = F.greatest(F.floor((F.col(index) - reach) / chunk), F.lit(0))
     high = F.floor((F.col(index) + reach) / chunk)
-    copies = df.withColumn("__chunk", F.explode(F.sequence(low, high)))
-    w = Window.partitionBy(*keys, "__chunk").orderBy(index)
+    copies = df.withColumn("__o_chunk", F.explode(F.sequence(low, high)))
+    w = Window.partitionBy(*keys, "__o_chunk").orderBy(index)
     copies = copies.withColumns({n: f(w) for n, f in columns.items()})
-    return copies.filter(F.col("__chunk") == F.floor(F.col(index) / chunk)).drop("__chunk")
+    return copies.filter(F.col("__o_chunk") == F.floor(F.col(index) / chunk)).drop("__o_chunk")
 
 
 def running_total(
@@ -123,14 +123,14 @@ def running_total(
     name: str,
 ) -> DataFrame:
     """Inclusive running sum in group order, carried across buckets."""
-    rows = df.withColumn("__b", bucket).withColumn("__rt", value)
-    local = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = rows.withColumn("__run", F.sum("__rt").over(local))
-    totals = rows.groupBy(*keys, "__b").agg(F.sum("__rt").alias("__t"))
-    offsets = _offsets(totals, keys, "__t", "__off").drop("__t")
-    out = null_safe_join(inner, offsets, [*keys, "__b"])
-    return out.withColumn(name, F.coalesce(F.col("__run"), F.lit(0)) + F.col("__off")).drop(
-        "__run", "__off", "__b", "__rt"
+    rows = df.withColumn("__o_b", bucket).withColumn("__o_rt", value)
+    local = Window.partitionBy(*keys, "__o_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumn("__o_run", F.sum("__o_rt").over(local))
+    totals = rows.groupBy(*keys, "__o_b").agg(F.sum("__o_rt").alias("__o_t"))
+    offsets = _offsets(totals, keys, "__o_t", "__o_off").drop("__o_t")
+    out = null_safe_join(inner, offsets, [*keys, "__o_b"])
+    return out.withColumn(name, F.coalesce(F.col("__o_run"), F.lit(0)) + F.col("__o_off")).drop(
+        "__o_run", "__o_off", "__o_b", "__o_rt"
     )
 
 
@@ -144,44 +144,44 @@ def nearest_valid(
     width: int = CHUNK,
 ) -> DataFrame:
     """Nearest non-null payload strictly before and after each row of its group."""
-    rows = df.withColumn("__b", width_bucket(F.col(order), width)).withColumn("__pay", payload)
-    w = Window.partitionBy(*keys, "__b").orderBy(order)
+    rows = df.withColumn("__o_b", width_bucket(F.col(order), width)).withColumn("__o_pay", payload)
+    w = Window.partitionBy(*keys, "__o_b").orderBy(order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     inner = rows.withColumns(
-        {"__lp": F.last("__pay", True).over(back), "__ln": F.first("__pay", True).over(ahead)}
+        {"__o_lp": F.last("__o_pay", True).over(back), "__o_ln": F.first("__o_pay", True).over(ahead)}
     )
-    edge = F.when(F.col("__pay").isNotNull(), F.col(order))
-    ends = rows.groupBy(*keys, "__b").agg(
-        F.max_by("__pay", edge).alias("__last"), F.min_by("__pay", edge).alias("__first")
+    edge = F.when(F.col("__o_pay").isNotNull(), F.col(order))
+    ends = rows.groupBy(*keys, "__o_b").agg(
+        F.max_by("__o_pay", edge).alias("__o_last"), F.min_by("__o_pay", edge).alias("__o_first")
     )
-    kw = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__b")
+    kw = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__o_b")
     ends = ends.select(
         *keys,
-        "__b",
-        F.last("__last", True).over(kw.rowsBetween(Window.unboundedPreceding, -1)).alias("__op"),
-        F.first("__first", True).over(kw.rowsBetween(1, Window.unboundedFollowing)).alias("__on"),
+        "__o_b",
+        F.last("__o_last", True).over(kw.rowsBetween(Window.unboundedPreceding, -1)).alias("__o_op"),
+        F.first("__o_first", True).over(kw.rowsBetween(1, Window.unboundedFollowing)).alias("__o_on"),
     )
-    out = null_safe_join(inner, ends, [*keys, "__b"])
+    out = null_safe_join(inner, ends, [*keys, "__o_b"])
     return out.withColumns(
-        {prev: F.coalesce("__lp", "__op"), next: F.coalesce("__ln", "__on")}
-    ).drop("__b", "__pay", "__lp", "__ln", "__op", "__on")
+        {prev: F.coalesce("__o_lp", "__o_op"), next: F.coalesce("__o_ln", "__o_on")}
+    ).drop("__o_b", "__o_pay", "__o_lp", "__o_ln", "__o_op", "__o_on")
 
 
 def run_ids(
     df: DataFrame, keys: Sequence[str], index: str, state: Column, name: str = "run_id"
 ) -> DataFrame:
     """Number the runs of equal consecutive ``state`` in each group, from 1."""
-    rows = df.withColumn("__s", state)
+    rows = df.withColumn("__o_s", state)
     rows = neighbour_columns(
         rows,
         keys,
         index,
         1,
-        {"__new": lambda w: F.when(F.lag("__s").over(w).eqNullSafe(F.col("__s")) & (F.col(index) > 0), 0).otherwise(1)},
+        {"__o_new": lambda w: F.when(F.lag("__o_s").over(w).eqNullSafe(F.col("__o_s")) & (F.col(index) > 0), 0).otherwise(1)},
     )
     return running_total(
-        rows, keys, [index], width_bucket(F.col(index), CHUNK), F.col("__new"), name
-    ).drop("__s", "__new")
+        rows, keys, [index], width_bucket(F.col(index), CHUNK), F.col("__o_new"), name
+    ).drop("__o_s", "__o_new")
 
 
 def exact_quantiles(
@@ -194,30 +194,30 @@ def exact_quantiles(
     """
     keys = list(keys)
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = clean.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = clean.groupBy(*keys, F.col(value).cast("double").alias("__o_v")).agg(F.count(F.lit(1)).alias("__o_n"))
     span = clean.groupBy(*keys).agg(
-        F.min(F.col(value).cast("double")).alias("__lo"),
-        F.max(F.col(value).cast("double")).alias("__hi"),
-        F.count(F.lit(1)).alias("__total"),
+        F.min(F.col(value).cast("double")).alias("__o_lo"),
+        F.max(F.col(value).cast("double")).alias("__o_hi"),
+        F.count(F.lit(1)).alias("__o_total"),
     )
-    share = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    share = (F.col("__o_v") - F.col("__o_lo")) / (F.col("__o_hi") - F.col("__o_lo"))
     bucket = F.when(
-        F.col("__hi") > F.col("__lo"),
+        F.col("__o_hi") > F.col("__o_lo"),
         F.least(F.floor(share * VALUE_BUCKETS), F.lit(VALUE_BUCKETS - 1)),
     ).otherwise(0)
-    ranked = running_total(null_safe_join(counts, span, keys), [*keys], ["__v"], bucket, F.col("__n"), "__cum")
-    before = F.col("__cum") - F.col("__n")
+    ranked = running_total(null_safe_join(counts, span, keys), [*keys], ["__o_v"], bucket, F.col("__o_n"), "__o_cum")
+    before = F.col("__o_cum") - F.col("__o_n")
     aggs = []
     for n, p in probs.items():
-        pos = F.lit(p) * (F.col("__total") - 1)
+        pos = F.lit(p) * (F.col("__o_total") - 1)
         for tag, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (before <= at) & (at < F.col("__cum"))
-            aggs.append(F.max(F.when(hit, F.col("__v"))).alias(f"__{n}_{tag}"))
-    found = ranked.groupBy(*keys).agg(F.max("__total").alias("__total"), *aggs)
+            hit = (before <= at) & (at < F.col("__o_cum"))
+            aggs.append(F.max(F.when(hit, F.col("__o_v"))).alias(f"__o_{n}_{tag}"))
+    found = ranked.groupBy(*keys).agg(F.max("__o_total").alias("__o_total"), *aggs)
     outs = []
     for n, p in probs.items():
-        pos = F.lit(p) * (F.col("__total") - 1)
-        lo, hi = F.col(f"__{n}_lo"), F.col(f"__{n}_hi")
+        pos = F.lit(p) * (F.col("__o_total") - 1)
+        lo, hi = F.col(f"__o_{n}_lo"), F.col(f"__o_{n}_hi")
         outs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(n))
     return found.select(*keys, *outs)
 
@@ -231,6 +231,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     """First row of each key in a stated order, by a combining aggregate."""
     rest = [c for c in df.columns if c not in keys]
     packed = df.groupBy(*keys).agg(
-        F.min(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])).alias("__row")
+        F.min(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])).alias("__o_row")
     )
-    return packed.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+    return packed.select(*keys, *[F.col("__o_row")[c].alias(c) for c in rest])

@@ -27,7 +27,12 @@ def blocks(df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str]
     b = F.floor(F.col(index) / size)
     rows = F.array_sort(F.collect_list(F.struct(F.col(index).alias("__i"), *[F.col(v).cast("double").alias(v) for v in values])))
     g = df.groupBy(*keys, b.alias("block")).agg(rows.alias("__rows"))
-    return g.select(*keys, "block", *[F.transform("__rows", lambda r, v=v: r[v]).alias(v) for v in values])
+
+
+    def column(name: str) -> Column:
+        return F.transform("__rows", lambda r: r[name]).alias(name)
+
+    return g.select(*keys, "block", *[column(v) for v in values])
 
 
 # ---------------------------------------------------------------- correlation over all lags
@@ -221,7 +226,7 @@ def wavelet_magnitudes(df: DataFrame, keys: Sequence[str], index: str, value: st
     libraries that integrate a stored table.
     """
     reach = 8 * scales
-    low = F.greatest(F.floor((F.col(index) - reach) / size), F.lit(0))
+    low = F.greatest(F.floor((F.col("__i") - reach) / size), F.lit(0))
     copies = df.select(*keys, F.col(index).alias("__i"), F.col(value).cast("double").alias("__v")).withColumn(
         "block", F.explode(F.sequence(low, F.floor((F.col("__i") + reach) / size)))
     )
