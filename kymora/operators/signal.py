@@ -28,7 +28,6 @@ def blocks(df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str]
     rows = F.array_sort(F.collect_list(F.struct(F.col(index).alias("__i"), *[F.col(v).cast("double").alias(v) for v in values])))
     g = df.groupBy(*keys, b.alias("block")).agg(rows.alias("__rows"))
 
-
     def column(name: str) -> Column:
         return F.transform("__rows", lambda r: r[name]).alias(name)
 

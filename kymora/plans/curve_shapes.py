@@ -257,24 +257,24 @@ def f22c(spark, d):
     return rounded(G.frame_frequency(z.select("subject", "frame"), seg, KEY, "frame", 10.0, 30, 25, tail=False))
 
 
-DFT = f"""{SER}, ft AS (SELECT subject, n, k, sum(angle * cos(2 * pi() * ((k * frame) % n) / n)) AS re, sum(angle * sin(2 * pi() * ((k * frame) % n) / n)) AS im FROM n, range(0, 400) r(k) WHERE k <= n // 2 GROUP BY subject, n, k)"""
+DFT = f"""{SER}, ft AS (SELECT subject, n, k, sum(angle * cos(2 * pi() * ((k * frame) % n) / n)) AS re, sum(angle * sin(2 * pi() * ((k * frame) % n) / n)) AS im FROM (SELECT subject, frame, angle, n FROM n), range(0, 400) r(k) WHERE k <= n // 2 GROUP BY subject, n, k)"""
 
 
-@query("f28_fourier_magnitudes", f"{DFT} SELECT subject, n, k, round(2 * sqrt(re ** 2 + im ** 2) / n, 6) AS magnitude FROM ft WHERE k < n // 2")
+@query("f28_fourier_magnitudes", f"{DFT} SELECT subject, n, k, round(2 * sqrt(re ** 2 + im ** 2) / n, 8) AS magnitude FROM ft WHERE k < n // 2")
 def f28(spark, d):
-    return rounded(G.magnitudes(G.spectrum(I.series(spark, d), KEY, "frame", "angle")))
+    return rounded(G.magnitudes(G.spectrum(I.series(spark, d), KEY, "frame", "angle")), 8)
 
 
-@query("f28_blocked_spectrum", f"{DFT} SELECT subject, n, k, round(2 * sqrt(re ** 2 + im ** 2) / n, 6) AS magnitude FROM ft WHERE k < n // 2")
+@query("f28_blocked_spectrum", f"{DFT} SELECT subject, n, k, round(2 * sqrt(re ** 2 + im ** 2) / n, 8) AS magnitude FROM ft WHERE k < n // 2")
 def f28b(spark, d):
     """The same with blocks of 16 values, as long series are handled."""
-    return rounded(G.magnitudes(G.spectrum(I.series(spark, d), KEY, "frame", "angle", 16)))
+    return rounded(G.magnitudes(G.spectrum(I.series(spark, d), KEY, "frame", "angle", 16)), 8)
 
 
 @query("f28_periodogram", f"""{SER}, c AS (SELECT subject, n, frame, angle - avg(angle) OVER (PARTITION BY subject) AS v FROM n), ft AS (SELECT subject, n, k, sum(v * cos(2 * pi() * ((k * frame) % n) / n)) AS re, sum(v * sin(2 * pi() * ((k * frame) % n) / n)) AS im FROM c, range(0, 400) r(k) WHERE k <= n // 2 GROUP BY subject, n, k)
-  SELECT subject, n, k, round(5.0 * k / n, 5) AS f, round((re ** 2 + im ** 2) / (5 * n) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END, 5) AS psd FROM ft""")
+  SELECT subject, n, k, round(5.0 * k / n, 3) AS f, round((re ** 2 + im ** 2) / (5 * n) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END, 3) AS psd FROM ft""")
 def f28c(spark, d):
-    return rounded(G.periodogram(I.series(spark, d), KEY, "frame", "angle", 5.0), 5)
+    return rounded(G.periodogram(I.series(spark, d), KEY, "frame", "angle", 5.0), 3)
 
 
 @query("f29_wavelet_range", None)

@@ -1 +1,69 @@
-"""Queries."""
+"""Order-dependent selections, merges and tracks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kymora.operators import greedy as GR
+from kymora.operators import masks as M
+from kymora.plans import inputs as I
+from kymora.plans.pixels import MK, MKG, WITH
+from kymora.plans.registry import query, rounded, table
+
+# Overlapping masks for graph work: nested intensity levels on both sides of zero.
+NEST = f"""WITH {I.PIXELS_SQL}, nest AS (SELECT video_id, frame, o AS object_id, y, x FROM frame_pixels, range(1, 7) r(o) WHERE CASE WHEN o <= 3 THEN intensity > 0.05 * o ELSE intensity < -0.05 * (o - 3) END AND (o + frame) % 4 <> 0)"""
+
+
+def nested(spark, d):
+    p = I.frame_pixels(spark, d).withColumn("object_id", F.explode(F.array(*[F.lit(i) for i in range(1, 7)])))
+    o, v = F.col("object_id"), F.col("intensity")
+    hit = F.when(o <= 3, v > 0.05 * o).otherwise(v < -0.05 * (o - 3))
+    return p.filter(hit & ((o + F.col("frame")) % 4 != 0)).select(*M.MASK, *M.POS)
+
+
+GROUPS = f"""ar AS (SELECT {MKG}, count(*) AS area FROM nest GROUP BY {MKG}), ed AS (SELECT DISTINCT a.video_id, a.frame, a.object_id AS a, b.object_id AS b FROM nest a JOIN nest b USING (video_id, frame, y, x) WHERE a.object_id <> b.object_id),
+  gp AS (SELECT video_id, frame, object_id, min(root) AS g FROM (WITH RECURSIVE w AS (SELECT {MKG}, object_id AS root FROM ar UNION SELECT e.video_id, e.frame, e.b, w.root FROM w JOIN ed e ON e.video_id = w.video_id AND e.frame = w.frame AND e.a = w.object_id) SELECT * FROM w) GROUP BY 1, 2, 3)"""
+
+
+@query("j13_largest_of_overlapping", f"{NEST}, {GROUPS} SELECT gp.video_id, gp.frame::BIGINT AS frame, g::BIGINT AS \"group\", CAST(arg_max(object_id, {{'a': area, 'o': -object_id}}) AS BIGINT) AS object_id, max(area) AS area FROM gp JOIN ar USING ({MKG}) GROUP BY 1, 2, 3")
+def j13(spark, d):
+    return rounded(GR.largest_of_overlapping(nested(spark, d)))
+
+
+@query("j23_merge_overlapping", None)
+def j23(spark, d):
+    return rounded(GR.merge_overlapping(nested(spark, d), 0.95, 25))
+
+
+@query("j23_solid_masks", None)
+def j23b(spark, d):
+    px = I.mask_pixels(spark, d).filter("object_id = 4")
+    return rounded(GR.solid_masks(I.mask_index(spark, d).filter("object_id = 4"), px))
+
+
+@query("o5_spot_candidates", f"WITH {I.PIXELS_SQL}, t AS (SELECT video_id, frame, quantile_cont(intensity, 0.85) AS t FROM frame_pixels GROUP BY 1, 2) SELECT p.video_id, p.frame::BIGINT AS frame, CAST(p.y AS BIGINT) AS y, CAST(p.x AS BIGINT) AS x FROM frame_pixels p JOIN t USING (video_id, frame) WHERE intensity >= t AND NOT EXISTS (SELECT 1 FROM frame_pixels q WHERE q.video_id = p.video_id AND q.frame = p.frame AND q.y - p.y BETWEEN -2 AND 1 AND q.x - p.x BETWEEN -2 AND 1 AND q.intensity > p.intensity)")
+def o5a(spark, d):
+    return rounded(GR.spot_candidates(I.frame_pixels(spark, d), 4).select(*M.FRAME, *M.POS))
+
+
+@query("o5_bright_spots", None)
+def o5(spark, d):
+    return rounded(GR.bright_spots(I.frame_pixels(spark, d), 3, 4))
+
+
+def _boxes(spark, d):
+    k, s = F.col("l_partkey"), F.col("l_quantity")
+    li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("image"), k.alias("box")).agg(F.max("l_extendedprice").alias("score"), F.max(s).alias("q"))
+    x0, y0 = F.col("box") % 97 * 2.0, F.floor(F.col("box") / 97) * 9.0
+    return li.select("image", "box", "score", x0.alias("x0"), y0.alias("y0"), (x0 + 20 + F.col("q")).alias("x1"), (y0 + 30 + F.col("q") / 2).alias("y1"))
+
+
+@query("o6_box_suppression", None)
+def o6(spark, d):
+    return rounded(GR.box_nms(_boxes(spark, d), ["image"], "box", "score", 0.7).select("image", "box"))
+
+
+@query("j19_spot_tracks", None)
+def j19(spark, d):
+    spots = GR.bright_spots(I.frame_pixels(spark, d), 3, 4)
+    return rounded(GR.track_spots(spots, I.mask_index(spark, d).select(*M.FRAME).distinct(), 3.0))
