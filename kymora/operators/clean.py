@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kymora.functions.curves import top_prominence
 from kymora.operators.ordered import neighbour_columns, null_safe_join
 
 
@@ -92,39 +93,4 @@ def is_folded(widths: Column, share: float = 0.03) -> Column:
 
 def has_prominent_peak(widths: Column, prominence: float = 35.0) -> Column:
     """Some inner peak of the profile stands out by at least ``prominence``."""
-    return F.exists(peak_prominences(widths), lambda p: p.prominence >= prominence)
-
-
-def peak_prominences(values: Column) -> Column:
-    """Local maxima (plateau middles) of an array with their prominence."""
-    n = F.size(values)
-    idx = F.sequence(F.lit(1), n)
-
-    def at(i: Column) -> Column:
-        return F.get(values, i - 1)
-
-    def plateau_end(i: Column) -> Column:
-        rest = F.slice(values, i, n - i + 1)
-        first_other = F.array_position(F.transform(rest, lambda x: x != at(i)), True)
-        return F.when(first_other > 0, i + first_other.cast("int") - 2)
-
-    starts = F.filter(idx, lambda i: (i > 1) & (at(i - 1) < at(i)))
-    spans = F.transform(starts, lambda i: F.struct(i.alias("a"), plateau_end(i).alias("b")))
-    peaks = F.filter(spans, lambda s: s.b.isNotNull() & (s.b < n) & (at(s.b + 1) < at(s.a)))
-
-    def base(arr: Column, height: Column) -> Column:
-        """Lowest value going outwards, up to the first higher value."""
-        stop = F.array_position(F.transform(arr, lambda x: x > height), True).cast("int")
-        near = F.when(stop > 0, F.slice(arr, F.lit(1), stop - 1)).otherwise(arr)
-        return F.coalesce(F.array_min(near), height)
-
-    def scored(s: Column) -> Column:
-        pos = F.floor((s.a + s.b) / 2).cast("int")
-        h = at(pos)
-        left = base(F.reverse(F.slice(values, F.lit(1), pos)), h)
-        right = base(F.slice(values, pos, n - pos + 1), h)
-        return F.struct(
-            (pos - 1).alias("position"), h.alias("height"), (h - F.greatest(left, right)).alias("prominence")
-        )
-
-    return F.transform(peaks, scored)
+    return F.coalesce(top_prominence(widths) >= prominence, F.lit(False))

@@ -56,20 +56,49 @@ def bright_spots(values: DataFrame, k: int = 3, distance: int = 10, percentile:
     return out.select(*FRAME, "spot", (-s["ny"]).alias("y"), (-s["nx"]).alias("x"))
 
 
-def box_nms(boxes: DataFrame, group: Sequence[str], box_id: str, score: str, threshold: float) -> DataFrame:
+IMAGE_BOXES = 20_000
+
+
+def box_nms(boxes: DataFrame, group: Sequence[str], box_id: str, score: str, threshold: float, limit: int = IMAGE_BOXES) -> DataFrame:
     """Greedy suppression of boxes (x0, y0, x1, y1) by score; ties go to the smaller id.
 
-    IoU over t forces sizes within a factor 1/t and centres within (1 - t) of the larger
-    side, so only boxes of a like size and place are compared.
+    Images with up to ``limit`` boxes are settled in one task each; larger ones in rounds
+    over pairs of near-equal boxes, so that no task holds them whole.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
+    sizes = boxes.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    few = null_safe_join(boxes, sizes.filter(F.col("__n") <= limit).select(*group), list(group), "left_semi")
+    many = null_safe_join(boxes, sizes.filter(F.col("__n") > limit).select(*group), list(group), "left_semi")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([score, box_id], ascending=[False, True])
+        b = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)
+        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+        open_, keep = np.ones(len(b), bool), []
+        for i in range(len(b)):
+            if not open_[i]:
+                continue
+            keep.append(i)
+            j = np.flatnonzero(open_[i + 1 :]) + i + 1
+            iw = np.minimum(b[i, 2], b[j, 2]) - np.maximum(b[i, 0], b[j, 0])
+            ih = np.minimum(b[i, 3], b[j, 3]) - np.maximum(b[i, 1], b[j, 1])
+            both = np.maximum(iw, 0) * np.maximum(ih, 0)
+            open_[j[both > threshold * (area[i] + area[j] - both)]] = False
+        return pdf.iloc[keep]
+
+    done = few.groupBy(*group).applyInPandas(settle, boxes.schema)
+    return done.unionByName(_nms_in_rounds(many, group, box_id, score, threshold))
+
+
+def _nms_in_rounds(boxes: DataFrame, group: Sequence[str], box_id: str, score: str, threshold: float) -> DataFrame:
+    """IoU over t forces sizes within a factor 1/t and centres within (1 - t) of the larger
+    side, so only boxes of a like size and place are compared."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     base = 1.0 / threshold
-    side = F.greatest(w, h)
     b = boxes.filter((w > 0) & (h > 0)).withColumns(
         {
-            "__lv": F.floor(F.log(side.cast("double")) / math.log(base)),
+            "__lv": F.floor(F.log(F.greatest(w, h).cast("double")) / math.log(base)),
             "__cy": (F.col("y0") + F.col("y1")) / 2, "__cx": (F.col("x0") + F.col("x1")) / 2,
         }
     )
@@ -77,24 +106,25 @@ def box_nms(boxes: DataFrame, group: Sequence[str], box_id: str, score: str, thr
     def cell(c: str, level: Column) -> Column:
         return F.floor(F.col(c) / ((1 - threshold) * F.pow(F.lit(base), level + 2)))
 
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    # The smaller level of a pair looks at its own level and the next one up.
     a = b
-    for part in ("__dl", "__dy", "__dx"):
-        a = a.withColumn(part, F.explode(near))
+    for part, reach in (("__dl", (0, 1)), ("__dy", (-1, 0, 1)), ("__dx", (-1, 0, 1))):
+        a = a.withColumn(part, F.explode(F.array(*[F.lit(r) for r in reach])))
     a = a.withColumn("__l", F.col("__lv") + F.col("__dl"))
     a = a.withColumns({"__gy": cell("__cy", F.col("__l")) + F.col("__dy"), "__gx": cell("__cx", F.col("__l")) + F.col("__dx")})
     names = [box_id, score, "x0", "y0", "x1", "y1"]
     a = a.select(*group, "__l", "__gy", "__gx", *[F.col(c).alias(f"__a_{c}") for c in names])
     o = b.select(*group, F.col("__lv").alias("__l"), cell("__cy", F.col("__lv")).alias("__gy"), cell("__cx", F.col("__lv")).alias("__gx"), *[F.col(c).alias(f"__b_{c}") for c in names])
-    p = null_safe_join(a, o, [*group, "__l", "__gy", "__gx"], "inner")
+    p = null_safe_join(a, o, [*group, "__l", "__gy", "__gx"], "inner").filter(F.col(f"__a_{box_id}") != F.col(f"__b_{box_id}"))
     A, B = (lambda c: F.col(f"__a_{c}")), (lambda c: F.col(f"__b_{c}"))
     iw = F.greatest(F.least(A("x1"), B("x1")) - F.greatest(A("x0"), B("x0")), F.lit(0))
     ih = F.greatest(F.least(A("y1"), B("y1")) - F.greatest(A("y0"), B("y0")), F.lit(0))
     areas = (A("x1") - A("x0")) * (A("y1") - A("y0")) + (B("x1") - B("x0")) * (B("y1") - B("y0"))
-    iou = iw * ih / (areas - iw * ih)
-    wins = (A(score) > B(score)) | ((A(score) == B(score)) & (A(box_id) < B(box_id)))
+    near = iw * ih > threshold * (areas - iw * ih)
+    first = (A(score) > B(score)) | ((A(score) == B(score)) & (A(box_id) < B(box_id)))
     node = lambda i: F.struct(*[F.col(g) for g in group], F.col(i).alias("id"))
-    edges = p.filter(wins & (iou > threshold)).select(node(f"__a_{box_id}").alias("winner"), node(f"__b_{box_id}").alias("loser"))
+    na, nb = node(f"__a_{box_id}"), node(f"__b_{box_id}")
+    edges = p.filter(near).select(F.when(first, na).otherwise(nb).alias("winner"), F.when(first, nb).otherwise(na).alias("loser"))
     return greedy_select(boxes.withColumn("node", node(box_id)), edges).drop("node")
 
 

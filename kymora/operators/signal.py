@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kymora.functions.curves import local_maxima
 from kymora.operators.graph import greedy_select
-from kymora.operators.ordered import attach_stats, neighbour_columns, null_safe_join, run_ids
+from kymora.operators.ordered import attach_stats, neighbour_columns, null_safe_join, run_ids, running_total, with_row_index
 
 DOUBLES = T.ArrayType(T.DoubleType())
 BLOCK = 1024
@@ -136,20 +137,6 @@ def dominant_frequency(spec: DataFrame, keys: Sequence[str], fps: float) -> Data
     return spec.filter("k > 0").groupBy(*keys).agg(F.max_by(F.col("k") * fps / F.col("n"), F.struct(size, -F.col("k"))).alias("dominant_freq"))
 
 
-def _local_maxima(p: np.ndarray) -> list[int]:
-    out, i, n = [], 1, len(p)
-    while i < n - 1:
-        if p[i - 1] < p[i]:
-            j = i
-            while j < n - 1 and p[j + 1] == p[i]:
-                j += 1
-            if j < n - 1 and p[j + 1] < p[i]:
-                out.append((i + j) // 2)
-            i = j
-        i += 1
-    return out
-
-
 SEGMENT = T.StructType().add("psd", DOUBLES).add("top", T.IntegerType()).add("peak", T.IntegerType())
 
 
@@ -163,7 +150,7 @@ def _segment_power(values: pd.Series, fs: pd.Series) -> pd.DataFrame:
         w = 0.5 - 0.5 * np.cos(2 * math.pi * np.arange(n) / n)
         p = np.abs(np.fft.rfft((x - x.mean()) * w)) ** 2 / (f * (w * w).sum())
         p[1 : (len(p) - 1 if n % 2 == 0 else len(p))] *= 2
-        peaks = [k for k in _local_maxima(p) if p[k] >= 0.1 * p.max()]
+        peaks = [k for k in local_maxima(p) if p[k] >= 0.1 * p.max()]
         best = peaks[int(np.argmax(p[peaks]))] if peaks else -1
         out.append((p, int(np.argmax(p)), best))
     return pd.DataFrame(out, columns=["psd", "top", "peak"])
@@ -312,8 +299,44 @@ def with_prominence(peaks: DataFrame, df: DataFrame, keys: Sequence[str], index:
     return p.withColumn("prominence", F.col("height") - base).drop("block", "__left", "__right")
 
 
-def spaced_peaks(peaks: DataFrame, keys: Sequence[str], index: str, distance: int) -> DataFrame:
-    """Keep the highest peaks such that none lies nearer than ``distance`` to a kept one."""
+CLUSTER = 4096
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _keep_spaced(pos: pd.Series, height: pd.Series, distance: pd.Series) -> pd.Series:
+    out = []
+    for p, h, d in zip(pos, height, distance):
+        p, h = np.asarray(p), np.asarray(h, float)
+        open_, keep = np.ones(len(p), bool), np.zeros(len(p), bool)
+        for i in np.lexsort((-p, -h)):
+            if open_[i]:
+                keep[i] = True
+                open_[np.searchsorted(p, p[i] - d, "right") : np.searchsorted(p, p[i] + d, "left")] = False
+        out.append(keep)
+    return pd.Series(out)
+
+
+def spaced_peaks(peaks: DataFrame, keys: Sequence[str], index: str, distance: int, limit: int = CLUSTER) -> DataFrame:
+    """Keep the highest peaks such that none lies nearer than ``distance`` to a kept one.
+
+    Peaks fall into clusters between gaps of at least ``distance``, which do not touch
+    each other.  Clusters of up to ``limit`` peaks are settled at once; longer ones in
+    rounds over pairs of near peaks.
+    """
+    p = with_row_index(peaks, keys, [index], F.floor(F.col(index) / CLUSTER), "__k")
+    p = neighbour_columns(p, keys, "__k", 1, {"__g": lambda w: F.when(F.col(index) - F.lag(index).over(w) < distance, 0).otherwise(1)})
+    p = running_total(p, keys, ["__k"], F.floor(F.col("__k") / CLUSTER), F.col("__g"), "__cl").drop("__k", "__g")
+    sizes = p.groupBy(*keys, "__cl").agg(F.count(F.lit(1)).alias("__n"))
+    p = null_safe_join(p, sizes, [*keys, "__cl"])
+    cols = [*keys, index, "height"]
+    g = p.filter(F.col("__n") <= limit).groupBy(*keys, "__cl").agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col("height").alias("h")))).alias("r"))
+    flags = _keep_spaced(F.transform("r", lambda r: r["i"]), F.transform("r", lambda r: r["h"].cast("double")), F.lit(distance))
+    near = g.select(*keys, F.explode(F.arrays_zip("r", flags.alias("k"))).alias("z")).filter("z.k")
+    near = near.select(*keys, F.col("z.r.i").alias(index), F.col("z.r.h").alias("height"))
+    return near.unionByName(_spaced_in_rounds(p.filter(F.col("__n") > limit).select(*cols), keys, index, distance))
+
+
+def _spaced_in_rounds(peaks: DataFrame, keys: Sequence[str], index: str, distance: int) -> DataFrame:
     cell = F.floor(F.col(index) / distance)
     a = peaks.select(*keys, F.col(index).alias("__i"), F.col("height").alias("__h"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("__c"))
     b = peaks.select(*keys, F.col(index).alias("__j"), F.col("height").alias("__g"), cell.alias("__c"))
@@ -321,8 +344,7 @@ def spaced_peaks(peaks: DataFrame, keys: Sequence[str], index: str, distance: in
     wins = (F.col("__h") > F.col("__g")) | ((F.col("__h") == F.col("__g")) & (F.col("__i") > F.col("__j")))
     node = lambda c: F.struct(*[F.col(k) for k in keys], F.col(c).alias("i"))
     edges = near.filter(wins).select(node("__i").alias("winner"), node("__j").alias("loser"))
-    kept = greedy_select(peaks.withColumn("node", node(index)), edges)
-    return kept.drop("node")
+    return greedy_select(peaks.withColumn("node", node(index)), edges).drop("node")
 
 
 def head_bends(df: DataFrame, keys: Sequence[str], index: str, value: str, fps: float, distance: int = 8) -> DataFrame:
