@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 CHUNK = 4096
 VALUE_BUCKETS = 4096
+GROUP_VALUES = 100_000
+BROADCAST_GROUPS = 2_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -184,42 +186,81 @@ def run_ids(
     ).drop("__o_s", "__o_new")
 
 
+def _narrow(values: DataFrame, targets: DataFrame, keys: list[str], slices: int | None, hint) -> DataFrame:
+    """Replace each target's cell [lo, hi] by the slice of it that holds the target rank.
+
+    With ``slices`` the cell is cut into equally wide slices; without, into its values.
+    """
+    cell = [*keys, "__o_lo", "__o_hi"]
+    j = null_safe_join(values, hint(targets.select(*cell).distinct()), keys, "inner")
+    v, lo, hi = F.col("__o_v"), F.col("__o_lo"), F.col("__o_hi")
+    j = j.filter(v.between(lo, hi))
+    if slices:
+        part = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * slices), F.lit(slices - 1))).otherwise(0)
+    else:
+        part = v
+    hist = j.groupBy(*cell, part.alias("__o_part")).agg(
+        F.count(F.lit(1)).alias("__o_n"), F.min("__o_v").alias("__o_lo2"), F.max("__o_v").alias("__o_hi2")
+    )
+    w = Window.partitionBy(*cell).orderBy("__o_part").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("__o_cum", F.sum("__o_n").over(w))
+    t = null_safe_join(targets, hist, cell, "inner")
+    at = F.col("__o_rank") - F.col("__o_skip")
+    t = t.filter((at < F.col("__o_cum")) & (at >= F.col("__o_cum") - F.col("__o_n")))
+    return t.select(
+        *keys, "__o_rank", F.col("__o_lo2").alias("__o_lo"), F.col("__o_hi2").alias("__o_hi"),
+        (F.col("__o_skip") + F.col("__o_cum") - F.col("__o_n")).alias("__o_skip"),
+    )
+
+
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], limit: int = GROUP_VALUES
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    Equal values are counted first; distinct values are then ranked inside value
-    buckets, so a large group is never sorted or held in one place.
+    Groups of up to ``limit`` values go through one aggregate each.  The larger ones are
+    counted first: while they are few their keys are broadcast, so that their values stay
+    where they are; beyond that the joins are left to the planner.  For them two
+    histograms close in on the wanted ranks: slices of the group's range, then slices of
+    the slices that hold a rank.  Only the values of those last slices are ranked one by
+    one.  Counts combine on the map side, so a large group is never shuffled or sorted as
+    a whole, and an outlier that stretches its first range does not matter.
     """
     keys = list(keys)
-    clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = clean.groupBy(*keys, F.col(value).cast("double").alias("__o_v")).agg(F.count(F.lit(1)).alias("__o_n"))
-    span = clean.groupBy(*keys).agg(
-        F.min(F.col(value).cast("double")).alias("__o_lo"),
-        F.max(F.col(value).cast("double")).alias("__o_hi"),
-        F.count(F.lit(1)).alias("__o_total"),
-    )
-    share = (F.col("__o_v") - F.col("__o_lo")) / (F.col("__o_hi") - F.col("__o_lo"))
-    bucket = F.when(
-        F.col("__o_hi") > F.col("__o_lo"),
-        F.least(F.floor(share * VALUE_BUCKETS), F.lit(VALUE_BUCKETS - 1)),
-    ).otherwise(0)
-    ranked = running_total(null_safe_join(counts, span, keys), [*keys], ["__o_v"], bucket, F.col("__o_n"), "__o_cum")
-    before = F.col("__o_cum") - F.col("__o_n")
-    aggs = []
-    for n, p in probs.items():
-        pos = F.lit(p) * (F.col("__o_total") - 1)
-        for tag, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (before <= at) & (at < F.col("__o_cum"))
-            aggs.append(F.max(F.when(hit, F.col("__o_v"))).alias(f"__o_{n}_{tag}"))
-    found = ranked.groupBy(*keys).agg(F.max("__o_total").alias("__o_total"), *aggs)
-    outs = []
-    for n, p in probs.items():
-        pos = F.lit(p) * (F.col("__o_total") - 1)
-        lo, hi = F.col(f"__o_{n}_lo"), F.col(f"__o_{n}_hi")
-        outs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(n))
-    return found.select(*keys, *outs)
+    x = F.col(value).cast("double")
+    values = df.select(*keys, x.alias("__o_v")).filter(F.col("__o_v").isNotNull() & ~F.isnan("__o_v"))
+    if not keys:
+        values = values.withColumn("__o_all", F.lit(1))
+        return _quantiles(values, ["__o_all"], probs, limit).drop("__o_all")
+    return _quantiles(values, keys, probs, limit)
+
+
+def _quantiles(values: DataFrame, keys: list[str], probs: dict[str, float], limit: int) -> DataFrame:
+    span = values.groupBy(*keys).agg(F.min("__o_v").alias("__o_lo"), F.max("__o_v").alias("__o_hi"), F.count(F.lit(1)).alias("__o_total"))
+    large = span.filter(F.col("__o_total") > limit)
+    n_large = large.limit(BROADCAST_GROUPS + 1).count()
+
+    def whole(v: DataFrame) -> DataFrame:
+        q = v.groupBy(*keys).agg(F.percentile("__o_v", F.array(*[F.lit(p) for p in probs.values()])).alias("__o_q"))
+        return q.select(*keys, *[F.get("__o_q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
+
+    if n_large == 0:
+        return whole(values)
+    hint = F.broadcast if n_large <= BROADCAST_GROUPS else (lambda d: d)
+    few = whole(null_safe_join(values, hint(large.select(*keys)), keys, "left_anti"))
+
+    pos = {n: F.lit(p) * (F.col("__o_total") - 1) for n, p in probs.items()}
+    ranks = F.array_distinct(F.array(*[f(c).cast("long") for c in pos.values() for f in (F.floor, F.ceil)]))
+    targets = large.select(*keys, "__o_lo", "__o_hi", F.lit(0).cast("long").alias("__o_skip"), F.explode(ranks).alias("__o_rank"))
+    for slices in (VALUE_BUCKETS, VALUE_BUCKETS, None):
+        targets = _narrow(values, targets, keys, slices, hint)
+    found = targets.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__o_rank", "__o_lo"))).alias("__o_at"))
+    out = null_safe_join(large.select(*keys, "__o_total"), found, keys)
+    cols = []
+    for n, c in pos.items():
+        low, high = F.element_at("__o_at", F.floor(c).cast("long")), F.element_at("__o_at", F.ceil(c).cast("long"))
+        cols.append((low + (high - low) * (c - F.floor(c))).alias(n))
+    return few.unionByName(out.select(*keys, *cols))
 
 
 def with_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -116,12 +116,22 @@ def test_t_quantile_expansion_joins_table(spark):
     assert spark.range(1).select(A.t_quantile(F.lit(0)).alias("q")).first().q is None
 
 
-def test_quantiles_of_repeated_and_skewed_values(spark):
+@pytest.mark.parametrize("limit", [3, 45, 1000])
+def test_quantiles_of_repeated_and_skewed_values(spark, limit):
     import numpy as np
 
     data = [("a", 1.0)] * 50 + [("a", 1e9), ("a", 2.0)] + [("b", float(i * i)) for i in range(37)] + [("c", None), ("d", 7.0)]
-    got = {r.k: r for r in exact_quantiles(spark.createDataFrame(data, "k string, x double"), ["k"], "x", {"q1": 0.25, "m": 0.5, "p": 0.9}).collect()}
+    got = {r.k: r for r in exact_quantiles(spark.createDataFrame(data, "k string, x double"), ["k"], "x", {"q1": 0.25, "m": 0.5, "p": 0.9}, limit).collect()}
     for k in "abd":
         v = [x for g, x in data if g == k]
         assert [got[k].q1, got[k].m, got[k].p] == pytest.approx(list(np.percentile(v, [25, 50, 90])))
     assert "c" not in got
+
+
+def test_quantiles_with_far_outliers(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = [float(x) for x in rng.normal(0, 1, 500)] + [1e12, -1e12]
+    got = exact_quantiles(spark.createDataFrame([("a", x) for x in v], "k string, x double"), ["k"], "x", {"q": 0.25, "m": 0.5, "p": 0.999}, 10).first()
+    assert [got.q, got.m, got.p] == pytest.approx(list(np.percentile(v, [25, 50, 99.9])))
