@@ -186,15 +186,14 @@ def run_ids(
     ).drop("__o_s", "__o_new")
 
 
-def _narrow(values: DataFrame, targets: DataFrame, keys: list[str], slices: int | None, hint) -> DataFrame:
-    """Replace each target's cell [lo, hi] by the slice of it that holds the target rank.
+def _narrow(values: DataFrame, cells: DataFrame, keys: list[str], slices: int | None, hint) -> DataFrame:
+    """Replace each cell [lo, hi] by those of its slices that hold one of its ranks.
 
     With ``slices`` the cell is cut into equally wide slices; without, into its values.
     """
-    cell = [*keys, "__o_lo", "__o_hi"]
-    j = null_safe_join(values, hint(targets.select(*cell).distinct()), keys, "inner")
+    cell = [*keys, "__o_lo", "__o_hi", "__o_skip", "__o_ranks"]
     v, lo, hi = F.col("__o_v"), F.col("__o_lo"), F.col("__o_hi")
-    j = j.filter(v.between(lo, hi))
+    j = null_safe_join(values, hint(cells), keys, "inner").filter(v.between(lo, hi))
     if slices:
         part = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * slices), F.lit(slices - 1))).otherwise(0)
     else:
@@ -202,15 +201,11 @@ def _narrow(values: DataFrame, targets: DataFrame, keys: list[str], slices: int
     hist = j.groupBy(*cell, part.alias("__o_part")).agg(
         F.count(F.lit(1)).alias("__o_n"), F.min("__o_v").alias("__o_lo2"), F.max("__o_v").alias("__o_hi2")
     )
-    w = Window.partitionBy(*cell).orderBy("__o_part").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("__o_cum", F.sum("__o_n").over(w))
-    t = null_safe_join(targets, hist, cell, "inner")
-    at = F.col("__o_rank") - F.col("__o_skip")
-    t = t.filter((at < F.col("__o_cum")) & (at >= F.col("__o_cum") - F.col("__o_n")))
-    return t.select(
-        *keys, "__o_rank", F.col("__o_lo2").alias("__o_lo"), F.col("__o_hi2").alias("__o_hi"),
-        (F.col("__o_skip") + F.col("__o_cum") - F.col("__o_n")).alias("__o_skip"),
-    )
+    w = Window.partitionBy(*keys, "__o_lo", "__o_hi").orderBy("__o_part").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("__o_skip", F.col("__o_skip") + F.coalesce(F.sum("__o_n").over(w), F.lit(0)))
+    inside = F.filter("__o_ranks", lambda r: (r >= F.col("__o_skip")) & (r < F.col("__o_skip") + F.col("__o_n")))
+    out = hist.withColumn("__o_ranks", inside).filter(F.size("__o_ranks") > 0)
+    return out.select(*keys, F.col("__o_lo2").alias("__o_lo"), F.col("__o_hi2").alias("__o_hi"), "__o_skip", "__o_ranks")
 
 
 def exact_quantiles(
@@ -251,10 +246,11 @@ def _quantiles(values: DataFrame, keys: list[str], probs: dict[str, float], limi
 
     pos = {n: F.lit(p) * (F.col("__o_total") - 1) for n, p in probs.items()}
     ranks = F.array_distinct(F.array(*[f(c).cast("long") for c in pos.values() for f in (F.floor, F.ceil)]))
-    targets = large.select(*keys, "__o_lo", "__o_hi", F.lit(0).cast("long").alias("__o_skip"), F.explode(ranks).alias("__o_rank"))
+    cells = large.select(*keys, "__o_lo", "__o_hi", F.lit(0).cast("long").alias("__o_skip"), ranks.alias("__o_ranks"))
     for slices in (VALUE_BUCKETS, VALUE_BUCKETS, None):
-        targets = _narrow(values, targets, keys, slices, hint)
-    found = targets.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__o_rank", "__o_lo"))).alias("__o_at"))
+        cells = _narrow(values, cells, keys, slices, hint)
+    found = cells.select(*keys, "__o_lo", F.explode("__o_ranks").alias("__o_rank"))
+    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__o_rank", "__o_lo"))).alias("__o_at"))
     out = null_safe_join(large.select(*keys, "__o_total"), found, keys)
     cols = []
     for n, c in pos.items():
