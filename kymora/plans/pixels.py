@@ -70,7 +70,11 @@ def a27(spark, d):
 
 # Multipliers of the sampling order that SQL can repeat.
 RANK_SQL = "(y * 7919 + x * 104729) % 10007"
-RANK = (F.col("y") * 7919 + F.col("x") * 104729) % 10007
+
+
+def _rank():
+    return (F.col("y") * 7919 + F.col("x") * 104729) % 10007
+
 
 BG = f"""m4 AS (SELECT * FROM mask_pixels WHERE object_id = 4),
   bg AS (SELECT * FROM frame_pixels p WHERE NOT EXISTS (SELECT 1 FROM m4 WHERE m4.video_id = p.video_id AND m4.frame = p.frame AND (m4.y - p.y) ** 2 + (m4.x - p.x) ** 2 < 4)),
@@ -80,14 +84,14 @@ BG = f"""m4 AS (SELECT * FROM mask_pixels WHERE object_id = 4),
 @query("a28_background_level", f"{WITH}, {BG} SELECT video_id, frame::BIGINT AS frame, round(b, 6) AS background_intensity FROM lvl")
 def a28(spark, d):
     px = I.mask_pixels(spark, d).filter("object_id = 4")
-    return rounded(M.background_level(I.mask_index(spark, d), px, I.frame_pixels(spark, d), ["intensity"], 2.0, 5, RANK))
+    return rounded(M.background_level(I.mask_index(spark, d), px, I.frame_pixels(spark, d), ["intensity"], 2.0, 5, _rank()))
 
 
 @query("a29_background_corrected", f"""{WITH}, {BG}, s AS (SELECT {MKG}, avg(intensity) AS m, count(*) AS n FROM mask_pixels JOIN frame_pixels USING (video_id, frame, y, x) GROUP BY ALL)
   SELECT i.video_id, i.frame::BIGINT AS frame, i.object_id::BIGINT AS object_id, round(m - b, 6) AS mean_bg_corrected, coalesce(n, 0) AS pixel_count FROM mask_index i LEFT JOIN s USING ({MKG}) LEFT JOIN lvl USING (video_id, frame)""")
 def a29(spark, d):
     px, index, values = I.mask_pixels(spark, d), I.mask_index(spark, d), I.frame_pixels(spark, d)
-    bg = M.background_level(index, px.filter("object_id = 4"), values, ["intensity"], 2.0, 5, RANK)
+    bg = M.background_level(index, px.filter("object_id = 4"), values, ["intensity"], 2.0, 5, _rank())
     out = M.background_corrected(M.intensity_stats(index, px, values), bg)
     return rounded(out.select(*M.MASK, "mean_bg_corrected", "pixel_count"))
 
@@ -102,7 +106,7 @@ def a30(spark, d):
     v = F.col("intensity")
     values = I.frame_pixels(spark, d).withColumns({"r": F.round(v + 1.0, 3), "g": F.round(v * v + 1.0, 3), "b": F.round(1.5 - v, 3)})
     px = I.frame_pixels(spark, d).filter(F.abs(v) > 0.17).select(*M.FRAME, F.lit(1).alias("object_id"), *M.POS)
-    bg = M.background_level(I.mask_index(spark, d), px, values, ["r", "g", "b"], 2.0, 5, RANK, margin=2)
+    bg = M.background_level(I.mask_index(spark, d), px, values, ["r", "g", "b"], 2.0, 5, _rank(), margin=2)
     return rounded(M.colour_features(px, values, bg))
 
 
