@@ -292,11 +292,6 @@ def s18(spark, d):
     return rounded(RD.unpack_images(img, ["image"]))
 
 
-BIB = (
-    "chr(10) || '@article{k' || p_partkey || ', title={' || p_name || '}, Journal = {' || p_brand || '}}'"
-)
-
-
 @query("s19_bibliography_entries", "SELECT 'k' || p_partkey AS key, p_brand AS journal FROM part")
 def s19(spark, d):
     """One bibliography text per part type, split again into its entries."""
@@ -418,10 +413,7 @@ def p7(spark, d):
     return df.na.drop(subset=["human"])
 
 
-GRID = "l_returnflag AS condition, l_linestatus AS viscosity"
-
-
-@query("p8_grid_cell", f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F'")
+@query("p8_grid_cell", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F'")
 def p8(spark, d):
     li = table(spark, d, "lineitem").filter((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"))
     return rounded(li.select("l_orderkey", "l_linenumber", "l_quantity"))
