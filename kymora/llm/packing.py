@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +16,16 @@ from pyspark.sql import functions as F
 
 from kymora.llm.common import stored
 
-#: Distinct words whose ids a worker keeps; the cache starts anew beyond it (ids do not depend on it).
-CACHED_WORDS = 800_000
+#: Distinct words whose ids a worker keeps; beyond it the half that came last goes (ids do not depend on it).
+CACHED_WORDS = 1_000_000
 #: Documents that one packing task settles.
 GROUP_PIECES = 40_000
 
 #: White space of Unicode, at which the vocabulary's pattern always cuts (str.split also cuts at \x1c-\x1f).
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case stands alone, then marks: such a word has the ids of its lower case, then those of its marks.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]*)")
 _CODERS: dict[str, Coder] = {}
 
 
@@ -42,11 +46,14 @@ class Coder:
         for words in split:
             needed.update(words)
         if len(self.ids) > CACHED_WORDS:
-            self.ids = {}
-        fresh = list(needed.difference(self.ids))
+            self.ids = dict(islice(self.ids.items(), CACHED_WORDS // 2))
+        parts = {w: (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for w in needed.difference(self.ids)}
+        fresh = list({p for pair in parts.values() for p in pair if p}.difference(self.ids))
         for word, code in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.ids[word] = np.array(code.ids, dtype="<u4").tobytes()
+            self.ids[word] = array("I", code.ids).tobytes()
         look = self.ids.__getitem__
+        for word, (body, marks) in parts.items():
+            self.ids[word] = look(body) + look(marks) if marks else look(body)
         return [b"".join(map(look, words)) for words in split]
 
 
