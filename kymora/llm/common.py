@@ -110,8 +110,9 @@ def word_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     spread = np.diff(starts, append=starts[0] + len(body))
     place = np.arange(len(body)) - np.repeat(starts - starts[0], spread)
     terms = _BYTE_TERMS[body]
-    inside = body != 0
-    place[~inside] = 0
+    beyond = place >= np.repeat(ends - starts, spread)
+    place[beyond] = 0
+    terms[beyond] = 0
     terms *= powers(int((ends - starts).max()))[place]
     return mix(np.add.reduceat(terms, starts - starts[0]))
 
@@ -145,3 +146,22 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.n
 
 def list_column(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, type=kind))
+
+
+def held_out(modulus: int, rest: int):
+    """Whether a document's labels may not be learned from: crc32(doc_id as text) mod ``modulus`` is ``rest``."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
+
+
+def label_sample(labels: DataFrame, column: str, modulus: int, rest: int, limit: int) -> DataFrame:
+    """At most ``limit`` labelled documents that may be learned from, as doc_id and y (0 or 1), in hash order.
+
+    Repeated labels of a document count as 1 if at least half of them are 1; null labels are left out.
+    """
+    from pyspark.sql import functions as F
+
+    clean = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(modulus, rest))
+    one = clean.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("y"))
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
