@@ -165,3 +165,43 @@ def label_sample(labels: DataFrame, column: str, modulus: int, rest: int, limit:
     clean = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(modulus, rest))
     one = clean.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("y"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups and the first row of each group (and one end), from batches sorted by ``column``."""
+    kept: list[pa.RecordBatch] = []
+
+    def cuts(values: pa.Array) -> np.ndarray:
+        return np.flatnonzero(np.append(True, pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False))) if len(values) else np.zeros(0, int)
+
+    def out(table: pa.Table):
+        table = table.combine_chunks()
+        return table, np.append(cuts(table.column(column).combine_chunks() if table.num_rows else table.column(column)), table.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = cuts(batch.column(batch.schema.get_field_index(column)))[-1]
+        names = batch.schema.names.index(column)
+        if kept and kept[-1].column(names)[-1] != batch.column(names)[0]:
+            yield out(pa.Table.from_batches(kept))
+            kept = []
+        if at > 0:
+            yield out(pa.Table.from_batches([*kept, batch.slice(0, at)]))
+            kept = []
+        kept.append(batch.slice(at))
+    if kept:
+        yield out(pa.Table.from_batches(kept))
+
+
+def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each of n nodes' component, under the edges a - b."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label
