@@ -205,3 +205,28 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = label[label]
         if (label == before).all():
             return label
+
+
+def _slots(h: np.ndarray, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two places of a hash in a filter, as word and bit."""
+    return [(((h >> np.uint64(k + 6)) & np.uint64(words - 1)).astype(np.int64), (h >> np.uint64(k)) & np.uint64(63)) for k in (0, 32)]
+
+
+def bit_filter(keys: DataFrame, words: int) -> np.ndarray:
+    """Bit filter of the 64-bit hashes in column ``key``; ``words`` (a power of two) fixes its size, whatever the input."""
+    from pyspark.sql import functions as F
+
+    slots = [(F.shiftrightunsigned("key", k + 6).bitwiseAND(words - 1).cast("int").alias("word"), F.shiftrightunsigned("key", k).bitwiseAND(63).cast("int").alias("bit")) for k in (0, 32)]
+    both = keys.select(F.explode(F.array(*[F.struct(w, b) for w, b in slots])).alias("s"))
+    table = both.groupBy("s.word").agg(F.bit_or(F.expr("shiftleft(1L, s.bit)")).alias("bits")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_filter(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each hash passes the filter: all that are in it, and few others."""
+    out = np.ones(len(h), bool)
+    for word, bit in _slots(h, len(bits)):
+        out &= ((bits[word] >> bit) & np.uint64(1)).astype(bool)
+    return out

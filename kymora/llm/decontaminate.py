@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymora.llm.common import ALNUM, mix, steps, stored, text_buffers, word_hashes, word_spans
+from kymora.llm.common import ALNUM, bit_filter, in_filter, mix, steps, stored, text_buffers, word_hashes, word_spans
 
 #: Words of a window, and of a shingle inside it; a shorter item is one window.
 WINDOW = 13
@@ -28,12 +28,6 @@ def grams(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray,
     return mix(total), rest >= size
 
 
-def _slots(h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Two places of a hash in the filter, as word and bit."""
-    mask = np.uint64(FILTER_WORDS - 1)
-    return [((h >> np.uint64(k + 6)) & mask, (h >> np.uint64(k)) & np.uint64(63)) for k in (0, 32)]
-
-
 def windows_of(items: DataFrame, window: int, shingle: int) -> DataFrame:
     """One row per window of an item: its words and, in order, the hashes of its shingles."""
 
@@ -59,24 +53,6 @@ def windows_of(items: DataFrame, window: int, shingle: int) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """Bit filter of the hashes in column ``key``; its size is fixed."""
-    slots = [(F.shiftrightunsigned("key", k + 6).bitwiseAND(FILTER_WORDS - 1).alias("word"), F.shiftrightunsigned("key", k).bitwiseAND(63).cast("int").alias("bit")) for k in (0, 32)]
-    both = keys.select(F.explode(F.array(*[F.struct(w, b) for w, b in slots])).alias("s"))
-    rows = both.groupBy("s.word").agg(F.bit_or(F.expr("shiftleft(1L, s.bit)")).alias("bits")).collect()
-    out = np.zeros(FILTER_WORDS, np.int64)
-    for r in rows:
-        out[r["word"]] = r["bits"]
-    return out.view(np.uint64)
-
-
-def passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for word, bit in _slots(h):
-        out &= ((bits[word.astype(np.int64)] >> bit) & np.uint64(1)).astype(bool)
-    return out
-
-
 def shingle_counts(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
     """How often documents hold each shingle that passes the filter."""
 
@@ -87,7 +63,7 @@ def shingle_counts(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
             hashes = word_hashes(folded, starts, ends)
             for size in sizes:
                 g, fits = grams(hashes, first, size)
-                key, n = np.unique(g[fits & passes(g, bits.value)], return_counts=True)
+                key, n = np.unique(g[fits & in_filter(g, bits.value)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -104,7 +80,7 @@ def candidates(docs: DataFrame, bits, sizes: list[int], window: int, shingle: in
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for size in sizes:
                 g, fits = grams(hashes, first, size)
-                at = np.flatnonzero(fits & passes(g, bits.value))
+                at = np.flatnonzero(fits & in_filter(g, bits.value))
                 doc = np.searchsorted(first, at, side="right") - 1
                 around = window - shingle if size == shingle else 0
                 for i, d, key in zip(at.tolist(), doc.tolist(), g[at].view(np.int64).tolist(), strict=True):
@@ -135,11 +111,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     windows = stored(windows_of(items, window, shingle))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
     shingles = windows.select(F.explode("shingles").alias("key")).distinct()
-    rarity = shingle_counts(docs, spark.sparkContext.broadcast(key_filter(shingles)), sizes)
+    rarity = shingle_counts(docs, spark.sparkContext.broadcast(bit_filter(shingles, FILTER_WORDS)), sizes)
     each = windows.select("item_id", "words", "size", F.posexplode("shingles").alias("offset", "key"))
     ranked = each.join(rarity, "key", "left").groupBy("item_id", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "offset")).alias("p"))
     prefix = stored(ranked.select("item_id", "words", F.col("p.key").alias("key"), F.col("p.offset").alias("offset"), F.size("words").alias("len")))
-    places = stored(candidates(docs, spark.sparkContext.broadcast(key_filter(prefix.select("key").distinct())), sizes, window, shingle))
+    places = stored(candidates(docs, spark.sparkContext.broadcast(bit_filter(prefix.select("key").distinct(), FILTER_WORDS)), sizes, window, shingle))
     at = places.where(F.size("found") > 0).select("doc_id", "print", "n_words", F.explode("found").alias("f")).select("doc_id", "print", "n_words", "f.*").distinct()
     start = F.col("pos") - F.col("offset")
     held = (F.col("offset") <= F.col("left")) & (start + F.col("len") <= F.col("n_words"))
