@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymora.llm import decontaminate, line_dedup, lsh_forest, packing, quality, toxicity
+from kymora.llm import decontaminate, hidden_markov, line_dedup, lsh_forest, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_line_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "deleted_bytes")
+
+
+@query("op2_hidden_markov_scores")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.hmm_scores(table(spark, sf_dir, "documents"))
