@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymora.llm import decontaminate, hidden_markov, line_dedup, lsh_forest, packing, quality, toxicity
+from kymora.llm import decontaminate, hidden_markov, line_dedup, lsh_forest, packing, quality, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,53 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_hidden_markov_scores")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.hmm_scores(table(spark, sf_dir, "documents"))
+
+
+_CANON = """
+    WITH RECURSIVE after_scheme AS (
+        SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    tags AS (
+        SELECT url, rest,
+               regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS c,
+               regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS m
+        FROM after_scheme WHERE url IS NOT NULL),
+    said AS (
+        SELECT DISTINCT url AS a,
+               CASE WHEN instr(t, '://') > 0 THEN t
+                    WHEN starts_with(t, '//') THEN scheme || ':' || t
+                    WHEN starts_with(t, '/') THEN scheme || '://' || host || t
+                    ELSE scheme || '://' || host || CASE WHEN folder = '' THEN '/' ELSE folder END || t END AS b
+        FROM (SELECT url, unnest([c, m]) AS t, regexp_extract(url, '^([^:/?#]*)://', 1) AS scheme,
+                     translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder FROM tags) x
+        WHERE t <> ''),
+    ends AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT b FROM said),
+    parts AS (
+        SELECT url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+               regexp_replace(regexp_replace(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '') AS asked
+        FROM (SELECT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM ends) x),
+    edge AS (
+        SELECT a, b FROM said
+        UNION SELECT url, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/$', '') || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END
+        FROM parts WHERE regexp_replace(host, '^www\\.', '') <> ''),
+    walk AS (
+        SELECT a AS node, a AS seen FROM edge UNION SELECT b, b FROM edge
+        UNION SELECT w.node, CASE WHEN e.a = w.seen THEN e.b ELSE e.a END FROM walk w JOIN edge e ON e.a = w.seen OR e.b = w.seen),
+    class AS (SELECT node, min(seen) AS alias FROM walk GROUP BY node),
+    rules(action, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+    fit AS (
+        SELECT p.url, r.action, r.host || r.path AS rule,
+               row_number() OVER (PARTITION BY p.url ORDER BY length(r.host || r.path) DESC, r.action, r.host || r.path DESC) AS k
+        FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
+    ruled AS (SELECT url, action, rule FROM fit WHERE k = 1),
+    taint AS (SELECT alias FROM class JOIN ruled ON url = node GROUP BY alias HAVING bool_or(action = 'block') AND NOT bool_or(action = 'allow'))
+    SELECT page_id, coalesce(parts.host, '') AS host, coalesce(parts.path, '') AS path, rule,
+           coalesce(action, CASE WHEN taint.alias IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, coalesce(class.alias, pages.url) AS alias
+    FROM pages LEFT JOIN parts USING (url) LEFT JOIN ruled USING (url) LEFT JOIN class ON class.node = pages.url LEFT JOIN taint ON taint.alias = class.alias
+"""
+
+
+@query("op1_url_equivalence_filter", _CANON)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(url_filter.RULES, "action string, host string, path string"))
