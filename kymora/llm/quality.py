@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kymora.llm.common import RAW, held_out, label_sample, list_column, steps, stored, text_buffers, word_hashes, word_spans
+from kymora.llm.common import RAW, held_out, label_sample, list_column, steps, text_buffers, word_hashes, word_spans
 
 #: Hash rows that words share, length of a word vector, and non-zero places of an index vector.
 ROWS, WIDTH, PLACES = 1 << 14, 32, 4
@@ -17,6 +17,8 @@ ROWS, WIDTH, PLACES = 1 << 14, 32, 4
 REACH = 2
 #: Most labelled documents that the network is fitted on.
 SAMPLE = 20_000
+#: Features of a document: three pooled vectors and its length.
+FEATURES = 3 * WIDTH + 1
 #: A document is good from this probability on.
 CUT = 0.7
 
@@ -65,29 +67,35 @@ def word_table(vectors: DataFrame) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
 
 
-def pooled(docs: DataFrame, words) -> DataFrame:
-    """Per document (doc_id) its features: mean, mean square and mean neighbour product of word vectors, and length."""
+def pooled(column: pa.Array, words: np.ndarray) -> np.ndarray:
+    """Features of each text: mean, mean square and mean neighbour product of its word vectors, and its length."""
+    row, first = _rows_of(column)
+    n = np.diff(first)
+    v = words[row]
+    beside = np.zeros_like(v)
+    beside[:-1] = v[:-1] * v[1:]
+    beside[first[1:][n > 0] - 1] = 0
+    features = np.zeros((len(n), FEATURES), np.float32)
+    some = np.flatnonzero(n > 0)
+    if len(some):
+        for k, part in enumerate((v, v * v, beside)):
+            features[some, k * WIDTH : (k + 1) * WIDTH] = np.add.reduceat(part, first[:-1][some], axis=0) / n[some, None]
+    features[:, -1] = np.log1p(n)
+    return features
+
+
+def training_features(docs: DataFrame, wanted: DataFrame, words) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the wanted documents, by doc_id; of repeated ones the row with the smallest text counts."""
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            row, first = _rows_of(batch.column(1))
-            n = np.diff(first)
-            v = words.value[row]
-            doc = np.repeat(np.arange(len(n)), n)
-            beside = np.zeros_like(v)
-            beside[:-1] = v[:-1] * v[1:]
-            last = first[1:][n > 0] - 1
-            beside[last] = 0
-            features = np.zeros((len(n), 3 * WIDTH + 1), np.float32)
-            some = np.flatnonzero(n > 0)
-            if len(doc):
-                for k, part in enumerate((v, v * v, beside)):
-                    features[some, k * WIDTH : (k + 1) * WIDTH] = np.add.reduceat(part, first[:-1][some], axis=0) / n[some, None]
-            features[:, -1] = np.log1p(n)
-            bounds = np.arange(len(n) + 1) * features.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_column(features.ravel(), bounds, pa.float32())], names=["doc_id", "features"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pool, "doc_id long, features array<float>")
+            x = pooled(batch.column(2), words.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_column(x.ravel(), np.arange(len(x) + 1) * FEATURES, pa.float32())], names=["doc_id", "y", "features"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    table = rows.mapInArrow(pool, "doc_id long, y int, features array<float>").toArrow().sort_by("doc_id")
+    x = table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return np.array(x, dtype=float).reshape(-1, FEATURES), table.column("y").to_numpy().astype(float)
 
 
 class Network:
@@ -136,6 +144,24 @@ class Network:
         return self
 
 
+def fitted(docs: DataFrame, labels: DataFrame, modulus: int, rest: int, sample: int) -> Callable[[Column], Column]:
+    """Learn from ``docs`` and ``labels``; the probability of a text as a function of its column."""
+    spark = docs.sparkSession
+    words = spark.sparkContext.broadcast(word_table(context_vectors(docs)))
+    x, y = training_features(docs, label_sample(labels, "quality", modulus, rest, sample), words)
+    net = Network(FEATURES).fit(x, y)
+    if not len(y):
+        net.p[2][:] = 0
+
+    @F.arrow_udf("double")
+    def probability(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = [net.probability(pooled(b.column(0), words.value).astype(float)) for b in steps(iter([pa.RecordBatch.from_arrays([column], names=["text"])]))]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return probability
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, rest: int = 2, sample: int = SAMPLE) -> DataFrame:
     """Score every document: doc_id, held_out, score (probability that its quality label is 1), predicted.
 
@@ -144,28 +170,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, rest: i
     are scored by their length alone; without labels every score is 0.5 by the network's zero start.
     Repeated documents are scored each for itself, extra columns are ignored, no documents give no rows.
     """
-    spark = docs.sparkSession
-    words = spark.sparkContext.broadcast(word_table(context_vectors(docs)))
-    features = stored(pooled(docs, words))
-    wanted = label_sample(labels, "quality", modulus, rest, sample)
-    rows = features.join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "features").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    width = 3 * WIDTH + 1
-    x = np.array(rows.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, width)
-    y = rows.column("y").to_numpy().astype(float)
-    net = Network(width).fit(x, y)
-    if not len(y):
-        net.p[2][:] = 0
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.probability(x))], names=["doc_id", "score"])
-
-    scored = features.mapInArrow(score, "doc_id long, score double")
+    probability = fitted(docs, labels, modulus, rest, sample)
+    scored = docs.select(F.col("doc_id").cast("long"), probability(F.col("text").cast("string")).alias("score"))
     return scored.select("doc_id", held_out(modulus, rest).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not predicted to be bad; a doc_id with several texts goes by its best."""
-    best = quality_scores(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("good")).where("good = 0").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(best, docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 4, rest: int = 2, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is predicted to be good; a filter, without a shuffle of texts."""
+    return docs.where(fitted(docs, labels, modulus, rest, sample)(F.col("text").cast("string")) >= CUT)

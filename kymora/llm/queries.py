@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymora.llm import bit_sliced, decontaminate, hidden_markov, line_dedup, lsh_forest, packing, quality, toxicity, url_filter
+from kymora.llm import bit_sliced, decontaminate, hidden_markov, line_dedup, lsh_forest, packing, quality, rollups, toxicity, url_filter
+from kymora.llm.common import stored
+from kymora.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +158,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_token_count_rollup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert all documents under two tokenizer versions, count an end token more in one of them, delete
+    the later copies of texts from both, and commit the last batch again."""
+    counts = stored(rollups.token_counts(table(spark, sf_dir, "documents"), {"white_space-1": None, "word_bpe_49k-1": VOCABULARY}))
+    revised = F.when(F.col("tokenizer") == "word_bpe_49k-1", F.col("n_tokens") + 1).otherwise(F.col("n_tokens"))
+    rollup = rollups.Rollup(spark, f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("insert", rollups.inserts(counts))
+    now = counts.withColumn("revised", revised)
+    rollup.commit("revise", rollups.revisions(now.where("tokenizer = 'word_bpe_49k-1'"), "revised"))
+    gone = rollups.deletes(rollups.repeated_texts(now).withColumn("n_tokens", F.col("revised")))
+    rollup.commit("delete", gone)
+    rollup.commit("delete", gone)
+    return rollup.totals()
