@@ -6,20 +6,46 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kymora.llm import packing
-from kymora.llm.queries import VOCABULARY
+from kymora.llm import decontaminate, line_dedup, lsh_forest, packing, quality
+from kymora.llm.queries import VOCABULARY, table
 from kymora.session import checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier, learned from ``docs`` and the labels, rejects."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later repeated runs of lines; a document of which nothing is left stays, with an empty text."""
+    n_chars = F.when(F.col("deleted_bytes") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", n_chars).drop("deleted_bytes")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near-duplicates."""
+    return lsh_forest.keep_first(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold benchmark passages."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences."""
     return packing.pack_documents(docs, VOCABULARY)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", repeated_lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
 
