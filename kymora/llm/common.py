@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -15,11 +16,11 @@ from kymora.session import checkpoint_dir
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 3 << 20
 
-_RANDOM = np.random.default_rng(20240521)
-_BYTE_TERMS = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE_TERMS[0] = 0
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1, dtype=np.uint64)
+#: Bytes from which on a word is hashed whole.
+LONG_WORD = 64
+
+_SEED, _FACTOR = np.uint64(0x8BB84B93962EACC9), np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -79,42 +80,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1024), _BASE, np.uint64)]).cumprod(dtype=np.uint64)
-    return _POWERS
-
-
 def word_spans(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Folded bytes, starts and ends of words, and for each document the index of its first word (and one end)."""
     folded = table[data]
     inside = folded != 0
-    opens, closes = inside.copy(), inside.copy()
-    opens[1:] &= ~inside[:-1]
-    closes[:-1] &= ~inside[1:]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(data):
-        first = bounds[:-1][bounds[:-1] < len(data)]
-        last = bounds[1:][bounds[1:] > 0] - 1
-        opens[first] = inside[first]
-        closes[last] = inside[last]
-    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        # words that touch where one document ends and the next begins
+        seams = np.unique(bounds[(bounds > 0) & (bounds < len(data))])
+        seams = seams[inside[seams] & inside[seams - 1]]
+        edges = np.concatenate([[0] * int(inside[0]), edges, [len(data)] * int(inside[-1])]).astype(np.int64)
+        if len(seams):
+            edges = np.sort(np.concatenate([edges, seams, seams]))
+    starts, ends = edges[0::2], edges[1::2]
     return folded, starts, ends, np.searchsorted(starts, bounds)
 
 
 def word_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: a polynomial of its folded bytes, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    body = folded[starts[0] :]
-    spread = np.diff(starts, append=starts[0] + len(body))
-    place = np.arange(len(body)) - np.repeat(starts - starts[0], spread)
-    terms = _BYTE_TERMS[body]
-    beyond = place >= np.repeat(ends - starts, spread)
-    place[beyond] = 0
-    terms[beyond] = 0
-    terms *= powers(int((ends - starts).max()))[place]
-    return mix(np.add.reduceat(terms, starts - starts[0]))
+    """64-bit hash of each word's folded bytes, eight at a time; long words by BLAKE2."""
+    sizes = ends - starts
+    padded = np.append(folded, np.zeros(8, np.uint8))
+    eights = np.ndarray((len(padded) - 7,), np.dtype("<u8"), buffer=padded, strides=(1,))
+    out = mix(sizes.astype(np.uint64) + _SEED)
+    rows, at = np.flatnonzero(sizes <= LONG_WORD), 0
+    while len(rows):
+        left = np.minimum(sizes[rows] - at, 8)
+        out[rows] = mix((out[rows] ^ (eights[starts[rows] + at] & _MASKS[left])) * _FACTOR)
+        at += 8
+        rows = rows[sizes[rows] > at]
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(folded[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "<u8")[0]
+    return out
 
 
 def shingle_sets(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,25 +119,26 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.n
     A document with fewer words than ``size``, but not none, has one shingle of all its words.
     """
     n = np.diff(first)
-    total = np.zeros(len(hashes), np.uint64)
     factor = np.uint64(0xBF58476D1CE4E5B9)
-    live = np.ones(len(hashes), bool)
-    doc = np.repeat(np.arange(len(n)), n)
-    rest = np.repeat(first[1:], n) - np.arange(len(hashes))
-    for k in range(size):
-        add = np.zeros(len(hashes), np.uint64)
-        add[: len(hashes) - k] = hashes[k:] if k else hashes
-        total = np.where(rest > k, total * factor + add, total)
-        live &= (rest > k) | (np.repeat(n, n) < size)
-    at_start = np.arange(len(hashes)) == np.repeat(first[:-1], n)
-    live &= (np.repeat(n, n) >= size) | at_start
-    total, doc = mix(total[live]), doc[live]
-    order = np.lexsort((total, doc))
-    total, doc = total[order], doc[order]
-    fresh = np.ones(len(total), bool)
-    fresh[1:] = (total[1:] != total[:-1]) | (doc[1:] != doc[:-1])
-    total, doc = total[fresh], doc[fresh]
-    return total, np.searchsorted(doc, np.arange(len(n) + 1))
+    total = hashes.copy()
+    for k in range(1, size):
+        total *= factor
+        total[: max(0, len(hashes) - k)] += hashes[k:]
+    live = np.repeat(first[1:], n) - np.arange(len(hashes)) >= size
+    for d in np.flatnonzero((n > 0) & (n < size)).tolist():
+        live[first[d]] = True
+        whole = int(n[d])
+        for h in hashes[first[d] : first[d + 1]].tolist():
+            whole = (whole * int(factor) + h) % (1 << 64)
+        total[first[d]] = whole
+    values = mix(total[live])
+    cut = np.append(0, np.cumsum(np.where(n < size, n > 0, n - size + 1)))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        values[lo:hi].sort()
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[cut[:-1][cut[:-1] < len(values)]] = True
+    return values[fresh], np.append(0, np.cumsum(fresh))[cut]
 
 
 def list_column(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:

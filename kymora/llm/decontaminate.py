@@ -148,6 +148,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("print").alias("bad_print")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("bad_print"))
+    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("print").alias("__bad_print")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__bad_print"))
     return docs.join(bad, same, "left_anti")

@@ -44,7 +44,7 @@ def runs(column: pa.Array, words: int) -> dict[str, np.ndarray]:
     folded, starts, ends, first = word_spans(data, bounds, RAW)
     n = len(starts)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    lines = np.cumsum(data == 10)
+    lines = np.cumsum(data == 10, dtype=np.int32)
     fresh = np.ones(n, bool)
     if n:
         fresh[1:] = (doc[1:] != doc[:-1]) | (lines[starts[1:]] != lines[starts[:-1]]) | _BREAK[data[ends[:-1] - 1]]
@@ -58,12 +58,16 @@ def runs(column: pa.Array, words: int) -> dict[str, np.ndarray]:
         return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
 
     low, high = first[line_doc], first[line_doc + 1]
+    # the line of each word turns the search for a run's other end into a look-up
+    line_of = np.cumsum(fresh, dtype=np.int32) - 1
     i = np.flatnonzero(begin + words <= high)
-    forward = np.stack([i, np.searchsorted(end, begin[i] + words)], axis=1)
     j = np.flatnonzero(end - words >= low)
-    backward = np.stack([np.searchsorted(begin, end[j] - words, side="right") - 1, j], axis=1)
-    both = np.unique(np.concatenate([forward, backward]), axis=0) if len(begin) else np.zeros((0, 2), int)
-    i, j = both[:, 0], both[:, 1]
+    last, opening = line_of[begin[i] + words - 1].astype(np.int64), line_of[end[j] - words].astype(np.int64)
+    # a backward run that is also the forward run of its first line is left out
+    reach = np.full(len(begin), -1)
+    reach[i] = last
+    other = reach[opening] != j
+    i, j = np.append(i, opening[other]), np.append(last, j[other])
     rank = (hashes(begin, end) >> np.uint64(1)) | ((end - begin < SHORT).astype(np.uint64) << np.uint64(63))
     at = _leftmost_minimum(rank, i, j)
     next_byte = np.append(starts[begin], 0)
@@ -137,10 +141,10 @@ def kept_parts(ranges: DataFrame) -> DataFrame:
                     place[o] = b
             for o, at in enumerate(place):
                 out[o].append({"start": at, "size": (1 << 31) - 1})
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, parts), pa.array(gone, pa.int64())], names=["cut_id", "cut_print", "parts", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, parts), pa.array(gone, pa.int64())], names=["__cut_id", "__cut_print", "__parts", "__gone"])
 
     parts = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
-    return ranges.mapInArrow(complement, "cut_id long, cut_print long, parts array<struct<start: int, size: int>>, gone long")
+    return ranges.mapInArrow(complement, "__cut_id long, __cut_print long, __parts array<struct<start: int, size: int>>, __gone long")
 
 
 def dedup_lines(docs: DataFrame, words: int = RUN_WORDS) -> DataFrame:
@@ -154,11 +158,10 @@ def dedup_lines(docs: DataFrame, words: int = RUN_WORDS) -> DataFrame:
     Every run's window minimum is its fingerprint, so equal runs share it: only runs whose fingerprint
     stands at several places (those that pass a filter of fixed size) are joined on the hash of all
     their words, and earliest places win. Rows equal in doc_id and text count as one document. Null
-    and empty texts stay as they are, so do shorter texts; all other columns are kept.
+    and empty texts stay as they are, so do shorter texts; all other columns are kept (a column
+    ``deleted_bytes`` is replaced). No documents give no rows.
     """
     spark = docs.sparkSession
-    if "text" not in docs.columns:
-        raise ValueError("documents need a text column")
     whole = docs.withColumn("text", F.col("text").cast("string"))
     places = fingerprints(whole, words).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     repeated = spark.sparkContext.broadcast(bit_filter(places, FILTER_WORDS))
@@ -168,9 +171,10 @@ def dedup_lines(docs: DataFrame, words: int = RUN_WORDS) -> DataFrame:
     later = found.join(earliest, "run").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "print", "start", "end")
     ranges = later.groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     cut = kept_parts(ranges)
-    part = F.transform("parts", lambda p: F.expr("cast(text as binary)").substr(p["start"] + 1, p["size"]).cast("string"))
-    same = whole["doc_id"].cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64(whole["text"]) == F.col("cut_print"))
+    part = F.transform("__parts", lambda p: F.expr("cast(text as binary)").substr(p["start"] + 1, p["size"]).cast("string"))
+    same = whole["doc_id"].cast("long").eqNullSafe(F.col("__cut_id")) & (F.xxhash64(whole["text"]) == F.col("__cut_print"))
+    text = F.when(F.col("__parts").isNull(), whole["text"]).otherwise(F.array_join(part, "")).alias("text")
     return whole.join(cut, same, "left").select(
-        *[F.when(F.col("parts").isNull(), F.col("text")).otherwise(F.array_join(part, "")).alias("text") if c == "text" else whole[c] for c in docs.columns],
-        F.coalesce("gone", F.lit(0).cast("long")).alias("deleted_bytes"),
+        *[text if c == "text" else whole[f"`{c}`"] for c in docs.columns if c != "deleted_bytes"],
+        F.coalesce("__gone", F.lit(0).cast("long")).alias("deleted_bytes"),
     )

@@ -35,7 +35,7 @@ def sentences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     data, bounds = text_buffers(column)
     folded, starts, ends, first = word_spans(data, bounds, ALNUM)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    cuts = np.cumsum(_SENTENCE_END[data])[starts] if len(starts) else np.zeros(0, np.int64)
+    cuts = np.cumsum(_SENTENCE_END[data], dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int64)
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (cuts[1:] != cuts[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(fresh)
