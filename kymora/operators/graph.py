@@ -2,55 +2,90 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kymora.session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id in the component of each node.
 
-    ``nodes`` has ``node``, ``edges`` has ``a`` and ``b``.  Each round takes the
-    smallest label among neighbours and then the label of that label, so long chains
-    close in few rounds.  Rounds are stored, so a lost executor does not replay them.
+    ``nodes`` has ``node``, ``edges`` has ``a`` and ``b``.  In a round every node ties its
+    larger neighbours to the smallest one (large star), then its smaller ones (small star);
+    rounds go on until nothing changes, with about the square of the logarithm of the
+    longest path as their number.  Rounds are stored, so a lost executor does not replay them.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("label")).distinct())
-    for _ in range(max_rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("__m"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select(
-            "node", F.col("label").alias("__old"), F.least("label", "__m").alias("label")
-        )
-        jump = step.select(F.col("node").alias("__n"), F.col("label").alias("__up"))
-        step = step.join(jump, step["label"] == jump["__n"], "left").select("node", "__old", F.least("label", "__up").alias("label"))
-        step = cut_lineage(step)
-        labels = step.select("node", "label")
-        if step.filter(F.col("label") != F.col("__old")).isEmpty():
-            return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
-
-
-def greedy_select(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    ends = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    now, mark = cut_lineage(ends.distinct()), None
+    while True:
+        last, mark = mark, now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("h")).first()
+        if mark == last:
+            break
+        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut_lineage(both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        below = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        moved = large.join(below, "hi").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        now = cut_lineage(moved.union(below.select("hi", F.col("m").alias("lo"))).distinct())
+    roots = now.select(F.col("hi").alias("node"), F.col("lo").alias("__root"))
+    return nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("__root", "node").alias("label"))
+
+
+def _settle(rows: pa.Table) -> pa.Table:
+    """Decide the losers of one block as far as its edges allow; ``open`` marks winners that are not known to stay."""
+    winners, losers, undecided = (rows.column(c).to_pylist() for c in ("winner", "loser", "open"))
+    here = set(losers)
+    waits, beats = dict.fromkeys(here, 0), {}
+    kept: dict[str, bool] = {}
+    ready: deque[tuple[str, bool]] = deque()
+    for winner, loser, unsure in zip(winners, losers, undecided, strict=True):
+        waits[loser] += 1
+        beats.setdefault(winner, []).append(loser)
+        if not unsure:
+            ready.append((winner, True))
+    done = set()
+    while ready:
+        node, stays = ready.popleft()
+        if node in done:
+            continue
+        done.add(node)
+        if node in here:
+            kept[node] = stays
+        for loser in beats.get(node, ()):
+            waits[loser] -= 1
+            if stays:
+                ready.append((loser, False))
+            elif not waits[loser]:
+                ready.append((loser, True))
+    return pa.table({"node": pa.array(kept.keys(), pa.string()), "stays": pa.array(kept.values(), pa.bool_())})
+
+
+def greedy_select(nodes: DataFrame, edges: DataFrame, block=lambda node: F.pmod(F.xxhash64(node), F.lit(1024))) -> DataFrame:
     """Rows a greedy pass in priority order would keep.
 
     ``nodes`` has a ``node`` column; ``edges`` (``winner``, ``loser``) says that the loser
-    goes if the winner stays.  Instead of one pass over a sorted group, every round keeps
-    all nodes no open node can beat and drops those they beat, which gives the same rows.
+    goes if the winner stays.  A round settles every block of losers (``block`` maps a node to
+    its block) from the winners known to stay, along chains of any length inside the block;
+    what depends on other blocks waits for the next round.  Rounds go on until no edge is open, so
+    their number is that of the blocks a chain of decisions runs through: blocks should be near places.
     """
-    edges = cut_lineage(edges.distinct())
-    dropped = None
-    while not edges.isEmpty():
-        if max_rounds == 0:
-            raise RuntimeError("selection did not settle; raise max_rounds")
-        max_rounds -= 1
-        beaten = edges.select(F.col("loser").alias("node")).distinct()
-        sure = edges.select(F.col("winner").alias("node")).distinct().join(beaten, "node", "left_anti")
-        gone = edges.join(sure.withColumnRenamed("node", "winner"), "winner", "left_semi").select(F.col("loser").alias("node")).distinct()
-        gone = cut_lineage(gone)
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        for side in ("winner", "loser"):
-            edges = edges.join(gone.withColumnRenamed("node", side), side, "left_anti")
-        edges = cut_lineage(edges)
-    return nodes if dropped is None else nodes.join(dropped, "node", "left_anti")
+    name = lambda c: F.to_json(F.struct(F.col(c).alias("node")))
+    named = edges.select(name("winner").alias("winner"), name("loser").alias("loser"), block(F.col("loser")).alias("block"))
+    now = cut_lineage(named.distinct())
+    gone = None
+    while not now.isEmpty():
+        losers = now.select(F.col("loser").alias("winner"), F.lit(True).alias("open")).distinct()
+        flagged = now.join(losers, "winner", "left").select("winner", "loser", "block", F.coalesce("open", F.lit(False)).alias("open"))
+        decided = cut_lineage(flagged.groupBy("block").applyInArrow(_settle, "node string, stays boolean"))
+        dropped = decided.filter(~F.col("stays")).select("node")
+        gone = dropped if gone is None else cut_lineage(gone.union(dropped))
+        # an edge is closed once its loser is decided or its winner has gone
+        now = now.join(decided.select(F.col("node").alias("loser")), "loser", "left_anti")
+        now = cut_lineage(now.join(dropped.withColumnRenamed("node", "winner"), "winner", "left_anti"))
+    if gone is None:
+        return nodes
+    return nodes.withColumn("__name", name("node")).join(gone.select(F.col("node").alias("__name")), "__name", "left_anti").drop("__name")

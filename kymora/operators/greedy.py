@@ -56,44 +56,19 @@ def bright_spots(values: DataFrame, k: int = 3, distance: int = 10, percentile:
     return out.select(*FRAME, "spot", (-s["ny"]).alias("y"), (-s["nx"]).alias("x"))
 
 
-IMAGE_BOXES = 20_000
+#: Side of the block of cells that a round of suppression settles at once.
+CELLS = 64
 
 
-def box_nms(boxes: DataFrame, group: Sequence[str], box_id: str, score: str, threshold: float, limit: int = IMAGE_BOXES) -> DataFrame:
+def box_nms(boxes: DataFrame, group: Sequence[str], box_id: str, score: str, threshold: float, cells: int = CELLS) -> DataFrame:
     """Greedy suppression of boxes (x0, y0, x1, y1) by score; ties go to the smaller id.
 
-    Images with up to ``limit`` boxes are settled in one task each; larger ones in rounds
-    over pairs of near-equal boxes, so that no task holds them whole.
+    IoU over t forces sizes within a factor 1/t and centres within (1 - t) of the larger side, so
+    only boxes of a like size and place are compared.  Conflicts are settled in blocks of ``cells`` x
+    ``cells`` places of a size, and over blocks in rounds, so that no task holds an image whole.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
-    sizes = boxes.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    few = null_safe_join(boxes, sizes.filter(F.col("__n") <= limit).select(*group), list(group), "left_semi")
-    many = null_safe_join(boxes, sizes.filter(F.col("__n") > limit).select(*group), list(group), "left_semi")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, box_id], ascending=[False, True])
-        b = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        open_, keep = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if not open_[i]:
-                continue
-            keep.append(i)
-            j = np.flatnonzero(open_[i + 1 :]) + i + 1
-            iw = np.minimum(b[i, 2], b[j, 2]) - np.maximum(b[i, 0], b[j, 0])
-            ih = np.minimum(b[i, 3], b[j, 3]) - np.maximum(b[i, 1], b[j, 1])
-            both = np.maximum(iw, 0) * np.maximum(ih, 0)
-            open_[j[both > threshold * (area[i] + area[j] - both)]] = False
-        return pdf.iloc[keep]
-
-    done = few.groupBy(*group).applyInPandas(settle, boxes.schema)
-    return done.unionByName(_nms_in_rounds(many, group, box_id, score, threshold))
-
-
-def _nms_in_rounds(boxes: DataFrame, group: Sequence[str], box_id: str, score: str, threshold: float) -> DataFrame:
-    """IoU over t forces sizes within a factor 1/t and centres within (1 - t) of the larger
-    side, so only boxes of a like size and place are compared."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     base = 1.0 / threshold
     b = boxes.filter((w > 0) & (h > 0)).withColumns(
@@ -122,10 +97,19 @@ def _nms_in_rounds(boxes: DataFrame, group: Sequence[str], box_id: str, score: s
     areas = (A("x1") - A("x0")) * (A("y1") - A("y0")) + (B("x1") - B("x0")) * (B("y1") - B("y0"))
     near = iw * ih > threshold * (areas - iw * ih)
     first = (A(score) > B(score)) | ((A(score) == B(score)) & (A(box_id) < B(box_id)))
-    node = lambda i: F.struct(*[F.col(g) for g in group], F.col(i).alias("id"))
-    na, nb = node(f"__a_{box_id}"), node(f"__b_{box_id}")
+
+    def node(side: str) -> Column:
+        c = lambda n: F.col(f"{side}{n}")
+        span = F.greatest(c("x1") - c("x0"), c("y1") - c("y0")).cast("double")
+        level = F.floor(F.log(span) / math.log(base))
+        reach = F.lit(float(cells)) * F.pow(F.lit(base), level + 1)
+        tile = [F.floor((c(f"{a}0") + c(f"{a}1")) / 2 / reach).alias(f"tile_{a}") for a in "yx"]
+        return F.struct(*[F.col(g) for g in group], c(box_id).alias("id"), F.coalesce(level, F.lit(0).cast("long")).alias("level"), *tile)
+
+    na, nb = node("__a_"), node("__b_")
     edges = p.filter(near).select(F.when(first, na).otherwise(nb).alias("winner"), F.when(first, nb).otherwise(na).alias("loser"))
-    return greedy_select(boxes.withColumn("node", node(box_id)), edges).drop("node")
+    place = lambda n: F.xxhash64(*[n[g] for g in group], n["level"], n["tile_y"], n["tile_x"])
+    return greedy_select(boxes.withColumn("node", node("")), edges, place).drop("node")
 
 
 def overlap_groups(px: DataFrame) -> DataFrame:

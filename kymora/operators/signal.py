@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kymora.functions.curves import local_maxima
-from kymora.operators.graph import greedy_select
-from kymora.operators.ordered import attach_stats, neighbour_columns, null_safe_join, run_ids, running_total, with_row_index
+from kymora.operators.ordered import attach_stats, neighbour_columns, null_safe_join, run_ids
+from kymora.session import cut_lineage
 
 DOUBLES = T.ArrayType(T.DoubleType())
 BLOCK = 1024
@@ -299,52 +299,50 @@ def with_prominence(peaks: DataFrame, df: DataFrame, keys: Sequence[str], index:
     return p.withColumn("prominence", F.col("height") - base).drop("block", "__left", "__right")
 
 
-CLUSTER = 4096
+#: Places of a block in which peaks are settled together, in distances.
+SPACED = 4096
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _keep_spaced(pos: pd.Series, height: pd.Series, distance: pd.Series) -> pd.Series:
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _settle_spaced(pos: pd.Series, height: pd.Series, state: pd.Series, own: pd.Series, distance: pd.Series) -> pd.Series:
+    """State of each peak (1 stays, -1 goes, 0 open), from the highest down; an own peak beside a higher open one stays open."""
     out = []
-    for p, h, d in zip(pos, height, distance):
-        p, h = np.asarray(p), np.asarray(h, float)
-        open_, keep = np.ones(len(p), bool), np.zeros(len(p), bool)
+    for p, h, s, mine, d in zip(pos, height, state, own, distance):
+        p, h, s = np.asarray(p), np.asarray(h, float), np.array(s, int)
+        seen = np.zeros(len(p), bool)
         for i in np.lexsort((-p, -h)):
-            if open_[i]:
-                keep[i] = True
-                open_[np.searchsorted(p, p[i] - d, "right") : np.searchsorted(p, p[i] + d, "left")] = False
-        out.append(keep)
+            if s[i] == 0 and mine[i]:
+                near = slice(np.searchsorted(p, p[i] - d, "right"), np.searchsorted(p, p[i] + d, "left"))
+                higher = s[near][seen[near]]
+                s[i] = -1 if (s[near] == 1).any() else 0 if (higher == 0).any() else 1
+            seen[i] = True
+        out.append(s)
     return pd.Series(out)
 
 
-def spaced_peaks(peaks: DataFrame, keys: Sequence[str], index: str, distance: int, limit: int = CLUSTER) -> DataFrame:
-    """Keep the highest peaks such that none lies nearer than ``distance`` to a kept one.
+def spaced_peaks(peaks: DataFrame, keys: Sequence[str], index: str, distance: int, block: int = SPACED) -> DataFrame:
+    """Keep the highest peaks such that none lies nearer than ``distance`` to a kept one; of equal ones the later.
 
-    Peaks fall into clusters between gaps of at least ``distance``, which do not touch
-    each other.  Clusters of up to ``limit`` peaks are settled at once; longer ones in
-    rounds over pairs of near peaks.
+    Blocks of ``block`` distances are settled at once, with the peaks just outside as far as they are
+    decided.  A peak that depends on an open one of another block waits for the next round; rounds
+    are as many as the blocks that a rising stretch runs through, whatever its length.
     """
-    p = with_row_index(peaks, keys, [index], F.floor(F.col(index) / CLUSTER), "__k")
-    p = neighbour_columns(p, keys, "__k", 1, {"__g": lambda w: F.when(F.col(index) - F.lag(index).over(w) < distance, 0).otherwise(1)})
-    p = running_total(p, keys, ["__k"], F.floor(F.col("__k") / CLUSTER), F.col("__g"), "__cl").drop("__k", "__g")
-    sizes = p.groupBy(*keys, "__cl").agg(F.count(F.lit(1)).alias("__n"))
-    p = null_safe_join(p, sizes, [*keys, "__cl"])
+    width = block * max(1, distance)
     cols = [*keys, index, "height"]
-    g = p.filter(F.col("__n") <= limit).groupBy(*keys, "__cl").agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col("height").alias("h")))).alias("r"))
-    flags = _keep_spaced(F.transform("r", lambda r: r["i"]), F.transform("r", lambda r: r["h"].cast("double")), F.lit(distance))
-    near = g.select(*keys, F.explode(F.arrays_zip("r", flags.alias("k"))).alias("z")).filter("z.k")
-    near = near.select(*keys, F.col("z.r.i").alias(index), F.col("z.r.h").alias("height"))
-    return near.unionByName(_spaced_in_rounds(p.filter(F.col("__n") > limit).select(*cols), keys, index, distance))
-
-
-def _spaced_in_rounds(peaks: DataFrame, keys: Sequence[str], index: str, distance: int) -> DataFrame:
-    cell = F.floor(F.col(index) / distance)
-    a = peaks.select(*keys, F.col(index).alias("__i"), F.col("height").alias("__h"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("__c"))
-    b = peaks.select(*keys, F.col(index).alias("__j"), F.col("height").alias("__g"), cell.alias("__c"))
-    near = null_safe_join(a, b, [*keys, "__c"], "inner").filter(F.abs(F.col("__i") - F.col("__j")) < distance)
-    wins = (F.col("__h") > F.col("__g")) | ((F.col("__h") == F.col("__g")) & (F.col("__i") > F.col("__j")))
-    node = lambda c: F.struct(*[F.col(k) for k in keys], F.col(c).alias("i"))
-    edges = near.filter(wins).select(node("__i").alias("winner"), node("__j").alias("loser"))
-    return greedy_select(peaks.withColumn("node", node(index)), edges).drop("node")
+    now = peaks.select(*cols, F.lit(0).alias("__s"))
+    i = F.col(index)
+    home = F.floor(i / width)
+    while True:
+        near = F.array_distinct(F.array(home, F.floor((i - distance) / width), F.floor((i + distance) / width)))
+        dealt = now.withColumn("__b", F.explode(near))
+        row = F.struct(i.alias("i"), F.col("height").alias("h"), F.col("__s").alias("s"), (home == F.col("__b")).alias("own"))
+        g = dealt.groupBy(*keys, "__b").agg(F.array_sort(F.collect_list(row)).alias("r"))
+        part = lambda c: F.transform("r", lambda x: x[c])
+        state = _settle_spaced(part("i"), F.transform("r", lambda x: x["h"].cast("double")), part("s"), part("own"), F.lit(distance))
+        z = g.select(*keys, F.explode(F.arrays_zip("r", state.alias("k"))).alias("z")).filter("z.r.own")
+        now = cut_lineage(z.select(*keys, F.col("z.r.i").alias(index), F.col("z.r.h").alias("height"), F.col("z.k").alias("__s")))
+        if now.filter("__s = 0").isEmpty():
+            return now.filter("__s = 1").select(*cols)
 
 
 def head_bends(df: DataFrame, keys: Sequence[str], index: str, value: str, fps: float, distance: int = 8) -> DataFrame:

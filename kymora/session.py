@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +27,19 @@ def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a fresh one only if unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Only a session on this machine alone may do without: it gets a temporary folder, removed at exit.
+    """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kymora-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+            folder = tempfile.mkdtemp(prefix="kymora-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -26,9 +26,9 @@ def write_new(df: DataFrame, path: str, fmt: str = "parquet", **options) -> str:
 def wide_measurements(df: DataFrame, keys: Sequence[str], object_id: str, objects: Sequence[int]) -> DataFrame:
     """Per-frame wide rows: frame, background, raw means, corrected means, pixel counts."""
     wide = df.groupBy(*keys, "background").pivot(object_id, list(objects)).agg(
-        F.first("mean").alias("mean"),
-        F.first("bg_corrected").alias("bg_corrected"),
-        F.first("pixel_count").alias("pixel_count"),
+        F.min("mean").alias("mean"),
+        F.min("bg_corrected").alias("bg_corrected"),
+        F.min("pixel_count").alias("pixel_count"),
     )
     return wide.select(
         *keys,
