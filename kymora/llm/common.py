@@ -152,6 +152,16 @@ def held_out(modulus: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
 
 
+def hash_sample(df: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """At most ``limit`` rows in the order of their keys' hash; the rows come to one task only after a cut at twice as many."""
+    from pyspark.sql import functions as F
+
+    share = 2 * limit / max(1, df.count())
+    spread = F.xxhash64(*keys)
+    near = df if share >= 1 else df.where(F.pmod(spread, F.lit(1 << 20)) < max(1, round(share * (1 << 20))))
+    return near.orderBy(spread, *keys).limit(limit)
+
+
 def label_sample(labels: DataFrame, column: str, modulus: int, rest: int, limit: int) -> DataFrame:
     """At most ``limit`` labelled documents that may be learned from, as doc_id and y (0 or 1), in hash order.
 
@@ -160,8 +170,7 @@ def label_sample(labels: DataFrame, column: str, modulus: int, rest: int, limit:
     from pyspark.sql import functions as F
 
     clean = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(modulus, rest))
-    one = clean.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("y"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return hash_sample(clean.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("y")), limit, "doc_id")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymora.llm.common import fold_table, held_out, list_column, steps, stored, text_buffers, word_hashes, word_spans
+from kymora.llm.common import fold_table, hash_sample, held_out, list_column, steps, stored, text_buffers, word_hashes, word_spans
 
 #: Latent states, and rounds of Baum-Welch over all training documents.
 STATES, ROUNDS = 8, 4
@@ -79,7 +79,12 @@ class Symbols:
 
 def symbols(counts: DataFrame, head: int = HEAD) -> Symbols:
     """The ``head`` most frequent words go to the driver, the others stay in ``counts`` and are summed by class."""
-    top = counts.where(F.col("key") != END).orderBy(F.desc("n"), "key").limit(head).select("key", "n").toArrow()
+    word, size = F.col("key") != END, F.floor(F.log2("n") * 8)
+    # only words near the border and above it are sorted: their sizes are counted in bins of 9 %
+    bins = sorted(((r["size"], r["count"]) for r in counts.where(word).groupBy(size.alias("size")).count().collect()), reverse=True)
+    above = np.cumsum([0] + [n for _, n in bins])
+    lowest = bins[min(int(np.searchsorted(above, head)), len(bins)) - 1][0] if bins else 0
+    top = counts.where(word & (size >= lowest)).orderBy(F.desc("n"), "key").limit(head).select("key", "n").toArrow()
     key, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(np.int64)
     ends = counts.where(F.col("key") == END).agg(F.sum("n")).first()[0] or 0
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -199,7 +204,7 @@ def baum_welch(sequences: DataFrame, known: Symbols, states: int = STATES, round
     """Rounds of Baum-Welch over all ``sequences``: each task sums its expected counts, Spark adds the tasks' by symbol."""
     spark = sequences.sparkSession
     base = known.mass / known.mass.sum()
-    few = sequences.orderBy(F.xxhash64("doc_id"), "uid").limit(START_DOCS).select(F.substring("symbols", 1, 8 * SEGMENT).alias("symbols")).toArrow()
+    few = hash_sample(sequences.select("uid", F.substring("symbols", 1, 8 * SEGMENT).alias("symbols")), START_DOCS, "uid").toArrow()
     chain = first_chain(segments(few.column("symbols")), base, states)
     names = [f"e{k}" for k in range(states)]
     schema = "row int, " + ", ".join(f"{n} double" for n in names)
