@@ -32,11 +32,12 @@ def a21(spark, d):
     return out.orderBy(F.desc("count"), "gene")
 
 
-SC = f"""{DE}, v AS (SELECT *, sqrt(lfc * lfc + log10(pvalue) ** 2) AS distance FROM de WHERE pvalue > 0), z AS (SELECT *, (distance - avg(distance) OVER w) / stddev_samp(distance) OVER w AS z FROM v WINDOW w AS (PARTITION BY comparison_condition, reference_condition))"""
+SC = f"""{DE}, v AS (SELECT *, sqrt(lfc * lfc + log10(greatest(pvalue, 1e-300)) ** 2) AS distance FROM de), z AS (SELECT *, (distance - avg(distance) OVER w) / stddev_samp(distance) OVER w AS z FROM v WINDOW w AS (PARTITION BY comparison_condition, reference_condition))"""
 
 
 def _scored(spark, d):
-    return GE.scored_results(I.gene_results(spark, d).filter("pvalue > 0"), ["comparison_condition", "reference_condition"], "lfc", "pvalue")
+    r = I.gene_results(spark, d).withColumn("pvalue", F.greatest("pvalue", F.lit(1e-300)))  # p = 0 is far, but finite
+    return GE.scored_results(r, ["comparison_condition", "reference_condition"], "lfc", "pvalue")
 
 
 @query("a22_z_summary", f"{SC} SELECT comparison_condition, reference_condition, round(min(z), 6) AS min, round(max(z), 6) AS max, round(avg(z), 6) + 0.0 AS mean, round(quantile_cont(z, 0.5), 6) AS median, count(*) FILTER (abs(z) > 2.5) AS n_extreme FROM z GROUP BY 1, 2")

@@ -37,8 +37,7 @@ def j23(spark, d):
 
 @query("j23_solid_masks", None)
 def j23b(spark, d):
-    px = I.mask_pixels(spark, d).filter("object_id = 4")
-    return rounded(GR.solid_masks(I.mask_index(spark, d).filter("object_id = 4"), px))
+    return rounded(GR.solid_masks(I.mask_index(spark, d), I.mask_pixels(spark, d)))
 
 
 @query("o5_spot_candidates", f"WITH {I.PIXELS_SQL}, t AS (SELECT video_id, frame, quantile_cont(intensity, 0.85) AS t FROM frame_pixels GROUP BY 1, 2) SELECT p.video_id, p.frame::BIGINT AS frame, CAST(p.y AS BIGINT) AS y, CAST(p.x AS BIGINT) AS x FROM frame_pixels p JOIN t USING (video_id, frame) WHERE intensity >= t AND NOT EXISTS (SELECT 1 FROM frame_pixels q WHERE q.video_id = p.video_id AND q.frame = p.frame AND q.y - p.y BETWEEN -2 AND 1 AND q.x - p.x BETWEEN -2 AND 1 AND q.intensity > p.intensity)")

@@ -71,6 +71,20 @@ def w5b(spark, d):
     return rounded(out.select("subject", "frame", "angle_smooth"))
 
 
+GRAM = """poly AS (SELECT t::DOUBLE AS t, 1.0 AS p0, t::DOUBLE AS p1, t * t - 10.0 AS p2, t * t * t - 17.8 * t AS p3 FROM range(-5, 6) r(t)),
+  hat AS (SELECT a.t, b.t AS s, a.p0 * b.p0 / n0 + a.p1 * b.p1 / n1 + a.p2 * b.p2 / n2 + a.p3 * b.p3 / n3 AS w
+    FROM poly a, poly b, (SELECT sum(p0 * p0) AS n0, sum(p1 * p1) AS n1, sum(p2 * p2) AS n2, sum(p3 * p3) AS n3 FROM poly) z)"""
+
+
+@query("w5_polynomial_smooth", f"""{SER}, {GRAM}, c AS (SELECT subject, frame, n, greatest(5, least(frame, n - 6)) AS mid FROM n WHERE n >= 11)
+  SELECT c.subject, c.frame, round(sum(w * b.angle), 6) AS angle_smooth FROM c JOIN series b ON b.subject = c.subject AND abs(b.frame - c.mid) <= 5
+    JOIN hat ON hat.t = c.frame - c.mid AND hat.s = b.frame - c.mid GROUP BY 1, 2""")
+def w5c(spark, d):
+    """Inner points and ends of all series of at least one window."""
+    s = W.with_size(I.series(spark, d), KEY).filter(F.col(W.SIZE) >= 11).drop(W.SIZE)
+    return rounded(W.polynomial_smooth(s, KEY, "frame", ["angle"]).select("subject", "frame", "angle_smooth"))
+
+
 @query("w6_gradient", f"""{SER}, g AS (SELECT subject, frame, angle, lag(angle) OVER w AS p, lead(angle) OVER w AS q FROM n WINDOW w AS (PARTITION BY subject ORDER BY frame))
   SELECT subject, frame, round(10 * CASE WHEN p IS NULL THEN q - angle WHEN q IS NULL THEN angle - p ELSE (q - p) / 2 END, 6) AS velocity FROM g""")
 def w6(spark, d):
@@ -94,7 +108,7 @@ def w11(spark, d):
 FAIL = "value < 12"
 
 
-@query("w12_fill_failed_frames", f"""{SER}, e AS (SELECT subject, frame, CASE WHEN {FAIL} THEN 0 ELSE angle END AS a, CASE WHEN {FAIL} THEN 0.0 ELSE value / 170 END AS b, {FAIL} AS bad FROM n WHERE frame % 5 <> 3),
+@query("w12_fill_failed_frames", f"""{SER}, e AS (SELECT subject, frame, CASE WHEN {FAIL} THEN 0 ELSE angle END AS a, CASE WHEN {FAIL} THEN 0.0 ELSE value / 170 END AS b, {FAIL} AS bad FROM (SELECT * REPLACE (frame + frame // 4 AS frame) FROM n) x),
   g AS (SELECT *, last_value(CASE WHEN NOT bad THEN {{'f': frame, 'a': a, 'b': b}} END IGNORE NULLS) OVER (PARTITION BY subject ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
     first_value(CASE WHEN NOT bad THEN {{'f': frame, 'a': a, 'b': b}} END IGNORE NULLS) OVER (PARTITION BY subject ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM e),
   x AS (SELECT *, CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN p.a * (1 - (frame - p.f) / (q.f - p.f)) + q.a * (frame - p.f) / (q.f - p.f) WHEN p IS NOT NULL THEN p.a * 0.9 ** (frame - p.f) WHEN q IS NOT NULL THEN q.a * 0.9 ** (q.f - frame) ELSE 0 END AS na,
@@ -103,8 +117,8 @@ FAIL = "value < 12"
     CASE WHEN NOT bad THEN NULL WHEN p IS NOT NULL AND q IS NOT NULL THEN 'Interpolated between frames ' || p.f || ' and ' || q.f WHEN p IS NOT NULL THEN 'Decayed from previous frame ' || p.f WHEN q IS NOT NULL THEN 'Decayed from next frame ' || q.f ELSE 'No valid frames available for interpolation' END AS error FROM x""")
 def w12(spark, d):
     bad = F.col("value") < 12
-    s = I.series(spark, d).filter(F.col("frame") % 5 != 3).select(
-        "subject", "frame", F.when(bad, 0.0).otherwise(F.col("angle")).alias("angle_degrees"),
+    s = I.series(spark, d).select(
+        "subject", (F.col("frame") + F.floor(F.col("frame") / 4)).alias("frame"), F.when(bad, 0.0).otherwise(F.col("angle")).alias("angle_degrees"),
         F.when(bad, 0.0).otherwise(F.col("value") / 170).alias("bend_location"), F.when(bad, F.lit("Empty skeleton")).alias("error"),
     )
     return rounded(W.fill_failed_frames(s, KEY, "frame", ["angle_degrees", "bend_location"]))

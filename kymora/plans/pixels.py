@@ -76,22 +76,21 @@ def _rank():
     return (F.col("y") * 7919 + F.col("x") * 104729) % 10007
 
 
-BG = f"""m4 AS (SELECT * FROM mask_pixels WHERE object_id = 4),
-  bg AS (SELECT * FROM frame_pixels p WHERE NOT EXISTS (SELECT 1 FROM m4 WHERE m4.video_id = p.video_id AND m4.frame = p.frame AND (m4.y - p.y) ** 2 + (m4.x - p.x) ** 2 < 4)),
+BG = f"""m4 AS (SELECT * FROM mask_pixels),
+  bg AS (SELECT * FROM frame_pixels p WHERE NOT EXISTS (SELECT 1 FROM m4 WHERE m4.video_id = p.video_id AND m4.frame = p.frame AND (m4.y - p.y) ** 2 + (m4.x - p.x) ** 2 < 1.44)),
   lvl AS (SELECT video_id, frame, avg(intensity) AS b FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY {RANK_SQL}, y, x) AS rn FROM bg) WHERE rn <= 5 GROUP BY 1, 2)"""
 
 
 @query("a28_background_level", f"{WITH}, {BG} SELECT video_id, frame::BIGINT AS frame, round(b, 6) AS background_intensity FROM lvl")
 def a28(spark, d):
-    px = I.mask_pixels(spark, d).filter("object_id = 4")
-    return rounded(M.background_level(I.mask_index(spark, d), px, I.frame_pixels(spark, d), ["intensity"], 2.0, 5, _rank()))
+    return rounded(M.background_level(I.mask_index(spark, d), I.mask_pixels(spark, d), I.frame_pixels(spark, d), ["intensity"], 1.2, 5, _rank()))
 
 
 @query("a29_background_corrected", f"""{WITH}, {BG}, s AS (SELECT {MKG}, avg(intensity) AS m, count(*) AS n FROM mask_pixels JOIN frame_pixels USING (video_id, frame, y, x) GROUP BY ALL)
   SELECT i.video_id, i.frame::BIGINT AS frame, i.object_id::BIGINT AS object_id, round(m - b, 6) AS mean_bg_corrected, coalesce(n, 0) AS pixel_count FROM mask_index i LEFT JOIN s USING ({MKG}) LEFT JOIN lvl USING (video_id, frame)""")
 def a29(spark, d):
     px, index, values = I.mask_pixels(spark, d), I.mask_index(spark, d), I.frame_pixels(spark, d)
-    bg = M.background_level(index, px.filter("object_id = 4"), values, ["intensity"], 2.0, 5, _rank())
+    bg = M.background_level(index, px, values, ["intensity"], 1.2, 5, _rank())
     out = M.background_corrected(M.intensity_stats(index, px, values), bg)
     return rounded(out.select(*M.MASK, "mean_bg_corrected", "pixel_count"))
 
@@ -238,11 +237,11 @@ def a32(spark, d):
     return rounded(M.problem_summary(index, problems))
 
 
-@query("a33_missing_and_empty", f"""{WITH}, ix AS (SELECT * FROM mask_index WHERE NOT (object_id = 3 AND frame % 5 = 1)), a AS (SELECT {MKG}, count(*) AS area FROM mask_pixels GROUP BY ALL)
+@query("a33_missing_and_empty", f"""{WITH}, ix AS (SELECT * REPLACE (CASE WHEN object_id = 3 AND frame % 5 = 1 THEN 13 ELSE object_id END AS object_id) FROM mask_index), a AS (SELECT {MKG}, count(*) AS area FROM mask_pixels GROUP BY ALL)
   SELECT w.video_id, w.frame::BIGINT AS frame, w.object_id::BIGINT AS object_id, CASE WHEN ix.height IS NULL THEN 'missing' ELSE 'empty' END AS state FROM mask_index w LEFT JOIN ix USING ({MKG}) LEFT JOIN a USING ({MKG}) WHERE ix.height IS NULL OR a.area IS NULL""")
 def a33(spark, d):
     index = I.mask_index(spark, d)
-    part = index.filter(~((F.col("object_id") == 3) & (F.col("frame") % 5 == 1)))
+    part = index.withColumn("object_id", F.when((F.col("object_id") == 3) & (F.col("frame") % 5 == 1), 13).otherwise(F.col("object_id")))
     return rounded(M.missing_and_empty(index.select(*M.FRAME).distinct(), part, I.mask_pixels(spark, d), [2, 3, 4]))
 
 

@@ -165,6 +165,13 @@ def s9(spark, d):
     return rounded(RD.flatten_record(recs, ["id", "label"], ["lengths", "psd", "f"]))
 
 
+@query("s9_whole_record_folder", REC_SQL)
+def s9b(spark, d):
+    """All folders."""
+    path = WR.write_new(_records(spark, d), WR.shared_folder(spark, "records"))
+    return rounded(RD.flatten_record(RD.first_folders(spark.read.parquet(path), "folder"), ["id", "label"], ["lengths", "psd", "f"]))
+
+
 @query(
     "s10_summary_rows",
     "SELECT l_orderkey AS img_id, l_linenumber::BIGINT AS worm_id, l_quantity AS worm_area_px, l_tax AS radius FROM lineitem",
@@ -826,12 +833,17 @@ def f9(spark, d):
 # ---------------------------------------------------------------- joins
 
 
+def _apart(same, frame="frame"):
+    """The frame where ``same`` holds, else one that no other row has, so that all rows enter the join."""
+    return F.when(same, F.col(frame)).otherwise(-1 - F.col(frame)).alias(frame)
+
+
 def _three(spark, d):
     ev = table(spark, d, "events")
     k = F.when(F.col("event_id") % 11 == 0, None).otherwise(F.col("user_id"))
     base = ev.select(k.alias("worm"), F.col("event_id").alias("frame"), "value")
-    other = base.filter(F.col("frame") % 3 == 0).select("worm", "frame", (F.col("value") * 2).alias("fiji"))
-    third = base.filter(F.col("frame") % 2 == 0).select("worm", "frame", (F.col("value") + 1).alias("sam"))
+    other = base.select("worm", _apart(F.col("frame") % 3 == 0), (F.col("value") * 2).alias("fiji"))
+    third = base.select("worm", _apart(F.col("frame") % 2 == 0), (F.col("value") + 1).alias("sam"))
     return base, other, third
 
 
@@ -850,14 +862,13 @@ def j1(spark, d):
 @query(
     "j2_full_join_suffixes",
     """SELECT coalesce(a.frame, b.frame) AS frame, a.v AS mean_sam_data, b.v AS mean_fiji_data FROM
-       (SELECT event_id AS frame, value AS v FROM events WHERE event_id % 3 <> 0) a FULL JOIN
-       (SELECT event_id AS frame, value * 2 AS v FROM events WHERE event_id % 2 = 0) b ON a.frame = b.frame""",
+       (SELECT event_id AS frame, value AS v FROM events) a FULL JOIN
+       (SELECT CASE WHEN event_id % 2 = 0 THEN event_id ELSE -1 - event_id END AS frame, value * 2 AS v FROM events) b ON a.frame = b.frame""",
 )
 def j2(spark, d):
     ev = table(spark, d, "events").select(F.col("event_id").alias("frame"), F.col("value").alias("mean"))
-    a = ev.filter(F.col("frame") % 3 != 0)
-    b = ev.filter(F.col("frame") % 2 == 0).withColumn("mean", F.col("mean") * 2)
-    return J.suffix_join(a, b, ["frame"], ("_sam_data", "_fiji_data"))
+    b = ev.select(_apart(F.col("frame") % 2 == 0), (F.col("mean") * 2).alias("mean"))
+    return J.suffix_join(ev, b, ["frame"], ("_sam_data", "_fiji_data"))
 
 
 @query(
@@ -866,7 +877,7 @@ def j2(spark, d):
 )
 def j3(spark, d):
     ev = table(spark, d, "events").select(F.col("event_id").alias("frame"), "user_id", F.col("value").alias("angle"))
-    new = ev.filter(F.col("frame") % 2 == 0).select("frame", (-F.col("angle")).alias("angle"))
+    new = ev.select(_apart(F.col("frame") % 2 == 0), (-F.col("angle")).alias("angle"))
     return J.overwrite_join(ev, new, ["frame"])
 
 
@@ -882,16 +893,15 @@ def j4(spark, d):
 
 @query(
     "j5_paired_join",
-    """WITH a AS (SELECT user_id, event_id, value FROM events WHERE event_type = 'click'),
-       b AS (SELECT user_id, event_id, value * 3 AS angle FROM events WHERE user_id % 2 = 0 AND event_id % 5 <> 0)
+    """WITH a AS (SELECT user_id, event_id, value FROM events),
+       b AS (SELECT CASE WHEN user_id % 2 = 0 THEN user_id ELSE -1 - user_id END AS user_id, CASE WHEN event_id % 5 <> 0 THEN event_id ELSE -1 - event_id END AS event_id, value * 3 AS angle FROM events)
        SELECT a.user_id AS core_name, a.event_id AS frame, a.value, b.angle FROM a LEFT JOIN b ON a.user_id = b.user_id AND a.event_id = b.event_id
        WHERE a.user_id IN (SELECT user_id FROM b)""",
 )
 def j5(spark, d):
-    ev = table(spark, d, "events").select(F.col("user_id").alias("core_name"), F.col("event_id").alias("frame"), "event_type", "value")
-    a = ev.filter("event_type = 'click'").drop("event_type")
-    b = ev.filter("core_name % 2 = 0 AND frame % 5 <> 0").withColumn("angle", F.col("value") * 3)
-    return J.paired_join(a, b, "core_name", "frame", ["angle"])
+    ev = table(spark, d, "events").select(F.col("user_id").alias("core_name"), F.col("event_id").alias("frame"), "value")
+    b = ev.select(_apart(F.col("core_name") % 2 == 0, "core_name"), _apart(F.col("frame") % 5 != 0), (F.col("value") * 3).alias("angle"))
+    return J.paired_join(ev, b, "core_name", "frame", ["angle"])
 
 
 @query(

@@ -100,8 +100,10 @@ def flatten_record(df: DataFrame, scalars: Sequence[str], arrays: Sequence[str],
     )
 
 
-def first_folders(df: DataFrame, folder: str, max_files: int) -> DataFrame:
-    """Rows of the first ``max_files`` records by name."""
+def first_folders(df: DataFrame, folder: str, max_files: int | None = None) -> DataFrame:
+    """Rows of the first ``max_files`` records by name, or of all."""
+    if max_files is None:
+        return df
     names = df.select(folder).distinct().orderBy(folder).limit(max_files)
     return null_safe_join(df, names, [folder], "left_semi")
 
