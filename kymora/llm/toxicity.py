@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymora.llm.common import ALNUM, held_out, label_sample, list_column, mix, steps, text_buffers, word_hashes, word_spans
+from kymora.llm.common import ALNUM, held_out, label_sample, list_column, mix, steps, stored, text_buffers, word_hashes, word_spans
 
 #: Hashed word features.
 FEATURES = 1 << 18
@@ -46,21 +46,49 @@ def sentences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return feature, 2 * begin, 2 * end, owner, starts[begin] - bounds[owner], ends[end - 1] - bounds[owner]
 
 
-def training_bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Label, word features and sentence offsets of the labelled documents."""
+def _labelled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "text")
+
+
+def feature_counts(docs: DataFrame, wanted: DataFrame) -> np.ndarray:
+    """Number of labelled documents with label 0 and 1 (rows) that hold each feature; last column: of all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            feature, begin, _, owner, _, _ = sentences(batch.column(2))
+            words = np.append(begin, len(feature))[np.searchsorted(owner, np.arange(batch.num_rows + 1))]
+            y = batch.column(1).to_numpy()
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(words))
+            held = np.unique(doc * FEATURES + feature)
+            code = np.append((held % FEATURES) * 2 + y[held // FEATURES], 2 * FEATURES + y)
+            code, n = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], names=["code", "n"])
+
+    summed = _labelled(docs, wanted).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * FEATURES + 2)
+    out[summed.column("code").to_numpy()] = summed.column("n").to_numpy()
+    return out.reshape(-1, 2).T
+
+
+def training_bags(docs: DataFrame, wanted: DataFrame, usable) -> DataFrame:
+    """Label and, of the sentences that hold usable features, these features and their number; number of the other sentences."""
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             feature, begin, end, owner, _, _ = sentences(batch.column(2))
-            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            word_cut = np.append(begin, len(feature))[cut]
+            keep = usable.value[feature]
+            kept = np.append(0, np.cumsum(keep))
+            sizes = kept[end] - kept[begin]
+            some = sizes > 0
+            cut = np.searchsorted(owner[some], np.arange(batch.num_rows + 1))
+            words = np.append(0, np.cumsum(sizes[some]))[cut]
+            plain = np.bincount(owner[~some], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), list_column(feature, word_cut, pa.int32()), list_column(end - begin, cut, pa.int32())],
-                names=["doc_id", "y", "words", "sizes"],
+                [batch.column(0), batch.column(1), list_column(feature[keep], words, pa.int32()), list_column(sizes[some], cut, pa.int32()), pa.array(plain)],
+                names=["doc_id", "y", "words", "sizes", "plain"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "text")
-    return rows.mapInArrow(bag, "doc_id long, y int, words array<int>, sizes array<int>")
+    return _labelled(docs, wanted).mapInArrow(bag, "doc_id long, y int, words array<int>, sizes array<int>, plain long")
 
 
 class NoisyOr:
@@ -80,41 +108,40 @@ class NoisyOr:
         """log(1 - P) of each document; 0 without sentences."""
         return np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), n)
 
-    def fit(self, docs: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 100, rate: float = 0.5) -> NoisyOr:
-        """Adagrad on the documents' cross-entropy, from the log-odds of single features.
+    def choose(self, held: np.ndarray) -> np.ndarray:
+        """Which features to use, by ``feature_counts``; their weights start at their log-odds.
 
         Features that fewer than SEEN documents hold, or whose share of toxic documents lies within
         APART standard errors of the whole share, stay at zero.
         """
-        held = np.zeros((2, FEATURES))
-        for y, words, _ in docs:
-            held[y, np.unique(words)] += 1
-        share = min(max(np.mean([y for y, _, _ in docs]), 1e-6), 1 - 1e-6) if docs else 0.5
+        held, whole = held[:, :-1], held[:, -1]
+        share = min(max(whole[1] / max(whole.sum(), 1), 1e-6), 1 - 1e-6)
         n = held.sum(axis=0)
         usable = (n >= SEEN) & (np.abs(held[1] - share * n) > APART * np.sqrt(share * (1 - share) * n + 1e-9))
         self.weights = np.where(usable, np.log((held[1] + 0.2) / (held[0] + 0.2) * (1 - share) / share), 0).astype(np.float32)
+        return usable
+
+    def fit(self, bags: list[tuple[int, np.ndarray, np.ndarray, int]], epochs: int = 12, batch: int = 100, rate: float = 0.5) -> NoisyOr:
+        """Adagrad on the documents' cross-entropy: label, features and sizes of sentences, number of sentences without."""
         squares, bias_squares = np.full(FEATURES, 1e-6, np.float32), 1e-6
         rng = np.random.default_rng(5)
         for _ in range(epochs):
-            order = rng.permutation(len(docs))
-            for lo in range(0, len(docs), batch):
-                part = [docs[i] for i in order[lo : lo + batch]]
-                feature = np.concatenate([w for _, w, _ in part])
-                size = np.concatenate([s for _, _, s in part])
-                if not len(size):
-                    continue
-                owner = np.repeat(np.arange(len(part)), [len(s) for _, _, s in part])
-                begin = np.cumsum(size) - size
-                p = self.sentence(feature, begin)
-                none = np.exp(self.document(p, owner, len(part)))
-                y = np.array([v for v, _, _ in part], float)
-                blame = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0)
-                d = blame[owner] * p / len(part)
-                g = np.bincount(feature, np.repeat(d, size), FEATURES).astype(np.float32) * usable
+            order = rng.permutation(len(bags))
+            for lo in range(0, len(bags), batch):
+                part = [bags[i] for i in order[lo : lo + batch]]
+                feature, size = np.concatenate([b[1] for b in part]), np.concatenate([b[2] for b in part])
+                y, plain = np.array([b[0] for b in part], float), np.array([b[3] for b in part], float)
+                owner = np.repeat(np.arange(len(part)), [len(b[2]) for b in part])
+                p, other = self.sentence(feature, np.cumsum(size) - size), 1 / (1 + np.exp(-self.bias))
+                none = np.exp(self.document(p, owner, len(part)) + plain * np.log1p(-other))
+                blame = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) / len(part)
+                d = blame[owner] * p
+                g = np.bincount(feature, np.repeat(d, size), FEATURES).astype(np.float32)
                 squares += g * g
                 self.weights -= rate * g / np.sqrt(squares)
-                bias_squares += d.sum() ** 2
-                self.bias -= 0.3 * rate * d.sum() / np.sqrt(bias_squares)
+                slope = d.sum() + (blame * plain).sum() * other
+                bias_squares += slope**2
+                self.bias -= 0.3 * rate * slope / np.sqrt(bias_squares)
         return self
 
 
@@ -127,15 +154,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest:
     Repeated documents are scored each for itself, extra columns are ignored, no documents give no rows.
     """
     spark = docs.sparkSession
-    wanted = label_sample(labels, "toxic", modulus, rest, sample)
-    rows = training_bags(docs, wanted).toArrow().sort_by([("doc_id", "ascending")])
+    wanted = stored(label_sample(labels, "toxic", modulus, rest, sample))
+    learner = NoisyOr()
+    usable = spark.sparkContext.broadcast(learner.choose(feature_counts(docs, wanted)))
+    rows = training_bags(docs, wanted, usable).toArrow().sort_by([("doc_id", "ascending")])
     bags = []
     for batch in rows.to_batches():
         words, sizes = batch.column(2), batch.column(3)
         w, s = words.flatten().to_numpy(), sizes.flatten().to_numpy()
         wo, so = np.append(0, np.cumsum(words.value_lengths().to_numpy())), np.append(0, np.cumsum(sizes.value_lengths().to_numpy()))
-        bags += [(y, w[wo[i] : wo[i + 1]], s[so[i] : so[i + 1]]) for i, y in enumerate(batch.column(1).to_pylist())]
-    model = spark.sparkContext.broadcast(NoisyOr().fit(bags))
+        bags += [(y, w[wo[i] : wo[i + 1]], s[so[i] : so[i + 1]], n) for i, (y, n) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True))]
+    model = spark.sparkContext.broadcast(learner.fit(bags))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
