@@ -13,7 +13,7 @@ import pytest
 import corpus_pipeline
 from kymora.llm import packing, queries
 from kymora.llm.bit_sliced import highest, scores, sliced
-from kymora.llm.components import components
+from kymora.llm.components import components, contracted_components
 
 SF = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
@@ -113,11 +113,12 @@ def test_large_near_duplicate_group_is_split_into_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in got} == brute_near(rows)
 
 
-@pytest.mark.parametrize("n", [300])
-def test_components_of_a_shuffled_path(spark, n):
+@pytest.mark.parametrize("find", [components, contracted_components, lambda e: contracted_components(e, 40)])
+def test_components_of_a_shuffled_path(spark, find):
+    n = 200
     ids = np.random.default_rng(5).permutation(n).tolist()
     edges = spark.createDataFrame([(ids[i], ids[i + 1]) for i in range(n - 1)] + [(1000, 1001), (7000, 7000)], "a long, b long")
-    got = {r.node: r.component for r in components(edges).collect()}
+    got = {r.node: r.component for r in find(edges).collect()}
     assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
 
 
