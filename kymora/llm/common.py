@@ -60,13 +60,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most STEP_BYTES of text, or a single row."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``limit`` bytes of text, or a single row."""
     for batch in batches:
         _, bounds = text_buffers(batch.column(batch.schema.get_field_index(column)))
         lo = 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + STEP_BYTES, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + limit, side="right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
 

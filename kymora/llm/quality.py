@@ -15,6 +15,8 @@ from kymora.llm.common import RAW, held_out, label_sample, list_column, steps, t
 ROWS, WIDTH, PLACES = 1 << 14, 32, 4
 #: Neighbours on each side that add to a word's vector.
 REACH = 2
+#: Bytes of text pooled at once: every word holds a whole vector.
+POOL_BYTES = 1 << 19
 #: Most labelled documents that the network is fitted on.
 SAMPLE = 20_000
 #: Features of a document: three pooled vectors and its length.
@@ -88,7 +90,7 @@ def training_features(docs: DataFrame, wanted: DataFrame, words) -> tuple[np.nda
     """Features and labels of the wanted documents, by doc_id; of repeated ones the row with the smallest text counts."""
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=POOL_BYTES):
             x = pooled(batch.column(2), words.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_column(x.ravel(), np.arange(len(x) + 1) * FEATURES, pa.float32())], names=["doc_id", "y", "features"])
 
@@ -156,7 +158,7 @@ def fitted(docs: DataFrame, labels: DataFrame, modulus: int, rest: int, sample:
     @F.arrow_udf("double")
     def probability(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            parts = [net.probability(pooled(b.column(0), words.value).astype(float)) for b in steps(iter([pa.RecordBatch.from_arrays([column], names=["text"])]))]
+            parts = [net.probability(pooled(b.column(0), words.value).astype(float)) for b in steps(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), limit=POOL_BYTES)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return probability
