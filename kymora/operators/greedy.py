@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from kymora.operators.graph import connected_components, greedy_select
 from kymora.operators.masks import FRAME, MASK, POS, SHIFT, components, empty_pixels, keep_largest, overlap_pairs
-from kymora.operators.ordered import null_safe_join
+from kymora.operators.ordered import CHUNK, null_safe_join, running_total, width_bucket, with_row_index
 
 
 def spot_candidates(values: DataFrame, size: int = 10, percentile: float = 0.85) -> DataFrame:
@@ -252,3 +252,25 @@ def track_spots(spots: DataFrame, frames: DataFrame, max_distance: float = 20.0)
             yield pd.DataFrame(close(), columns=[f.name for f in schema.fields])
 
     return s.mapInPandas(follow, schema).drop("cy", "cx")
+
+
+def feature_offsets(tracks: DataFrame, frames: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Shift of each frame that brings its tracked spots to their usual places.
+
+    A track's reference is the median of its places.  With k spots in a frame, the shift is the mean of the
+    first k references (tracks in order of their start) minus the mean of the spots; 0 where there is none.
+    Videos without a track take their shifts (dx, dy) from ``fallback``.
+    """
+    track = ["video_id", "start_frame", "start_spot"]
+    refs = tracks.groupBy(*track).agg(F.median("x").alias("rx"), F.median("y").alias("ry"))
+    refs = with_row_index(refs, ["video_id"], ["start_frame", "start_spot"], width_bucket(F.col("start_frame"), CHUNK), "__i")
+    for c in ("rx", "ry"):
+        refs = running_total(refs, ["video_id"], ["__i"], width_bucket(F.col("__i"), CHUNK), F.col(c), f"__{c}")
+    refs = refs.select("video_id", (F.col("__i") + 1).alias("__k"), "__rx", "__ry")
+    seen = tracks.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("__k"), F.sum("x").alias("__sx"), F.sum("y").alias("__sy"))
+    shift = lambda r, s: (F.col(r) - F.col(s)) / F.col("__k")
+    own = seen.join(refs, ["video_id", "__k"]).select(*FRAME, shift("__rx", "__sx").alias("__dx"), shift("__ry", "__sy").alias("__dy"))
+    tracked = tracks.select("video_id", F.lit(True).alias("__t")).distinct()
+    out = frames.select(*FRAME).distinct().join(tracked, "video_id", "left").join(own, FRAME, "left").join(fallback.select(*FRAME, "dx", "dy"), FRAME, "left")
+    pick = lambda c: F.coalesce(F.when(F.col("__t"), F.col(f"__{c}")).otherwise(F.col(c)), F.lit(0.0)).cast("double").alias(c)
+    return out.select(*FRAME, pick("dx"), pick("dy"))

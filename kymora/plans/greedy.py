@@ -66,3 +66,10 @@ def o6(spark, d):
 def j19(spark, d):
     spots = GR.bright_spots(I.frame_pixels(spark, d), 3, 4)
     return rounded(GR.track_spots(spots, I.mask_index(spark, d).select(*M.FRAME).distinct(), 3.0))
+
+
+@query("j19_feature_offsets", None)
+def j19b(spark, d):
+    values, frames = I.frame_pixels(spark, d), I.mask_index(spark, d).select(*M.FRAME).distinct()
+    tracks = GR.track_spots(GR.bright_spots(values, 3, 4), frames, 3.0)
+    return rounded(GR.feature_offsets(tracks, frames, M.median_offsets(M.bright_centroid(values))))
