@@ -40,9 +40,9 @@ def explode_profile(df: DataFrame, keys: Sequence[str], profile: str, position:
     return df.select(*keys, F.posexplode(profile).alias(position, value))
 
 
-def sample_by_hash(df: DataFrame, key: Column, k: int, seed: int) -> DataFrame:
-    """Repeatable random sample of k rows without replacement."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k)
+def sample_by_hash(df: DataFrame, key: Column, k: int, seed: int, rank_hash: Column | None = None) -> DataFrame:
+    """Repeatable random sample of k rows without replacement: the first by ``rank_hash``, or by a hash of seed and key."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key) if rank_hash is None else rank_hash, key).limit(k)
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, share: float, rank_hash: Column, bits: int = 1024) -> DataFrame:

@@ -88,7 +88,7 @@ def f14c(spark, d):
 
 
 def _eigen(src, half, last, name):
-    return f"""{name} AS (SELECT video_id, frame, i, (vy + vx) / 2 - sqrt(((vy - vx) / 2) ** 2 + c ** 2) AS small, (vy + vx) / 2 + sqrt(((vy - vx) / 2) ** 2 + c ** 2) AS large FROM (
+    return f"""{name} AS (SELECT video_id, frame, i, vy, vx, c, (vy + vx) / 2 - sqrt(((vy - vx) / 2) ** 2 + c ** 2) AS small, (vy + vx) / 2 + sqrt(((vy - vx) / 2) ** 2 + c ** 2) AS large FROM (
      SELECT a.video_id, a.frame, a.i, var_pop(b.y) AS vy, var_pop(b.x) AS vx, covar_pop(b.y, b.x) AS c FROM (SELECT DISTINCT video_id, frame, i FROM {src}) a, range(-{half}, {half} + 1) r(o) JOIN {src} b ON b.video_id = a.video_id AND b.frame = a.frame AND b.i = greatest(0, least({last}, a.i + o)) GROUP BY ALL))"""
 
 
@@ -113,7 +113,12 @@ def f15b(spark, d):
     return rounded(out.filter("i < 40"))
 
 
-@query("f15_signed_curvature", None)
+TURNS = f"""{CURV}, mi AS (SELECT video_id, frame, i, small, large, CASE WHEN c <> 0 THEN c WHEN vy <= vx THEN 1.0 ELSE 0.0 END AS my, CASE WHEN c <> 0 THEN small - vy WHEN vy <= vx THEN 0.0 ELSE 1.0 END AS mx FROM ev),
+  tu AS (SELECT *, lag(my) OVER w AS py, lag(mx) OVER w AS px, lead(i) OVER w AS nxt FROM mi WINDOW w AS (PARTITION BY video_id, frame ORDER BY i))"""
+
+
+@query("f15_signed_curvature", f"""WITH {TURNS} SELECT {VF}, i, round(CASE WHEN small + large > 0 THEN small / (small + large) ELSE 0 END
+  * CASE WHEN py IS NULL OR nxt IS NULL THEN 1 ELSE sign(py * mx - px * my) * CASE WHEN py * my + px * mx < 0 THEN -1 ELSE 1 END END, 6) AS curvature FROM tu""")
 def f15c(spark, d):
     p = F.col("points")
     return rounded(I.curves(spark, d).select("video_id", "frame", F.posexplode(C.signed_curvature(C.ys(p), C.xs(p), 9)).alias("i", "curvature")))
@@ -392,7 +397,23 @@ def j20(spark, d):
     return MO.endpoint_identity(_ends(spark, d), KEY, "frame").select("subject", "frame", "swapped")
 
 
-@query("w19_head_identification", None)
+HEADS = f"""{SER.replace("WITH", "WITH RECURSIVE", 1)}, p AS (SELECT *, lag(ax) OVER w AS pax, lag(ay) OVER w AS pay, lag(bx) OVER w AS pbx, lag(cy) OVER w AS pby
+    FROM (SELECT subject, frame, z.n AS size, angle AS ax, value AS ay, CAST(k AS DOUBLE) AS bx, value / 2 AS cy FROM n z) q WINDOW w AS (PARTITION BY subject ORDER BY frame)),
+  x AS (SELECT *, CASE WHEN sqrt((ax - pbx) ** 2 + (ay - pby) ** 2) + sqrt((bx - pax) ** 2 + (cy - pay) ** 2) < sqrt((ax - pax) ** 2 + (ay - pay) ** 2) + sqrt((bx - pbx) ** 2 + (cy - pby) ** 2) THEN 1 ELSE 0 END AS s FROM p),
+  y AS (SELECT *, CAST(sum(s) OVER (PARTITION BY subject ORDER BY frame) % 2 AS INT) AS sw FROM x),
+  tr AS (SELECT *, CASE sw WHEN 1 THEN bx ELSE ax END AS t0x, CASE sw WHEN 1 THEN cy ELSE ay END AS t0y, CASE sw WHEN 1 THEN ax ELSE bx END AS t1x, CASE sw WHEN 1 THEN ay ELSE cy END AS t1y FROM y),
+  mv AS (SELECT *, coalesce(abs(t0x - lag(t0x) OVER w) + abs(t0y - lag(t0y) OVER w), 0) AS s0, coalesce(abs(t1x - lag(t1x) OVER w) + abs(t1y - lag(t1y) OVER w), 0) AS s1 FROM tr WINDOW w AS (PARTITION BY subject ORDER BY frame)),
+  wi AS (SELECT *, least(size, greatest(0, frame - 5) + 10) AS f1, CASE WHEN greatest(0, frame - 5) + 10 >= size THEN greatest(0, size - 10) ELSE greatest(0, frame - 5) END AS f0 FROM mv),
+  ca AS (SELECT a.subject, a.frame, a.ax, a.ay, a.bx, a.cy, a.sw, round(sum(CASE WHEN b.frame > a.f0 THEN b.s0 ELSE 0 END), 9) AS m0, round(sum(CASE WHEN b.frame > a.f0 THEN b.s1 ELSE 0 END), 9) AS m1, max(CASE WHEN b.frame = a.f0 THEN b.sw END) AS base
+    FROM wi a JOIN mv b ON b.subject = a.subject AND b.frame >= a.f0 AND b.frame < a.f1 GROUP BY ALL),
+  cd AS (SELECT subject, frame, ax, ay, bx, cy, abs(sw - CASE WHEN m0 > m1 THEN 0 WHEN m0 < m1 THEN 1 ELSE base END) AS c FROM ca),
+  h AS (SELECT subject, frame, c AS head, 0.9 AS confidence, CASE c WHEN 0 THEN ax ELSE bx END AS hx, CASE c WHEN 0 THEN ay ELSE cy END AS hy FROM cd WHERE frame = 0
+    UNION ALL SELECT subject, frame, pick, CASE WHEN NOT leap THEN 0.8 WHEN frame >= 5 THEN 0.7 ELSE 0.5 END, CASE pick WHEN 0 THEN ax ELSE bx END, CASE pick WHEN 0 THEN ay ELSE cy END
+    FROM (SELECT *, CASE WHEN leap AND frame >= 5 THEN CASE WHEN da <= db THEN 0 ELSE 1 END ELSE c END AS pick
+      FROM (SELECT *, CASE c WHEN 0 THEN da ELSE db END > 25 AS leap FROM (SELECT cd.*, sqrt((ax - hx) ** 2 + (ay - hy) ** 2) AS da, sqrt((bx - hx) ** 2 + (cy - hy) ** 2) AS db FROM h JOIN cd ON cd.subject = h.subject AND cd.frame = h.frame + 1) u) v) w)"""
+
+
+@query("w19_head_identification", f"{HEADS} SELECT subject, frame, CAST(head AS BIGINT) AS head, CAST(confidence AS DOUBLE) AS confidence FROM h")
 def w19(spark, d):
     return rounded(MO.head_identification(_ends(spark, d), KEY, "frame").select("subject", "frame", "head", "confidence"))
 

@@ -1104,9 +1104,10 @@ def o15(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("image")).agg(F.sort_array(F.collect_set("p_type")).alias("masks"))
 
 
-@query("o16_sample", None)
+@query("o16_sample", "SELECT event_id, user_id FROM events ORDER BY ((event_id + 42) * 2654435761) % 4294967296, event_id LIMIT 100")
 def o16(spark, d):
-    return R.sample_by_hash(table(spark, d, "events").select("event_id", "user_id"), F.col("event_id"), 100, 42)
+    rank = ((F.col("event_id") + 42) * F.lit(2654435761)) % F.lit(4294967296)
+    return R.sample_by_hash(table(spark, d, "events").select("event_id", "user_id"), F.col("event_id"), 100, 42, rank)
 
 
 # Multiplier and modulus of the ranking hash that SQL can repeat.
