@@ -45,7 +45,17 @@ def o5a(spark, d):
     return rounded(GR.spot_candidates(I.frame_pixels(spark, d), 4).select(*M.FRAME, *M.POS))
 
 
-@query("o5_bright_spots", None)
+_FAR = "(c.y - {0}.y) ** 2 + (c.x - {0}.x) ** 2 >= 16"
+SPOTS = f"""WITH {I.PIXELS_SQL}, t AS (SELECT video_id, frame, quantile_cont(intensity, 0.85) AS t FROM frame_pixels GROUP BY 1, 2),
+  c AS (SELECT p.video_id, p.frame, p.y, p.x, row_number() OVER (PARTITION BY p.video_id, p.frame ORDER BY p.intensity DESC, p.y DESC, p.x DESC) AS r FROM frame_pixels p JOIN t USING (video_id, frame) WHERE intensity >= t
+    AND NOT EXISTS (SELECT 1 FROM frame_pixels q WHERE q.video_id = p.video_id AND q.frame = p.frame AND q.y - p.y BETWEEN -2 AND 1 AND q.x - p.x BETWEEN -2 AND 1 AND q.intensity > p.intensity)),
+  s0 AS (SELECT * FROM c WHERE r = 1),
+  s1 AS (SELECT c.* FROM c JOIN s0 USING (video_id, frame) WHERE {_FAR.format("s0")} QUALIFY row_number() OVER (PARTITION BY c.video_id, c.frame ORDER BY c.r) = 1),
+  s2 AS (SELECT c.* FROM c JOIN s0 USING (video_id, frame) JOIN s1 USING (video_id, frame) WHERE c.r > s1.r AND {_FAR.format("s0")} AND {_FAR.format("s1")} QUALIFY row_number() OVER (PARTITION BY c.video_id, c.frame ORDER BY c.r) = 1),
+  spots AS (SELECT *, 0 AS spot FROM s0 UNION ALL SELECT *, 1 FROM s1 UNION ALL SELECT *, 2 FROM s2)"""
+
+
+@query("o5_bright_spots", f"{SPOTS} SELECT video_id, frame::BIGINT AS frame, spot::BIGINT AS spot, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM spots")
 def o5(spark, d):
     return rounded(GR.bright_spots(I.frame_pixels(spark, d), 3, 4))
 
