@@ -135,3 +135,11 @@ def test_quantiles_with_far_outliers(spark):
     v = [float(x) for x in rng.normal(0, 1, 500)] + [1e12, -1e12]
     got = exact_quantiles(spark.createDataFrame([("a", x) for x in v], "k string, x double"), ["k"], "x", {"q": 0.25, "m": 0.5, "p": 0.999}, 10).first()
     assert [got.q, got.m, got.p] == pytest.approx(list(np.percentile(v, [25, 50, 99.9])))
+
+
+def test_t_quantile_where_table_and_expansion_meet(spark):
+    from kymora.operators.stats import student_t_975, t_quantile
+
+    df = spark.range(58, 70)
+    for r in df.select("id", t_quantile(F.col("id")).alias("t")).collect():
+        assert abs(r.t - student_t_975(r.id)) < 1e-8
