@@ -240,3 +240,13 @@ def uncrop_point(point: list[Column], crop: list[Column]) -> list[Column]:
 def part_of(index: Column, total: Column, parts: int = 6) -> Column:
     """Which of ``parts`` slices [i*n//parts, (i+1)*n//parts) a 0-based position falls in."""
     return F.floor(((index + 1) * parts - 1) / total).cast("long")
+
+
+#: Pixel codes are y * PIXEL_SHIFT + x.
+PIXEL_SHIFT = 1 << 20
+
+
+def pixel_code(y: Column, x: Column) -> Column:
+    """One number for a pixel, in raster order; a column outside 0 ... PIXEL_SHIFT - 1 is an error."""
+    code = y.cast("long") * PIXEL_SHIFT + x
+    return F.when((x >= 0) & (x < PIXEL_SHIFT), code).when(x.isNotNull(), F.raise_error(F.concat(F.lit("pixel column out of range: "), x.cast("string"))).cast("long"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kymora.functions.scalar import pixel_code
 from kymora.operators.graph import connected_components, greedy_select
 from kymora.operators.masks import FRAME, MASK, POS, SHIFT, components, empty_pixels, keep_largest, overlap_pairs
 from kymora.operators.ordered import CHUNK, null_safe_join, running_total, width_bucket, with_row_index
@@ -136,7 +137,7 @@ def merge_overlapping(px: DataFrame, share: float = 0.95, min_area: int = 25) ->
     Masks that do not touch cannot meet, so each group of overlapping masks of a frame is
     merged by itself.
     """
-    g = px.join(overlap_groups(px), MASK).select(*FRAME, "group", "object_id", (F.col("y").cast("long") * SHIFT + F.col("x")).alias("c"))
+    g = px.join(overlap_groups(px), MASK).select(*FRAME, "group", "object_id", pixel_code(F.col("y"), F.col("x")).alias("c"))
     fields = [f for f in px.schema.fields if f.name in MASK]
     schema = T.StructType([*fields, T.StructField("c", T.LongType())])
 

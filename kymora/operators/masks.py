@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kymora.functions.scalar import PIXEL_SHIFT, pixel_code
 from kymora.operators.ordered import (
     attach_stats,
     exact_quantiles,
@@ -510,7 +511,7 @@ def missing_and_empty(frames: DataFrame, index: DataFrame, px: DataFrame, requir
 
 # ---------------------------------------------------------------- connected components
 
-SHIFT = 1 << 20
+SHIFT = PIXEL_SHIFT
 
 
 def _label_runs(codes: np.ndarray, diagonal: bool) -> np.ndarray:
@@ -573,7 +574,7 @@ def components(px: DataFrame, keys: Sequence[str] = MASK, diagonal: bool = False
     def label(codes: pd.Series) -> pd.Series:
         return codes.map(lambda c: _label_runs(np.asarray(c, dtype=np.int64), diagonal))
 
-    tiled = px.select(*keys, F.floor(F.col("y") / tile).alias("__ty"), F.floor(F.col("x") / tile).alias("__tx"), (F.col("y").cast("long") * SHIFT + F.col("x")).alias("__c"))
+    tiled = px.select(*keys, F.floor(F.col("y") / tile).alias("__ty"), F.floor(F.col("x") / tile).alias("__tx"), pixel_code(F.col("y"), F.col("x")).alias("__c"))
     packed = tiled.groupBy(*keys, "__ty", "__tx").agg(F.collect_list("__c").alias("__c"))
 
     def labelled(tiles: DataFrame) -> DataFrame:

@@ -143,3 +143,13 @@ def test_t_quantile_where_table_and_expansion_meet(spark):
     df = spark.range(58, 70)
     for r in df.select("id", t_quantile(F.col("id")).alias("t")).collect():
         assert abs(r.t - student_t_975(r.id)) < 1e-8
+
+
+def test_pixel_columns_out_of_range_are_an_error(spark):
+    from kymora.functions.scalar import pixel_code
+
+    df = spark.createDataFrame([(2, 3), (0, (1 << 20) - 1), (None, 1), (1, None)], "y int, x int")
+    assert [r.c for r in df.select(pixel_code(F.col("y"), F.col("x")).alias("c")).collect()] == [(2 << 20) + 3, (1 << 20) - 1, None, None]
+    for x in (-1, 1 << 20):
+        with pytest.raises(Exception, match="out of range"):
+            spark.createDataFrame([(0, x)], "y int, x int").select(pixel_code(F.col("y"), F.col("x"))).collect()
