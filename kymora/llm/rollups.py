@@ -65,7 +65,7 @@ class Rollup:
         signed = deltas.select(*[F.col(k).cast("string") for k in KEYS], F.col("sign").cast("long").alias("n_docs"), (F.col("sign") * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
         summed = self.totals().union(signed).groupBy(*KEYS).agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("n_docs", "n_tokens")])
         aside = f"{self.path}/aside-{uuid.uuid4().hex}"
-        summed.where("n_docs != 0 or n_tokens != 0").coalesce(1).write.parquet(f"{aside}/totals")
+        summed.where("n_docs != 0 or n_tokens != 0").write.parquet(f"{aside}/totals")
         self.spark.createDataFrame([(b,) for b in sorted(done | {batch})], "batch string").coalesce(1).write.parquet(f"{aside}/batches")
         target = self._as_path(self._folder(version + 1))
         if self._fs.exists(target) or not self._fs.rename(self._as_path(aside), target):
