@@ -1,4 +1,4 @@
-"""Line dedup by winnowing: window minima of line hashes find repeated runs; their later copies are deleted."""
+"""Line dedup by winnowing: window minima of word hashes find repeated passages; their later copies are deleted."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +14,13 @@ from kymora.llm.common import RAW, bit_filter, in_filter, mix, steps, stored, te
 
 #: Words from which on a repeated run is deleted.
 RUN_WORDS = 30
-#: Lines of fewer words are chosen as fingerprints only where a window has no other.
-SHORT = 4
+#: Words whose hash is a fingerprint; every window of RUN_WORDS holds 21 of them.
+GRAM = 10
 #: 64-bit words of the filter of repeated fingerprints, whatever the input (8 MB).
 FILTER_WORDS = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_BREAK = np.zeros(256, bool)
-_BREAK[list(b".!?")] = True
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,64 +31,47 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def runs(column: pa.Array, words: int) -> dict[str, np.ndarray]:
-    """Shortest runs of whole lines with at least ``words`` words, and the window minimum that stands for each.
+class Windows:
+    """All windows of ``words`` words in a batch of documents, wherever they begin, and the fingerprint of each.
 
-    A line ends at a line end or, so that a passage inside a line is found too, behind . ! or ? before
-    white space. For each line there are the shortest run that begins and the one that ends with it.
-    Returns for each run its document, hash, first byte and end (the next line's first byte) in the
-    document, its number of words, the position of its fingerprint, and the fingerprint.
+    A window's fingerprint is the leftmost minimum of the hashes of its GRAM-word parts, so equal
+    windows have equal ones. ``begin`` is a window's first word, ``at`` the place of its fingerprint
+    among ``marks``, ``doc`` its document.
     """
-    data, bounds = text_buffers(column)
-    folded, starts, ends, first = word_spans(data, bounds, RAW)
-    n = len(starts)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    lines = np.cumsum(data == 10, dtype=np.int32)
-    fresh = np.ones(n, bool)
-    if n:
-        fresh[1:] = (doc[1:] != doc[:-1]) | (lines[starts[1:]] != lines[starts[:-1]]) | _BREAK[data[ends[:-1] - 1]]
-    word = np.append(np.flatnonzero(fresh), n)
-    begin, end = word[:-1], word[1:]
-    line_doc = doc[begin] if n else np.zeros(0, int)
-    up, down = _powers(n + 1)
-    total = np.append(np.uint64(0), np.cumsum(word_hashes(folded, starts, ends) * up[:n], dtype=np.uint64))
-
-    def hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-
-    low, high = first[line_doc], first[line_doc + 1]
-    # the line of each word turns the search for a run's other end into a look-up
-    line_of = np.cumsum(fresh, dtype=np.int32) - 1
-    i = np.flatnonzero(begin + words <= high)
-    j = np.flatnonzero(end - words >= low)
-    last, opening = line_of[begin[i] + words - 1].astype(np.int64), line_of[end[j] - words].astype(np.int64)
-    # a backward run that is also the forward run of its first line is left out
-    reach = np.full(len(begin), -1)
-    reach[i] = last
-    other = reach[opening] != j
-    i, j = np.append(i, opening[other]), np.append(last, j[other])
-    rank = (hashes(begin, end) >> np.uint64(1)) | ((end - begin < SHORT).astype(np.uint64) << np.uint64(63))
-    at = _leftmost_minimum(rank, i, j)
-    next_byte = np.append(starts[begin], 0)
-    stop = np.where(np.append(line_doc, -1)[j + 1] == line_doc[j], next_byte[j + 1], bounds[line_doc[j] + 1]) if len(i) else i
-    owner = line_doc[i]
-    return {"doc": owner, "hash": hashes(begin[i], end[j]), "start": starts[begin[i]] - bounds[owner], "end": stop - bounds[owner], "words": end[j] - begin[i], "at": at, "mark": rank[at]}
-
-
-def _leftmost_minimum(rank: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Position of the leftmost minimum of rank[i..j] for each pair."""
-    out = np.zeros(len(i), np.int64)
-    table, width = np.arange(len(rank)), 1
-    level = np.floor(np.log2(j - i + 1)).astype(int) if len(i) else i
-    for k in range(int(level.max()) + 1 if len(i) else 0):
-        if k:
-            left, right = table[:-width], table[width:]
-            table = np.where(rank[left] <= rank[right], left, right)
-            width *= 2
-        now = np.flatnonzero(level == k)
-        a, b = table[i[now]], table[j[now] - width + 1]
-        out[now] = np.where(rank[a] <= rank[b], a, b)
-    return out
+
+    def __init__(self, column: pa.Array, words: int):
+        data, self.bounds = text_buffers(column)
+        folded, self.starts, ends, first = word_spans(data, self.bounds, RAW)
+        n, gram = len(self.starts), min(GRAM, words)
+        self.words, self.owner = words, np.repeat(np.arange(len(first) - 1), np.diff(first))
+        self.up, self.down = _powers(n + 1)
+        self.total = np.append(np.uint64(0), np.cumsum(word_hashes(folded, self.starts, ends) * self.up[:n], dtype=np.uint64))
+        self.begin = np.flatnonzero(np.arange(n) + words <= first[1:][self.owner])
+        self.marks = self.hashes(np.arange(max(0, n - gram + 1)), gram)
+        self.at = _leftmost_minima(self.marks, words - gram + 1)[self.begin]
+
+    def hashes(self, a: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        """Hash of the ``size`` words from each word in ``a`` on."""
+        return mix((self.total[a + size] - self.total[a]) * self.down[a] + np.asarray(size).astype(np.uint64))
+
+    def spans(self, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document of each window, its first byte and its end (the next word's first byte) in the document."""
+        doc, after = self.owner[begin], begin + self.words
+        stop = self.bounds[doc + 1].copy()
+        inside = np.flatnonzero(np.append(self.owner, -1)[after] == doc)
+        stop[inside] = self.starts[after[inside]]
+        return doc, self.starts[begin] - self.bounds[doc], stop - self.bounds[doc]
+
+
+def _leftmost_minima(rank: np.ndarray, width: int) -> np.ndarray:
+    """Position of the leftmost minimum of rank[i : i + width] for each i."""
+    place, done = np.arange(len(rank)), 1
+    while done < width:
+        step = min(done, width - done)
+        left, right = place[:-step], place[step:]
+        place = np.where(rank[left] <= rank[right], left, right)
+        done += step
+    return place
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -97,28 +79,73 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            found = runs(batch.column(0), words)
-            _, one = np.unique(found["at"], return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found["mark"][one].view(np.int64))], names=["key"])
+            found = Windows(batch.column(0), words)
+            yield pa.RecordBatch.from_arrays([pa.array(found.marks[np.unique(found.at)].view(np.int64))], names=["key"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(mark, "key long")
 
 
-def runs_at(docs: DataFrame, repeated, words: int) -> DataFrame:
-    """Runs whose fingerprint may stand at several places."""
+def blocks_at(docs: DataFrame, repeated, words: int) -> DataFrame:
+    """Blocks of windows that share a fingerprint which may stand at several places: the hash of all words of the block, and hash and bytes (from the block's start on) of each window."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            found = runs(batch.column(2), words)
-            keep = np.flatnonzero(in_filter(found["mark"], repeated.value))
-            owner = pa.array(found["doc"][keep])
+            found = Windows(batch.column(2), words)
+            # the fingerprint's place never goes back from one window to the next
+            first = np.flatnonzero(np.append(np.ones(min(1, len(found.at)), bool), found.at[1:] != found.at[:-1]))
+            count = np.diff(np.append(first, len(found.at)))
+            keep = np.flatnonzero(in_filter(found.marks[found.at[first]], repeated.value))
+            first, count = first[keep], count[keep]
+            cut = np.append(0, np.cumsum(count))
+            begin = found.begin[np.arange(cut[-1]) + np.repeat(first - cut[:-1], count)]
+            doc, start, end = found.spans(begin)
+            low, owner, cuts = start[cut[:-1]], pa.array(doc[cut[:-1]]), pa.array(cut.astype(np.int32))
+            block = found.hashes(begin[cut[:-1]], count + (words - 1))
+            parts = (found.hashes(begin, words).view(np.int64), (start - np.repeat(low, count)).astype(np.int32), (end - np.repeat(low, count)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(found["hash"][keep].view(np.int64)), pa.array(found["start"][keep]), pa.array(found["end"][keep])],
-                names=["doc_id", "print", "run", "start", "end"],
+                [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(block.view(np.int64)), pa.array(low), pa.array(end[cut[1:] - 1]), *(pa.ListArray.from_arrays(cuts, pa.array(x)) for x in parts)],
+                names=["doc_id", "print", "block", "start", "end", "runs", "froms", "tos"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("print"), F.col("text"))
-    return rows.mapInArrow(pick, "doc_id long, print long, run long, start long, end long")
+    return rows.mapInArrow(pick, "doc_id long, print long, block long, start long, end long, runs array<long>, froms array<int>, tos array<int>")
+
+
+def marked_later(places: DataFrame, key: str) -> DataFrame:
+    """``places`` with ``later``: whether the same key stands at an earlier place."""
+    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "print", "start")
+    earliest = stored(places.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select(key, "first"))
+    return places.join(earliest, key, "left").withColumn("later", F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")))
+
+
+def released(df: DataFrame) -> DataFrame:
+    """``df`` stored; Spark's cleaner then drops the shuffle files of the steps behind it."""
+    out = stored(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def joined_ranges(windows: DataFrame) -> DataFrame:
+    """Ranges that windows and blocks cover together; where an Arrow batch ends a range may be in two parts."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            text, start, end = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            change = np.append(True, (doc[1:] != doc[:-1]) | (null[1:] != null[:-1]) | (text[1:] != text[:-1]))
+            base = np.cumsum(change) << 40
+            reach = np.maximum.accumulate(end + base) - base
+            fresh = change
+            fresh[1:] |= start[1:] > reach[:-1]
+            a = np.flatnonzero(fresh)
+            take = pa.array(a)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start[a]), pa.array(reach[np.append(a[1:], len(doc)) - 1])], names=["doc_id", "print", "start", "end"])
+
+    near = windows.select("doc_id", "print", "start", "end").repartition("doc_id", "print").sortWithinPartitions("doc_id", "print", "start")
+    return near.mapInArrow(join, "doc_id long, print long, start long, end long")
 
 
 def kept_parts(ranges: DataFrame) -> DataFrame:
@@ -148,29 +175,36 @@ def kept_parts(ranges: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, words: int = RUN_WORDS) -> DataFrame:
-    """``docs`` with their later repeated runs deleted from ``text``; adds ``deleted_bytes``.
-
-    A run is a sequence of whole lines (see ``runs``) with at least ``words`` words between white space.
-    A line is deleted if it lies in a run that also stands at an earlier place: in a document with a
-    smaller doc_id (null first, equal ones by the hash of the text), or further ahead in the same one.
-    Matches are extended both ways from the shared fingerprint as far as runs repeat.
-
-    Every run's window minimum is its fingerprint, so equal runs share it: only runs whose fingerprint
-    stands at several places (those that pass a filter of fixed size) are joined on the hash of all
-    their words, and earliest places win. Rows equal in doc_id and text count as one document. Null
-    and empty texts stay as they are, so do shorter texts; all other columns are kept (a column
-    ``deleted_bytes`` is replaced). No documents give no rows.
+    """``docs`` with their later repeated passages deleted from ``text``; adds ``deleted_bytes``.
+
+    Words stand between white space. A word is deleted if it lies in a window of ``words`` words that
+    also stands at an earlier place: in a document with a smaller doc_id (null first, equal ones by the
+    hash of the text), or further ahead in the same one, where the two may overlap (of a phrase said
+    again and again one stays). Neither lines nor sentences matter, so a passage is found wherever it
+    is pasted; matches longer than a window are its neighbours, which are deleted word by word as far
+    as the match goes both ways. White space behind a deleted word goes with it.
+
+    Windows are winnowed: each has the minimum of its parts' hashes as its fingerprint, so equal windows
+    share it. Only those whose fingerprint stands at several places (those that pass a filter of fixed
+    size) are joined, first in blocks of windows with one fingerprint, on the 64-bit hash of all words
+    of the block; windows of blocks without an earlier place then on that of their own. Earliest places
+    win. Rows equal in doc_id and text count as one document. Null and empty texts stay as they are, so
+    do shorter texts; all other columns are kept (a column ``deleted_bytes`` is replaced). No documents
+    give no rows.
     """
     spark = docs.sparkSession
     whole = docs.withColumn("text", F.col("text").cast("string"))
     places = fingerprints(whole, words).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     repeated = spark.sparkContext.broadcast(bit_filter(places, FILTER_WORDS))
-    found = stored(runs_at(whole, repeated, words))
-    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "print", "start")
-    earliest = stored(found.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("run", "first"))
-    later = found.join(earliest, "run").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "print", "start", "end")
-    ranges = later.groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    cut = kept_parts(ranges)
+    blocks = marked_later(released(blocks_at(whole, repeated, words)), "block")
+    # a block's earlier copy holds all its windows, so a later block needs none of its own
+    lists = [F.when(~F.col("later"), F.col(c)).alias(c) for c in ("runs", "froms", "tos")]
+    blocks = released(blocks.select("doc_id", "print", "start", "end", "later", *lists))
+    single = blocks.where(~F.col("later")).select("doc_id", "print", F.col("start").alias("low"), F.inline(F.arrays_zip("runs", "froms", "tos")))
+    single = single.select("doc_id", "print", (F.col("low") + F.col("froms")).alias("start"), (F.col("low") + F.col("tos")).alias("end"), F.col("runs").alias("run"))
+    later = blocks.where("later").select("doc_id", "print", "start", "end").unionAll(marked_later(single, "run").where("later").select("doc_id", "print", "start", "end"))
+    ranges = joined_ranges(later).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    cut = released(kept_parts(ranges))
     part = F.transform("__parts", lambda p: F.expr("cast(text as binary)").substr(p["start"] + 1, p["size"]).cast("string"))
     same = whole["doc_id"].cast("long").eqNullSafe(F.col("__cut_id")) & (F.xxhash64(whole["text"]) == F.col("__cut_print"))
     text = F.when(F.col("__parts").isNull(), whole["text"]).otherwise(F.array_join(part, "")).alias("text")

@@ -91,6 +91,47 @@ def test_line_dedup_equals_brute_force(spark):
     assert {r.doc_id: r.text for r in run(spark, "op5_line_dedup")} == brute_line_dedup(rows)
 
 
+def brute_passages(rows, least=30):
+    seen, out = set(), {}
+    for d, text in rows:
+        body = (text or "").encode()
+        spans = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c\0]+", body)]
+        w = [body[a:b] for a, b in spans]
+        gone = set()
+        for i in range(len(w) - least + 1):
+            key = tuple(w[i : i + least])
+            gone.update(range(i, i + least) if key in seen else ())
+            seen.add(key)
+        stops = [a for a, _ in spans] + [len(body)]
+        out[d] = (body[: stops[0]] + b"".join(body[stops[k] : stops[k + 1]] for k in range(len(w)) if k not in gone)).decode()
+    return out
+
+
+def test_line_dedup_finds_passages_wherever_they_are_pasted(spark):
+    from kymora.llm.line_dedup import dedup_lines
+
+    rng = np.random.default_rng(3)
+
+    def say(n, dots=0.0):
+        return [f"w{k}" + "." * int(rng.random() < dots) for k in rng.integers(0, 4000, n)]
+
+    passage, phrase = say(51, 0.1), say(33)
+    rows = [(0, " ".join(say(80) + passage + say(40)))]
+    rows += [(d, " ".join(say(20 + d) + passage + say(d))) for d in range(1, 6)]
+    rows += [(6, "glued" + " ".join(passage) + "glued " + " ".join(say(9)))]
+    rows += [(7, " ".join(say(10)) + "\n" + "\n".join(passage[:25]) + " edit " + " ".join(passage[25:]))]
+    rows += [(8, " ".join(say(5) + phrase * 4 + say(5))), (9, " ".join(say(30) + passage[:30] + say(2))), (10, " ".join(passage[:29]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.deleted_bytes) for r in dedup_lines(docs).collect()}
+    assert {d: t for d, (t, _) in got.items()} == brute_passages(rows)
+    assert all(n == len(t.encode()) - len(got[d][0].encode()) for d, t in rows for n in [got[d][1]])
+    assert [len(got[d][0].split()) for d in (0, 1, 5, 6, 8, 9, 10)] == [171, 22, 30, 11, 43, 32, 29]
+
+
+def test_op5_deletes_every_repeated_window(spark):
+    assert {r.doc_id: r.text for r in run(spark, "op5_line_dedup")} == brute_passages(documents())
+
+
 def test_near_duplicates_equal_brute_force(spark):
     want = brute_near(documents())
     assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in run(spark, "op10_ngram_jaccard_join")} == want
