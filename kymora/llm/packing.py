@@ -90,9 +90,9 @@ def pieces_of(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
 def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece, placed in the given order.
 
-    ``open_bins[g]`` counts the bins with g places left. A piece goes where the sum of
-    the squared counts becomes smallest: into a bin with a residual gap, or into a new
-    one; on ties into the smallest gap.
+    ``open_bins[g]`` counts the bins with g places left. A piece goes into the open bin
+    with which the sum of the squared counts becomes smallest, on ties into the smallest
+    gap; a new bin is opened only where the piece fits into no open one.
     """
     open_bins = np.zeros(limit + 1, np.int64)
     members: list[list[int]] = [[] for _ in range(limit + 1)]
@@ -103,9 +103,8 @@ def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndar
         gain = 1 - 2 * open_bins[s:limit]
         gain[1:] += 2 * open_bins[1 : limit - s] + 1
         gain[open_bins[s:limit] == 0] = never
-        fresh = 2 * open_bins[limit - s] + 1 if s < limit else 0
         best = int(gain.argmin()) if len(gain) else -1
-        if best >= 0 and gain[best] <= fresh:
+        if best >= 0 and gain[best] < never:
             gap = s + best
             chosen = members[gap].pop()
             open_bins[gap] -= 1

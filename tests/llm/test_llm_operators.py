@@ -250,6 +250,18 @@ def test_sum_of_squares_choice():
     assert sorted(bins.tolist()[:2]) == sorted(bins.tolist()[2:4]) == [0, 1] and bins[4] == 2 and len(set(bins[5:].tolist())) == 1 and offsets.tolist()[5:] == [0, 3, 6]
 
 
+def test_new_sequence_only_where_no_open_one_fits():
+    lengths = np.sort(np.random.default_rng(4).gamma(2.0, 330.0, 6000).astype(int).clip(1, 2048))[::-1]
+    bins, _ = packing.sum_of_squares(lengths, 2048)
+    left = []
+    for n, b in zip(lengths.tolist(), bins.tolist(), strict=True):
+        if b == len(left):
+            assert max(left, default=0) < n
+            left.append(2048)
+        left[b] -= n
+    assert min(left) >= 0 and len(left) <= 1.005 * lengths.sum() / 2048 + 1
+
+
 def test_rollup_equals_counting_what_is_left(spark):
     from tokenizers import Tokenizer
 
