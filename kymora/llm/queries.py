@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymora.llm import bit_sliced, decontaminate, fill_middle, hidden_markov, line_dedup, lsh_forest, packing, quality, rollups, toxicity, url_filter
+from kymora.llm import bit_sliced, decontaminate, fill_middle, hidden_markov, line_dedup, lsh_forest, packing, prefix_trie, quality, rollups, toxicity, url_filter
 from kymora.llm.common import stored
 from kymora.session import checkpoint_dir
 
@@ -197,3 +197,39 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     back = fill_middle.restore(F.col("output"), F.col("form"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+_CRC = """xor(list_reduce(flatten(list_transform(range(1, length(s) + 1), lambda i: [CAST(ascii(s[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+                lambda a, v: CASE WHEN v < 0 THEN xor(a >> 1, 3988292384 * (a & 1)) ELSE xor(a, v) END, CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+@query(
+    "op12_conversation_prefix_trie",
+    f"""
+    WITH t AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+        FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t) x),
+    made AS (
+        SELECT c.conv_id, 0 AS part, k, role, text FROM c JOIN t ON t.conv_id = base AND k <= h
+        UNION ALL SELECT c.conv_id, 1, k, role, text FROM c JOIN t USING (conv_id) WHERE k > h),
+    whole AS (
+        SELECT conv_id, coalesce(w, []) AS w
+        FROM c LEFT JOIN (SELECT conv_id, list([role, text] ORDER BY part, k) AS w FROM made GROUP BY conv_id) x USING (conv_id)),
+    node AS (
+        SELECT depth, w[1 : depth] AS p, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(w) = depth) AS ends
+        FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS depth FROM whole) x GROUP BY ALL),
+    tree AS (
+        SELECT n.*, up.conv_id AS parent_conv_id, (SELECT count(*) FROM node AS b WHERE b.depth = n.depth + 1 AND b.p[1 : n.depth] = n.p) AS n_children
+        FROM node AS n LEFT JOIN node AS up ON up.depth = n.depth - 1 AND up.p = n.p[1 : n.depth - 1] AND n.depth > 0),
+    sums AS (
+        SELECT d AS depth, p[1 : d] AS p, sum((n_convs - 1) * coalesce(length(p[depth][2]), 0)) AS saved, count(*) FILTER (n_children = 0) AS leaves
+        FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM tree) x GROUP BY ALL)
+    SELECT conv_id, depth, parent_conv_id, n_convs, n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+    FROM tree JOIN sums USING (depth, p)
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(turns))
