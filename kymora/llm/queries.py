@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymora.llm import bit_sliced, decontaminate, fill_middle, hidden_markov, line_dedup, lsh_forest, packing, prefix_trie, quality, rollups, toxicity, url_filter
+from kymora.llm import bit_sliced, decontaminate, fill_middle, hidden_markov, line_dedup, lsh_forest, packing, prefix_trie, quality, rollups, toxicity, url_filter, vector_packing
 from kymora.llm.common import stored
 from kymora.session import checkpoint_dir
 
@@ -233,3 +233,8 @@ _CRC = """xor(list_reduce(flatten(list_transform(range(1, length(s) + 1), lambda
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(turns))
+
+
+@query("op13_vector_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY).drop("n_loss")
