@@ -85,8 +85,11 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(mark, "key long")
 
 
-def blocks_at(docs: DataFrame, repeated, words: int) -> DataFrame:
-    """Blocks of windows that share a fingerprint which may stand at several places: the hash of all words of the block, and hash and bytes (from the block's start on) of each window."""
+def places_of(docs: DataFrame, passed, words: int, single: bool) -> DataFrame:
+    """Places of windows whose fingerprint (``key``) passes a filter, with the hash of all their words (``run``).
+
+    Neighbouring windows with one fingerprint make one place, unless ``single`` asks for each window.
+    """
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -94,35 +97,30 @@ def blocks_at(docs: DataFrame, repeated, words: int) -> DataFrame:
             # the fingerprint's place never goes back from one window to the next
             first = np.flatnonzero(np.append(np.ones(min(1, len(found.at)), bool), found.at[1:] != found.at[:-1]))
             count = np.diff(np.append(first, len(found.at)))
-            keep = np.flatnonzero(in_filter(found.marks[found.at[first]], repeated.value))
-            first, count = first[keep], count[keep]
-            cut = np.append(0, np.cumsum(count))
-            begin = found.begin[np.arange(cut[-1]) + np.repeat(first - cut[:-1], count)]
-            doc, start, end = found.spans(begin)
-            low, owner, cuts = start[cut[:-1]], pa.array(doc[cut[:-1]]), pa.array(cut.astype(np.int32))
-            block = found.hashes(begin[cut[:-1]], count + (words - 1))
-            parts = (found.hashes(begin, words).view(np.int64), (start - np.repeat(low, count)).astype(np.int32), (end - np.repeat(low, count)).astype(np.int32))
+            key = found.marks[found.at[first]]
+            keep = np.flatnonzero(in_filter(key, passed.value))
+            first, count, key = first[keep], count[keep], key[keep]
+            if single:
+                cut = np.append(0, np.cumsum(count))
+                first, key, count = np.arange(cut[-1]) + np.repeat(first - cut[:-1], count), np.repeat(key, count), np.ones(cut[-1], np.int64)
+            begin = found.begin[first]
+            doc, start, _ = found.spans(begin)
+            _, _, end = found.spans(begin + count - 1)
+            run, owner = found.hashes(begin, count + (words - 1)), pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(block.view(np.int64)), pa.array(low), pa.array(end[cut[1:] - 1]), *(pa.ListArray.from_arrays(cuts, pa.array(x)) for x in parts)],
-                names=["doc_id", "print", "block", "start", "end", "runs", "froms", "tos"],
+                [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), pa.array(start), pa.array(end)],
+                names=["doc_id", "print", "key", "run", "start", "end"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("print"), F.col("text"))
-    return rows.mapInArrow(pick, "doc_id long, print long, block long, start long, end long, runs array<long>, froms array<int>, tos array<int>")
+    return rows.mapInArrow(pick, "doc_id long, print long, key long, run long, start long, end long")
 
 
-def marked_later(places: DataFrame, key: str) -> DataFrame:
-    """``places`` with ``later``: whether the same key stands at an earlier place."""
+def later_places(places: DataFrame) -> DataFrame:
+    """Those of ``places`` whose run stands at an earlier place too."""
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "print", "start")
-    earliest = stored(places.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select(key, "first"))
-    return places.join(earliest, key, "left").withColumn("later", F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")))
-
-
-def released(df: DataFrame) -> DataFrame:
-    """``df`` stored; Spark's cleaner then drops the shuffle files of the steps behind it."""
-    out = stored(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    earliest = places.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("run", "first")
+    return places.join(earliest, "run").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "print", "start", "end")
 
 
 def joined_ranges(windows: DataFrame) -> DataFrame:
@@ -185,26 +183,22 @@ def dedup_lines(docs: DataFrame, words: int = RUN_WORDS) -> DataFrame:
     as the match goes both ways. White space behind a deleted word goes with it.
 
     Windows are winnowed: each has the minimum of its parts' hashes as its fingerprint, so equal windows
-    share it. Only those whose fingerprint stands at several places (those that pass a filter of fixed
-    size) are joined, first in blocks of windows with one fingerprint, on the 64-bit hash of all words
-    of the block; windows of blocks without an earlier place then on that of their own. Earliest places
-    win. Rows equal in doc_id and text count as one document. Null and empty texts stay as they are, so
-    do shorter texts; all other columns are kept (a column ``deleted_bytes`` is replaced). No documents
-    give no rows.
+    share it. Fingerprints that stand at several places are joined: first the stretch of neighbouring
+    windows around each, by the hash of all its words. Where a fingerprint stands in stretches that
+    differ, a match is extended as far as it goes to both sides: each of the windows around is joined
+    for itself. What is joined has passed a filter of fixed size (FILTER_WORDS); if that is full, more
+    rows are joined, with the same result. Words are compared by 64-bit hashes. Earliest places win. Rows
+    equal in doc_id and text count as one document. Null and empty texts stay as they are, so do shorter
+    texts; all other columns are kept (a column ``deleted_bytes`` is replaced). No documents give no rows.
     """
     spark = docs.sparkSession
     whole = docs.withColumn("text", F.col("text").cast("string"))
-    places = fingerprints(whole, words).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    repeated = spark.sparkContext.broadcast(bit_filter(places, FILTER_WORDS))
-    blocks = marked_later(released(blocks_at(whole, repeated, words)), "block")
-    # a block's earlier copy holds all its windows, so a later block needs none of its own
-    lists = [F.when(~F.col("later"), F.col(c)).alias(c) for c in ("runs", "froms", "tos")]
-    blocks = released(blocks.select("doc_id", "print", "start", "end", "later", *lists))
-    single = blocks.where(~F.col("later")).select("doc_id", "print", F.col("start").alias("low"), F.inline(F.arrays_zip("runs", "froms", "tos")))
-    single = single.select("doc_id", "print", (F.col("low") + F.col("froms")).alias("start"), (F.col("low") + F.col("tos")).alias("end"), F.col("runs").alias("run"))
-    later = blocks.where("later").select("doc_id", "print", "start", "end").unionAll(marked_later(single, "run").where("later").select("doc_id", "print", "start", "end"))
-    ranges = joined_ranges(later).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    cut = released(kept_parts(ranges))
+    sharing = fingerprints(whole, words).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    stretches = stored(places_of(whole, spark.sparkContext.broadcast(bit_filter(sharing, FILTER_WORDS)), words, False))
+    differing = stretches.groupBy("key").agg(F.min("run").alias("a"), F.max("run").alias("b")).where("a <> b").select("key")
+    windows = stored(places_of(whole, spark.sparkContext.broadcast(bit_filter(differing, FILTER_WORDS)), words, True))
+    ranges = joined_ranges(later_places(stretches).unionAll(later_places(windows)))
+    cut = kept_parts(ranges.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
     part = F.transform("__parts", lambda p: F.expr("cast(text as binary)").substr(p["start"] + 1, p["size"]).cast("string"))
     same = whole["doc_id"].cast("long").eqNullSafe(F.col("__cut_id")) & (F.xxhash64(whole["text"]) == F.col("__cut_print"))
     text = F.when(F.col("__parts").isNull(), whole["text"]).otherwise(F.array_join(part, "")).alias("text")

@@ -80,7 +80,9 @@ def test_line_dedup(docs, none):
     got = line_dedup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "deleted_bytes"]
     rows = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got.collect())
-    assert rows == sorted((d is None, d or 0, "two" if d == 3 else t) for d, t, *_ in ROWS)
+    # LONG says its 977 words again and again: what follows their first round goes, but for its last word, which has a full stop
+    rest = {3: "two", 4: " ".join(f"word{i}" for i in range(977)) + " word402."}
+    assert rows == sorted((d is None, d or 0, rest.get(d, t)) for d, t, *_ in ROWS)
     assert line_dedup.dedup_lines(none).collect() == []
 
 

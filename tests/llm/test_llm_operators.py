@@ -62,35 +62,6 @@ def brute_near(rows, size=5):
     return {d: (min(members[root(i)]), links[i], len(copies[s])) for i, s in enumerate(texts) for d in copies[s]}
 
 
-def brute_line_dedup(rows, least=30):
-    seen, out = {}, {}
-    for d, text in rows:
-        body = (text or "").encode()
-        lines, spans = [], [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c\0]+", body)]
-        for k, (a, b) in enumerate(spans):
-            if k == 0 or b"\n" in body[spans[k - 1][1] : a] or body[spans[k - 1][1] - 1 : spans[k - 1][1]] in (b".", b"!", b"?"):
-                lines.append((a, []))
-            lines[-1][1].append(body[a:b])
-        n = [len(w) for _, w in lines]
-        runs = set()
-        for i in range(len(lines)):
-            runs |= {(i, j) for j in [next((j for j in range(i, len(lines)) if sum(n[i : j + 1]) >= least), None)] if j is not None}
-            runs |= {(j, i) for j in [next((j for j in range(i, -1, -1) if sum(n[j : i + 1]) >= least), None)] if j is not None}
-        gone = set()
-        for i, j in sorted(runs):
-            key = tuple(w for _, ws in lines[i : j + 1] for w in ws)
-            if seen.setdefault(key, (d, i)) != (d, i):
-                gone.update(range(i, j + 1))
-        stops = [a for a, _ in lines] + [len(body)]
-        out[d] = (body[: stops[0]] + b"".join(body[stops[k] : stops[k + 1]] for k in range(len(lines)) if k not in gone)).decode()
-    return out
-
-
-def test_line_dedup_equals_brute_force(spark):
-    rows = documents()
-    assert {r.doc_id: r.text for r in run(spark, "op5_line_dedup")} == brute_line_dedup(rows)
-
-
 def brute_passages(rows, least=30):
     seen, out = set(), {}
     for d, text in rows:
@@ -128,7 +99,7 @@ def test_line_dedup_finds_passages_wherever_they_are_pasted(spark):
     assert [len(got[d][0].split()) for d in (0, 1, 5, 6, 8, 9, 10)] == [171, 22, 30, 11, 43, 32, 29]
 
 
-def test_op5_deletes_every_repeated_window(spark):
+def test_line_dedup_equals_brute_force(spark):
     assert {r.doc_id: r.text for r in run(spark, "op5_line_dedup")} == brute_passages(documents())
 
 
@@ -319,7 +290,7 @@ def test_pipeline_stages_follow_each_other(spark):
     good = stages["quality_classifier"](spark, docs, SF).cache()
     assert good.columns == names and 0.6 < good.count() / docs.count() < 1
     lined = stages["line_dedup"](spark, good, SF).cache()
-    assert lined.columns == names and dict(rows(lined)) == brute_line_dedup(rows(good))
+    assert lined.columns == names and dict(rows(lined)) == brute_passages(rows(good))
     single = stages["ngram_jaccard_join"](spark, lined, SF).cache()
     classes = brute_near(rows(lined))
     assert single.columns == names and sorted(r.doc_id for r in single.collect()) == sorted({c for c, _, _ in classes.values()})
