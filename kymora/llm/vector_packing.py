@@ -125,24 +125,34 @@ def dot_product_packing(tokens: np.ndarray, loss: np.ndarray, limits: Limits) ->
         yield pieces
 
 
-def document_examples(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
-    """Each row's ids with ``end`` behind, as doc_id, n_tokens, n_loss and ids (little-endian unsigned 32-bit).
+def document_ids(vocabulary: str, end: int = 2):
+    """Arrow step from doc_id and text to doc_id, n_tokens, n_loss and ids (little-endian unsigned 32-bit), ``end`` last.
 
     Every token but a document's first, which nothing precedes, bears loss. A null text counts as empty.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, tail = coder(vocabulary), int(end).to_bytes(4, "little")
-        for part in steps(batches):
+        for part in steps(batches, limit=1 << 20):
             ids = [x + tail for x in code.encode([t or "" for t in part.column(1).to_pylist()])]
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array([len(x) // 4 - 1 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "n_loss", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, n_tokens long, n_loss long, ids binary")
+    return encode
+
+
+def _narrow(ids: bytes) -> bytes:
+    """Ids in 16 bits where all fit, for the way to the packing task."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if len(wide) and wide.max() < 1 << 16 else ids
+
+
+def _wide(ids: bytes, n: int) -> bytes:
+    return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * n else ids
 
 
 def _portions(limits: Limits, keep_ids: bool):
-    """Cut examples into portions under the limits; a portion that fills a sequence alone is done and needs no ids any more."""
+    """Arrow step that cuts examples into portions under the limits; one that fills a sequence alone needs no ids any more."""
 
     def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,10 +160,11 @@ def _portions(limits: Limits, keep_ids: bool):
             for doc, n, loss, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "n_loss", "ids")), strict=True):
                 start = 0
                 while start < n:
-                    now = int(limits.head(n - start, min(loss, n - start), limits.tokens, limits.loss))
+                    rest = min(loss, n - start)
+                    now = int(limits.head(n - start, rest, limits.tokens, limits.loss))
                     body = ids[4 * start : 4 * (start + now)]
-                    lost = max(0, now - (n - start) + min(loss, n - start))
-                    rows.append((doc, start, now, lost, n, zlib.crc32(body), body if keep_ids or now < limits.tokens else None))
+                    carried = _narrow(body) if keep_ids or now < limits.tokens else None
+                    rows.append((doc, start, now, max(0, now - (n - start) + rest), n, zlib.crc32(body), carried))
                     start += now
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64()] * 6 + [pa.binary()]
@@ -162,53 +173,63 @@ def _portions(limits: Limits, keep_ids: bool):
     return portions
 
 
-def pack_examples(examples: DataFrame, limits: Limits, groups: int | None = None, keep_ids: bool = True) -> DataFrame:
-    """Place examples (doc_id, n_tokens, n_loss, ids; other columns are ignored) in sequences under all ``limits``.
+_PORTIONS = "doc_id long, start long, length long, n_loss long, doc_tokens long, ids_crc32 long, ids binary"
 
-    Returns per piece doc_id, start (tokens of its example before it), length, n_loss, ids_crc32, doc_tokens, sequence_id,
-    offset and ids. Sequences are gapless from 0. The last ``n_loss`` tokens of an example bear loss. Examples beyond a limit are cut under it first, also
-    where ``limits.cut`` is off and all others stay whole; a portion that fills a sequence is one alone. The others are dealt
-    by hash to ``groups``, each packed in one task (None: counts ``examples`` and takes GROUP_EXAMPLES for each). Without
-    ``keep_ids`` pieces come without their ids. An example without tokens gives no piece; n_loss is at least 0, at most n_tokens, null as 0. Repeated rows are packed each for itself.
-    """
-    if min(limits.tokens, limits.segments, limits.loss) < 1:
-        raise ValueError("limits must be positive")
-    groups = groups or max(1, round(examples.count() / GROUP_EXAMPLES))
+
+def _packed(portions: DataFrame, limits: Limits, groups: int, keep_ids: bool) -> DataFrame:
+    """Deal portions to groups by hash and pack each group in one task."""
 
     def settle(table: pa.Table) -> pa.Table:
         columns = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("start", "length", "n_loss", "ids_crc32")}
         doc = table.column("doc_id").fill_null(-(1 << 63)).to_numpy()
         order = np.lexsort((columns["ids_crc32"], columns["start"], doc, -columns["n_loss"], -columns["length"]))
-        table = table.take(pa.array(order))
         group = int(table.column("pack_group")[0].as_py()) << 32
-        length, loss, start, total = (table.column(c).to_numpy() for c in ("length", "n_loss", "start", "doc_tokens"))
-        docs, crcs, bodies = (table.column(c).to_pylist() for c in ("doc_id", "ids_crc32", "ids"))
+        start, length, loss, crcs = (columns[c][order] for c in ("start", "length", "n_loss", "ids_crc32"))
+        take = pa.array(order)
+        docs, total, bodies = table.column("doc_id").take(take).to_pylist(), table.column("doc_tokens").take(take).to_numpy(), table.column("ids")
         rows, made = [], 0
-        full = np.flatnonzero(length == limits.tokens)
-        for i in full.tolist():
-            rows.append((docs[i], start[i], length[i], loss[i], crcs[i], total[i], group + made, 0, bodies[i]))
+
+        def add(i: int, begin: int, n: int, at: int) -> None:
+            crc, body = crcs[i], None
+            if keep_ids or n < length[i]:
+                body = _wide(bodies[int(order[i])].as_py(), int(length[i]))[4 * begin : 4 * (begin + n)]
+                crc = zlib.crc32(body)
+            rows.append((docs[i], start[i] + begin, n, max(0, begin + n - max(begin, int(length[i] - loss[i]))), crc, total[i], group + made, at, body if keep_ids else None))
+
+        for i in np.flatnonzero(length == limits.tokens).tolist():
+            add(i, 0, int(length[i]), 0)
             made += 1
-        open_ = np.flatnonzero(length < limits.tokens)
-        for pieces in dot_product_packing(length[open_], loss[open_], limits):
+        left = np.flatnonzero(length < limits.tokens)
+        for pieces in dot_product_packing(length[left], loss[left], limits):
             at = 0
             for k, begin, n in pieces:
-                i = int(open_[k])
-                body = bodies[i][4 * begin : 4 * (begin + n)]
-                rows.append((docs[i], start[i] + begin, n, max(0, begin + n - max(begin, int(length[i] - loss[i]))), zlib.crc32(body), total[i], group + made, at, body if keep_ids else None))
+                add(int(left[k]), begin, n, at)
                 at += n
             made += 1
         kinds = [pa.int64()] * 8 + [pa.binary()]
         names = ["doc_id", "start", "length", "n_loss", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    clean = examples.select(
-        "doc_id", F.col("n_tokens").cast("long"), F.greatest(F.lit(0), F.least(F.coalesce(F.col("n_loss"), F.lit(0)), "n_tokens")).cast("long").alias("n_loss"), "ids"
-    ).where("n_tokens > 0")
-    portions = clean.mapInArrow(_portions(limits, keep_ids), "doc_id long, start long, length long, n_loss long, doc_tokens long, ids_crc32 long, ids binary")
     dealt = portions.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
     schema = "doc_id long, start long, length long, n_loss long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    packed = dealt.groupBy("pack_group").applyInArrow(settle, schema)
-    return packed if keep_ids else packed.drop("ids")
+    return dealt.groupBy("pack_group").applyInArrow(settle, schema)
+
+
+def pack_examples(examples: DataFrame, limits: Limits, groups: int | None = None) -> DataFrame:
+    """Place examples (doc_id, n_tokens, n_loss, ids; other columns are ignored) in sequences under all ``limits``.
+
+    Returns per piece doc_id, start (tokens of its example before it), length, n_loss, ids_crc32, doc_tokens, sequence_id,
+    offset and ids. Sequences are gapless from 0. The last ``n_loss`` tokens of an example bear loss. Examples beyond a limit
+    are cut under it first, also where ``limits.cut`` is off and all others stay whole; a portion that fills a sequence is one
+    alone. The others are dealt by hash to ``groups``, each packed in one task (None: counts ``examples`` and takes
+    GROUP_EXAMPLES for each). An example without tokens gives no piece; n_loss is at least 0, at most n_tokens, null as 0.
+    Repeated rows are packed each for itself.
+    """
+    _positive(limits)
+    groups = groups or max(1, round(examples.count() / GROUP_EXAMPLES))
+    loss = F.greatest(F.lit(0), F.least(F.coalesce(F.col("n_loss"), F.lit(0)), "n_tokens")).cast("long")
+    clean = examples.where("n_tokens > 0").select("doc_id", F.col("n_tokens").cast("long"), loss.alias("n_loss"), "ids")
+    return _packed(clean.mapInArrow(_portions(limits, True), _PORTIONS), limits, groups, True)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
@@ -216,5 +237,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits())
 
     A null text counts as empty, and an empty text is its end token alone. No documents give no rows.
     """
-    groups = max(1, round(docs.count() / GROUP_EXAMPLES))
-    return pack_examples(document_examples(docs, vocabulary), limits, groups, keep_ids=False)
+    _positive(limits)
+    encode, portions = document_ids(vocabulary), _portions(limits, False)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda batches: portions(encode(batches)), _PORTIONS)
+    return _packed(rows, limits, max(1, round(docs.count() / GROUP_EXAMPLES)), False).drop("ids")
+
+
+def _positive(limits: Limits) -> None:
+    if min(limits.tokens, limits.segments, limits.loss) < 1:
+        raise ValueError("limits must be positive")
