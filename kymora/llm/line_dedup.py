@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kymora.llm.common import RAW, bit_filter, in_filter, mix, steps, stored, text_buffers, word_hashes, word_spans
@@ -85,42 +85,70 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(mark, "key long")
 
 
+def _place_marks(run: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash for each place of a run, as ``_mark`` gives it."""
+    return run ^ text.view(np.uint64) ^ (start.astype(np.uint64) << np.uint64(17))
+
+
+def _mark() -> Column:
+    return F.col("run").bitwiseXOR(F.col("print")).bitwiseXOR(F.shiftleft("start", 17))
+
+
 def places_of(docs: DataFrame, passed, words: int, single: bool) -> DataFrame:
-    """Places of windows whose fingerprint (``key``) passes a filter, with the hash of all their words (``run``).
+    """Places of stretches, neighbouring windows with one fingerprint (``key``), with the hash of all their words (``run``).
 
-    Neighbouring windows with one fingerprint make one place, unless ``single`` asks for each window.
+    Those whose fingerprint passes a filter; with ``single`` the windows, one by one, of those stretches whose mark passes it.
     """
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             found = Windows(batch.column(2), words)
+            text = batch.column(1).to_numpy()
             # the fingerprint's place never goes back from one window to the next
             first = np.flatnonzero(np.append(np.ones(min(1, len(found.at)), bool), found.at[1:] != found.at[:-1]))
-            count = np.diff(np.append(first, len(found.at)))
-            key = found.marks[found.at[first]]
-            keep = np.flatnonzero(in_filter(key, passed.value))
-            first, count, key = first[keep], count[keep], key[keep]
+            count, key = np.diff(np.append(first, len(found.at))), found.marks[found.at[first]]
+
+            def measured(first: np.ndarray, count: np.ndarray):
+                begin = found.begin[first]
+                doc, start, _ = found.spans(begin)
+                return doc, start, found.spans(begin + count - 1)[2], found.hashes(begin, count + (words - 1))
+
             if single:
-                cut = np.append(0, np.cumsum(count))
-                first, key, count = np.arange(cut[-1]) + np.repeat(first - cut[:-1], count), np.repeat(key, count), np.ones(cut[-1], np.int64)
-            begin = found.begin[first]
-            doc, start, _ = found.spans(begin)
-            _, _, end = found.spans(begin + count - 1)
-            run, owner = found.hashes(begin, count + (words - 1)), pa.array(doc)
+                doc, start, _, run = measured(first, count)
+                keep = np.flatnonzero(in_filter(_place_marks(run, text[doc], start), passed.value))
+                cut = np.append(0, np.cumsum(count[keep]))
+                first = np.arange(cut[-1]) + np.repeat(first[keep] - cut[:-1], count[keep])
+                key, count = np.repeat(key[keep], count[keep]), np.ones(cut[-1], np.int64)
+            else:
+                keep = np.flatnonzero(in_filter(key, passed.value))
+                first, count, key = first[keep], count[keep], key[keep]
+            doc, start, end, run = measured(first, count)
+            owner = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), pa.array(start), pa.array(end)],
                 names=["doc_id", "print", "key", "run", "start", "end"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("print"), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), _print(docs).alias("print"), F.col("text"))
     return rows.mapInArrow(pick, "doc_id long, print long, key long, run long, start long, end long")
 
 
-def later_places(places: DataFrame) -> DataFrame:
-    """Those of ``places`` whose run stands at an earlier place too."""
+def _print(docs: DataFrame) -> Column:
+    """Tells rows apart that differ in doc_id or text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
+def earliest_places(places: DataFrame) -> DataFrame:
+    """Of each run its fingerprint, the number of its places, and the earliest one."""
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "print", "start")
-    earliest = places.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("run", "first")
-    return places.join(earliest, "run").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "print", "start", "end")
+    return places.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min("key").alias("key"))
+
+
+def later_places(places: DataFrame, earliest: DataFrame) -> DataFrame:
+    """Those of ``places`` whose run stands at an earlier place too."""
+    first = earliest.where("n > 1").select("run", F.col("first.print").alias("__print"), F.col("first.start").alias("__start"))
+    other = (F.col("print") != F.col("__print")) | (F.col("start") != F.col("__start"))
+    return places.join(first, "run").where(other).select("doc_id", "print", "start", "end")
 
 
 def joined_ranges(windows: DataFrame) -> DataFrame:
@@ -176,8 +204,8 @@ def dedup_lines(docs: DataFrame, words: int = RUN_WORDS) -> DataFrame:
     """``docs`` with their later repeated passages deleted from ``text``; adds ``deleted_bytes``.
 
     Words stand between white space. A word is deleted if it lies in a window of ``words`` words that
-    also stands at an earlier place: in a document with a smaller doc_id (null first, equal ones by the
-    hash of the text), or further ahead in the same one, where the two may overlap (of a phrase said
+    also stands at an earlier place: in a document with a smaller doc_id (null first, equal ones by a
+    hash of id and text), or further ahead in the same one, where the two may overlap (of a phrase said
     again and again one stays). Neither lines nor sentences matter, so a passage is found wherever it
     is pasted; matches longer than a window are its neighbours, which are deleted word by word as far
     as the match goes both ways. White space behind a deleted word goes with it.
@@ -185,22 +213,25 @@ def dedup_lines(docs: DataFrame, words: int = RUN_WORDS) -> DataFrame:
     Windows are winnowed: each has the minimum of its parts' hashes as its fingerprint, so equal windows
     share it. Fingerprints that stand at several places are joined: first the stretch of neighbouring
     windows around each, by the hash of all its words. Where a fingerprint stands in stretches that
-    differ, a match is extended as far as it goes to both sides: each of the windows around is joined
-    for itself. What is joined has passed a filter of fixed size (FILTER_WORDS); if that is full, more
-    rows are joined, with the same result. Words are compared by 64-bit hashes. Earliest places win. Rows
-    equal in doc_id and text count as one document. Null and empty texts stay as they are, so do shorter
-    texts; all other columns are kept (a column ``deleted_bytes`` is replaced). No documents give no rows.
+    differ, a match of the earliest of each kind is extended as far as it goes to both sides: each of
+    its windows is joined for itself (later ones are gone as a whole). What is joined has passed a filter
+    of fixed size (FILTER_WORDS); if that is full, more rows are joined, with the same result. Words are
+    compared by 64-bit hashes. Earliest places win. Rows equal in doc_id and text count as one document.
+    Null and empty texts stay as they are, so do shorter texts; all other columns are kept (a column
+    ``deleted_bytes`` is replaced). No documents give no rows.
     """
     spark = docs.sparkSession
     whole = docs.withColumn("text", F.col("text").cast("string"))
     sharing = fingerprints(whole, words).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     stretches = stored(places_of(whole, spark.sparkContext.broadcast(bit_filter(sharing, FILTER_WORDS)), words, False))
-    differing = stretches.groupBy("key").agg(F.min("run").alias("a"), F.max("run").alias("b")).where("a <> b").select("key")
-    windows = stored(places_of(whole, spark.sparkContext.broadcast(bit_filter(differing, FILTER_WORDS)), words, True))
-    ranges = joined_ranges(later_places(stretches).unionAll(later_places(windows)))
+    earliest = stored(earliest_places(stretches))
+    differing = earliest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    opened = earliest.join(differing, "key", "left_semi").select("run", "first.print", "first.start").select(_mark().alias("key"))
+    windows = stored(places_of(whole, spark.sparkContext.broadcast(bit_filter(opened, FILTER_WORDS)), words, True))
+    ranges = joined_ranges(later_places(stretches, earliest).unionAll(later_places(windows, earliest_places(windows))))
     cut = kept_parts(ranges.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
     part = F.transform("__parts", lambda p: F.expr("cast(text as binary)").substr(p["start"] + 1, p["size"]).cast("string"))
-    same = whole["doc_id"].cast("long").eqNullSafe(F.col("__cut_id")) & (F.xxhash64(whole["text"]) == F.col("__cut_print"))
+    same = whole["doc_id"].cast("long").eqNullSafe(F.col("__cut_id")) & (_print(whole) == F.col("__cut_print"))
     text = F.when(F.col("__parts").isNull(), whole["text"]).otherwise(F.array_join(part, "")).alias("text")
     return whole.join(cut, same, "left").select(
         *[text if c == "text" else whole[f"`{c}`"] for c in docs.columns if c != "deleted_bytes"],
