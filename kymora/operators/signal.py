@@ -1,7 +1,7 @@
 """Spectra, correlation and peaks of ordered series.
 
-A series is cut into blocks of bounded length.  Whole-series results are sums over
-blocks or pairs of blocks, so no series has to fit into one task.
+A series is cut into blocks of bounded length, and transforms are split (``transforms``), so no series has to fit
+into one task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from kymora.functions.curves import local_maxima
 from kymora.operators.ordered import attach_stats, neighbour_columns, null_safe_join, run_ids
+from kymora.operators.transforms import BITS, correlation_sums, spectrum
 from kymora.session import cut_lineage
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -38,13 +39,8 @@ def blocks(df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str]
 # ---------------------------------------------------------------- correlation over all lags
 
 
-@F.pandas_udf(DOUBLES)
-def _correlate(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([np.correlate(np.asarray(x, float), np.asarray(y, float), "full") for x, y in zip(a, b)])
-
-
-def cross_correlogram(df: DataFrame, keys: Sequence[str], index: str, first: str, second: str, size: int = BLOCK) -> DataFrame:
-    """Normalised correlation of two series at every lag.
+def cross_correlogram(df: DataFrame, keys: Sequence[str], index: str, first: str, second: str, bits: int = BITS) -> DataFrame:
+    """Normalised correlation of two series at every lag, from the product of their transforms.
 
     Series under two rows or without variance give nothing.
     """
@@ -53,17 +49,10 @@ def cross_correlogram(df: DataFrame, keys: Sequence[str], index: str, first: str
         F.var_pop(first).alias("__v1"), F.var_pop(second).alias("__v2"),
     ).filter("__n > 1 AND __v1 > 0 AND __v2 > 0")
     d = null_safe_join(df, stats, list(keys), "inner")
-    d = d.select(*keys, index, "__n", "__v1", "__v2", (F.col(first) - F.col("__m1")).alias("__a"), (F.col(second) - F.col("__m2")).alias("__b"))
+    d = d.select(*keys, index, (F.col(first) - F.col("__m1")).alias("__a"), (F.col(second) - F.col("__m2")).alias("__d"))
     norm = stats.select(*keys, (F.col("__n") * F.sqrt(F.col("__v1") * F.col("__v2"))).alias("__norm"))
-    p = blocks(d, keys, index, ["__a", "__b"], size)
-    left = p.select(*keys, F.col("block").alias("__ba"), "__a")
-    right = p.select(*keys, F.col("block").alias("__bb"), "__b")
-    pairs = null_safe_join(left, right, list(keys), "inner")
-    parts = pairs.select(*keys, "__ba", "__bb", F.size("__b").alias("__nb"), F.posexplode(_correlate("__a", "__b")).alias("__k", "__c"))
-    lag = F.col("__k") - (F.col("__nb") - 1) + (F.col("__ba") - F.col("__bb")) * size
-    sums = parts.groupBy(*keys, lag.alias("lag")).agg(F.sum("__c").alias("__c"))
-    out = null_safe_join(sums, norm, list(keys), "inner")
-    return out.select(*keys, "lag", (F.col("__c") / F.col("__norm")).alias("r"))
+    out = null_safe_join(correlation_sums(d, keys, index, "__a", "__d", bits), norm, list(keys), "inner")
+    return out.select(*keys, "lag", (F.col("c") / F.col("__norm")).alias("r"))
 
 
 def strongest_lag(correlogram: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,39 +72,6 @@ def mean_correlogram(correlogram: DataFrame, group: str, subject: str) -> DataFr
 # ---------------------------------------------------------------- spectra
 
 
-def _partial_dft(values, start, n, k0, k1) -> tuple[np.ndarray, np.ndarray]:
-    x = np.asarray(values, float)
-    if len(x) == n:
-        z = np.fft.rfft(x)[k0:k1]
-    else:
-        t = start + np.arange(len(x))
-        k = np.arange(k0, k1)
-        z = np.exp((-2j * math.pi / n) * ((k[:, None] * t[None, :]) % n)) @ x
-    return z.real, z.imag
-
-
-@F.pandas_udf(T.StructType().add("re", DOUBLES).add("im", DOUBLES))
-def _dft(values: pd.Series, start: pd.Series, n: pd.Series, k0: pd.Series, k1: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_partial_dft(*row) for row in zip(values, start, n, k0, k1)], columns=["re", "im"])
-
-
-def spectrum(df: DataFrame, keys: Sequence[str], index: str, value: str, size: int = BLOCK) -> DataFrame:
-    """Fourier coefficients k = 0 .. n//2 of each series.
-
-    A short series is one block.  A long one is a sum of block transforms, split into
-    ranges of k.
-    """
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    p = null_safe_join(blocks(df, keys, index, [value], size), n, list(keys), "inner")
-    top = F.floor(F.col("n") / 2) + 1
-    ranges = F.when(F.col("n") <= size, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), top - 1, F.lit(size).cast("long")))
-    p = p.withColumn("__k0", F.explode(ranges))
-    k1 = F.when(F.col("n") <= size, top).otherwise(F.least(F.col("__k0") + size, top))
-    z = p.select(*keys, "n", "__k0", _dft(value, F.col("block") * size, F.col("n"), F.col("__k0"), k1).alias("__z"))
-    rows = z.select(*keys, "n", "__k0", F.posexplode(F.arrays_zip(F.col("__z.re").alias("re"), F.col("__z.im").alias("im"))).alias("__i", "__c"))
-    return rows.groupBy(*keys, "n", (F.col("__k0") + F.col("__i")).alias("k")).agg(F.sum("__c.re").alias("re"), F.sum("__c.im").alias("im"))
-
-
 def magnitudes(spec: DataFrame) -> DataFrame:
     """Amplitude 2/n |X_k| of the first n//2 coefficients."""
     out = spec.filter(F.col("k") < F.floor(F.col("n") / 2))

@@ -272,8 +272,8 @@ def f28(spark, d):
 
 @query("f28_blocked_spectrum", f"{DFT} SELECT subject, n, k, round(2 * sqrt(re ** 2 + im ** 2) / n, 8) AS magnitude FROM ft WHERE k < n // 2")
 def f28b(spark, d):
-    """The same with blocks of 16 values, as long series are handled."""
-    return rounded(G.magnitudes(G.spectrum(I.series(spark, d), KEY, "frame", "angle", 16)), 8)
+    """The same split into columns and rows of 16 values, as long series are."""
+    return rounded(G.magnitudes(G.spectrum(I.series(spark, d), KEY, "frame", "angle", 4)), 8)
 
 
 @query("f28_periodogram", f"""{SER}, c AS (SELECT subject, n, frame, angle - avg(angle) OVER (PARTITION BY subject) AS v FROM n), ft AS (SELECT subject, n, k, sum(v * cos(2 * pi() * ((k * frame) % n) / n)) AS re, sum(v * sin(2 * pi() * ((k * frame) % n) / n)) AS im FROM c, range(0, 400) r(k) WHERE k <= n // 2 GROUP BY subject, n, k)
@@ -317,7 +317,7 @@ XC = f"""{SER}, d AS (SELECT subject, frame, angle - avg(angle) OVER w AS a, val
 
 @query("w20_strongest_lag", f"{XC} SELECT subject, round(arg_max(r, {{'r': round(abs(r), 12), 'l': -lag}}), 6) AS max_corr, arg_max(lag, {{'r': round(abs(r), 12), 'l': -lag}}) AS max_lag FROM xc GROUP BY 1")
 def w20(spark, d):
-    c = G.cross_correlogram(I.series(spark, d), KEY, "frame", "angle", "value", 32)
+    c = G.cross_correlogram(I.series(spark, d), KEY, "frame", "angle", "value", 5)
     return rounded(G.strongest_lag(c, KEY))
 
 
