@@ -38,6 +38,8 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -47,7 +49,10 @@ class Coder:
             needed.update(words)
         if len(self.ids) > CACHED_WORDS:
             self.ids = dict(islice(self.ids.items(), CACHED_WORDS // 2))
-        parts = {w: (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for w in needed.difference(self.ids)}
+        new = needed.difference(self.ids)
+        plain = {w: (m[1].lower(), m[2]) for w in new if (m := _PLAIN.fullmatch(w))}
+        parts = plain | {w: (w, "") for w in new.difference(plain)}
+        self._letters(list({body for body, _ in plain.values()}.difference(self.ids)))
         fresh = list({p for pair in parts.values() for p in pair if p}.difference(self.ids))
         for word, code in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             self.ids[word] = array("I", code.ids).tobytes()
@@ -56,6 +61,16 @@ class Coder:
             self.ids[word] = look(body) + look(marks) if marks else look(body)
         return [b"".join(map(look, words)) for words in split]
 
+    def _letters(self, words: list[str]) -> None:
+        """Ids of words of letters alone, many in one text: each ends with its only token that ends a word."""
+        for lo in range(0, len(words), 200):
+            some = words[lo : lo + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(some):
+                raw = ids.tobytes()
+                self.ids.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *stops], stops, strict=False))
+
 
 def coder(path: str) -> Coder:
     if path not in _CODERS:
