@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,57 +37,99 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("__root", "node").alias("label"))
 
 
-def _settle(rows: pa.Table) -> pa.Table:
-    """Decide the losers of one block as far as its edges allow; ``open`` marks winners that are not known to stay."""
-    winners, losers, undecided = (rows.column(c).to_pylist() for c in ("winner", "loser", "open"))
-    here = set(losers)
-    waits, beats = dict.fromkeys(here, 0), {}
-    kept: dict[str, bool] = {}
-    ready: deque[tuple[str, bool]] = deque()
-    for winner, loser, unsure in zip(winners, losers, undecided, strict=True):
-        waits[loser] += 1
-        beats.setdefault(winner, []).append(loser)
-        if not unsure:
-            ready.append((winner, True))
-    done = set()
-    while ready:
-        node, stays = ready.popleft()
-        if node in done:
-            continue
-        done.add(node)
-        if node in here:
-            kept[node] = stays
-        for loser in beats.get(node, ()):
-            waits[loser] -= 1
-            if stays:
-                ready.append((loser, False))
-            elif not waits[loser]:
-                ready.append((loser, True))
-    return pa.table({"node": pa.array(kept.keys(), pa.string()), "stays": pa.array(kept.values(), pa.bool_())})
-
-
-def greedy_select(nodes: DataFrame, edges: DataFrame, block=lambda node: F.pmod(F.xxhash64(node), F.lit(1024))) -> DataFrame:
+#: Conditions that are settled together in one step of a task.
+STEP_ROWS = 500_000
+_SETTLED = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("known", pa.int32()), ("winner", pa.int64()), ("flip", pa.int32()), ("alone", pa.bool_())])
+
+
+def _settle(block: np.ndarray, loser: np.ndarray, winner: np.ndarray, flip: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    """Settle losers as far as their conditions allow.
+
+    A loser stays if none of its conditions holds; a condition holds if its winner stays (with ``flip`` if it goes).  Where
+    one open condition is left, the loser is the winner's opposite, and those who depend on it are tied to the winner.
+    """
+    ids, at = np.unique(np.concatenate([loser, winner]), return_inverse=True)
+    home = np.zeros(len(ids), np.int64)
+    low, high = at[: len(loser)], at[len(loser) :]
+    home[low] = block
+    state = np.full(len(ids), -1)
+    state[high[known >= 0]] = known[known >= 0]
+    own = np.unique(low)
+    tied, opposite = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    moved = True
+    while moved:
+        holds = np.where(state[high] >= 0, state[high] ^ flip, -1)
+        # a winner that stays and goes: one of the two conditions holds
+        pairs = np.unique(np.stack([low, high, flip]), axis=1)
+        twice = np.flatnonzero((pairs[0, 1:] == pairs[0, :-1]) & (pairs[1, 1:] == pairs[1, :-1]))
+        out = np.zeros(len(ids), bool)
+        out[low[holds == 1]] = True
+        out[pairs[0, twice]] = True
+        waits = np.bincount(low[holds < 0], minlength=len(ids))
+        fresh = own[(state[own] < 0) & (out[own] | (waits[own] == 0))]
+        state[fresh] = ~out[fresh]
+        keep = (holds < 0) & (state[low] < 0)
+        low, high, flip = np.unique(np.stack([low[keep], high[keep], flip[keep]]), axis=1)
+        alone = np.bincount(low, minlength=len(ids))[low] == 1
+        tied[low[alone]], opposite[low[alone]] = high[alone], flip[alone] ^ 1
+        next_ = tied[high]
+        moved = bool(len(fresh)) or bool((next_ != high).any())
+        flip, high = np.where(next_ != high, flip ^ opposite[high], flip), next_
+    done = own[state[own] >= 0]
+    alone = np.bincount(low, minlength=len(ids))[low] == 1
+    none = pa.nulls(len(done), pa.int64())
+    columns = [
+        [pa.array(home[done]), pa.array(ids[done]), pa.array(state[done], pa.int32()), none, none.cast(pa.int32()), none.cast(pa.bool_())],
+        [pa.array(home[low]), pa.array(ids[low]), pa.nulls(len(low), pa.int32()), pa.array(ids[high]), pa.array(flip, pa.int32()), pa.array(alone)],
+    ]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*columns, strict=True)], schema=_SETTLED)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settle a task's conditions in steps, each of whole losers; the rows come sorted by block and loser."""
+    held: list[pa.RecordBatch] = []
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        known = rows.column("known").fill_null(-1).to_numpy()
+        return _settle(*(rows.column(c).to_numpy() for c in ("block", "loser", "winner")), rows.column("flip").to_numpy().astype(np.int64), known.astype(np.int64))
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= STEP_ROWS:
+            rows = pa.Table.from_batches(held)
+            last = rows.column("loser")[-1].as_py()
+            cut = int(np.flatnonzero(rows.column("loser").to_numpy() != last)[-1]) + 1 if rows.column("loser")[0].as_py() != last else 0
+            if cut:
+                yield settle(rows.slice(0, cut))
+            held = rows.slice(cut).to_batches()
+    if sum(b.num_rows for b in held):
+        yield settle(pa.Table.from_batches(held))
+
+
+def greedy_select(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows a greedy pass in priority order would keep.
 
-    ``nodes`` has a ``node`` column; ``edges`` (``winner``, ``loser``) says that the loser
-    goes if the winner stays.  A round settles every block of losers (``block`` maps a node to
-    its block) from the winners known to stay, along chains of any length inside the block;
-    what depends on other blocks waits for the next round.  Rounds go on until no edge is open, so
-    their number is that of the blocks a chain of decisions runs through: blocks should be near places.
+    ``nodes`` has a ``node`` (long), ``edges`` (``winner``, ``loser``, and ``block``, a place of the loser; a hash if there is
+    none) says that the loser goes if the winner stays.  A round settles blocks near each other in one task.  What still
+    depends on one node of another block becomes that node or its opposite, and ties are followed from round to round, so a
+    chain of blocks is settled in as many rounds as the logarithm of its length.  Where nodes wait for several others, a
+    round takes a block.  Rounds go on until nothing is open.
     """
-    name = lambda c: F.to_json(F.struct(F.col(c).alias("node")))
-    named = edges.select(name("winner").alias("winner"), name("loser").alias("loser"), block(F.col("loser")).alias("block"))
-    now = cut_lineage(named.distinct())
-    gone = None
-    while not now.isEmpty():
-        losers = now.select(F.col("loser").alias("winner"), F.lit(True).alias("open")).distinct()
-        flagged = now.join(losers, "winner", "left").select("winner", "loser", "block", F.coalesce("open", F.lit(False)).alias("open"))
-        decided = cut_lineage(flagged.groupBy("block").applyInArrow(_settle, "node string, stays boolean"))
-        dropped = decided.filter(~F.col("stays")).select("node")
-        gone = dropped if gone is None else cut_lineage(gone.union(dropped))
-        # an edge is closed once its loser is decided or its winner has gone
-        now = now.join(decided.select(F.col("node").alias("loser")), "loser", "left_anti")
-        now = cut_lineage(now.join(dropped.withColumnRenamed("node", "winner"), "winner", "left_anti"))
-    if gone is None:
-        return nodes
-    return nodes.withColumn("__name", name("node")).join(gone.select(F.col("node").alias("__name")), "__name", "left_anti").drop("__name")
+    block = F.col("block") if "block" in edges.columns else F.pmod(F.xxhash64("loser"), F.lit(1024))
+    named = cut_lineage(edges.select("winner", "loser", block.cast("long").alias("block")).distinct())
+    losers = named.select(F.col("loser").alias("winner"), F.lit(True).alias("open")).distinct()
+    now = named.join(losers, "winner", "left").select("block", "loser", "winner", F.lit(0).alias("flip"), F.when(F.col("open").isNull(), F.lit(1)).alias("known"))
+    gone = []
+    while True:
+        dealt = now.select("block", "loser", "winner", "flip", "known").repartition("block").sortWithinPartitions("block", "loser")
+        step = cut_lineage(dealt.mapInArrow(_settled, "block long, node long, known int, winner long, flip int, alone boolean"))
+        gone.append(step.filter("known = 0").select("node"))
+        open_ = step.filter("known IS NULL")
+        if open_.isEmpty():
+            return nodes.join(reduce(DataFrame.unionAll, gone), "node", "left_anti")
+        decided = step.filter("known IS NOT NULL").select(F.col("node").alias("winner"), "known")
+        ties = open_.filter("alone").join(decided, "winner", "left").select(F.col("node").alias("winner"), F.col("known").bitwiseXOR(F.col("flip")).bitwiseXOR(F.lit(1)).alias("known"), F.col("winner").alias("root"), F.col("flip").bitwiseXOR(F.lit(1)).alias("turn"))
+        facts = decided.select("winner", "known", F.lit(None).cast("long").alias("root"), F.lit(None).cast("int").alias("turn")).unionAll(ties)
+        joined = open_.drop("known", "alone").withColumnRenamed("node", "loser").join(facts, "winner", "left")
+        follow = F.col("root").isNotNull() & F.col("known").isNull()
+        now = joined.select("block", "loser", F.when(follow, F.col("root")).otherwise(F.col("winner")).alias("winner"), F.when(follow, F.col("flip").bitwiseXOR(F.col("turn"))).otherwise(F.col("flip")).alias("flip"), "known")

@@ -15,6 +15,7 @@ from kymora.functions.scalar import pixel_code
 from kymora.operators.graph import connected_components, greedy_select
 from kymora.operators.masks import FRAME, MASK, POS, SHIFT, components, empty_pixels, keep_largest, overlap_pairs
 from kymora.operators.ordered import CHUNK, null_safe_join, running_total, width_bucket, with_row_index
+from kymora.session import cut_lineage
 
 
 def spot_candidates(values: DataFrame, size: int = 10, percentile: float = 0.85) -> DataFrame:
@@ -62,55 +63,59 @@ CELLS = 64
 
 
 def box_nms(boxes: DataFrame, group: Sequence[str], box_id: str, score: str, threshold: float, cells: int = CELLS) -> DataFrame:
-    """Greedy suppression of boxes (x0, y0, x1, y1) by score; ties go to the smaller id.
+    """Greedy suppression of boxes (x0, y0, x1, y1) by score; ties go to the smaller id, null scores come last.
 
-    IoU over t forces sizes within a factor 1/t and centres within (1 - t) of the larger side, so
-    only boxes of a like size and place are compared.  Conflicts are settled in blocks of ``cells`` x
-    ``cells`` places of a size, and over blocks in rounds, so that no task holds an image whole.
+    Of equal boxes only the best can stay.  IoU over t forces sizes within a factor 1/t, so a box meets boxes of its own
+    level of sizes and the next one up; its centre lies within (1 - t) of its own side if t is a half or more (else of half
+    its side and (1/2 - t) of the other one), so it goes only to the cells it can reach, four at most for each level.
+    Conflicts are settled by places of ``cells`` x ``cells`` cells.  Boxes without an area stay.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     base = 1.0 / threshold
-    b = boxes.filter((w > 0) & (h > 0)).withColumns(
-        {
-            "__lv": F.floor(F.log(F.greatest(w, h).cast("double")) / math.log(base)),
-            "__cy": (F.col("y0") + F.col("y1")) / 2, "__cx": (F.col("x0") + F.col("x1")) / 2,
-        }
+    numbered = cut_lineage(boxes.withColumn("node", F.monotonically_increasing_id()))
+    sides = [(F.col(f"{c}1") - F.col(f"{c}0")).cast("double") for c in "yx"]
+    rows = numbered.filter((sides[0] > 0) & (sides[1] > 0)).select(
+        *group, "node", F.coalesce(F.col(score).cast("double"), F.lit(-math.inf)).alias("__s"), F.col(box_id).alias("__i"), *[F.col(c).cast("double").alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")]
     )
+    first = F.min(F.struct((-F.col("__s")).alias("__s"), F.col("__i"), F.col("node")))
+    best = rows.groupBy(*group, "__x0", "__y0", "__x1", "__y1").agg(first.alias("__f"))
+    best = best.select(*group, "__x0", "__y0", "__x1", "__y1", (-F.col("__f.__s")).alias("__s"), F.col("__f.__i").alias("__i"), F.col("__f.node").alias("node"))
+    h, w = F.col("__y1") - F.col("__y0"), F.col("__x1") - F.col("__x0")
+    best = best.withColumns({"__lv": F.floor(F.log(F.greatest(w, h)) / math.log(base)), "__cy": (F.col("__y0") + F.col("__y1")) / 2, "__cx": (F.col("__x0") + F.col("__x1")) / 2})
+    best = cut_lineage(best)
 
-    def cell(c: str, level: Column) -> Column:
-        return F.floor(F.col(c) / ((1 - threshold) * F.pow(F.lit(base), level + 2)))
+    def side(level: Column) -> Column:
+        """Twice the way that the centres of two boxes up to this level can lie apart."""
+        return 2 * max(1 - threshold, 0.5) * F.pow(F.lit(base), level + 1)
+
+    def cell(centre: Column, level: Column) -> Column:
+        return F.floor(centre / side(level))
 
     # The smaller level of a pair looks at its own level and the next one up.
-    a = b
-    for part, reach in (("__dl", (0, 1)), ("__dy", (-1, 0, 1)), ("__dx", (-1, 0, 1))):
-        a = a.withColumn(part, F.explode(F.array(*[F.lit(r) for r in reach])))
-    a = a.withColumn("__l", F.col("__lv") + F.col("__dl"))
-    a = a.withColumns({"__gy": cell("__cy", F.col("__l")) + F.col("__dy"), "__gx": cell("__cx", F.col("__l")) + F.col("__dx")})
-    names = [box_id, score, "x0", "y0", "x1", "y1"]
-    a = a.select(*group, "__l", "__gy", "__gx", *[F.col(c).alias(f"__a_{c}") for c in names])
-    o = b.select(*group, F.col("__lv").alias("__l"), cell("__cy", F.col("__lv")).alias("__gy"), cell("__cx", F.col("__lv")).alias("__gx"), *[F.col(c).alias(f"__b_{c}") for c in names])
-    p = null_safe_join(a, o, [*group, "__l", "__gy", "__gx"], "inner").filter(F.col(f"__a_{box_id}") != F.col(f"__b_{box_id}"))
-    A, B = (lambda c: F.col(f"__a_{c}")), (lambda c: F.col(f"__b_{c}"))
-    iw = F.greatest(F.least(A("x1"), B("x1")) - F.greatest(A("x0"), B("x0")), F.lit(0))
-    ih = F.greatest(F.least(A("y1"), B("y1")) - F.greatest(A("y0"), B("y0")), F.lit(0))
-    areas = (A("x1") - A("x0")) * (A("y1") - A("y0")) + (B("x1") - B("x0")) * (B("y1") - B("y0"))
-    near = iw * ih > threshold * (areas - iw * ih)
-    first = (A(score) > B(score)) | ((A(score) == B(score)) & (A(box_id) < B(box_id)))
-
-    def node(side: str) -> Column:
-        c = lambda n: F.col(f"{side}{n}")
-        span = F.greatest(c("x1") - c("x0"), c("y1") - c("y0")).cast("double")
-        level = F.floor(F.log(span) / math.log(base))
-        reach = F.lit(float(cells)) * F.pow(F.lit(base), level + 1)
-        tile = [F.floor((c(f"{a}0") + c(f"{a}1")) / 2 / reach).alias(f"tile_{a}") for a in "yx"]
-        return F.struct(*[F.col(g) for g in group], c(box_id).alias("id"), F.coalesce(level, F.lit(0).cast("long")).alias("level"), *tile)
-
-    na, nb = node("__a_"), node("__b_")
-    edges = p.filter(near).select(F.when(first, na).otherwise(nb).alias("winner"), F.when(first, nb).otherwise(na).alias("loser"))
-    place = lambda n: F.xxhash64(*[n[g] for g in group], n["level"], n["tile_y"], n["tile_x"])
-    return greedy_select(boxes.withColumn("node", node("")), edges, place).drop("node")
+    a = best.withColumn("__l", F.explode(F.array(F.col("__lv"), F.col("__lv") + 1)))
+    for c, size in (("y", h), ("x", w)):
+        reach = (1 - threshold) * size if threshold >= 0.5 else size / 2 + (0.5 - threshold) * F.pow(F.lit(base), F.col("__l") + 1)
+        # a little more than the way, for rounding
+        near = F.sequence(cell(F.col(f"__c{c}") - reach * 1.000001, F.col("__l")), cell(F.col(f"__c{c}") + reach * 1.000001, F.col("__l")))
+        a = a.withColumn(f"__g{c}", F.explode(near))
+    names = ["node", "__s", "__i", "__x0", "__y0", "__x1", "__y1"]
+    place = F.xxhash64(*group, "__lv", *[F.floor(cell(F.col(f"__c{c}"), F.col("__lv")) / cells) for c in "yx"])
+    left = a.select(*group, "__l", "__gy", "__gx", F.struct(*names, place.alias("place"), "__lv").alias("a"))
+    right = best.select(*group, F.col("__lv").alias("__l"), cell(F.col("__cy"), F.col("__lv")).alias("__gy"), cell(F.col("__cx"), F.col("__lv")).alias("__gx"), F.struct(*names, place.alias("place"), "__lv").alias("b"))
+    p = null_safe_join(left, right, [*group, "__l", "__gy", "__gx"], "inner")
+    A, B = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    p = p.filter((A("__lv") < B("__lv")) | (A("node") < B("node")))
+    iw = F.greatest(F.least(A("__x1"), B("__x1")) - F.greatest(A("__x0"), B("__x0")), F.lit(0.0))
+    ih = F.greatest(F.least(A("__y1"), B("__y1")) - F.greatest(A("__y0"), B("__y0")), F.lit(0.0))
+    areas = (A("__x1") - A("__x0")) * (A("__y1") - A("__y0")) + (B("__x1") - B("__x0")) * (B("__y1") - B("__y0"))
+    wins = (A("__s") > B("__s")) | ((A("__s") == B("__s")) & (A("__i") < B("__i")))
+    near = p.filter(iw * ih > threshold * (areas - iw * ih))
+    pick = lambda c: (F.when(wins, A(c)).otherwise(B(c)), F.when(wins, B(c)).otherwise(A(c)))
+    edges = near.select(pick("node")[0].alias("winner"), pick("node")[1].alias("loser"), pick("place")[1].alias("block"))
+    kept = greedy_select(best.select("node"), edges)
+    flat = numbered.filter(~F.coalesce((sides[0] > 0) & (sides[1] > 0), F.lit(False))).select("node")
+    return numbered.join(kept.unionAll(flat), "node", "left_semi").drop("node")
 
 
 def overlap_groups(px: DataFrame) -> DataFrame:

@@ -16,26 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kymora.functions.curves import local_maxima
+from kymora.operators.block_tree import FAN, extreme_levels, lowest_before_higher
 from kymora.operators.ordered import attach_stats, neighbour_columns, null_safe_join, run_ids
+from kymora.operators.spacing import spaced_peaks
 from kymora.operators.transforms import BITS, correlation_sums, spectrum
-from kymora.session import cut_lineage
 
 DOUBLES = T.ArrayType(T.DoubleType())
 BLOCK = 1024
 
 
-def blocks(df: DataFrame, keys: Sequence[str], index: str, values: Sequence[str], size: int = BLOCK) -> DataFrame:
-    """Rows packed into arrays of at most ``size`` values, in order."""
-    b = F.floor(F.col(index) / size)
-    rows = F.array_sort(F.collect_list(F.struct(F.col(index).alias("__i"), *[F.col(v).cast("double").alias(v) for v in values])))
-    g = df.groupBy(*keys, b.alias("block")).agg(rows.alias("__rows"))
-
-    def column(name: str) -> Column:
-        return F.transform("__rows", lambda r: r[name]).alias(name)
-
-    return g.select(*keys, "block", *[column(v) for v in values])
-
-
 # ---------------------------------------------------------------- correlation over all lags
 
 
@@ -208,113 +197,28 @@ def local_peaks(df: DataFrame, keys: Sequence[str], index: str, value: str) -> D
     return n.filter(hit).select(*keys, F.floor((F.col("__a") + F.col("__b")) / 2).alias(index), "height")
 
 
-@F.pandas_udf(T.StructType().add("low", T.DoubleType()).add("closed", T.BooleanType()))
-def _lowest_before_higher(values: pd.Series, pos: pd.Series, height: pd.Series, step: pd.Series) -> pd.DataFrame:
-    """Lowest value from a position outwards, up to the first higher value in the block."""
-    out = []
-    for v, p, h, s in zip(values, pos, height, step):
-        x = np.asarray(v, float)
-        side = x[: p + 1][::-1] if s < 0 else x[max(p, 0) :]
-        higher = np.flatnonzero(side > h)
-        near = side[: higher[0]] if len(higher) else side
-        out.append((float(near.min()) if len(near) else None, bool(len(higher))))
-    return pd.DataFrame(out, columns=["low", "closed"])
-
-
-def with_prominence(peaks: DataFrame, df: DataFrame, keys: Sequence[str], index: str, value: str, size: int = BLOCK) -> DataFrame:
-    """Add how far each peak stands out.
-
-    Each side is searched in the peak's own block first.  Where no higher value is met,
-    block extremes tell which block holds the first one, and only that block is read.
-    """
-    packed = blocks(df, keys, index, [value], size).withColumnRenamed(value, "__x")
-    ends = packed.select(*keys, "block", F.array_max("__x").alias("hi"), F.array_min("__x").alias("lo"))
-    tops = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "hi", "lo"))).alias("__ends"))
-    p = peaks.withColumn("block", F.floor(F.col(index) / size))
-    for name, s in (("left", -1), ("right", 1)):
-        own = null_safe_join(p, packed, [*keys, "block"], "inner")
-        own = own.withColumn("__l", _lowest_before_higher("__x", (F.col(index) % size).cast("int"), "height", F.lit(s))).drop("__x")
-        own = null_safe_join(own, tops, list(keys), "inner")
-        beyond = F.filter("__ends", lambda e: (e["block"] < F.col("block")) if s < 0 else (e["block"] > F.col("block")))
-        beyond = F.reverse(beyond) if s < 0 else beyond
-        stop = F.array_position(F.transform(beyond, lambda e: e["hi"] > F.col("height")), True).cast("int")
-        passed = F.when(stop > 0, F.slice(beyond, F.lit(1), stop - 1)).otherwise(beyond)
-        own = own.withColumns(
-            {
-                "__pass": F.when(~F.col("__l.closed"), F.array_min(F.transform(passed, lambda e: e["lo"]))),
-                "__hold": F.when(~F.col("__l.closed") & (stop > 0), F.get(beyond, stop - 1)["block"]),
-            }
-        ).drop("__ends")
-        far = packed.select(*keys, F.col("block").alias("__hold"), "__x")
-        own = null_safe_join(own, far, [*keys, "__hold"])
-        edge = F.lit(size - 1) if s < 0 else F.lit(0)
-        x = F.coalesce("__x", F.array().cast(DOUBLES))
-        own = own.withColumn("__o", _lowest_before_higher(x, edge, "height", F.lit(s)))
-        p = own.withColumn(f"__{name}", F.least("__l.low", "__pass", "__o.low")).drop("__x", "__l", "__o", "__pass", "__hold")
-    base = F.greatest("__left", "__right")
-    return p.withColumn("prominence", F.col("height") - base).drop("block", "__left", "__right")
-
-
-#: Places of a block in which peaks are settled together, in distances.
-SPACED = 4096
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _settle_spaced(pos: pd.Series, height: pd.Series, state: pd.Series, own: pd.Series, distance: pd.Series) -> pd.Series:
-    """State of each peak (1 stays, -1 goes, 0 open), from the highest down; an own peak beside a higher open one stays open."""
-    out = []
-    for p, h, s, mine, d in zip(pos, height, state, own, distance):
-        p, h, s = np.asarray(p), np.asarray(h, float), np.array(s, int)
-        seen = np.zeros(len(p), bool)
-        for i in np.lexsort((-p, -h)):
-            if s[i] == 0 and mine[i]:
-                near = slice(np.searchsorted(p, p[i] - d, "right"), np.searchsorted(p, p[i] + d, "left"))
-                higher = s[near][seen[near]]
-                s[i] = -1 if (s[near] == 1).any() else 0 if (higher == 0).any() else 1
-            seen[i] = True
-        out.append(s)
-    return pd.Series(out)
-
-
-def spaced_peaks(peaks: DataFrame, keys: Sequence[str], index: str, distance: int, block: int = SPACED) -> DataFrame:
-    """Keep the highest peaks such that none lies nearer than ``distance`` to a kept one; of equal ones the later.
-
-    Blocks of ``block`` distances are settled at once, with the peaks just outside as far as they are
-    decided.  A peak that depends on an open one of another block waits for the next round; rounds
-    are as many as the blocks that a rising stretch runs through, whatever its length.
-    """
-    width = block * max(1, distance)
-    cols = [*keys, index, "height"]
-    now = peaks.select(*cols, F.lit(0).alias("__s"))
-    i = F.col(index)
-    home = F.floor(i / width)
-    while True:
-        near = F.array_distinct(F.array(home, F.floor((i - distance) / width), F.floor((i + distance) / width)))
-        dealt = now.withColumn("__b", F.explode(near))
-        row = F.struct(i.alias("i"), F.col("height").alias("h"), F.col("__s").alias("s"), (home == F.col("__b")).alias("own"))
-        g = dealt.groupBy(*keys, "__b").agg(F.array_sort(F.collect_list(row)).alias("r"))
-        part = lambda c: F.transform("r", lambda x: x[c])
-        state = _settle_spaced(part("i"), F.transform("r", lambda x: x["h"].cast("double")), part("s"), part("own"), F.lit(distance))
-        z = g.select(*keys, F.explode(F.arrays_zip("r", state.alias("k"))).alias("z")).filter("z.r.own")
-        now = cut_lineage(z.select(*keys, F.col("z.r.i").alias(index), F.col("z.r.h").alias("height"), F.col("z.k").alias("__s")))
-        if now.filter("__s = 0").isEmpty():
-            return now.filter("__s = 1").select(*cols)
+def with_prominence(peaks: DataFrame, df: DataFrame, keys: Sequence[str], index: str, value: str, fan: int = FAN) -> DataFrame:
+    """``peaks`` (keys, index, height) with how far each stands out: its height over the higher of the lowest values to
+    both sides, each searched up to the first higher value."""
+    levels = extreme_levels(df, keys, index, value, fan)
+    sides = lowest_before_higher(peaks, levels, keys, index, "height", fan)
+    base = sides.groupBy(*keys, index).agg(F.max("__low").alias("__base"))
+    out = null_safe_join(peaks.select(*keys, index, "height"), base, [*keys, index])
+    return out.withColumn("prominence", F.col("height") - F.col("__base")).drop("__base")
 
 
 def head_bends(df: DataFrame, keys: Sequence[str], index: str, value: str, fps: float, distance: int = 8) -> DataFrame:
     """Counts and depths of bends to both sides, bend frequency and dominant frequency.
 
-    Peaks keep their distance first and must then stand out by a third of the sd.
+    Peaks keep their distance first and must then stand out by a third of the sd.  Both signs go through the same steps.
     """
     sd = df.groupBy(*keys).agg((F.stddev_pop(value) / 3).alias("__t"))
 
-    def extrema(sign: int) -> DataFrame:
-        s = df.select(*keys, index, (F.col(value) * sign).alias("__s"))
-        kept = spaced_peaks(local_peaks(s, keys, index, "__s"), keys, index, distance)
-        p = null_safe_join(with_prominence(kept, s, keys, index, "__s"), sd, list(keys), "inner")
-        return p.filter(F.col("prominence") >= F.col("__t")).select(*keys, index, (F.col("height") * sign).alias("h"), F.lit(sign).alias("sign"))
-
-    e = extrema(1).unionByName(extrema(-1))
+    both = df.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).select(*keys, "sign", index, (F.col(value) * F.col("sign")).alias("__s"))
+    signed = [*keys, "sign"]
+    kept = spaced_peaks(local_peaks(both, signed, index, "__s"), signed, index, distance)
+    p = null_safe_join(with_prominence(kept, both, signed, index, "__s"), sd, list(keys), "inner")
+    e = p.filter(F.col("prominence") >= F.col("__t")).select(*signed, index, (F.col("height") * F.col("sign")).alias("h"))
     up, down = F.col("sign") > 0, F.col("sign") < 0
     n = F.count(F.lit(1))
     span = F.max(index) - F.min(index)
