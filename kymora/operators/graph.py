@@ -13,28 +13,80 @@ from pyspark.sql import functions as F
 from kymora.session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest node id in the component of each node.
+#: Edges that a task contracts at once.
+PART_EDGES = 1_000_000
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One star for each component of the edges: its other nodes and its smallest one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low, high = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        least = np.minimum(root[low], root[high])
+        moved = root.copy()
+        # hook the roots of both ends to the smaller one, then halve the ways
+        np.minimum.at(moved, root[low], least)
+        np.minimum.at(moved, root[high], least)
+        moved = moved[moved]
+        if (moved == root).all():
+            break
+        root = moved
+    leaf = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[leaf], ids[root[leaf]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def star() -> pa.RecordBatch:
+        hi, lo = _forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], names=["hi", "lo"])
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(x) for x, _ in held) >= PART_EDGES:
+            yield star()
+            held = []
+    if held:
+        yield star()
+
+
+def numbered_components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``root``, the smallest node of its component, for all but the smallest; ``edges`` has long ends ``a`` and ``b``.
 
-    ``nodes`` has ``node``, ``edges`` has ``a`` and ``b``.  In a round every node ties its
-    larger neighbours to the smallest one (large star), then its smaller ones (small star);
-    rounds go on until nothing changes, with about the square of the logarithm of the
-    longest path as their number.  Rounds are stored, so a lost executor does not replay them.
+    Tasks first contract their share of the edges to stars.  Then, in a round, every node ties its larger neighbours to
+    the smallest one (large star), then its smaller ones (small star); rounds go on until nothing changes, with about the
+    square of the logarithm of the longest path between shares as their number.  Rounds are stored, so a lost executor does
+    not replay them.
     """
     ends = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    now, mark = cut_lineage(ends.distinct()), None
+    now, mark = cut_lineage(ends.repartition("lo").mapInArrow(_contracted, "hi long, lo long").distinct()), None
     while True:
         last, mark = mark, now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("h")).first()
         if mark == last:
-            break
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cut_lineage(both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         below = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(below, "hi").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = cut_lineage(moved.union(below.select("hi", F.col("m").alias("lo"))).distinct())
-    roots = now.select(F.col("hi").alias("node"), F.col("lo").alias("__root"))
-    return nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("__root", "node").alias("label"))
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Smallest node in the component of each node.
+
+    ``nodes`` has ``node`` (of any orderable type), ``edges`` has ``a`` and ``b``.  Nodes are numbered, so that steps work on
+    whole numbers; the label is the smallest node itself.
+    """
+    ids = cut_lineage(nodes.select("node").distinct().withColumn("id", F.monotonically_increasing_id()))
+    named = [ids.select(F.col("node").alias(c), F.col("id").alias(f"id_{c}")) for c in "ab"]
+    linked = edges.select("a", "b").join(named[0], "a").join(named[1], "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    roots = numbered_components(linked).withColumnRenamed("node", "id")
+    found = ids.join(roots, "id", "left").select("node", F.coalesce("root", "id").alias("root"))
+    label = found.groupBy("root").agg(F.min("node").alias("label"))
+    return found.join(label, "root").select("node", "label")
 
 
 #: Conditions that are settled together in one step of a task.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kymora.operators import greedy as GR
 from kymora.operators import masks as M
+from kymora.operators import tracks as TR
 from kymora.plans import inputs as I
 from kymora.plans.pixels import MK, MKG, WITH
 from kymora.plans.registry import query, rounded, table
@@ -75,11 +76,11 @@ def o6(spark, d):
 @query("j19_spot_tracks", None)
 def j19(spark, d):
     spots = GR.bright_spots(I.frame_pixels(spark, d), 3, 4)
-    return rounded(GR.track_spots(spots, I.mask_index(spark, d).select(*M.FRAME).distinct(), 3.0))
+    return rounded(TR.track_spots(spots, I.mask_index(spark, d).select(*M.FRAME).distinct(), 3.0))
 
 
 @query("j19_feature_offsets", None)
 def j19b(spark, d):
     values, frames = I.frame_pixels(spark, d), I.mask_index(spark, d).select(*M.FRAME).distinct()
-    tracks = GR.track_spots(GR.bright_spots(values, 3, 4), frames, 3.0)
-    return rounded(GR.feature_offsets(tracks, frames, M.median_offsets(M.bright_centroid(values))))
+    tracks = TR.track_spots(GR.bright_spots(values, 3, 4), frames, 3.0)
+    return rounded(TR.feature_offsets(tracks, frames, M.median_offsets(M.bright_centroid(values))))
