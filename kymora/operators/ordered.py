@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
-VALUE_BUCKETS = 4096
-GROUP_VALUES = 100_000
-BROADCAST_GROUPS = 2_000
+#: Half the share of a group's values that a bracket around a quantile holds, and the accuracy of the summary that finds it.
+SPREAD, SUMMARY_ACCURACY = 0.0005, 10_000
+#: Values under which a summary's brackets are too narrow; such a group is counted whole.
+SUMMARY_ROWS = 5_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -186,77 +187,51 @@ def run_ids(
     ).drop("__o_s", "__o_new")
 
 
-def _narrow(values: DataFrame, cells: DataFrame, keys: list[str], slices: int | None, hint) -> DataFrame:
-    """Replace each cell [lo, hi] by those of its slices that hold one of its ranks.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group that has a value.
 
-    With ``slices`` the cell is cut into equally wide slices; without, into its values.
-    """
-    cell = [*keys, "__o_lo", "__o_hi", "__o_skip", "__o_ranks"]
-    v, lo, hi = F.col("__o_v"), F.col("__o_lo"), F.col("__o_hi")
-    j = null_safe_join(values, hint(cells), keys, "inner").filter(v.between(lo, hi))
-    if slices:
-        part = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * slices), F.lit(slices - 1))).otherwise(0)
-    else:
-        part = v
-    hist = j.groupBy(*cell, part.alias("__o_part")).agg(
-        F.count(F.lit(1)).alias("__o_n"), F.min("__o_v").alias("__o_lo2"), F.max("__o_v").alias("__o_hi2")
-    )
-    w = Window.partitionBy(*keys, "__o_lo", "__o_hi").orderBy("__o_part").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("__o_skip", F.col("__o_skip") + F.coalesce(F.sum("__o_n").over(w), F.lit(0)))
-    inside = F.filter("__o_ranks", lambda r: (r >= F.col("__o_skip")) & (r < F.col("__o_skip") + F.col("__o_n")))
-    out = hist.withColumn("__o_ranks", inside).filter(F.size("__o_ranks") > 0)
-    return out.select(*keys, F.col("__o_lo2").alias("__o_lo"), F.col("__o_hi2").alias("__o_hi"), "__o_skip", "__o_ranks")
-
-
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], limit: int = GROUP_VALUES
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group.
-
-    Groups of up to ``limit`` values go through one aggregate each.  The larger ones are
-    counted first: while they are few their keys are broadcast, so that their values stay
-    where they are; beyond that the joins are left to the planner.  For them two
-    histograms close in on the wanted ranks: slices of the group's range, then slices of
-    the slices that hold a rank.  Only the values of those last slices are ranked one by
-    one.  Counts combine on the map side, so a large group is never shuffled or sorted as
-    a whole, and an outlier that stretches its first range does not matter.
+    A first aggregate keeps a mergeable summary of bounded size for each group, which gives a bracket around each
+    quantile: the values at SPREAD below and above it, or the whole range of a group under SUMMARY_ROWS.  A second one
+    counts values: those in a bracket one by one, those between brackets together.  So every group, large or small, takes
+    two combining aggregates and no job before the action, and of a large one about 2 * SPREAD of its values are sorted for each quantile.
     """
     keys = list(keys)
     x = F.col(value).cast("double")
     values = df.select(*keys, x.alias("__o_v")).filter(F.col("__o_v").isNotNull() & ~F.isnan("__o_v"))
+    by = keys or ["__o_all"]
     if not keys:
         values = values.withColumn("__o_all", F.lit(1))
-        return _quantiles(values, ["__o_all"], probs, limit).drop("__o_all")
-    return _quantiles(values, keys, probs, limit)
-
-
-def _quantiles(values: DataFrame, keys: list[str], probs: dict[str, float], limit: int) -> DataFrame:
-    span = values.groupBy(*keys).agg(F.min("__o_v").alias("__o_lo"), F.max("__o_v").alias("__o_hi"), F.count(F.lit(1)).alias("__o_total"))
-    large = span.filter(F.col("__o_total") > limit)
-    n_large = large.limit(BROADCAST_GROUPS + 1).count()
-
-    def whole(v: DataFrame) -> DataFrame:
-        q = v.groupBy(*keys).agg(F.percentile("__o_v", F.array(*[F.lit(p) for p in probs.values()])).alias("__o_q"))
-        return q.select(*keys, *[F.get("__o_q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
-
-    if n_large == 0:
-        return whole(values)
-    hint = F.broadcast if n_large <= BROADCAST_GROUPS else (lambda d: d)
-    few = whole(null_safe_join(values, hint(large.select(*keys)), keys, "left_anti"))
-
-    pos = {n: F.lit(p) * (F.col("__o_total") - 1) for n, p in probs.items()}
-    ranks = F.array_distinct(F.array(*[f(c).cast("long") for c in pos.values() for f in (F.floor, F.ceil)]))
-    cells = large.select(*keys, "__o_lo", "__o_hi", F.lit(0).cast("long").alias("__o_skip"), ranks.alias("__o_ranks"))
-    for slices in (VALUE_BUCKETS, VALUE_BUCKETS, None):
-        cells = _narrow(values, cells, keys, slices, hint)
-    found = cells.select(*keys, "__o_lo", F.explode("__o_ranks").alias("__o_rank"))
-    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__o_rank", "__o_lo"))).alias("__o_at"))
-    out = null_safe_join(large.select(*keys, "__o_total"), found, keys)
+    sides = [max(0.0, p - SPREAD) for p in probs.values()] + [min(1.0, p + SPREAD) for p in probs.values()]
+    summary = F.percentile_approx("__o_v", sides, SUMMARY_ACCURACY)
+    spans = values.groupBy(*by).agg(summary.alias("__o_s"), F.min("__o_v").alias("__o_lo"), F.max("__o_v").alias("__o_hi"), F.count(F.lit(1)).alias("__o_total"))
+
+    def bracket(i: int, p: float) -> Column:
+        small = F.col("__o_total") < SUMMARY_ROWS
+        low = F.when(small | F.lit(p <= SPREAD), F.col("__o_lo")).otherwise(F.get("__o_s", F.lit(i)))
+        high = F.when(small | F.lit(p >= 1 - SPREAD), F.col("__o_hi")).otherwise(F.get("__o_s", F.lit(len(probs) + i)))
+        return F.struct(low.alias("lo"), high.alias("hi"))
+
+    ranges = spans.select(*by, "__o_total", F.array(*[bracket(i, p) for i, p in enumerate(probs.values())]).alias("__o_in"))
+    v = F.col("__o_v")
+    near = null_safe_join(values, ranges, by, "inner")
+    inside = F.exists("__o_in", lambda r: (v >= r["lo"]) & (v <= r["hi"]))
+    passed = F.size(F.filter("__o_in", lambda r: r["hi"] < v))
+    counts = near.groupBy(*by, F.when(inside, v).alias("__o_at"), F.when(~inside, passed).alias("__o_gap"), "__o_total").agg(F.count(F.lit(1)).alias("__o_n"), F.min("__o_v").alias("__o_v"))
+    before = Window.partitionBy(*by).orderBy("__o_v").rowsBetween(Window.unboundedPreceding, -1)
+    skip, end = F.col("__o_skip"), F.col("__o_skip") + F.col("__o_n")
+    counts = counts.withColumn("__o_skip", F.coalesce(F.sum("__o_n").over(before), F.lit(0)))
+    exact = F.when(F.col("__o_gap").isNull(), F.col("__o_v")).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= skip) & (rank < end), exact))
+
+    places = {n: F.lit(p) * (F.col("__o_total") - 1) for n, p in probs.items()}
+    cells = counts.groupBy(*by, "__o_total").agg(*[at(f(c)).alias(f"__o_{side}_{n}") for n, c in places.items() for side, f in (("a", F.floor), ("b", F.ceil))])
     cols = []
-    for n, c in pos.items():
-        low, high = F.element_at("__o_at", F.floor(c).cast("long")), F.element_at("__o_at", F.ceil(c).cast("long"))
+    for n, c in places.items():
+        low, high = F.col(f"__o_a_{n}"), F.col(f"__o_b_{n}")
         cols.append((low + (high - low) * (c - F.floor(c))).alias(n))
-    return few.unionByName(out.select(*keys, *cols))
+    return cells.select(*keys, *cols)
 
 
 def with_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -62,9 +62,10 @@ def median_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def two_level_summary(df: DataFrame, detail: str, group: str, value: str) -> DataFrame:
-    """Summary per (detail, group) and per group; the coarser rows have a null detail."""
-    fine = median_summary(df, [detail, group], value)
-    return fine.unionByName(median_summary(df, [group], value), allowMissingColumns=True)
+    """Summary per (detail, group) and per group; the coarser rows have a null detail.  Both sets go through the same steps."""
+    both = df.select(detail, group, value).withColumn("__set", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = both.withColumn(detail, F.when(F.col("__set") == 0, F.col(detail)))
+    return median_summary(both, ["__set", detail, group], value).drop("__set")
 
 
 def frame_spread(df: DataFrame, frame: str, value: str) -> DataFrame:

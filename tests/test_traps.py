@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -116,25 +117,42 @@ def test_t_quantile_expansion_joins_table(spark):
     assert spark.range(1).select(A.t_quantile(F.lit(0)).alias("q")).first().q is None
 
 
-@pytest.mark.parametrize("limit", [3, 45, 1000])
-def test_quantiles_of_repeated_and_skewed_values(spark, limit):
+PROBS = {"least": 0.0, "low": 0.0004, "q1": 0.25, "m": 0.5, "p": 0.9, "high": 0.9997, "most": 1.0}
+
+
+def test_quantiles_of_repeated_and_skewed_values(spark):
     import numpy as np
 
-    data = [("a", 1.0)] * 50 + [("a", 1e9), ("a", 2.0)] + [("b", float(i * i)) for i in range(37)] + [("c", None), ("d", 7.0)]
-    got = {r.k: r for r in exact_quantiles(spark.createDataFrame(data, "k string, x double"), ["k"], "x", {"q1": 0.25, "m": 0.5, "p": 0.9}, limit).collect()}
-    for k in "abd":
-        v = [x for g, x in data if g == k]
-        assert [got[k].q1, got[k].m, got[k].p] == pytest.approx(list(np.percentile(v, [25, 50, 90])))
-    assert "c" not in got
+    data = [("a", 1.0)] * 50 + [("a", 1e9), ("a", 2.0)] + [("b", float(i * i)) for i in range(37)] + [("c", None), ("d", 7.0), (None, -0.0), (None, 3.0), ("a", float("nan"))]
+    got = {r.k: r for r in exact_quantiles(spark.createDataFrame(data, "k string, x double"), ["k"], "x", PROBS).collect()}
+    for k in ("a", "b", "d", None):
+        v = [x for g, x in data if g == k and x is not None and x == x]
+        assert list(got[k][1:]) == pytest.approx(list(np.percentile(v, [100 * p for p in PROBS.values()])))
+    assert set(got) == {"a", "b", "d", None}
 
 
-def test_quantiles_with_far_outliers(spark):
+@pytest.mark.parametrize("n", [4_999, 5_000, 5_001, 7_777, 300_000])
+def test_quantiles_around_and_above_the_size_of_summaries(spark, n):
+    """Even, heavy-tailed, far-off and repeated values, rising and falling, in groups that need brackets."""
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    v = [float(x) for x in rng.normal(0, 1, 500)] + [1e12, -1e12]
-    got = exact_quantiles(spark.createDataFrame([("a", x) for x in v], "k string, x double"), ["k"], "x", {"q": 0.25, "m": 0.5, "p": 0.999}, 10).first()
-    assert [got.q, got.m, got.p] == pytest.approx(list(np.percentile(v, [25, 50, 99.9])))
+    rng = np.random.default_rng(n)
+    kinds = {"normal": rng.normal(0, 1, n), "tail": rng.pareto(0.3, n), "far": np.append(rng.normal(0, 1, n - 2), [1e300, -1e300]), "few": rng.integers(0, 4, n) * 1.0, "up": np.arange(n) * 1.0, "down": -np.arange(n) * 1.0}
+    kinds["hot"] = np.where(rng.random(n) < 0.6, 5.0, rng.normal(5, 1e-9, n))
+    rows = pd.DataFrame({"k": np.repeat(list(kinds), n), "x": np.concatenate(list(kinds.values()))})
+    df = spark.createDataFrame(rows).repartition(7)
+    got = {r.k: list(r[1:]) for r in exact_quantiles(df, ["k"], "x", PROBS).collect()}
+    for k, v in kinds.items():
+        assert got[k] == pytest.approx(list(np.quantile(v, list(PROBS.values()))), rel=1e-12, abs=1e-12)
+    assert list(exact_quantiles(df.filter("k = 'tail'"), [], "x", {"m": 0.5}).first()) == [pytest.approx(np.median(kinds["tail"]))]
+
+
+def test_quantiles_need_no_job_before_the_action(spark):
+    spark.sparkContext.setJobGroup("built", "built")
+    exact_quantiles(spark.range(100).selectExpr("id % 3 AS k", "id * 1.0 AS x"), ["k"], "x", PROBS)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("built")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs
 
 
 def test_t_quantile_where_table_and_expansion_meet(spark):
