@@ -691,26 +691,20 @@ def run_lengths(index: DataFrame, px: DataFrame) -> DataFrame:
     w = Window.partitionBy(*MASK).orderBy("__p")
     runs = p.withColumn("__g", F.col("__p") - F.row_number().over(w)).groupBy(*MASK, "__g").agg(F.min("__p").alias("s"), F.count(F.lit(1)).alias("n"))
     packed = runs.groupBy(*MASK).agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("runs"))
-    out = index.join(packed, MASK, "left")
+    out = index.join(packed, MASK, "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<s:bigint,n:bigint>>")))
     total = F.col("height").cast("long") * F.col("width")
-    start = F.struct(F.array().cast("array<bigint>").alias("c"), F.lit(0).cast("long").alias("at"))
-    folded = F.aggregate(
-        F.coalesce("runs", F.array().cast("array<struct<s:bigint,n:bigint>>")), start,
-        lambda acc, r: F.struct(F.concat(acc["c"], F.array(r["s"] - acc["at"], r["n"])).alias("c"), (r["s"] + r["n"]).alias("at")),
-    )
-    out = out.withColumn("__f", folded)
-    tail = total - F.col("__f.at")
-    counts = F.when(tail > 0, F.concat(F.col("__f.c"), F.array(tail))).otherwise(F.col("__f.c"))
+    end = lambda r: F.coalesce(r["s"] + r["n"], F.lit(0).cast("long"))
+    pairs = F.transform("runs", lambda r, i: F.array(r["s"] - end(F.get("runs", i - 1)), r["n"]))
+    tail = total - end(F.get("runs", F.size("runs") - 1))
+    counts = F.concat(F.flatten(pairs), F.when(tail > 0, F.array(tail)).otherwise(F.array().cast("array<bigint>")))
     return out.select(*MASK, F.array("height", "width").alias("size"), counts.alias("counts"))
 
 
 def pixels_of_runs(rle: DataFrame) -> DataFrame:
-    c = F.col("counts")
-    ends = F.aggregate(
-        c, F.array().cast("array<bigint>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
-    )
-    runs = rle.withColumn("__e", ends).select(*MASK, "size", F.posexplode(F.arrays_zip("counts", "__e")).alias("__i", "__z"))
-    runs = runs.filter((F.col("__i") % 2 == 1) & (F.col("__z.counts") > 0))
+    upto = Window.partitionBy(*MASK).orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    runs = rle.select(*MASK, "size", F.posexplode("counts").alias("__i", "__n")).withColumn("__e", F.sum("__n").over(upto))
+    runs = runs.filter((F.col("__i") % 2 == 1) & (F.col("__n") > 0))
+    runs = runs.select(*MASK, "size", F.struct(F.col("__n").alias("counts"), "__e").alias("__z"))
     p = runs.select(*MASK, F.get("size", F.lit(0)).alias("h"), F.explode(F.sequence(F.col("__z.__e") - F.col("__z.counts"), F.col("__z.__e") - 1)).alias("p"))
     return p.select(*MASK, (F.col("p") % F.col("h")).cast("int").alias("y"), F.floor(F.col("p") / F.col("h")).cast("int").alias("x"))
 

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kymora.session import cut_lineage
+
 CHUNK = 4096
 #: Half the share of a group's values that a bracket around a quantile holds, and the accuracy of the summary that finds it.
 SPREAD, SUMMARY_ACCURACY = 0.0005, 10_000
@@ -66,9 +68,18 @@ def time_bucket(df: DataFrame, ts: str, seconds: int) -> Column:
 
 
 def _offsets(sizes: DataFrame, keys: Sequence[str], total: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    w = w.orderBy("__o_b").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn(out, F.coalesce(F.sum(total).over(w), F.lit(0)))
+    """Sum of ``total`` over the earlier buckets of a group.
+
+    Buckets of a table without keys are summed in stretches of CHUNK first, so that one task sees only their sums.
+    """
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if keys:
+        return sizes.withColumn(out, before(Window.partitionBy(*keys).orderBy("__o_b"), total))
+    sizes = sizes.withColumn("__o_u", F.floor(F.col("__o_b") / CHUNK))
+    upper = sizes.groupBy("__o_u").agg(F.sum(total).alias("__o_t2"))
+    upper = upper.select("__o_u", before(Window.orderBy("__o_u"), "__o_t2").alias("__o_before"))
+    inner = sizes.withColumn(out, before(Window.partitionBy("__o_u").orderBy("__o_b"), total))
+    return null_safe_join(inner, upper, ["__o_u"]).withColumn(out, F.col(out) + F.col("__o_before")).drop("__o_u", "__o_before")
 
 
 def with_row_index(
@@ -95,6 +106,25 @@ def with_row_index(
     )
 
 
+def with_sorted_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, start: int = 0, part: str | None = None) -> DataFrame:
+    """Dense position of each row in its group, in slices that the data set.
+
+    Rows are dealt by ranges of keys, order and arrival, which Spark finds from a sample, so neither a large group nor many
+    equal values make a large slice.  Each slice is sorted and counted by group; a group's earlier slices shift its rows.
+    The sorted rows are stored once.  ``part`` names the slice in the result, if wanted.
+    """
+    spread = df.withColumn("__o_r", F.monotonically_increasing_id())
+    dealt = spread.repartitionByRange(*[F.col(c) for c in (*keys, *order, "__o_r")]).sortWithinPartitions(*keys, *order, "__o_r")
+    at = F.monotonically_increasing_id()
+    rows = cut_lineage(dealt.drop("__o_r").withColumns({"__o_p": F.shiftright(at, 33), "__o_i": at.bitwiseAND((1 << 33) - 1)}))
+    sizes = rows.groupBy("__o_p", *keys).agg(F.count(F.lit(1)).alias("__o_n"), F.min("__o_i").alias("__o_low"))
+    # as many rows as slices and groups
+    earlier = Window.partitionBy(*keys).orderBy("__o_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__o_off", F.coalesce(F.sum("__o_n").over(earlier), F.lit(0)) - F.col("__o_low")).drop("__o_n", "__o_low")
+    out = null_safe_join(rows, sizes, ["__o_p", *keys]).withColumn(name, F.col("__o_i") + F.col("__o_off") + F.lit(start))
+    return (out.withColumnRenamed("__o_p", part) if part else out.drop("__o_p")).drop("__o_i", "__o_off")
+
+
 def neighbour_columns(
     df: DataFrame,
     keys: Sequence[str],

@@ -45,16 +45,14 @@ def sample_by_hash(df: DataFrame, key: Column, k: int, seed: int, rank_hash: Col
     return df.orderBy(F.xxhash64(F.lit(seed), key) if rank_hash is None else rank_hash, key).limit(k)
 
 
-def stratified_split(df: DataFrame, stratum: str, key: str, share: float, rank_hash: Column, bits: int = 1024) -> DataFrame:
+def stratified_split(df: DataFrame, stratum: str, key: str, share: float, rank_hash: Column) -> DataFrame:
     """Mark int(share * n) rows of each stratum as validation, the rest as training.
 
-    Rows are ranked by hash in ``bits`` slices of the hash range, so a large
-    stratum is ranked in parts.
+    Rows are ranked by hash in slices that the data set, so one stratum may hold all rows.
     """
-    from kymora.operators.ordered import attach_stats, with_row_index
+    from kymora.operators.ordered import attach_stats, with_sorted_index
 
-    df = df.withColumn("__h", rank_hash)
-    df = with_row_index(df, [stratum], ["__h", key], F.floor(F.col("__h") / F.lit(2**32 // bits)), "__pos", 1)
+    df = with_sorted_index(df.withColumn("__h", rank_hash), [stratum], ["__h", key], "__pos", 1)
     df = attach_stats(df, [stratum], F.count(F.lit(1)).alias("__n"))
     out = df.withColumn(
         "split", F.when(F.col("__pos") <= F.floor(F.col("__n") * share), "validation").otherwise("training")

@@ -17,7 +17,7 @@ from kymora.operators.ordered import (
     nearest_valid,
     neighbour_columns,
     null_safe_join,
-    with_row_index,
+    with_sorted_index,
 )
 
 SIZE = "__size"
@@ -282,18 +282,16 @@ def lag_one_correlation(df: DataFrame, keys: Sequence[str], index: str, value: s
     return out.groupBy(*keys).agg(F.corr(value, "__l").alias("r"))
 
 
-def adjusted_p(df: DataFrame, keys: Sequence[str], p: str, tie: Sequence[str], name: str = "padj", slices: int = 4096) -> DataFrame:
-    """False-discovery-rate adjustment: running minimum of p*n/rank from the largest p down."""
+def adjusted_p(df: DataFrame, keys: Sequence[str], p: str, tie: Sequence[str], name: str = "padj") -> DataFrame:
+    """False-discovery-rate adjustment: running minimum of p*n/rank from the largest p down, over slices that the data set."""
     valid = df.filter(F.col(p).isNotNull())
-    bucket = F.floor(F.col(p) * slices)
-    ranked = attach_stats(with_row_index(valid, keys, [p, *tie], bucket, "__rank", 1), keys, F.count(F.lit(1)).alias("__n"))
-    ranked = ranked.withColumns({"__q": F.col(p) * F.col("__n") / F.col("__rank"), "__s": bucket})
+    ranked = attach_stats(with_sorted_index(valid, keys, [p, *tie], "__rank", 1, "__s"), keys, F.count(F.lit(1)).alias("__n"))
+    ranked = ranked.withColumn("__q", F.col(p) * F.col("__n") / F.col("__rank"))
     w = Window.partitionBy(*keys, "__s").orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
     lows = ranked.groupBy(*keys, "__s").agg(F.min("__q").alias("__low"))
-    kw = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__s")
+    # one row for each slice of a group
+    kw = Window.partitionBy(*keys).orderBy("__s")
     lows = lows.select(*keys, "__s", F.min("__low").over(kw.rowsBetween(1, Window.unboundedFollowing)).alias("__rest"))
     out = null_safe_join(ranked.withColumn("__own", F.min("__q").over(w)), lows, [*keys, "__s"])
     adj = F.least(F.lit(1.0), F.least(F.col("__own"), F.col("__rest")))
     return out.withColumn(name, adj).drop("__rank", "__n", "__q", "__s", "__own", "__rest")
-
-

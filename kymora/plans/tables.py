@@ -964,7 +964,7 @@ def j11(spark, d):
     """Row position comes from the order of the key, counted per bucket of keys."""
     def file(name, key, value):
         df = table(spark, d, name).select(key, F.col(value).alias("mean"))
-        return O.with_row_index(df, [], [key], F.floor(F.col(key) / 4096), "frame", 1).drop(key)
+        return O.with_sorted_index(df, [], [key], "frame", 1).drop(key)
 
     return J.bind_columns({"fiji_nrd": file("customer", "c_custkey", "c_acctbal"), "fiji_nrv": file("supplier", "s_suppkey", "s_acctbal")}, "frame")
 

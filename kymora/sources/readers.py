@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kymora.operators.ordered import first_per_key, null_safe_join, with_row_index
+from kymora.operators.ordered import first_per_key, null_safe_join, with_sorted_index
 
 CLASSIFICATION = "array<struct<name:string,radio_answer:struct<name:string,value:string>,checklist_answers:array<struct<name:string>>>>"
 LABEL_EXPORT = (
@@ -155,12 +157,10 @@ def file_frame_number(name: Column, extension: str = "tif") -> Column:
     return F.coalesce(digits.try_cast("long"), F.lit(0))
 
 
-def first_frames(manifest: DataFrame, folder: str, name: str, n: int, width: int = 4096) -> DataFrame:
+def first_frames(manifest: DataFrame, folder: str, name: str, n: int) -> DataFrame:
     """First n files of each folder in numeric order of the frame number."""
     df = manifest.withColumn("frame_number", file_frame_number(F.col(name)))
-    ranked = with_row_index(
-        df, [folder], ["frame_number", name], F.floor(F.col("frame_number") / width), "position", 1
-    )
+    ranked = with_sorted_index(df, [folder], ["frame_number", name], "position", 1)
     return ranked.filter(F.col("position") <= n)
 
 
@@ -171,21 +171,33 @@ def split_duplicates(lines: DataFrame, text: str, order: str) -> tuple[DataFrame
     return unique, repeated
 
 
+#: Pixels that one Arrow batch of unpacked images holds.
+BATCH_CELLS = 1 << 19
+
+
 def unpack_images(images: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of an image scan (height, width, nChannels, data) to one row per pixel and channel."""
-    n = F.col("width") * F.col("nChannels")
-    rows = images.select(
-        *keys, "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")
-    ).select(*keys, "y", "nChannels", F.hex(F.substring(F.col("data"), F.col("y") * n + 1, n)).alias("h"))
-    cells = rows.select(*keys, "y", "nChannels", "h", F.explode(F.sequence(F.lit(0), (F.length("h") / 2).cast("int") - 1)).alias("i"))
-    value = F.conv(F.substring(F.col("h"), (F.col("i") * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("double")
-    return cells.select(
-        *keys,
-        "y",
-        F.floor(F.col("i") / F.col("nChannels")).cast("int").alias("x"),
-        (F.col("i") % F.col("nChannels")).cast("int").alias("channel"),
-        value.alias("intensity"),
-    )
+    """Rows of an image scan (height, width, nChannels, data) to one row per pixel and channel.
+
+    Bytes are taken apart batch by batch; an image whose data end early gives the pixels it has, one without data none.
+    """
+    fields = [f for k in keys for f in images.schema.fields if f.name == k]
+    schema = T.StructType([*fields, *(T.StructField(c, T.IntegerType()) for c in ("y", "x", "channel")), T.StructField("intensity", T.DoubleType())])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                height, width, channels, data = (row.column(len(keys) + c)[0].as_py() for c in range(4))
+                cells = np.frombuffer(data or b"", np.uint8)[: (height or 0) * (width or 0) * (channels or 0)]
+                for lo in range(0, len(cells), BATCH_CELLS):
+                    values = cells[lo : lo + BATCH_CELLS]
+                    at = lo + np.arange(len(values))
+                    y, rest = np.divmod(at, width * channels)
+                    x, channel = np.divmod(rest, channels)
+                    own = [row.column(c).take(pa.array(np.zeros(len(values), np.int64))) for c in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(c.astype(np.int32)) for c in (y, x, channel)), pa.array(values.astype(float))], names=schema.names)
+
+    return images.select(*keys, "height", "width", "nChannels", "data").mapInArrow(unpack, schema)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

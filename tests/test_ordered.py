@@ -131,3 +131,50 @@ def test_first_per_key_and_stratified_split(spark):
     out = stratified_split(d, "c", "k", 0.2, (F.col("k") * 2654435761) % 4294967296)
     got = {(r.c, r.split): r["count"] for r in out.groupBy("c", "split").count().collect()}
     assert got == {("big", "validation"): 160, ("big", "training"): 640, ("small", "validation"): 40, ("small", "training"): 160}
+
+
+def test_sorted_index_of_one_stratum_and_of_equal_values(spark):
+    """All rows in one group, all values equal: slices stay even, positions are those of one sort."""
+    n = 40_000
+    df = spark.range(n).select(F.lit("all").alias("g"), F.lit(0.5).alias("p"), ((F.col("id") * 7919) % n).alias("t"), F.lit(1).alias("same")).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for order in (["p", "t"], ["same"]):
+            got = O.with_sorted_index(df, ["g"], order, "i", 1, "slice").cache()
+            sizes = sorted(r["count"] for r in got.groupBy("slice").count().collect())
+            assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+            assert sorted(r.i for r in got.select("i").collect()) == list(range(1, n + 1))
+            assert order == ["same"] or got.filter("i <> t + 1").isEmpty()
+        padj = W.adjusted_p(df, ["g"], "p", ["t"])
+        assert padj.count() == n and padj.filter("padj <> 0.5").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_sorted_index_over_groups_nulls_and_no_keys(spark, skewed):
+    w = Window.partitionBy("s").orderBy("x", "id")
+    out = O.with_sorted_index(skewed, ["s"], ["x", "id"], "i").withColumn("j", F.row_number().over(w) - 1)
+    assert out.filter("i <> j").isEmpty() and out.count() == 1200 and out.columns == [*skewed.columns, "i", "j"]
+    whole = O.with_sorted_index(skewed, [], ["x", "id"], "i", 1).withColumn("j", F.row_number().over(Window.orderBy("x", "id")))
+    assert whole.filter("i <> j").isEmpty()
+    assert O.with_sorted_index(skewed.limit(0), ["s"], ["x"], "i").collect() == []
+
+
+def test_index_without_keys_over_ten_million_buckets(spark):
+    """Every row a bucket of its own: offsets are summed in stretches."""
+    n = 10_000_000
+    df = spark.range(n, numPartitions=8).select((F.col("id") * 3).alias("t"))
+    out = O.with_row_index(df, [], ["t"], F.col("t"), "i")
+    assert out.agg(F.count(F.lit(1)), F.max(F.abs(F.col("i") * 3 - F.col("t")))).first()[:] == (n, 0)
+
+
+def test_adjusted_p_equals_a_running_minimum(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(g, i, None if i % 50 == 7 else float(v)) for g, n in (("a", 700), ("b", 3), (None, 40)) for i, v in enumerate(rnd.choice(np.linspace(0, 1, 60), n) ** 3)]
+    got = {(r.g, r.t): r.padj for r in W.adjusted_p(spark.createDataFrame(rows, "g string, t long, p double"), ["g"], "p", ["t"]).collect()}
+    for g in ("a", "b", None):
+        ranked = sorted((p, t) for k, t, p in rows if k == g and p is not None)
+        low = 1.0
+        for rank in range(len(ranked), 0, -1):
+            low = min(low, ranked[rank - 1][0] * len(ranked) / rank)
+            assert got[g, ranked[rank - 1][1]] == pytest.approx(low)
