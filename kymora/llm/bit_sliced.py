@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from kymora.llm.common import stored
 
-#: Rows of an index block, and queries that meet a block in one task.
-BLOCK, CHUNK = 50_000, 128
-#: Largest quantised component, so that every score fits into 64 bits.
-LIMIT = 1 << 27
+#: Rows of an index block, and queries that meet a copy of a block; fewer, but MIN_CHUNK at least, where tasks would be idle.
+BLOCK, CHUNK, MIN_CHUNK = 50_000, 10_000, 128
+#: Quantised components from which on a vector is an error.
+LIMIT = 1 << 62
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and whole components floor(scale * x), x as double, of the vectors that take part."""
-    values = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
-    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * scale) >= LIMIT))
-    whole = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(odd, F.lit(True)))
-    return whole.select(F.col("vec_id").cast("long"), values.cast("array<long>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    """vec_id and whole components floor(scale * x), x as double, of the vectors that take part, with a number for each row."""
+    wide = F.raise_error(F.lit("a component is too large for scores of 64 bits")).cast("long")
+    whole = lambda x: F.when(F.abs(x.cast("double") * scale) >= LIMIT, wide).otherwise(F.floor(x.cast("double") * scale))
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    rows = vectors.where(F.col("embedding").isNotNull() & ~F.coalesce(odd, F.lit(True)))
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.transform("embedding", whole).cast("array<long>").alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -115,40 +116,43 @@ def highest(slices: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarray:
 
 
 def index_blocks(rows: DataFrame, blocks: int) -> DataFrame:
-    """One row for each block of vectors: ids in order, bitmaps, least values and widths."""
+    """One row for each block of vectors: ids in order (null last) and their rows, bitmaps, least values and widths."""
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
         maps, least, width = sliced(_matrix(table.column("v")))
         return pa.table(
-            {"block": table.column("block")[:1], "ids": pa.array([table.column("vec_id").to_numpy()], pa.list_(pa.int64())), "maps": pa.array([maps.tobytes()], pa.binary()), "least": pa.array([least], pa.list_(pa.int64())), "width": pa.array([width], pa.list_(pa.int64()))}
+            {"block": table.column("block")[:1], "ids": pa.array([table.column("vec_id").to_pylist()], pa.list_(pa.int64())), "rows": pa.array([table.column("row").to_numpy()], pa.list_(pa.int64())), "maps": pa.array([maps.tobytes()], pa.binary()), "least": pa.array([least], pa.list_(pa.int64())), "width": pa.array([width], pa.list_(pa.int64()))}
         )
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(build, "block int, ids array<long>, maps binary, least array<long>, width array<long>")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("block").applyInArrow(build, "block int, ids array<long>, rows array<long>, maps binary, least array<long>, width array<long>")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """The k best rows for each query row: query_id, rank, vec_id, score; ties to the smaller vec_id.
 
     Scores are inner products of components floor(scale * x). Every row is indexed, and every query meets every
-    block of the index, so the result is exact; only k rows of each block leave it. Null ids, null vectors and
-    those with null, non-finite or huge (LIMIT and more after scaling) components take no part; a vec_id counts
-    once, by its smallest vector; a missing component counts as zero. Other columns are ignored.
-    Fewer candidates than k give all of them, none no rows.
+    block of the index, so the result is exact; only k rows of each block leave it. Rows count one by one: a
+    repeated vec_id is several candidates, and each of its rows asks for itself; only the asking row is left out.
+    Null vectors and those with null or non-finite components take no part; a null id is found (last among ties), a
+    missing component counts as zero. A component of 2 ** 62 and more after scaling, or a score that does not fit
+    into 64 bits, is an error. Other columns are ignored. Fewer candidates than k give all of them, none no rows.
     """
     rows = stored(quantised(vectors, scale))
     blocks = max(1, -(-rows.count() // BLOCK))
     queries = rows.where(is_query)
-    chunks = max(1, -(-queries.count() // CHUNK))
+    asking, tasks = queries.count(), -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks)
+    chunks = max(1, -(-asking // CHUNK), min(tasks, -(-asking // MIN_CHUNK)))
     index = stored(index_blocks(rows, blocks))
     tiles = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asked = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(tile: pa.Table, asked: pa.Table) -> pa.Table:
-        query, found, score = [], [], []
+        asker, query, found, score = [], [], [], []
         if tile.num_rows and asked.num_rows:
-            ids = tile.column("ids").combine_chunks().flatten().to_numpy()
+            ids = tile.column("ids")[0].as_py()
+            at = {row: k for k, row in enumerate(tile.column("rows")[0].as_py())}
             maps = np.frombuffer(tile.column("maps")[0].as_py(), np.uint64).reshape(-1, -(-len(ids) // 64))
             least, width = (tile.column(c).combine_chunks().flatten().to_numpy() for c in ("least", "width"))
             wide = np.zeros((asked.num_rows, len(width)), np.int64)
@@ -156,23 +160,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
             wide[:, : given.shape[1]] = given
             every = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
             every = np.append(every, np.zeros(-len(every) % 8, np.uint8)).view(np.uint64)
-            for me, q in zip(asked.column("vec_id").to_pylist(), wide, strict=True):
+            for row, me, q in zip(asked.column("row").to_pylist(), asked.column("vec_id").to_pylist(), wide, strict=True):
                 sums, constant = scores(maps, least, width, q)
                 valid = every
-                at = int(np.searchsorted(ids, me))
-                if at < len(ids) and ids[at] == me:
+                if row in at:
                     valid = every.copy()
-                    valid[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
+                    valid[at[row] // 64] &= ~(np.uint64(1) << np.uint64(at[row] % 64))
                 best = highest(sums, valid, k)
                 word, bit = best // 64, (best % 64).astype(np.uint64)
-                total = np.full(len(best), constant, np.int64)
+                total = [constant] * len(best)
                 for w, s in enumerate(sums):
-                    total += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << w
+                    total = [t + (b << w) for t, b in zip(total, ((s[word] >> bit) & np.uint64(1)).tolist(), strict=True)]
+                asker += [row] * len(best)
                 query += [me] * len(best)
-                found += ids[best].tolist()
-                score += total.tolist()
-        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64())})
+                found += [ids[b] for b in best.tolist()]
+                score += total
+        return pa.table({"row": pa.array(asker, pa.int64()), "query_id": pa.array(query, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64())})
 
-    near = tiles.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = tiles.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(meet, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,9 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and extra columns with clashing names."""
 
 import hashlib
+import math
+import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,13 +105,45 @@ def test_rollup_counts(docs, none):
     assert rollups.token_counts(none, {"w": None}).collect() == []
 
 
+def brute_top_k(rows, k=5, scale=256):
+    whole = [(i, [math.floor(scale * x) for x in v]) for i, v, *_ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (me, q) in enumerate(whole):
+        if me is not None and me % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(q, v)), i is None, i or 0) for m, (i, v) in enumerate(whole) if m != n)
+            out += [(me, rank + 1, None if none else i, -s) for rank, (s, none, i) in enumerate(found[:k])]
+    return sorted(out, key=str)
+
+
 def test_top_k(spark):
-    nan = float("nan")
-    rows = [(50, [0.5, -0.5], 1), (1, [0.5, -0.5], 1), (2, [0.5, -0.5], 1), (2, [0.5, -0.5], 1), (3, None, 1), (4, [nan, 1.0], 1), (5, [None, 1.0], 1), (6, [], 1), (7, [1.0], 1), (None, [1.0, 1.0], 1), (8, [1e30, 1.0], 1)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    got = [tuple(r) for r in bit_sliced.top_k(table, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
-    assert got == [(50, 1, 1, 32768), (50, 2, 2, 32768), (50, 3, 7, 32768), (50, 4, 6, 0)]
-    assert bit_sliced.top_k(table.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+    nan, inf = float("nan"), float("inf")
+    rows = [(50, [0.5, -0.5], 1), (1, [0.5, -0.5], 1), (2, [0.5, -0.5], 1), (2, [0.5, -0.5], 1), (3, None, 1), (4, [nan, 1.0], 1), (5, [None, 1.0], 1), (6, [], 1), (7, [1.0], 1), (None, [1.0, 1.0], 1), (8, [-inf, 1.0], 1)]
+    schema = "vec_id long, embedding array<double>, score int"
+    more = [
+        [(50, [0.5, 0.5], 1), (2, [1.0, 1.0], 1), (2, [-1.0, 0.0], 1), (8, [1e9, 1.0], 1)],
+        [(50, [1.0], 1), (50, [-2.0], 1), (50, [1.0], 1), (None, [3.0], 1), (None, [3.0], 1), (9, [1e-9], 1), (9, [-1e-9], 1)],
+        [(100, [1e5, -1e6], 1), (100, [-3e6, 2.5], 1), (1, [0.001, 2e6], 1), (-50, [-1.0, -1.0], 1), (0, [0.0, 0.0], 1)],
+    ]
+    for some in (rows, *more):
+        table = spark.createDataFrame(some, schema)
+        got = [tuple(r) for r in bit_sliced.top_k(table, F.col("vec_id") % 50 == 0).collect()]
+        assert sorted(got, key=str) == brute_top_k(some)
+    assert [r[1:] for r in brute_top_k(more[0])] == [(1, 8, 128 * 256 * 10**9 + 32768), (2, 2, 65536), (3, 2, -32768)]
+    assert bit_sliced.top_k(spark.createDataFrame(rows, schema).limit(0), F.col("vec_id") % 50 == 0).collect() == []
+    for wide in ([1e30], [4e14, 4e14, 4e14]):
+        with pytest.raises(Exception, match="too large|int64|overflow|Overflow|convert"):
+            bit_sliced.top_k(spark.createDataFrame([(50, wide, 1), (1, wide, 1)], schema), F.col("vec_id") % 50 == 0).collect()
+
+
+def test_top_k_in_blocks_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(bit_sliced, "BLOCK", 40)
+    monkeypatch.setattr(bit_sliced, "CHUNK", 3)
+    rng = random.Random(8)
+    rows = [(rng.randrange(0, 400) if rng.random() < 0.98 else None, [rng.choice([-1.5, 0.25, 2.0, rng.gauss(0, 1)]) for _ in range(6)]) for _ in range(300)]
+    rows += [(50 * k, rows[k][1]) for k in range(20)]
+    got = [tuple(r) for r in bit_sliced.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()]
+    exact = [(i, [struct.unpack("f", struct.pack("f", x))[0] for x in v]) for i, v in rows]
+    assert sorted(got, key=str) == brute_top_k(exact)
 
 
 def test_urls(spark):
