@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymora.llm.common import stored
+from kymora.llm.common import steps, stored
 from kymora.llm.packing import coder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -17,12 +18,14 @@ _TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens l
 
 
 class Rollup:
-    """A totals table in a shared folder, changed by batches that each count once.
-
-    A version is a folder with the totals and the ids of all batches in them. A commit writes the next
-    version aside and renames it into place in one step, so a lost executor or driver leaves either the
-    old version or the new one, and of two writers the second fails. A batch whose id is in the ledger
-    changes nothing, so a retry is safe.
+    """A totals table in a shared folder, changed by batches that each count once, from any number of writers.
+
+    A commit writes the summed deltas of its batch into a folder of their own (``data/attempt=...``) and then publishes them
+    by one small file that bears the batch's name and holds the attempt's. Totals are the sum over published attempts, so
+    batches of different writers never touch each other. Writers of one batch race for its file: one attempt is published,
+    the others count nothing. What a lost driver leaves behind is an attempt without a file, or an empty file, which a retry
+    fills. No step needs a folder to be renamed, so object stores will do. ``compact`` sums published attempts into a
+    snapshot with the list of them; a reader takes the latest snapshot and the attempts that are not in it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -30,59 +33,103 @@ class Rollup:
         jvm = spark._jvm
         self._as_path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._as_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._as_path(self.path))
-
-    def version(self) -> int:
-        """The latest version; 0 before the first commit."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._as_path(self.path))]
-        return max((int(n.removeprefix("version-")) for n in names if n.startswith("version-")), default=0)
+        for folder in ("commits", "data", "snapshots", "included", "sums"):
+            self._fs.mkdirs(self._as_path(f"{self.path}/{folder}"))
 
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/version-{version:010d}"
+    def _publish(self, file: str, attempt: str) -> bool:
+        """Create ``file`` with the attempt's name, if no other writer has filled it."""
+        if self._filled(file):
+            return False
+        path = self._as_path(f"{self.path}/{file}")
+        try:
+            out = self._fs.create(path, False)
+        except Exception:  # another writer's file, or what a lost one left
+            if self._filled(file):
+                return False
+            out = self._fs.create(path, True)
+        out.writeBytes(attempt)
+        out.close()
+        return self.spark.read.text(f"{self.path}/{file}").first()[0] == attempt
+
+    def _filled(self, file: str) -> bool:
+        path = self._as_path(f"{self.path}/{file}")
+        return self._fs.exists(path) and self._fs.getFileStatus(path).getLen() > 0
+
+    @staticmethod
+    def _file(batch: str) -> str:
+        return f"commits/{hashlib.sha256(batch.encode()).hexdigest()}"
+
+    def committed(self, batch: str) -> bool:
+        return self._filled(self._file(batch))
+
+    def _snapshot(self) -> tuple[int, str | None]:
+        """Number and attempt of the latest snapshot."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._as_path(f"{self.path}/snapshots")) if s.getLen() > 0]
+        last = max(names, default=None)
+        return (int(last), self.spark.read.text(f"{self.path}/snapshots/{last}").first()[0]) if last else (0, None)
+
+    def _published(self) -> DataFrame:
+        return self.spark.read.schema("value string").text(f"{self.path}/commits").select(F.col("value").alias("attempt")).distinct()
+
+    def _parts(self, snapshot: str | None) -> tuple[DataFrame, DataFrame]:
+        """Totals of a snapshot, and the published deltas that are not in it."""
+        read = self.spark.read
+        fresh = self._published()
+        if snapshot:
+            fresh = fresh.join(read.schema("attempt string").parquet(f"{self.path}/included/{snapshot}"), "attempt", "left_anti")
+        deltas = read.schema(f"{_TOTALS}, attempt string").parquet(f"{self.path}/data").join(fresh, "attempt", "left_semi").drop("attempt")
+        base = read.schema(_TOTALS).parquet(f"{self.path}/sums/{snapshot}") if snapshot else self.spark.createDataFrame([], _TOTALS)
+        return base, deltas
+
+    @staticmethod
+    def _summed(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy(*KEYS).agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("n_docs", "n_tokens")])
+        return sums.where("n_docs != 0 or n_tokens != 0")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; keys whose counts are both zero are left out."""
-        version = self.version()
-        if not version:
-            return self.spark.createDataFrame([], _TOTALS)
-        return self.spark.read.schema(_TOTALS).parquet(f"{self._folder(version)}/totals")
-
-    def committed(self) -> set[str]:
-        version = self.version()
-        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self._folder(version)}/batches").collect()} if version else set()
+        base, deltas = self._parts(self._snapshot()[1])
+        return self._summed(base.union(deltas))
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch of deltas (KEYS, sign, n_tokens); whether it was new.
 
         sign is 1 for an insert, -1 for a delete; a revised count is a delete of the old and an insert
         of the new one. Null keys are keys of their own, a null n_tokens counts as 0, rows with a null sign as
-        nothing; repeated rows count each, other columns are ignored.
+        nothing; repeated rows count each, other columns are ignored. No deltas make a batch that changes nothing.
         """
-        done = self.committed()
-        if batch in done:
+        if self.committed(batch):
             return False
-        version = self.version()
         signed = deltas.select(*[F.col(k).cast("string") for k in KEYS], F.col("sign").cast("long").alias("n_docs"), (F.col("sign") * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
-        summed = self.totals().union(signed).groupBy(*KEYS).agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("n_docs", "n_tokens")])
-        aside = f"{self.path}/aside-{uuid.uuid4().hex}"
-        summed.where("n_docs != 0 or n_tokens != 0").write.parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(b,) for b in sorted(done | {batch})], "batch string").coalesce(1).write.parquet(f"{aside}/batches")
-        target = self._as_path(self._folder(version + 1))
-        if self._fs.exists(target) or not self._fs.rename(self._as_path(aside), target):
-            raise RuntimeError(f"another writer has made version {version + 1}")
-        return True
+        attempt = uuid.uuid4().hex
+        self._summed(signed).write.parquet(f"{self.path}/data/attempt={attempt}")
+        return self._publish(self._file(batch), attempt)
+
+    def compact(self) -> None:
+        """Sum what is published into a snapshot, so that reading does not grow with the number of batches."""
+        number, last = self._snapshot()
+        attempt = uuid.uuid4().hex
+        published = stored(self._published())
+        base, _ = self._parts(last)
+        fresh = published.join(self.spark.read.schema("attempt string").parquet(f"{self.path}/included/{last}"), "attempt", "left_anti") if last else published
+        deltas = self.spark.read.schema(f"{_TOTALS}, attempt string").parquet(f"{self.path}/data").join(fresh, "attempt", "left_semi").drop("attempt")
+        self._summed(base.union(deltas)).write.parquet(f"{self.path}/sums/{attempt}")
+        published.write.parquet(f"{self.path}/included/{attempt}")
+        self._publish(f"snapshots/{number + 1:010d}", attempt)
 
 
 def inserts(counts: DataFrame) -> DataFrame:
+    """Deltas that add each row; all columns are kept, a column ``sign`` is replaced."""
     return counts.withColumn("sign", F.lit(1))
 
 
 def deletes(counts: DataFrame) -> DataFrame:
+    """Deltas that take each row away; all columns are kept, a column ``sign`` is replaced."""
     return counts.withColumn("sign", F.lit(-1))
 
 
 def revisions(counts: DataFrame, revised: str) -> DataFrame:
-    """Deltas that replace n_tokens by the column ``revised``."""
+    """Deltas that replace n_tokens by the column ``revised``; null counts as 0 on both sides."""
     return deletes(counts).unionByName(inserts(counts.withColumn("n_tokens", F.col(revised))))
 
 
@@ -94,15 +141,13 @@ def token_counts(docs: DataFrame, versions: dict[str, str | None]) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts = [t or "" for t in part.column(4).to_pylist()]
-                for name, path in versions.items():
-                    n = [len(ids) // 4 for ids in coder(path).encode(texts)] if path else [len(t.split()) for t in texts]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(1), part.column(2), pa.array([name] * len(n)), pa.array(n, pa.int64()), part.column(3)], names=["doc_id", "source", "lang", "tokenizer", "n_tokens", "print"]
-                    )
+        for part in steps(batches):
+            texts = [t or "" for t in part.column(4).to_pylist()]
+            for name, path in versions.items():
+                n = [len(ids) // 4 for ids in coder(path).encode(texts)] if path else [len(t.split()) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(2), pa.array([name] * len(n)), pa.array(n, pa.int64()), part.column(3)], names=["doc_id", "source", "lang", "tokenizer", "n_tokens", "print"]
+                )
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.sha2(text, 256).alias("print"), text.alias("text"))

@@ -254,16 +254,45 @@ def test_rollup_batches_count_once(spark, tmp_path):
     from kymora.llm import rollups
 
     rollup = rollups.Rollup(spark, str(tmp_path / "r"))
-    assert rollup.totals().collect() == [] and rollup.version() == 0
+    assert rollup.totals().collect() == [] and not rollup.committed("one")
     counts = spark.createDataFrame([("a", None, "t", 5, 7), ("a", None, "t", 5, 7), (None, "en", "t", None, 1)], "source string, lang string, tokenizer string, n_tokens long, revised long")
     assert rollup.commit("one", rollups.inserts(counts)) and not rollup.commit("one", rollups.inserts(counts))
     assert {tuple(r) for r in rollup.totals().collect()} == {("a", None, "t", 2, 10), (None, "en", "t", 1, 0)}
     assert rollup.commit("two", rollups.revisions(counts.where("source = 'a'"), "revised"))
     assert ("a", None, "t", 2, 14) in {tuple(r) for r in rollup.totals().collect()}
-    assert rollup.commit("three", rollups.deletes(counts.where("source is null"))) and rollup.committed() == {"one", "two", "three"}
+    assert rollup.commit("three", rollups.deletes(counts.where("source is null"))) and all(rollup.committed(b) for b in ("one", "two", "three"))
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", None, "t", 2, 14)]
 
 
+def test_rollup_of_many_writers_and_lost_ones(spark, tmp_path):
+    from kymora.llm import rollups
+
+    one, other = (rollups.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    counts = spark.createDataFrame([("a", "en", "t", 5)], "source string, lang string, tokenizer string, n_tokens long")
+    publish = other._publish
+    # two batches at once: the second is written and published while the first one is between its two steps
+    one._publish = lambda file, attempt: other.commit("second", rollups.inserts(counts)) and publish(file, attempt)
+    assert one.commit("first", rollups.inserts(counts))
+    assert [tuple(r) for r in one.totals().collect()] == [("a", "en", "t", 2, 10)]
+    # one batch twice at once: one of them counts
+    won = []
+    one._publish = lambda file, attempt: won.append(other.commit("third", rollups.inserts(counts))) or publish(file, attempt)
+    assert not one.commit("third", rollups.inserts(counts)) and won == [True]
+    # a writer is lost before its file, another one before its file has content
+    one._publish = lambda file, attempt: (_ for _ in ()).throw(KeyboardInterrupt())
+    with pytest.raises(KeyboardInterrupt):
+        one.commit("fourth", rollups.inserts(counts))
+    (tmp_path / "r" / rollups.Rollup._file("fifth")).touch()
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "t", 3, 15)]
+    assert other.commit("fourth", rollups.inserts(counts)) and other.commit("fifth", rollups.inserts(counts)) and not other.commit("fifth", rollups.inserts(counts))
+    other.compact()
+    assert other.commit("none", rollups.inserts(counts.limit(0))) and other.commit("sixth", rollups.deletes(counts))
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "t", 4, 20)]
+    other.compact()
+    other.compact()
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "t", 4, 20)] and not other.commit("second", rollups.inserts(counts))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_bit_sliced_sums_and_selection(seed):
     rng = np.random.default_rng(seed)
