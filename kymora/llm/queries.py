@@ -75,7 +75,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scores.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+    return scores.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"), "offending")
 
 
 @query("op10_ngram_jaccard_join")
@@ -118,8 +118,8 @@ _CANON = """
                regexp_replace(regexp_replace(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '') AS asked
         FROM (SELECT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM ends) x),
     edge AS (
-        SELECT a, b FROM said
-        UNION SELECT url, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/$', '') || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END
+        SELECT '0' || a AS a, '0' || b AS b FROM said
+        UNION SELECT '0' || url, '1' || regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/$', '') || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END
         FROM parts WHERE regexp_replace(host, '^www\\.', '') <> ''),
     walk AS (
         SELECT a AS node, a AS seen FROM edge UNION SELECT b, b FROM edge
@@ -131,10 +131,10 @@ _CANON = """
                row_number() OVER (PARTITION BY p.url ORDER BY length(r.host || r.path) DESC, r.action, r.host || r.path DESC) AS k
         FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
     ruled AS (SELECT url, action, rule FROM fit WHERE k = 1),
-    taint AS (SELECT alias FROM class JOIN ruled ON url = node GROUP BY alias HAVING bool_or(action = 'block') AND NOT bool_or(action = 'allow'))
+    taint AS (SELECT alias FROM class JOIN ruled ON '0' || url = node GROUP BY alias HAVING bool_or(action = 'block') AND NOT bool_or(action = 'allow'))
     SELECT page_id, coalesce(parts.host, '') AS host, coalesce(parts.path, '') AS path, rule,
-           coalesce(action, CASE WHEN taint.alias IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, coalesce(class.alias, pages.url) AS alias
-    FROM pages LEFT JOIN parts USING (url) LEFT JOIN ruled USING (url) LEFT JOIN class ON class.node = pages.url LEFT JOIN taint ON taint.alias = class.alias
+           coalesce(action, CASE WHEN taint.alias IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, coalesce(substr(class.alias, 2), pages.url) AS alias
+    FROM pages LEFT JOIN parts USING (url) LEFT JOIN ruled USING (url) LEFT JOIN class ON class.node = '0' || pages.url LEFT JOIN taint ON taint.alias = class.alias
 """
 
 

@@ -121,6 +121,17 @@ class NoisyOr:
         self.weights = np.where(usable, np.log((held[1] + 0.2) / (held[0] + 0.2) * (1 - share) / share), 0).astype(np.float32)
         return usable
 
+    def slopes(self, part: list[tuple[int, np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
+        """Slopes of the mean cross-entropy of the documents, by weight and by the bias."""
+        feature, size = np.concatenate([b[1] for b in part]), np.concatenate([b[2] for b in part])
+        y, plain = np.array([b[0] for b in part], float), np.array([b[3] for b in part], float)
+        owner = np.repeat(np.arange(len(part)), [len(b[2]) for b in part])
+        p, other = self.sentence(feature, np.cumsum(size) - size), 1 / (1 + np.exp(-self.bias))
+        none = np.exp(self.document(p, owner, len(part)) + plain * np.log1p(-other))
+        blame = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) / len(part)
+        d = blame[owner] * p
+        return np.bincount(feature, np.repeat(d, size), FEATURES), float(d.sum() + (blame * plain).sum() * other)
+
     def fit(self, bags: list[tuple[int, np.ndarray, np.ndarray, int]], epochs: int = 12, batch: int = 100, rate: float = 0.5) -> NoisyOr:
         """Adagrad on the documents' cross-entropy: label, features and sizes of sentences, number of sentences without."""
         squares, bias_squares = np.full(FEATURES, 1e-6, np.float32), 1e-6
@@ -128,18 +139,10 @@ class NoisyOr:
         for _ in range(epochs):
             order = rng.permutation(len(bags))
             for lo in range(0, len(bags), batch):
-                part = [bags[i] for i in order[lo : lo + batch]]
-                feature, size = np.concatenate([b[1] for b in part]), np.concatenate([b[2] for b in part])
-                y, plain = np.array([b[0] for b in part], float), np.array([b[3] for b in part], float)
-                owner = np.repeat(np.arange(len(part)), [len(b[2]) for b in part])
-                p, other = self.sentence(feature, np.cumsum(size) - size), 1 / (1 + np.exp(-self.bias))
-                none = np.exp(self.document(p, owner, len(part)) + plain * np.log1p(-other))
-                blame = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0) / len(part)
-                d = blame[owner] * p
-                g = np.bincount(feature, np.repeat(d, size), FEATURES).astype(np.float32)
+                slopes, slope = self.slopes([bags[i] for i in order[lo : lo + batch]])
+                g = slopes.astype(np.float32)
                 squares += g * g
                 self.weights -= rate * g / np.sqrt(squares)
-                slope = d.sum() + (blame * plain).sum() * other
                 bias_squares += slope**2
                 self.bias -= 0.3 * rate * slope / np.sqrt(bias_squares)
         return self

@@ -52,6 +52,10 @@ def resolved(target: Column, url: Column) -> Column:
     )
 
 
+#: First character of a node that is a url, and of one that is a canonical form: the same text may be both.
+_URL, _FORM = "0", "1"
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """Edges a - b between urls that lead to the same page: canonical links, redirects, and each url's canonical form."""
     html, url = F.coalesce("html", F.lit("")), F.col("url")
@@ -59,7 +63,9 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     links = F.array(*[F.when(t != "", resolved(t, url)) for t in (target(_LINK, _HREF), target(_REFRESH, _TARGET))])
     said = pages.where(url.isNotNull()).select("url", F.explode(links).alias("b")).where(F.col("b").isNotNull()).select(url.alias("a"), "b").distinct()
     ends = pages.select("url").union(said.select("b")).where(url.isNotNull()).distinct()
-    return said.union(ends.select(url.alias("a"), canonical(url).alias("b")).where(F.col("b").isNotNull()))
+    as_url = lambda c: F.concat(F.lit(_URL), c)
+    forms = ends.select(as_url(url).alias("a"), F.concat(F.lit(_FORM), canonical(url)).alias("b")).where(F.col("b").isNotNull())
+    return said.select(as_url(F.col("a")).alias("a"), as_url(F.col("b")).alias("b")).union(forms)
 
 
 def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -80,7 +86,7 @@ def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Judge ``pages`` (page_id, url, html) by ``rules`` (action allow or block, host, path).
 
-    Returns page_id, host, path, rule, verdict and alias (the class of urls, by its smallest name). A url's own
+    Returns page_id, host, path, rule, verdict and alias (the class of urls, by its smallest url). A url's own
     rule decides. A url without one is blocked if a url of its class is blocked by a rule and none is allowed by
     one; else it is allowed. Classes are the connected components over canonical links and refreshes in
     ``html`` (resolved against the page) and over each url's canonical form. Null urls, and those without
@@ -88,8 +94,10 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     Repeated rows are judged each for itself; other columns are ignored; no pages give no rows.
     """
     edges = stored(alias_edges(pages))
-    classes = stored(components(edges))
-    urls = edges.select(F.col("a").alias("url")).union(edges.select("b")).union(pages.select("url")).where("url is not null").distinct()
+    bare = lambda c: F.substring(c, F.lit(2), F.length(c))
+    classes = stored(components(edges).where(F.col("node").startswith(_URL)).select(bare(F.col("node")).alias("node"), bare(F.col("component")).alias("component")))
+    ends = edges.select("a").union(edges.select("b")).where(F.col("a").startswith(_URL)).select(bare(F.col("a")).alias("url"))
+    urls = ends.union(pages.select("url")).where("url is not null").distinct()
     ruled = stored(matched_rules(urls, rules))
     inside = ruled.join(classes.withColumnRenamed("node", "url"), "url")
     held = inside.groupBy("component").agg(F.bool_or(F.col("action") == "block").alias("blocks"), F.bool_or(F.col("action") == "allow").alias("allows"))
