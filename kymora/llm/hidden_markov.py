@@ -10,17 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymora.llm.common import fold_table, hash_sample, held_out, list_column, steps, stored, text_buffers, word_hashes, word_spans
+from kymora.llm.common import fold_table, held_out, list_column, mix, steps, stored, text_buffers, word_hashes, word_spans
 
-#: Latent states, and rounds of Baum-Welch over all training documents.
-STATES, ROUNDS = 8, 4
+#: Latent states, and rounds of Baum-Welch, each over all whole training documents.
+STATES, ROUNDS = 8, 10
 #: Classes of the words beyond the head, by their last two bytes; the head holds the most frequent words.
 CLASSES = 128
 HEAD = (1 << 16) - CLASSES - 1
-#: Training reads a document in segments of this many tokens.
-SEGMENT = 256
-#: Documents and rounds that give the starting point.
-START_DOCS, START_ROUNDS = 1500, 12
+#: Tokens whose state probabilities are held at once; longer stretches are worked through again from the states at their borders.
+SPAN = 1 << 18
 #: Weight of the corpus distribution in each state's emissions, of each transition, and of each known or unknown word.
 EMISSION, TRANSITION, WORD = 50.0, 1.0, 0.1
 
@@ -153,34 +151,63 @@ def forward(chain: Chain, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(chain: Chain, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, transitions and emissions of the sequences."""
+def _spans(active: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Stretches of places in which at most ``limit`` tokens lie, or one place."""
+    place, out, t = np.cumsum(np.append(0, active)), [], 0
+    while t < len(active):
+        stop = max(t + 1, int(np.searchsorted(place, place[t] + limit, side="right")) - 1)
+        out.append((t, stop))
+        t = stop
+    return out
+
+
+def expected_counts(chain: Chain, sequences: list[np.ndarray], limit: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch: expected starts, transitions and emissions of whole sequences, many at a time.
+
+    A first pass keeps the states at the borders of stretches of ``limit`` tokens; going back, each stretch is
+    worked through again from its border, so memory does not grow with the sequences' length.
+    """
     order, active = _padded(sequences)
     flat = np.concatenate([sequences[i] for i in order])
     begin = np.cumsum([0] + [len(sequences[i]) for i in order[:-1]])
-    place = np.cumsum(np.append(0, active))
     k = len(chain.start)
-    symbol = np.concatenate([flat[begin[:n] + t] for t, n in enumerate(active.tolist())])
-    emit = chain.emit[symbol]
-    alpha, scale = np.empty((len(symbol), k)), np.empty(len(symbol))
-    for t, n in enumerate(active.tolist()):
-        now = slice(place[t], place[t] + n)
-        a = (alpha[place[t - 1] : place[t - 1] + n] @ chain.move if t else chain.start) * emit[now]
-        scale[now] = a.sum(axis=1)
-        alpha[now] = a / scale[now, None]
-    beta, ahead = np.ones((len(symbol), k)), np.zeros((len(symbol), k))
-    for t in range(len(active) - 2, -1, -1):
-        n, now, later = active[t + 1], slice(place[t], place[t] + active[t + 1]), slice(place[t + 1], place[t + 1] + active[t + 1])
-        w = emit[later] * beta[later] / scale[later, None]
-        ahead[now] = w
-        beta[now] = w @ chain.move.T
-    gamma = alpha * beta
-    moves = chain.move * (alpha.T @ ahead)
-    return gamma[: active[0]].sum(axis=0), moves, np.stack([np.bincount(symbol, gamma[:, j], len(chain.emit)) for j in range(k)], axis=1)
-
-
-def segments(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(b, "<u2")[lo : lo + SEGMENT] for b in column.to_pylist() for lo in range(0, len(b) // 2, SEGMENT)]
+    spans = _spans(active, limit)
+
+    def ahead_of(t0: int, t1: int, state: np.ndarray, keep: bool):
+        """Forward through places t0 to t1 from the state before them: the last state and, if wanted, all with their scales."""
+        alphas, scales = [], []
+        for t, n in enumerate(active[t0:t1].tolist(), t0):
+            a = (state[:n] @ chain.move if t else np.broadcast_to(chain.start, (n, k))) * chain.emit[flat[begin[:n] + t]]
+            scale = a.sum(axis=1)
+            state = a / scale[:, None]
+            if keep:
+                alphas.append(state)
+                scales.append(scale)
+        return state, alphas, scales
+
+    entry = [np.zeros((0, k))]
+    for t0, t1 in spans[:-1]:
+        entry.append(ahead_of(t0, t1, entry[-1], False)[0])
+    start, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((len(chain.emit), k))
+    later = np.zeros((0, k))  # of the place behind a stretch: emission times what follows, scaled
+    for (t0, t1), before in zip(reversed(spans), reversed(entry), strict=True):
+        _, alphas, scales = ahead_of(t0, t1, before, True)
+        symbols, gammas = [], []
+        for t in range(t1 - 1, t0 - 1, -1):
+            alpha, n = alphas[t - t0], int(active[t])
+            beta = np.ones((n, k))
+            beta[: len(later)] = later @ chain.move.T
+            moves += alpha[: len(later)].T @ later
+            symbol = flat[begin[:n] + t]
+            gammas.append(alpha * beta)
+            symbols.append(symbol)
+            later = chain.emit[symbol] * beta / scales[t - t0][:, None]
+        if not t0:
+            start = gammas[-1].sum(axis=0)
+        symbol, gamma = np.concatenate(symbols), np.concatenate(gammas)
+        for j in range(k):
+            emitted[:, j] += np.bincount(symbol, gamma[:, j], len(emitted))
+    return start, chain.move * moves, emitted
 
 
 def improved(counts: tuple[np.ndarray, np.ndarray, np.ndarray], base: np.ndarray) -> Chain:
@@ -190,22 +217,25 @@ def improved(counts: tuple[np.ndarray, np.ndarray, np.ndarray], base: np.ndarray
     return Chain((start + 1) / (start + 1).sum(), (move + TRANSITION) / (move + TRANSITION).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def first_chain(sample: list[np.ndarray], base: np.ndarray, states: int) -> Chain:
-    """Starting point: emissions shaken by chance, states that last, some rounds over a few documents."""
-    rng = np.random.default_rng(17)
-    emit = base[:, None] * rng.gamma(2.0, 0.5, (len(base), states))
-    chain = Chain(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0))
-    for _ in range(START_ROUNDS if sample else 0):
-        chain = improved(expected_counts(chain, sample), base)
-    return chain
+def first_chain(known: Symbols, states: int) -> Chain:
+    """Starting point: the corpus distribution, shaken for each state by a hash of the word, and states that last."""
+    keys = np.empty(known.head + CLASSES, np.uint64)
+    keys[known.order] = known.keys
+    keys[known.head :] = mix(np.arange(CLASSES, dtype=np.uint64) + np.uint64(1 << 40))
+    salt = mix(np.arange(1, 2 * states + 1, dtype=np.uint64)).reshape(2, 1, states)
+    chance = (mix(keys[:, None] ^ salt) >> np.uint64(11)).astype(float) / (1 << 53) + 1e-12
+    emit = known.mass[:, None] * -np.log(chance).sum(axis=0) / 2
+    return Chain(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0))
 
 
 def baum_welch(sequences: DataFrame, known: Symbols, states: int = STATES, rounds: int = ROUNDS) -> Chain:
-    """Rounds of Baum-Welch over all ``sequences``: each task sums its expected counts, Spark adds the tasks' by symbol."""
+    """Rounds of Baum-Welch over all ``sequences``: each task sums its expected counts, Spark adds the tasks' by symbol.
+
+    Nothing depends on how the sequences lie in partitions, but for the rounding of sums.
+    """
     spark = sequences.sparkSession
     base = known.mass / known.mass.sum()
-    few = hash_sample(sequences.select("uid", F.substring("symbols", 1, 8 * SEGMENT).alias("symbols")), START_DOCS, "uid").toArrow()
-    chain = first_chain(segments(few.column("symbols")), base, states)
+    chain = first_chain(known, states)
     names = [f"e{k}" for k in range(states)]
     schema = "row int, " + ", ".join(f"{n} double" for n in names)
     for _ in range(rounds):
@@ -215,9 +245,9 @@ def baum_welch(sequences: DataFrame, known: Symbols, states: int = STATES, round
             size = len(now.value.emit)
             start, move, emit = np.zeros((1, states)), np.zeros((states, states)), np.zeros((size, states))
             for batch in batches:
-                parts = segments(batch.column(0))
-                for lo in range(0, len(parts), 2000):
-                    s, m, e = expected_counts(now.value, parts[lo : lo + 2000])
+                lines = [np.frombuffer(b, "<u2") for b in batch.column(0).to_pylist()]
+                if lines:
+                    s, m, e = expected_counts(now.value, lines)
                     start, move, emit = start + s, move + m, emit + e
             table = np.concatenate([emit, move, start])
             live = np.flatnonzero(table.any(axis=1))

@@ -172,6 +172,54 @@ def test_forward_equals_sum_over_all_state_paths():
     assert start.sum() == pytest.approx(3) and move.sum() == pytest.approx(11 - 3) and seen.sum() == pytest.approx(11)
 
 
+def test_expected_counts_equal_sums_over_all_state_paths():
+    from itertools import product
+
+    from kymora.llm.hidden_markov import Chain, expected_counts
+
+    rng = np.random.default_rng(6)
+    chain = Chain(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
+    lines = [np.array([0, 3, 4, 1, 1]), np.array([2]), np.array([4, 4, 0, 1, 2, 2, 3]), np.array([1, 1])]
+    start, move, seen = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for line in lines:
+        weights = {}
+        for path in product(range(3), repeat=len(line)):
+            p = chain.start[path[0]] * chain.emit[line[0], path[0]]
+            for t in range(1, len(line)):
+                p *= chain.move[path[t - 1], path[t]] * chain.emit[line[t], path[t]]
+            weights[path] = p
+        whole = sum(weights.values())
+        for path, p in weights.items():
+            start[path[0]] += p / whole
+            for t, state in enumerate(path):
+                seen[line[t], state] += p / whole
+                if t:
+                    move[path[t - 1], state] += p / whole
+    for limit in (1, 4, 7, 1 << 18):
+        got = expected_counts(chain, lines, limit)
+        assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(got, (start, move, seen), strict=True))
+
+
+def test_a_distributed_round_equals_a_plain_one(spark):
+    from kymora.llm import hidden_markov as M
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = M.symbols(M.word_counts(docs), 500)
+    sequences = M.encoded(docs, spark.sparkContext.broadcast(known)).cache()
+    chain = M.baum_welch(sequences.repartition(5), known, 4, 1)
+    lines = [np.frombuffer(r.symbols, "<u2") for r in sequences.collect()]
+    want = M.improved(M.expected_counts(M.first_chain(known, 4), lines), known.mass / known.mass.sum())
+    assert np.allclose(chain.emit, want.emit, rtol=1e-9) and np.allclose(chain.move, want.move, rtol=1e-9) and np.allclose(chain.start, want.start, rtol=1e-9)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    from kymora.llm import hidden_markov as M
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    runs = [{r.doc_id: r.score for r in M.hmm_scores(docs.repartition(n)).collect()} for n in (1, 3, 8)]
+    assert all(runs[0][d] == pytest.approx(r[d], rel=1e-6) for r in runs[1:] for d in runs[0]) and len(runs[0]) == 200
+
+
 def held_out_accuracy(spark, name, label):
     labels = dict(duckdb.connect().execute(f"select doc_id, {label} from '{MEDIUM}/labels.parquet'").fetchall())
     rows = [r for r in run(spark, name, MEDIUM) if r.held_out and r.doc_id in labels]
