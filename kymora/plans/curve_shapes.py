@@ -107,10 +107,10 @@ SMOOTH = f"""{PTS}, kw AS (SELECT o, exp(-0.5 * (o / 4.0) ** 2) / sum(exp(-0.5 *
      AND b.k = CASE WHEN a.k + a.o < 0 THEN -(a.k + a.o) - 1 WHEN a.k + a.o > 39 THEN 79 - (a.k + a.o) ELSE a.k + a.o END GROUP BY ALL), {_eigen('sm', 12, 39, 'ev')}, hcv AS (SELECT video_id, frame, i, small / (large + 1e-10) AS c FROM ev)"""
 
 
-@query("f15_head_curvature", f"WITH {SMOOTH} SELECT {VF}, i, round(c, 6) AS curvature FROM hcv")
+@query("f15_head_curvature", f"WITH {SMOOTH} SELECT rs.video_id, rs.frame, k AS i, round(coalesce(c, 0), 6) AS curvature FROM rs LEFT JOIN hcv ON hcv.video_id = rs.video_id AND hcv.frame = rs.frame AND hcv.i = rs.k")
 def f15b(spark, d):
     out = _res(spark, d).select("video_id", "frame", F.posexplode(C.head_curvature(F.col("ys"), F.col("xs"), 0.4)).alias("i", "curvature"))
-    return rounded(out.filter("i < 40"))
+    return rounded(out)
 
 
 TURNS = f"""{CURV}, mi AS (SELECT video_id, frame, i, small, large, CASE WHEN c <> 0 THEN c WHEN vy <= vx THEN 1.0 ELSE 0.0 END AS my, CASE WHEN c <> 0 THEN small - vy WHEN vy <= vx THEN 0.0 ELSE 1.0 END AS mx FROM ev),

@@ -57,18 +57,12 @@ def w4(spark, d):
 SG = "[-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36]"
 
 
-@query("w5_polynomial_smooth_inner", f"{SER}, s AS (SELECT a.subject, a.frame, sum(b.angle * {SG}[b.frame - a.frame + 6]) / 429 AS y FROM n a JOIN series b ON b.subject = a.subject AND abs(b.frame - a.frame) <= 5 WHERE a.frame >= 5 AND a.frame < a.n - 5 GROUP BY 1, 2) SELECT subject, frame, round(y, 6) AS angle_smooth FROM s")
+@query("w5_polynomial_smooth_inner", f"{SER}, s AS (SELECT a.subject, a.frame, sum(b.angle * {SG}[b.frame - a.frame + 6]) / 429 AS y FROM n a JOIN series b ON b.subject = a.subject AND abs(b.frame - a.frame) <= 5 WHERE a.frame >= 5 AND a.frame < a.n - 5 GROUP BY 1, 2) SELECT n.subject, n.frame, round(y, 6) AS angle_smooth FROM n LEFT JOIN s USING (subject, frame)")
 def w5(spark, d):
-    out = W.polynomial_smooth(I.series(spark, d), KEY, "frame", ["angle"])
-    out = W.with_size(out, KEY).filter((F.col("frame") >= 5) & (F.col("frame") < F.col(W.SIZE) - 5))
-    return rounded(out.select("subject", "frame", "angle_smooth"))
-
-
-@query("w5_polynomial_smooth_ends", None)
-def w5b(spark, d):
-    out = W.polynomial_smooth(I.series(spark, d), KEY, "frame", ["angle"])
-    out = W.with_size(out, KEY).filter((F.col("frame") < 5) | (F.col("frame") >= F.col(W.SIZE) - 5))
-    return rounded(out.select("subject", "frame", "angle_smooth"))
+    """All rows, with the values of inner points, which the published weights give."""
+    out = W.with_size(W.polynomial_smooth(I.series(spark, d), KEY, "frame", ["angle"]), KEY)
+    inner = (F.col("frame") >= 5) & (F.col("frame") < F.col(W.SIZE) - 5)
+    return rounded(out.select("subject", "frame", F.when(inner, F.col("angle_smooth")).alias("angle_smooth")))
 
 
 GRAM = """poly AS (SELECT t::DOUBLE AS t, 1.0 AS p0, t::DOUBLE AS p1, t * t - 10.0 AS p2, t * t * t - 17.8 * t AS p3 FROM range(-5, 6) r(t)),
@@ -76,13 +70,23 @@ GRAM = """poly AS (SELECT t::DOUBLE AS t, 1.0 AS p0, t::DOUBLE AS p1, t * t - 10
     FROM poly a, poly b, (SELECT sum(p0 * p0) AS n0, sum(p1 * p1) AS n1, sum(p2 * p2) AS n2, sum(p3 * p3) AS n3 FROM poly) z)"""
 
 
-@query("w5_polynomial_smooth", f"""{SER}, {GRAM}, c AS (SELECT subject, frame, n, greatest(5, least(frame, n - 6)) AS mid FROM n WHERE n >= 11)
-  SELECT c.subject, c.frame, round(sum(w * b.angle), 6) AS angle_smooth FROM c JOIN series b ON b.subject = c.subject AND abs(b.frame - c.mid) <= 5
-    JOIN hat ON hat.t = c.frame - c.mid AND hat.s = b.frame - c.mid GROUP BY 1, 2""")
+FIT = f"""{SER}, {GRAM}, c AS (SELECT subject, frame, n, greatest(5, least(frame, n - 6)) AS mid FROM n),
+  fit AS (SELECT c.subject, c.frame, sum(w * b.angle) AS y FROM c JOIN series b ON b.subject = c.subject AND abs(b.frame - c.mid) <= 5
+    JOIN hat ON hat.t = c.frame - c.mid AND hat.s = b.frame - c.mid WHERE n >= 11 GROUP BY 1, 2)"""
+
+
+@query("w5_polynomial_smooth_ends", f"{FIT} SELECT n.subject, n.frame, round(CASE WHEN n.frame < 5 OR n.frame >= n.n - 5 THEN y END, 6) AS angle_smooth FROM n LEFT JOIN fit USING (subject, frame)")
+def w5b(spark, d):
+    """All rows, with the values of the five points at each end, from the fit of the end window."""
+    out = W.with_size(W.polynomial_smooth(I.series(spark, d), KEY, "frame", ["angle"]), KEY)
+    end = (F.col("frame") < 5) | (F.col("frame") >= F.col(W.SIZE) - 5)
+    return rounded(out.select("subject", "frame", F.when(end, F.col("angle_smooth")).alias("angle_smooth")))
+
+
+@query("w5_polynomial_smooth", f"{FIT} SELECT n.subject, n.frame, round(y, 6) AS angle_smooth FROM n LEFT JOIN fit USING (subject, frame)")
 def w5c(spark, d):
-    """Inner points and ends of all series of at least one window."""
-    s = W.with_size(I.series(spark, d), KEY).filter(F.col(W.SIZE) >= 11).drop(W.SIZE)
-    return rounded(W.polynomial_smooth(s, KEY, "frame", ["angle"]).select("subject", "frame", "angle_smooth"))
+    """Inner points and ends; series shorter than a window have null values."""
+    return rounded(W.polynomial_smooth(I.series(spark, d), KEY, "frame", ["angle"]).select("subject", "frame", "angle_smooth"))
 
 
 @query("w6_gradient", f"""{SER}, g AS (SELECT subject, frame, angle, lag(angle) OVER w AS p, lead(angle) OVER w AS q FROM n WINDOW w AS (PARTITION BY subject ORDER BY frame))

@@ -167,22 +167,21 @@ def a34(spark, d):
     return rounded(M.movement_summary(M.local_movement(I.mask_index(spark, d), I.mask_pixels(spark, d))))
 
 
-# Masks that leave room to shift: inner pixels only.
-INNER = "inner_px AS (SELECT * FROM mask_pixels WHERE y BETWEEN 3 AND 12 AND x BETWEEN 3 AND 12)"
-ALIGN = f"""{INNER}, g AS (SELECT {MKG}, count(*) AS area, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM inner_px GROUP BY ALL),
+# Whole masks in frames with a margin of 4 pixels below and to the right, in which templates can shift both ways.
+ALIGN = f"""g AS (SELECT {MKG}, count(*) AS area, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM mask_pixels GROUP BY ALL),
   t AS (SELECT video_id, object_id, arg_max({{'f': frame, 'cy': cy, 'cx': cx, 'y0': y0, 'x0': x0, 'y1': y1, 'x1': x1}}, {{'a': area, 'f': -frame}}) AS t FROM g GROUP BY 1, 2),
   c AS (SELECT g.video_id, g.frame, g.object_id, t.t, dy, dx, CAST(trunc(g.cy - t.t.cy) AS BIGINT) + dy AS sy, CAST(trunc(g.cx - t.t.cx) AS BIGINT) + dx AS sx, g.cy - t.t.cy AS fy, g.cx - t.t.cx AS fx FROM g JOIN t USING (video_id, object_id), range(-2, 3) a(dy), range(-2, 3) b(dx)),
-  s AS (SELECT *, row_number() OVER (PARTITION BY {MKG} ORDER BY round((sy - fy) ** 2 + (sx - fx) ** 2, 9), dy, dx) AS rn FROM c WHERE t.y0 + sy >= 0 AND t.x0 + sx >= 0 AND t.y1 + sy < 16 AND t.x1 + sx < 16),
-  aligned AS (SELECT s.video_id, s.frame, s.object_id, p.y + sy AS y, p.x + sx AS x FROM s JOIN inner_px p ON p.video_id = s.video_id AND p.object_id = s.object_id AND p.frame = s.t.f WHERE rn = 1)"""
+  s AS (SELECT *, row_number() OVER (PARTITION BY {MKG} ORDER BY round((sy - fy) ** 2 + (sx - fx) ** 2, 9), dy, dx) AS rn FROM c WHERE t.y0 + sy >= 0 AND t.x0 + sx >= 0 AND t.y1 + sy < 20 AND t.x1 + sx < 20),
+  aligned AS (SELECT s.video_id, s.frame, s.object_id, p.y + sy AS y, p.x + sx AS x FROM s JOIN mask_pixels p ON p.video_id = s.video_id AND p.object_id = s.object_id AND p.frame = s.t.f WHERE rn = 1)"""
 
 
-def _inner(spark, d):
-    return I.mask_pixels(spark, d).filter(F.col("y").between(3, 12) & F.col("x").between(3, 12))
+def _wide(spark, d):
+    return I.mask_index(spark, d).withColumns({"height": F.lit(20), "width": F.lit(20)})
 
 
 @query("j17_align_template", f"{WITH}, {ALIGN} SELECT {MK}, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM aligned")
 def j17(spark, d):
-    return rounded(M.align_template(I.mask_index(spark, d), _inner(spark, d)))
+    return rounded(M.align_template(_wide(spark, d), I.mask_pixels(spark, d)))
 
 
 def _chain():
@@ -197,7 +196,7 @@ def _chain():
 
 @query("j18_relative_overlaps", f"{WITH}, {ALIGN}, {_chain()} SELECT {MK}, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM k2")
 def j18(spark, d):
-    aligned = M.align_template(I.mask_index(spark, d), _inner(spark, d))
+    aligned = M.align_template(_wide(spark, d), I.mask_pixels(spark, d))
     return rounded(M.remove_relative_overlaps(aligned, [(2, 3), (2, 4), (3, 4)]))
 
 
@@ -216,7 +215,7 @@ def w14(spark, d):
     return rounded(M.fill_missing_masks(I.mask_index(spark, d), I.mask_pixels(spark, d), [2, 3, 4]))
 
 
-CROP = f"""f AS (SELECT DISTINCT video_id, frame FROM mask_index), b AS (SELECT video_id, frame, (min(x) + max(x)) // 2 AS cx, (min(y) + max(y)) // 2 AS cy FROM mask_pixels WHERE object_id = 4 AND y < 8 GROUP BY 1, 2),
+CROP = f"""f AS (SELECT DISTINCT video_id, frame FROM mask_index), b AS (SELECT video_id, frame, (min(x) + max(x)) // 2 AS cx, (min(y) + max(y)) // 2 AS cy FROM mask_pixels WHERE object_id = 4 GROUP BY 1, 2),
   c AS (SELECT f.video_id, f.frame, b.cx IS NULL AS e, coalesce(b.cx, 8) AS cx, coalesce(b.cy, 8) AS cy FROM f LEFT JOIN b USING (video_id, frame)),
   m AS (SELECT video_id, frame, CASE WHEN bool_or(e) OVER w THEN CAST(sum(cx) OVER w AS BIGINT) // count(*) OVER w ELSE cx END AS cx, CASE WHEN bool_or(e) OVER w THEN CAST(sum(cy) OVER w AS BIGINT) // count(*) OVER w ELSE cy END AS cy FROM c WINDOW w AS (PARTITION BY video_id)),
   l AS (SELECT *, greatest(0, cx - 3) AS l0, greatest(0, cy - 3) AS t0 FROM m), r AS (SELECT *, least(16, l0 + 6) AS r0, least(16, t0 + 6) AS b0 FROM l)"""
@@ -224,7 +223,8 @@ CROP = f"""f AS (SELECT DISTINCT video_id, frame FROM mask_index), b AS (SELECT
 
 @query("w16_crop_windows", f"{WITH}, {CROP} SELECT video_id, frame::BIGINT AS frame, CAST(CASE WHEN r0 = 16 THEN r0 - 6 ELSE l0 END AS BIGINT) AS x0, CAST(CASE WHEN b0 = 16 THEN b0 - 6 ELSE t0 END AS BIGINT) AS y0, CAST(r0 AS BIGINT) AS x1, CAST(b0 AS BIGINT) AS y1 FROM r")
 def w16(spark, d):
-    return rounded(M.crop_windows(I.mask_index(spark, d), I.mask_pixels(spark, d).filter("object_id = 4 AND y < 8"), 6))
+    """The window follows object 4, which some frames do not show."""
+    return rounded(M.crop_windows(I.mask_index(spark, d), I.mask_pixels(spark, d).filter("object_id = 4"), 6))
 
 
 @query("a32_mask_problems", f"""{WITH}, {OVER}, z AS (SELECT i.*, coalesce(area, 0) AS area FROM mask_index i LEFT JOIN ar USING ({MKG})),
@@ -430,7 +430,7 @@ def _bd(src, out):
 
 
 SCORE = f"""{WITH}, fr AS (SELECT DISTINCT video_id, frame FROM (SELECT *, min(frame) OVER w AS f0, max(frame) OVER w AS f1 FROM mask_index WINDOW w AS (PARTITION BY video_id)) WHERE frame > f0 AND frame < f1),
-  tr AS (SELECT * FROM mask_pixels SEMI JOIN fr USING (video_id, frame)), pr AS (SELECT video_id, frame, object_id, y, x + 1 AS x FROM mask_pixels SEMI JOIN fr USING (video_id, frame) WHERE x < 15 AND frame % 6 <> 2),
+  tr AS (SELECT * FROM mask_pixels SEMI JOIN fr USING (video_id, frame)), pr AS (SELECT * FROM (SELECT video_id, CASE WHEN frame % 6 = 2 THEN frame + 1000 ELSE frame END AS frame, object_id, y, (x + 1) % 16 AS x FROM mask_pixels) SEMI JOIN fr USING (video_id, frame)),
   sn AS (SELECT video_id, object_id, min(frame) AS f, max(g) AS g FROM (SELECT *, 1 AS g FROM tr UNION ALL SELECT *, 0 FROM pr) GROUP BY 1, 2),
   grid AS (SELECT fr.video_id, fr.frame, sn.object_id FROM fr JOIN sn ON sn.video_id = fr.video_id AND fr.frame >= sn.f AND sn.g = 1),
   cell AS (SELECT {MKG}, y, x, max(g) AS g, max(m) AS m FROM (SELECT *, 1 AS g, 0 AS m FROM tr UNION ALL SELECT *, 0, 1 FROM pr) GROUP BY {MKG}, y, x), sm AS (SELECT {MKG}, sum(g * m) AS i, count(*) AS u FROM cell GROUP BY {MKG}),
@@ -444,8 +444,10 @@ SCORE = f"""{WITH}, fr AS (SELECT DISTINCT video_id, frame FROM (SELECT *, min(f
 
 
 def _scores(spark, d):
+    """Whole masks against themselves moved on by a pixel, around the border; every sixth frame moves out of the recording."""
     px = I.mask_pixels(spark, d)
-    pred = px.filter("x < 15 AND frame % 6 <> 2").withColumn("x", F.col("x") + 1)
+    away = F.when(F.col("frame") % 6 == 2, F.col("frame") + 1000).otherwise(F.col("frame"))
+    pred = px.withColumns({"frame": away, "x": (F.col("x") + 1) % 16})
     return M.segmentation_scores(I.mask_index(spark, d), px, pred, 0.008)
 
 

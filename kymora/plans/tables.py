@@ -917,11 +917,12 @@ def j6(spark, d):
 @query(
     "j7_annotation_lookup",
     f"WITH {I.DE_SQL} SELECT gene, comparison_condition, reference_condition, p_name AS gene_name, p_type AS description FROM de "
-    "LEFT JOIN part ON gene = 'g' || p_partkey AND p_size > 10",
+    "LEFT JOIN part ON gene = CASE WHEN p_size > 10 THEN 'g' ELSE 'no-' END || p_partkey",
 )
 def j7(spark, d):
-    ann = table(spark, d, "part").filter("p_size > 10").select(
-        F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene"), F.col("p_name").alias("gene_name"), F.col("p_type").alias("description")
+    known = F.when(F.col("p_size") > 10, "g").otherwise("no-")
+    ann = table(spark, d, "part").select(
+        F.concat(known, F.col("p_partkey").cast("string")).alias("gene"), F.col("p_name").alias("gene_name"), F.col("p_type").alias("description")
     )
     de = I.gene_results(spark, d).select("gene", "comparison_condition", "reference_condition")
     return O.null_safe_join(de, ann, ["gene"])
