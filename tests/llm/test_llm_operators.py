@@ -125,6 +125,70 @@ def test_large_near_duplicate_group_is_split_into_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in got} == brute_near(rows)
 
 
+def planted_pairs(rng, low, high, pairs, words=120):
+    """Texts 2k and 2k + 1 whose sets of five words have a similarity between ``low`` and ``high``."""
+    rows = []
+    while len(rows) < 2 * pairs:
+        base = [f"w{x}" for x in rng.integers(0, 10**7, words)]
+        other = list(base)
+        for at in rng.choice(words, rng.integers(1, 5), replace=False):
+            other[at] = f"x{rng.integers(0, 10**7)}"
+        a, b = ({tuple(t[i : i + 5]) for i in range(words - 4)} for t in (base, other))
+        if low <= len(a & b) / len(a | b) < high:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    return rows
+
+
+@pytest.mark.parametrize(("low", "high", "length"), [(0.8, 0.82, 4), (0.8, 0.85, 5), (0.9, 0.95, 6)])
+def test_forest_shortens_prefixes_as_far_as_the_data_need(spark, low, high, length):
+    from kymora.llm import lsh_forest as forest
+
+    rows = planted_pairs(np.random.default_rng(12), low, high, 1500)
+    seen = []
+    adapt = forest.adapted_clusters
+    forest.adapted_clusters = lambda *a: seen.append(adapt(*a)) or seen[-1]
+    try:
+        got = {r.doc_id: r for r in forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        forest.adapted_clusters = adapt
+    linked = [got[d].class_id == got[d + 1].class_id == d for d in range(0, len(rows), 2)]
+    assert np.mean(linked) >= 0.999 and seen[0][1] == length
+
+
+def test_forest_edges_join_what_common_prefixes_join(spark, monkeypatch):
+    from kymora.llm import lsh_forest as forest
+
+    monkeypatch.setattr(forest, "FLOOR", 0.0)
+    rng = np.random.default_rng(13)
+    n, L, T = 90, forest.LONGEST, forest.TREES
+    labels = rng.integers(0, 2, (n, T, L)).astype(np.uint8)
+    labels[:, :, : forest.shortest_prefix()] = labels[:, :1, :1]
+    rows = [(5, bytes([k]), labels[k].tobytes(), 3) for k in range(n) if labels[k, 0, 0] == 0]
+    edges = forest.forest_edges(spark.createDataFrame(rows, "cell long, key binary, signature binary, tree int")).collect()
+    alive = [r[1][0] for r in rows]
+    assert len(edges) == len(alive) - 1
+    for length in range(forest.shortest_prefix(), L + 1):
+        groups = defaultdict(set)
+        for k in alive:
+            groups[labels[k, 3, :length].tobytes()].add(k)
+        parent = {k: k for k in alive}
+        for e in edges:
+            if e.length >= length:
+                a, b = e.a[0], e.b[0]
+                while parent[a] != a:
+                    a = parent[a]
+                while parent[b] != b:
+                    b = parent[b]
+                parent[a] = b
+        found = defaultdict(set)
+        for k in alive:
+            r = k
+            while parent[r] != r:
+                r = parent[r]
+            found[r].add(k)
+        assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
+
+
 @pytest.mark.parametrize("find", [components, contracted_components, lambda e: contracted_components(e, 40)])
 def test_components_of_a_shuffled_path(spark, find):
     n = 200
