@@ -282,7 +282,11 @@ def f28c(spark, d):
     return rounded(G.periodogram(I.series(spark, d), KEY, "frame", "angle", 5.0), 3)
 
 
-@query("f29_wavelet_range", None)
+WAVES = f"""{SER}, ps AS (SELECT s, o, exp(-((o / s) ** 2)) / sqrt(pi() * s) AS a, 2 * pi() * o / s AS b FROM (SELECT CAST(s AS DOUBLE) AS s, CAST(o AS DOUBLE) AS o FROM range(1, 128) r(s), range(-1016, 1017) q(o) WHERE abs(o) <= 8 * s) x),
+  wv AS (SELECT c.subject, c.frame, s, sqrt(sum(a * cos(b) * t.angle) ** 2 + sum(a * sin(b) * t.angle) ** 2) AS m FROM n c JOIN n t USING (subject) JOIN ps ON o = t.frame - c.frame GROUP BY 1, 2, 3)"""
+
+
+@query("f29_wavelet_range", f"{WAVES} SELECT subject, CAST(s AS BIGINT) AS scale, round(max(m), 5) AS largest, round(avg(m), 5) AS mean FROM wv GROUP BY 1, 2")
 def f29(spark, d):
     """Largest and mean wavelet magnitude per subject and scale."""
     w = G.wavelet_magnitudes(I.series(spark, d), KEY, "frame", "angle", 127)
@@ -306,7 +310,20 @@ def f23b(spark, d):
     return rounded(G.with_prominence(G.local_peaks(s, KEY, "frame", "angle"), s, KEY, "frame", "angle", 16))
 
 
-@query("f24_head_bends", None)
+BENDS = f"""{DFT}, sg AS (SELECT subject, sign, frame, angle * sign AS v FROM n, (VALUES (1), (-1)) t(sign)),
+  g AS (SELECT *, lag(v) OVER w AS p FROM sg WINDOW w AS (PARTITION BY subject, sign ORDER BY frame)),
+  rn AS (SELECT *, sum(CASE WHEN p IS NULL OR v <> p THEN 1 ELSE 0 END) OVER (PARTITION BY subject, sign ORDER BY frame) AS run FROM g),
+  u AS (SELECT subject, sign, run, any_value(v) AS v, min(frame) AS a, max(frame) AS b FROM rn GROUP BY 1, 2, 3),
+  pk AS (SELECT subject, sign, (a + b) // 2 AS frame, v AS h FROM (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM u WINDOW w AS (PARTITION BY subject, sign ORDER BY run)) x WHERE v > p AND v > q),
+  kp AS (SELECT subject, sign, unnest(list_reduce(list([CAST(frame AS BIGINT)] ORDER BY h DESC, frame DESC), lambda acc, f: CASE WHEN len(list_filter(acc, lambda k: abs(k - f[1]) < 8)) > 0 THEN acc ELSE list_concat(acc, f) END)) AS frame FROM pk GROUP BY 1, 2),
+  lf AS (SELECT kp.subject, kp.sign, kp.frame, any_value(pk.h) AS h, max(s.frame) FILTER (s.v > pk.h AND s.frame < kp.frame) AS l, min(s.frame) FILTER (s.v > pk.h AND s.frame > kp.frame) AS r FROM kp JOIN pk USING (subject, sign, frame) JOIN sg s ON s.subject = kp.subject AND s.sign = kp.sign GROUP BY 1, 2, 3),
+  pr AS (SELECT lf.subject, lf.sign, lf.frame, any_value(h) AS h, any_value(h) - greatest(min(s.v) FILTER (s.frame <= lf.frame AND s.frame > coalesce(l, -1)), min(s.v) FILTER (s.frame >= lf.frame AND s.frame < coalesce(r, 1000000))) AS d FROM lf JOIN sg s ON s.subject = lf.subject AND s.sign = lf.sign GROUP BY 1, 2, 3),
+  e AS (SELECT pr.subject, pr.sign, pr.frame, h * pr.sign AS h FROM pr JOIN (SELECT subject, stddev_pop(angle) / 3 AS t FROM n GROUP BY 1) z USING (subject) WHERE d >= t),
+  ag AS (SELECT subject, count(*) FILTER (sign > 0) AS num_peaks, count(*) FILTER (sign < 0) AS num_troughs, avg(h) FILTER (sign > 0) AS avg_peak_depth, avg(h) FILTER (sign < 0) AS avg_trough_depth, max(h) FILTER (sign > 0) AS max_peak_depth, min(h) FILTER (sign < 0) AS max_trough_depth, (count(*) - 1) * 10.0 / nullif(max(frame) - min(frame), 0) AS f FROM e GROUP BY 1),
+  dm AS (SELECT subject, arg_max(k * 10.0 / n, {{'p': round(re ** 2 + im ** 2, 9), 'k': -k}}) AS dominant_freq FROM ft WHERE k > 0 GROUP BY 1)"""
+
+
+@query("f24_head_bends", f"{BENDS} SELECT x.subject, coalesce(num_peaks, 0) AS num_peaks, coalesce(num_troughs, 0) AS num_troughs, round(avg_peak_depth, 6) AS avg_peak_depth, round(avg_trough_depth, 6) AS avg_trough_depth, round(max_peak_depth, 6) AS max_peak_depth, round(max_trough_depth, 6) AS max_trough_depth, round(coalesce(f, 0), 6) AS avg_bend_frequency, round(dominant_freq, 6) AS dominant_freq FROM (SELECT DISTINCT subject FROM n) x LEFT JOIN ag USING (subject) LEFT JOIN dm USING (subject)")
 def f24(spark, d):
     return rounded(G.head_bends(I.series(spark, d), KEY, "frame", "angle", 10.0))
 
@@ -437,7 +454,16 @@ def j24(spark, d):
     return rounded(C.tip_points(sparse(spark, d), sparse_index(spark, d), M.MASK))
 
 
-@query("t16_hull_corners", None)
+HULL = """WITH b AS (SELECT DISTINCT l_returnflag AS g, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+  ex AS (SELECT g, x, min(y) AS lo, max(y) AS hi FROM b GROUP BY 1, 2), en AS (SELECT g, min(x) AS x0, max(x) AS x1 FROM ex GROUP BY 1),
+  cut AS (SELECT DISTINCT p.g, p.x, (c.x - a.x) * (p.lo - a.lo) - (c.lo - a.lo) * (p.x - a.x) >= 0 AS no_lo, (c.x - a.x) * (p.hi - a.hi) - (c.hi - a.hi) * (p.x - a.x) <= 0 AS no_hi FROM ex p JOIN ex a ON a.g = p.g AND a.x < p.x JOIN ex c ON c.g = p.g AND c.x > p.x),
+  bad AS (SELECT g, x, bool_or(no_lo) AS no_lo, bool_or(no_hi) AS no_hi FROM cut GROUP BY 1, 2),
+  pt AS (SELECT ex.g, ex.x, lo AS y, 0 AS part FROM ex JOIN en USING (g) LEFT JOIN bad USING (g, x) WHERE NOT coalesce(no_lo, false) AND NOT (ex.x = x1 AND lo = hi)
+    UNION ALL SELECT ex.g, ex.x, hi, 1 FROM ex JOIN en USING (g) LEFT JOIN bad USING (g, x) WHERE NOT coalesce(no_hi, false) AND NOT (ex.x = x0 AND lo = hi)),
+  nu AS (SELECT g, x, y, row_number() OVER (PARTITION BY g ORDER BY part, CASE part WHEN 0 THEN x ELSE -x END) - 1 AS corner FROM pt)"""
+
+
+@query("t16_hull_corners", f"{HULL} SELECT g AS l_returnflag, round(x, 6) AS l_quantity, round(y, 6) AS l_extendedprice, corner FROM nu UNION ALL SELECT g, round(x, 6), round(y, 6), (SELECT count(*) FROM nu m WHERE m.g = nu.g) FROM nu WHERE corner = 0")
 def t16(spark, d):
     h = C.convex_hull(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
     return rounded(h)

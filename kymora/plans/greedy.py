@@ -31,7 +31,15 @@ def j13(spark, d):
     return rounded(GR.largest_of_overlapping(nested(spark, d)))
 
 
-@query("j23_merge_overlapping", None)
+MERGE = f"""{NEST.replace("WITH", "WITH RECURSIVE", 1)}, mk AS (SELECT video_id, frame, object_id, list(CAST(y * 100 + x AS BIGINT)) AS px FROM nest GROUP BY 1, 2, 3),
+  st AS (SELECT video_id, frame, list({{'id': CAST(object_id AS BIGINT), 'px': px}} ORDER BY object_id) AS rest, CAST(NULL AS STRUCT(id BIGINT, px BIGINT[])) AS done FROM mk GROUP BY 1, 2
+    UNION ALL SELECT video_id, frame, m.rest, {{'id': m.id, 'px': m.px}} FROM (
+      SELECT video_id, frame, list_reduce(list_transform(rest, lambda r: {{'id': r.id, 'px': r.px, 'rest': CAST([] AS STRUCT(id BIGINT, px BIGINT[])[])}}),
+        lambda a, e: CASE WHEN len(list_intersect(a.px, e.px)) / least(len(a.px), len(e.px)) > 0.95 THEN {{'id': a.id, 'px': list_distinct(list_concat(a.px, e.px)), 'rest': a.rest}} ELSE {{'id': a.id, 'px': a.px, 'rest': list_append(a.rest, {{'id': e.id, 'px': e.px}})}} END) AS m
+      FROM st WHERE len(rest) > 0) q)"""
+
+
+@query("j23_merge_overlapping", f"{MERGE} SELECT video_id, frame::BIGINT AS frame, id AS object_id, p // 100 AS y, p % 100 AS x FROM (SELECT video_id, frame, done.id AS id, unnest(done.px) AS p FROM st WHERE done IS NOT NULL AND len(done.px) >= 25) z")
 def j23(spark, d):
     return rounded(GR.merge_overlapping(nested(spark, d), 0.95, 25))
 
@@ -68,12 +76,35 @@ def _boxes(spark, d):
     return li.select("image", "box", "score", x0.alias("x0"), y0.alias("y0"), (x0 + 20 + F.col("q")).alias("x1"), (y0 + 30 + F.col("q") / 2).alias("y1"))
 
 
-@query("o6_box_suppression", None)
+BOXES = """WITH b AS (SELECT l_suppkey AS image, l_partkey AS box, max(l_extendedprice) AS score, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+  bx AS (SELECT image, box, score, box % 97 * 2.0 AS x0, (box // 97) * 9.0 AS y0, box % 97 * 2.0 + 20 + q AS x1, (box // 97) * 9.0 + 30 + q / 2 AS y1 FROM b),
+  pr AS (SELECT a.image, a.box AS w, b.box AS l, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s
+    FROM bx a JOIN bx b ON a.image = b.image AND (a.score > b.score OR (a.score = b.score AND a.box < b.box))),
+  ls AS (SELECT image, l AS box, list(w) AS w FROM pr WHERE i > 0.7 * (s - i) GROUP BY 1, 2),
+  el AS (SELECT image, list({'b': bx.box, 'w': coalesce(ls.w, []), 'k': CAST([] AS BIGINT[])} ORDER BY score DESC, bx.box) AS e FROM bx LEFT JOIN ls USING (image, box) GROUP BY 1),
+  dn AS (SELECT image, list_reduce(list_concat([{'b': CAST(-1 AS BIGINT), 'w': CAST([] AS BIGINT[]), 'k': CAST([] AS BIGINT[])}], e), lambda a, x: {'b': x.b, 'w': x.w, 'k': CASE WHEN list_has_any(a.k, x.w) THEN a.k ELSE list_append(a.k, x.b) END}).k AS k FROM el)"""
+
+
+@query("o6_box_suppression", f"{BOXES} SELECT image, unnest(k) AS box FROM dn")
 def o6(spark, d):
     return rounded(GR.box_nms(_boxes(spark, d), ["image"], "box", "score", 0.7).select("image", "box"))
 
 
-@query("j19_spot_tracks", None)
+TRACKS = f"""{SPOTS.replace("WITH", "WITH RECURSIVE", 1)},
+  fs AS (SELECT video_id, frame, list({{'d': 0.0::DOUBLE, 's': CAST(spot AS BIGINT), 'y': CAST(y AS DOUBLE), 'x': CAST(x AS DOUBLE)}} ORDER BY spot) AS sp, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS step FROM spots
+    WHERE video_id IN (SELECT s.video_id FROM spots s JOIN (SELECT video_id, min(frame) AS frame FROM frame_pixels GROUP BY 1) z USING (video_id, frame)) GROUP BY 1, 2),
+  el AS (SELECT video_id, frame, step, sp, CAST([] AS STRUCT(y DOUBLE, x DOUBLE, f BIGINT, s BIGINT)[]) AS none, CAST([] AS STRUCT(spot BIGINT, f BIGINT, s BIGINT)[]) AS said FROM fs),
+  tk AS (SELECT video_id, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS frame, none AS tr, said AS o FROM el WHERE step = 1
+    UNION ALL SELECT video_id, step, frame, list_concat(a.tr, list_transform(a.fr, lambda s: {{'y': s.y, 'x': s.x, 'f': frame, 's': s.s}})), list_concat(a.o, list_transform(a.fr, lambda s: {{'spot': s.s, 'f': frame, 's': s.s}}))
+    FROM (SELECT el.video_id, el.step, CAST(el.frame AS BIGINT) AS frame, list_reduce(list_concat([{{'tr': none, 'fr': sp, 'o': said}}], list_transform(tk.tr, lambda t: {{'tr': [t], 'fr': CAST([] AS STRUCT(d DOUBLE, s BIGINT, y DOUBLE, x DOUBLE)[]), 'o': said}})),
+      lambda a, e: CASE WHEN len(list_filter(a.fr, lambda s: (s.y - e.tr[1].y) ** 2 + (s.x - e.tr[1].x) ** 2 < 9)) = 0 THEN {{'tr': list_concat(a.tr, e.tr), 'fr': a.fr, 'o': a.o}}
+        ELSE list_transform([list_min(list_transform(list_filter(a.fr, lambda s: (s.y - e.tr[1].y) ** 2 + (s.x - e.tr[1].x) ** 2 < 9), lambda s: {{'d': (s.y - e.tr[1].y) ** 2 + (s.x - e.tr[1].x) ** 2, 's': s.s, 'y': s.y, 'x': s.x}}))],
+          lambda m: {{'tr': list_append(a.tr, {{'y': m.y, 'x': m.x, 'f': e.tr[1].f, 's': e.tr[1].s}}), 'fr': list_filter(a.fr, lambda s: s.s <> m.s), 'o': list_append(a.o, {{'spot': m.s, 'f': e.tr[1].f, 's': e.tr[1].s}})}})[1] END) AS a
+      FROM tk JOIN el ON el.video_id = tk.video_id AND el.step = tk.step + 1) q),
+  tracks AS (SELECT t.video_id, t.frame, o.spot, o.f AS start_frame, o.s AS start_spot, s.y, s.x FROM (SELECT video_id, frame, unnest(o) AS o FROM tk) t JOIN spots s ON s.video_id = t.video_id AND s.frame = t.frame AND s.spot = t.o.spot)"""
+
+
+@query("j19_spot_tracks", f"{TRACKS} SELECT video_id, frame, spot, start_frame, start_spot, round(CAST(y AS DOUBLE), 6) AS y, round(CAST(x AS DOUBLE), 6) AS x FROM tracks")
 def j19(spark, d):
     spots = GR.bright_spots(I.frame_pixels(spark, d), 3, 4)
     return rounded(TR.track_spots(spots, I.mask_index(spark, d).select(*M.FRAME).distinct(), 3.0))
