@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from kymora.llm.common import fold_table, held_out, list_column, mix, steps, stored, text_buffers, word_hashes, word_spans
 
 #: Latent states, and rounds of Baum-Welch, each over all whole training documents.
-STATES, ROUNDS = 8, 10
+STATES, ROUNDS = 8, 8
 #: Classes of the words beyond the head, by their last two bytes; the head holds the most frequent words.
 CLASSES = 128
 HEAD = (1 << 16) - CLASSES - 1
-#: Tokens whose state probabilities are held at once; longer stretches are worked through again from the states at their borders.
-SPAN = 1 << 18
+#: Tokens whose state probabilities are held at once; a longer text is worked through again from the states at the borders of stretches.
+SPAN = 1 << 19
+#: Tokens whose emissions are summed at once.
+FLUSH = 1 << 16
 #: Weight of the corpus distribution in each state's emissions, of each transition, and of each known or unknown word.
 EMISSION, TRANSITION, WORD = 50.0, 1.0, 0.1
 
@@ -162,52 +164,83 @@ def _spans(active: np.ndarray, limit: int) -> list[tuple[int, int]]:
 
 
 def expected_counts(chain: Chain, sequences: list[np.ndarray], limit: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, transitions and emissions of whole sequences, many at a time.
+    """Baum-Welch: expected starts, transitions and emissions of whole sequences, many of like length at a time."""
+    k = len(chain.start)
+    start, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(chain.emit)))
+    by_length = sorted(sequences, key=len, reverse=True)
+    total = np.cumsum([len(s) for s in by_length])
+    lo = 0
+    while lo < len(by_length):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + limit, side="right")))
+        a, b = _add_counts(chain, by_length[lo:hi], limit, emitted)
+        start, moves, lo = start + a, moves + b, hi
+    return start, chain.move * moves, emitted.T
+
+
+def _add_counts(chain: Chain, sequences: list[np.ndarray], limit: int, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and, without the factor of the transition itself, transitions of sequences by falling length; emissions are added to ``emitted``.
 
     A first pass keeps the states at the borders of stretches of ``limit`` tokens; going back, each stretch is
     worked through again from its border, so memory does not grow with the sequences' length.
     """
-    order, active = _padded(sequences)
-    flat = np.concatenate([sequences[i] for i in order])
-    begin = np.cumsum([0] + [len(sequences[i]) for i in order[:-1]])
+    lengths = np.array([len(s) for s in sequences])
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    flat = np.concatenate(sequences)
+    begin = np.cumsum(lengths) - lengths
     k = len(chain.start)
     spans = _spans(active, limit)
 
-    def ahead_of(t0: int, t1: int, state: np.ndarray, keep: bool):
-        """Forward through places t0 to t1 from the state before them: the last state and, if wanted, all with their scales."""
-        alphas, scales = [], []
+    def ahead_of(t0: int, t1: int, state: np.ndarray, alphas: list | None, scales: list | None) -> np.ndarray:
+        """Forward through places t0 to t1 from the states before them: the last states; all of them and their scales are appended."""
         for t, n in enumerate(active[t0:t1].tolist(), t0):
             a = (state[:n] @ chain.move if t else np.broadcast_to(chain.start, (n, k))) * chain.emit[flat[begin[:n] + t]]
             scale = a.sum(axis=1)
             state = a / scale[:, None]
-            if keep:
+            if alphas is not None:
                 alphas.append(state)
                 scales.append(scale)
-        return state, alphas, scales
+        return state
 
     entry = [np.zeros((0, k))]
     for t0, t1 in spans[:-1]:
-        entry.append(ahead_of(t0, t1, entry[-1], False)[0])
-    start, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((len(chain.emit), k))
-    later = np.zeros((0, k))  # of the place behind a stretch: emission times what follows, scaled
+        entry.append(ahead_of(t0, t1, entry[-1], None, None))
+    start, moves = np.zeros(k), np.zeros((k, k))
+    symbols: list[np.ndarray] = []
+    gammas: list[np.ndarray] = []
+
+    def flush() -> None:
+        symbol, gamma = np.concatenate(symbols), np.ascontiguousarray(np.concatenate(gammas).T)
+        for j in range(k):
+            emitted[j] += np.bincount(symbol, gamma[j], emitted.shape[1])
+        symbols.clear()
+        gammas.clear()
+
+    waiting = 0
+    later = np.zeros((0, k))  # of the place behind: emission times what follows, scaled
     for (t0, t1), before in zip(reversed(spans), reversed(entry), strict=True):
-        _, alphas, scales = ahead_of(t0, t1, before, True)
-        symbols, gammas = [], []
+        alphas: list[np.ndarray] = []
+        scales: list[np.ndarray] = []
+        ahead_of(t0, t1, before, alphas, scales)
         for t in range(t1 - 1, t0 - 1, -1):
-            alpha, n = alphas[t - t0], int(active[t])
+            alpha, n, m = alphas.pop(), int(active[t]), len(later)
             beta = np.ones((n, k))
-            beta[: len(later)] = later @ chain.move.T
-            moves += alpha[: len(later)].T @ later
+            if m:
+                beta[:m] = later @ chain.move.T
+                moves += alpha[:m].T @ later
             symbol = flat[begin[:n] + t]
-            gammas.append(alpha * beta)
+            gamma = alpha * beta
+            later = chain.emit[symbol] * beta / scales.pop()[:, None]
+            gammas.append(gamma)
             symbols.append(symbol)
-            later = chain.emit[symbol] * beta / scales[t - t0][:, None]
-        if not t0:
-            start = gammas[-1].sum(axis=0)
-        symbol, gamma = np.concatenate(symbols), np.concatenate(gammas)
-        for j in range(k):
-            emitted[:, j] += np.bincount(symbol, gamma[:, j], len(emitted))
-    return start, chain.move * moves, emitted
+            waiting += n
+            if not t:
+                start = gamma.sum(axis=0)
+            if waiting >= FLUSH:
+                flush()
+                waiting = 0
+    if symbols:
+        flush()
+    return start, moves
 
 
 def improved(counts: tuple[np.ndarray, np.ndarray, np.ndarray], base: np.ndarray) -> Chain:
