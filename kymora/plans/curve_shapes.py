@@ -11,7 +11,7 @@ from kymora.operators import normalize as N
 from kymora.operators import shape as SH
 from kymora.operators import signal as G
 from kymora.plans import inputs as I
-from kymora.plans.ordered_series import KEY, SER
+from kymora.plans.ordered_series import GRAM, KEY, SER
 from kymora.plans.pixels import SPARSE_SQL, WITH, sparse, sparse_index
 from kymora.plans.registry import query, rounded, table
 
@@ -435,7 +435,23 @@ def w19(spark, d):
     return rounded(MO.head_identification(_ends(spark, d), KEY, "frame").select("subject", "frame", "head", "confidence"))
 
 
-@query("t3_movement_totals", None)
+TOTALS = f"""{SER}, {GRAM}, c0 AS (SELECT subject, frame, n, greatest(5, least(frame, n - 6)) AS mid FROM n),
+  ft AS (SELECT c0.subject, c0.frame, sum(w * b.angle) AS sx, sum(w * b.value) AS sy FROM c0 JOIN series b ON b.subject = c0.subject AND abs(b.frame - c0.mid) <= 5 JOIN hat ON hat.t = c0.frame - c0.mid AND hat.s = b.frame - c0.mid WHERE n >= 11 GROUP BY 1, 2),
+  sm AS (SELECT n.subject, n.frame, sx, sy, angle + k / 10 - angle AS ox, value + 1 - value AS oy FROM n LEFT JOIN ft ON ft.subject = n.subject AND ft.frame = n.frame),
+  v AS (SELECT *, {_grad('sx')} AS vx, {_grad('sy')} AS vy FROM sm WINDOW w AS (PARTITION BY subject ORDER BY frame)),
+  f0 AS (SELECT *, {_grad('vx')} AS ax, {_grad('vy')} AS ay, sqrt(vx ** 2 + vy ** 2) AS raw_speed, degrees(acos(greatest(-1, least(1, vx / sqrt(vx ** 2 + vy ** 2) * ox / sqrt(ox ** 2 + oy ** 2) + vy / sqrt(vx ** 2 + vy ** 2) * oy / sqrt(ox ** 2 + oy ** 2))))) AS raw_angle FROM v WINDOW w AS (PARTITION BY subject ORDER BY frame)),
+  fm AS (SELECT a.subject, a.frame, quantile_cont(coalesce(b.raw_speed, 0), 0.5) AS speed, quantile_cont(coalesce(b.raw_angle, 0), 0.5) AS ang FROM (SELECT * FROM f0, range(-2, 3) r(o)) a LEFT JOIN f0 b ON b.subject = a.subject AND b.frame = a.frame + o GROUP BY 1, 2),
+  mv AS (SELECT *, CASE WHEN avg(speed) OVER w < 0 THEN 'stationary' WHEN avg(abs(ang)) OVER w < 100 THEN 'forward' ELSE 'backward' END AS movement FROM fm WINDOW w AS (PARTITION BY subject ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+  t AS (SELECT *, sqrt((sx - lag(sx) OVER w) ** 2 + (sy - lag(sy) OVER w) ** 2) AS s, sqrt((sx - first_value(sx) OVER w) ** 2 + (sy - first_value(sy) OVER w) ** 2) AS a FROM sm WINDOW w AS (PARTITION BY subject ORDER BY frame)),
+  pm AS (SELECT subject, round(sum(s), 5) AS total_distance, round(max(a), 5) AS max_distance, arg_max(frame, {{'a': a, 'f': -frame}}) AS furthest_frame, count(*) AS n_frames, round(sum(s) / count(*), 5) AS avg_speed, round(coalesce(sum(s) / nullif(arg_max(a, frame), 0), 0), 5) AS sinuosity FROM t GROUP BY 1),
+  cm AS (SELECT mv.subject, count(*) FILTER (movement = 'forward') AS forward_frames, count(*) FILTER (movement = 'backward') AS backward_frames, count(*) FILTER (movement = 'stationary') AS stationary_frames, """ + ", ".join(
+    f"round(coalesce(avg({v}) FILTER (movement = '{k}'), 0), 5) AS {k}_{v}" for k in ("forward", "backward") for v in ("vx", "vy", "ax", "ay", "raw_speed")) + """ FROM mv JOIN f0 ON f0.subject = mv.subject AND f0.frame = mv.frame GROUP BY 1),
+  ch AS (SELECT *, CASE WHEN lag(movement) OVER w IS NOT DISTINCT FROM movement THEN 0 ELSE 1 END AS ch FROM mv WINDOW w AS (PARTITION BY subject ORDER BY frame)), ru AS (SELECT *, sum(ch) OVER (PARTITION BY subject ORDER BY frame) AS run FROM ch),
+  bo AS (SELECT subject, run, any_value(movement) AS movement, count(*) AS len FROM ru GROUP BY 1, 2 HAVING any_value(movement) <> 'stationary'),
+  bs AS (SELECT subject, count(*) FILTER (movement = 'forward') AS forward_bouts, round(coalesce(avg(len) FILTER (movement = 'forward'), 0), 5) AS avg_forward_bout_length, count(*) FILTER (movement = 'backward') AS backward_bouts, round(coalesce(avg(len) FILTER (movement = 'backward'), 0), 5) AS avg_backward_bout_length FROM bo GROUP BY 1)"""
+
+
+@query("t3_movement_totals", f"{TOTALS} SELECT * FROM pm LEFT JOIN cm USING (subject) LEFT JOIN bs USING (subject)")
 def t3(spark, d):
     s = I.series(spark, d).select(
         "subject", "frame", F.col("angle").alias("x"), F.col("value").alias("y"), (F.col("angle") + F.col("k") / 10).alias("head_x"),

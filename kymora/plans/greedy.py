@@ -8,7 +8,7 @@ from kymora.operators import greedy as GR
 from kymora.operators import masks as M
 from kymora.operators import tracks as TR
 from kymora.plans import inputs as I
-from kymora.plans.pixels import MK, MKG, WITH
+from kymora.plans.pixels import BRIGHT, MK, MKG, WITH
 from kymora.plans.registry import query, rounded, table
 
 # Overlapping masks for graph work: nested intensity levels on both sides of zero.
@@ -110,7 +110,16 @@ def j19(spark, d):
     return rounded(TR.track_spots(spots, I.mask_index(spark, d).select(*M.FRAME).distinct(), 3.0))
 
 
-@query("j19_feature_offsets", None)
+OFFSETS = f"""{TRACKS}, {BRIGHT}, back AS (SELECT video_id, frame, quantile_cont(cx, 0.5) OVER w - cx AS dx, quantile_cont(cy, 0.5) OVER w - cy AS dy FROM bc WINDOW w AS (PARTITION BY video_id)),
+  rf AS (SELECT video_id, start_frame, start_spot, median(x) AS rx, median(y) AS ry FROM tracks GROUP BY 1, 2, 3),
+  up AS (SELECT video_id, row_number() OVER w AS k, sum(rx) OVER w AS rx, sum(ry) OVER w AS ry FROM rf WINDOW w AS (PARTITION BY video_id ORDER BY start_frame, start_spot)),
+  se AS (SELECT video_id, frame, count(*) AS k, sum(x) AS sx, sum(y) AS sy FROM tracks GROUP BY 1, 2),
+  ow AS (SELECT se.video_id, se.frame, (rx - sx) / se.k AS dx, (ry - sy) / se.k AS dy FROM se JOIN up ON up.video_id = se.video_id AND up.k = se.k),
+  fr AS (SELECT DISTINCT video_id, frame FROM frame_pixels)"""
+
+
+@query("j19_feature_offsets", f"""{OFFSETS} SELECT fr.video_id, fr.frame::BIGINT AS frame, round(CAST(coalesce(CASE WHEN fr.video_id IN (SELECT video_id FROM tracks) THEN ow.dx ELSE back.dx END, 0) AS DOUBLE), 6) AS dx,
+  round(CAST(coalesce(CASE WHEN fr.video_id IN (SELECT video_id FROM tracks) THEN ow.dy ELSE back.dy END, 0) AS DOUBLE), 6) AS dy FROM fr LEFT JOIN ow ON ow.video_id = fr.video_id AND ow.frame = fr.frame LEFT JOIN back ON back.video_id = fr.video_id AND back.frame = fr.frame""")
 def j19b(spark, d):
     values, frames = I.frame_pixels(spark, d), I.mask_index(spark, d).select(*M.FRAME).distinct()
     tracks = TR.track_spots(GR.bright_spots(values, 3, 4), frames, 3.0)
