@@ -43,7 +43,8 @@ def sample_axes(counts: DataFrame, top: int = 500, k: int = 2) -> DataFrame:
     """Principal axes of the samples on the most variable genes of log2(normalised + 1).
 
     Each row also carries the share of variance of its axes.  The matrix has one row per
-    sample and ``top`` columns, whatever the size of the count table.
+    sample and ``top`` columns, whatever the size of the count table.  An axis points to the
+    sample farthest out on it.
     """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -63,8 +64,10 @@ def sample_axes(counts: DataFrame, top: int = 500, k: int = 2) -> DataFrame:
     model = PCA(k=k, inputCol="x", outputCol="pc").fit(vec)
     share = [float(v) for v in model.explainedVariance]
     pcs = model.transform(vec).select("sample", vector_to_array("pc").alias("pc"))
-    return pcs.select(
-        "sample", *[F.get("pc", F.lit(i)).alias(f"pc{i + 1}") for i in range(k)], *[F.lit(share[i]).alias(f"share{i + 1}") for i in range(k)]
+    axis = [F.get("pc", F.lit(i)) for i in range(k)]
+    far = pcs.agg(*[F.signum(F.max_by(a, F.struct(F.round(F.abs(a), 9), "sample"))).alias(f"__d{i}") for i, a in enumerate(axis)])
+    return pcs.crossJoin(far).select(
+        "sample", *[(a * F.col(f"__d{i}")).alias(f"pc{i + 1}") for i, a in enumerate(axis)], *[F.lit(share[i]).alias(f"share{i + 1}") for i in range(k)]
     )
 
 

@@ -199,7 +199,20 @@ def t6(spark, d):
     return rounded(I.curves(spark, d).select("video_id", "frame", C.at(C.head_first(flipped), 0)["x"].alias("head_x")))
 
 
-@query("t5_ordered_skeletons", None)
+# One pixel for each column, so a pixel has a neighbour in the column before and behind at most, and tips end stretches of columns.
+WALK = f"""WITH {I.PIXELS_SQL}, px AS (SELECT video_id, frame, x, arg_max(y, intensity) AS y FROM frame_pixels GROUP BY 1, 2, 3),
+  br AS (SELECT *, CASE WHEN lag(x) OVER w = x - 1 AND abs(y - lag(y) OVER w) <= 1 THEN 0 ELSE 1 END AS b FROM px WINDOW w AS (PARTITION BY video_id, frame ORDER BY x)),
+  st AS (SELECT *, sum(b) OVER (PARTITION BY video_id, frame ORDER BY x) AS c FROM br), le AS (SELECT *, count(*) OVER c AS len, min(x) OVER c AS x0, max(x) OVER c AS x1 FROM st WINDOW c AS (PARTITION BY video_id, frame, c)),
+  po AS (SELECT * FROM (SELECT *, len > 1 AND (x = x0 OR x = x1) AS tip, bool_or(len > 1) OVER (PARTITION BY video_id, frame) AS tips FROM le) q WHERE tip OR NOT tips),
+  fa AS (SELECT a.video_id, a.frame, a.x, a.y, max((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM po a JOIN po b ON a.video_id = b.video_id AND a.frame = b.frame GROUP BY 1, 2, 3, 4),
+  s0 AS (SELECT video_id, frame, arg_max(x, {{'d': d, 'y': -y, 'x': -x}}) AS sx FROM fa GROUP BY 1, 2),
+  on_ AS (SELECT le.*, sx, c = (SELECT c FROM le z WHERE z.video_id = le.video_id AND z.frame = le.frame AND z.x = sx) AS way FROM le JOIN s0 USING (video_id, frame)),
+  en AS (SELECT video_id, frame, arg_max(y, abs(x - sx)) AS ey, arg_max(x, abs(x - sx)) AS ex FROM on_ WHERE way GROUP BY 1, 2),
+  od AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY NOT way, CASE WHEN way THEN abs(x - sx) ELSE (x - ex) ** 2 + (y - ey) ** 2 END, y, x) - 1 AS pos, count(*) OVER (PARTITION BY video_id, frame) AS m FROM on_ JOIN en USING (video_id, frame)),
+  hd AS (SELECT *, first_value(y) OVER w AS y0, first_value(x) OVER w AS x0_, last_value(y) OVER w AS y1, last_value(x) OVER w AS x1_ FROM od WINDOW w AS (PARTITION BY video_id, frame ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+@query("t5_ordered_skeletons", f"{WALK} SELECT video_id, frame::BIGINT AS frame, 2 AS object_id, CASE WHEN y0 < y1 OR (y0 = y1 AND x0_ < x1_) THEN pos ELSE m - 1 - pos END AS pos, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x FROM hd")
 def t5(spark, d):
     """Skeleton pixels: per frame and column of the image, the brightest row."""
     p = I.frame_pixels(spark, d)

@@ -101,7 +101,31 @@ def t14b(spark, d):
     return rounded(GE.fold_changes(I.counts(spark, d), "B", "A"), 5)
 
 
-@query("t15_sample_axes", None)
+def _top_axis(m: str, out: str) -> str:
+    """Largest eigenvalue and its vector of the symmetric matrix in table ``m``: squared twelve times, only they are left."""
+    steps = [f"{out}0 AS (SELECT m FROM {m})"]
+    for i in range(12):
+        square = "list_transform(m, lambda r: list_transform(m, lambda c: list_inner_product(r, c)))"
+        steps.append(f"{out}{i + 1} AS (SELECT list_transform(q, lambda r: list_transform(r, lambda x: x / t)) AS m FROM (SELECT q, list_max(list_transform(q, lambda r: list_max(list_transform(r, lambda x: abs(x))))) AS t FROM (SELECT {square} AS q FROM {out}{i}) a) b)")
+    far = f"(SELECT list_transform(range(1, len(m) + 1), lambda i: {{'d': m[i][i], 'i': i}}) AS d, m FROM {out}12) a"
+    steps.append(f"{out}v AS (SELECT list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) AS v FROM (SELECT m[list_max(d).i] AS c FROM {far}) b)")
+    steps.append(f"{out} AS (SELECT v, list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS l FROM {out}v, {m})")
+    return ", ".join(steps)
+
+
+AXES = f"""{SF}, lo AS (SELECT gene_id, sample, log2(v + 1) AS v FROM nm), sp AS (SELECT gene_id, sum(v) AS s, sum(v * v) AS q, (SELECT count(DISTINCT sample) FROM counts) AS k FROM lo GROUP BY 1),
+  tg AS (SELECT gene_id FROM sp ORDER BY round((q - s * s / k) / (k - 1), 9) DESC, gene_id LIMIT 500),
+  gr AS (SELECT gene_id, sample, coalesce(v, 0) AS v FROM tg CROSS JOIN (SELECT DISTINCT sample FROM counts) z LEFT JOIN lo USING (gene_id, sample)),
+  ce AS (SELECT gene_id, sample, v - avg(v) OVER (PARTITION BY gene_id) AS v FROM gr),
+  pr AS (SELECT a.sample AS a, b.sample AS b, sum(a.v * b.v) AS x FROM ce a JOIN ce b USING (gene_id) GROUP BY 1, 2),
+  g1 AS (SELECT list(r ORDER BY a) AS m, list(a ORDER BY a) AS names FROM (SELECT a, list(x ORDER BY b) AS r FROM pr GROUP BY 1) z), {_top_axis('g1', 'e')},
+  g2 AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM g1, e), {_top_axis('g2', 'f')},
+  tr AS (SELECT list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS t FROM g1),
+  ax AS (SELECT unnest(names) AS sample, unnest(e.v) * sqrt(e.l) AS a, unnest(f.v) * sqrt(f.l) AS b, e.l / t AS sa, f.l / t AS sb FROM g1, e, f, tr),
+  sg AS (SELECT sign(arg_max(a, {{'r': round(abs(a), 9), 's': sample}})) AS da, sign(arg_max(b, {{'r': round(abs(b), 9), 's': sample}})) AS db FROM ax)"""
+
+
+@query("t15_sample_axes", f"{AXES} SELECT sample, round(a * da, 6) AS pc1, round(b * db, 6) AS pc2, round(sa, 6) AS share1, round(sb, 6) AS share2 FROM ax, sg")
 def t15(spark, d):
     return rounded(GE.sample_axes(I.counts(spark, d)))
 

@@ -8,7 +8,7 @@ from kymora.operators import greedy as GR
 from kymora.operators import masks as M
 from kymora.operators import tracks as TR
 from kymora.plans import inputs as I
-from kymora.plans.pixels import BRIGHT, MK, MKG, WITH
+from kymora.plans.pixels import BEST, BRIGHT, MK, MKG, OUT, PXO, SZ, WITH, _cc2
 from kymora.plans.registry import query, rounded, table
 
 # Overlapping masks for graph work: nested intensity levels on both sides of zero.
@@ -44,7 +44,12 @@ def j23(spark, d):
     return rounded(GR.merge_overlapping(nested(spark, d), 0.95, 25))
 
 
-@query("j23_solid_masks", None)
+SOLID = f"""{WITH}, {OUT}, held AS (SELECT * FROM outside SEMI JOIN mask_pixels USING (video_id, frame, object_id)), {_cc2('held', False, 'hc')},
+  shut AS (SELECT DISTINCT video_id, frame, object_id FROM (SELECT video_id, frame, object_id, component FROM hc GROUP BY ALL HAVING NOT bool_or(y IN (0, 15) OR x IN (0, 15))) q),
+  solid AS (SELECT * FROM mask_pixels ANTI JOIN shut USING (video_id, frame, object_id)), {_cc2('solid', True)}, {SZ}, {BEST}"""
+
+
+@query("j23_solid_masks", f"{SOLID} SELECT {MK}, {PXO} FROM cc SEMI JOIN best USING (video_id, frame, object_id, component)")
 def j23b(spark, d):
     return rounded(GR.solid_masks(I.mask_index(spark, d), I.mask_pixels(spark, d)))
 
