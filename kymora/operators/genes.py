@@ -11,10 +11,15 @@ from kymora.functions.scalar import volcano_distance
 from kymora.operators.normalize import z_score
 from kymora.operators.ordered import exact_quantiles
 from kymora.operators.stats import first_valid
+from kymora.session import cut_lineage
 
 
 def size_factors(counts: DataFrame) -> DataFrame:
-    """Median-of-ratios factor per sample, over genes counted in every sample."""
+    """Median-of-ratios factor per sample, over genes counted in every sample; ``counts`` is stored, as it is read several times."""
+    return _factors(cut_lineage(counts))
+
+
+def _factors(counts: DataFrame) -> DataFrame:
     samples = counts.select("sample").distinct().agg(F.count(F.lit(1)).alias("__all"))
     logs = counts.filter("n > 0").withColumn("__l", F.log(F.col("n")))
     ref = logs.groupBy("gene_id").agg(F.avg("__l").alias("__m"), F.count(F.lit(1)).alias("__k")).crossJoin(samples)
@@ -25,7 +30,8 @@ def size_factors(counts: DataFrame) -> DataFrame:
 
 
 def normalized_counts(counts: DataFrame) -> DataFrame:
-    return counts.join(size_factors(counts), "sample").withColumn("norm", F.col("n") / F.col("size_factor"))
+    counts = cut_lineage(counts)
+    return counts.join(_factors(counts), "sample").withColumn("norm", F.col("n") / F.col("size_factor"))
 
 
 def fold_changes(counts: DataFrame, comparison: str, reference: str) -> DataFrame:

@@ -147,20 +147,28 @@ def merge_overlapping(px: DataFrame, share: float = 0.95, min_area: int = 25) ->
     schema = T.StructType([*fields, T.StructField("c", T.LongType())])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        masks = {k: v.to_numpy() for k, v in pdf.groupby("object_id", sort=True)["c"]}
-        ids, gone, out = list(masks), set(), []
-        for n, i in enumerate(ids):
-            if i in gone:
+        ids, owner = np.unique(pdf["object_id"].to_numpy(), return_inverse=True)
+        order = np.argsort(pdf["c"].to_numpy(), kind="stable")
+        code, owner = pdf["c"].to_numpy()[order], owner[order]
+        masks = [code[owner == k] for k in range(len(ids))]
+
+        def met(pixels: np.ndarray) -> np.ndarray:
+            """How many of ``pixels`` each mask covers, from the places where they stand among all pixels."""
+            low, high = np.searchsorted(code, pixels, "left"), np.searchsorted(code, pixels, "right")
+            n = high - low
+            at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+            return np.bincount(owner[at], minlength=len(ids))
+
+        gone, out = np.zeros(len(ids), bool), []
+        for k in range(len(ids)):
+            if gone[k]:
                 continue
-            cur = masks[i]
-            for j in ids[n + 1 :]:
-                if j in gone:
-                    continue
-                both = np.intersect1d(cur, masks[j], assume_unique=True).size
-                if both / min(cur.size, masks[j].size) > share:
-                    cur = np.union1d(cur, masks[j])
-                    gone.add(j)
-            out.append(pd.DataFrame({"object_id": i, "c": cur}))
+            cur, both = masks[k], met(masks[k])
+            for j in range(k + 1, len(ids)):
+                if not gone[j] and both[j] / min(cur.size, masks[j].size) > share:
+                    new = np.setdiff1d(masks[j], cur, assume_unique=True)
+                    cur, both, gone[j] = np.union1d(cur, new), both + met(new), True
+            out.append(pd.DataFrame({"object_id": ids[k], "c": cur}))
         res = pd.concat(out, ignore_index=True)
         return res.assign(video_id=pdf["video_id"].iloc[0], frame=pdf["frame"].iloc[0])[[*MASK, "c"]]
 

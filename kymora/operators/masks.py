@@ -181,9 +181,11 @@ def with_areas(index: DataFrame, px: DataFrame) -> DataFrame:
 
 def overlap_pairs(px: DataFrame) -> DataFrame:
     """Pairs of masks in a frame that share pixels: shared count, areas and IoU."""
-    a = px.select(*FRAME, *POS, F.col("object_id").alias("a"))
-    b = px.select(*FRAME, *POS, F.col("object_id").alias("b"))
-    shared = a.join(b, [*FRAME, *POS]).filter(F.col("a") < F.col("b")).groupBy(*FRAME, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    # pixels that one mask alone covers go no further; the others list the few masks that meet there
+    met = px.groupBy(*FRAME, *POS).agg(F.array_sort(F.collect_set("object_id")).alias("__m")).filter(F.size("__m") > 1)
+    ahead = met.select(*FRAME, F.posexplode("__m").alias("__k", "a"), "__m")
+    pairs = ahead.select(*FRAME, "a", F.explode(F.slice("__m", F.col("__k") + 2, F.size("__m"))).alias("b"))
+    shared = pairs.groupBy(*FRAME, "a", "b").agg(F.count(F.lit(1)).alias("n"))
     areas = px.groupBy(*MASK).agg(F.count(F.lit(1)).alias("area"))
     out = shared
     for side in ("a", "b"):
@@ -336,13 +338,16 @@ def raster_index(px: DataFrame) -> DataFrame:
 
 
 def remove_relative_overlaps(px: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    """For each pair in turn, drop the mask-relative pixels that ever meet the other mask."""
-    place = Window.partitionBy(*FRAME, *POS)
-    relative = Window.partitionBy("video_id", "object_id", "idx")
+    """For each pair in turn, drop the mask-relative pixels that ever meet the other mask.
+
+    Each turn is stored, as the next one numbers what it leaves.
+    """
     for a, b in pairs:
-        both = F.col("object_id").isin(a, b)
-        i = raster_index(px).withColumn("__meets", both & (F.count_if(both).over(place) > 1))
-        px = i.withColumn("__ever", F.max("__meets").over(relative)).filter(~F.col("__ever")).select(*px.columns)
+        i = cut_lineage(raster_index(px))
+        both = i.filter(F.col("object_id").isin(a, b))
+        shared = both.groupBy(*FRAME, *POS).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+        ever = both.join(shared, [*FRAME, *POS], "left_semi").select("video_id", "object_id", "idx").distinct()
+        px = i.join(ever, ["video_id", "object_id", "idx"], "left_anti").select(*px.columns)
     return px
 
 
@@ -719,21 +724,21 @@ def label_map(px: DataFrame) -> DataFrame:
     return px.filter(F.col("object_id") > 0).groupBy(*FRAME, *POS).agg(F.min("object_id").alias("object_id"))
 
 
-def boundary(px: DataFrame, index: DataFrame) -> DataFrame:
+def boundary(px: DataFrame, index: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
     """Pixels whose east, south or south-east neighbour differs, with the border rules of the score."""
     own = F.array(
         *[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(k).alias("k")) for k, dy, dx in (("c", 0, 0), ("e", 0, 1), ("s", 1, 0), ("d", 1, 1))]
     )
-    votes = px.select(*MASK, *POS, F.explode(own).alias("v")).select(
-        *MASK, (F.col("y") - F.col("v.dy")).alias("y"), (F.col("x") - F.col("v.dx")).alias("x"), F.col("v.k").alias("k")
+    votes = px.select(*keys, *POS, F.explode(own).alias("v")).select(
+        *keys, (F.col("y") - F.col("v.dy")).alias("y"), (F.col("x") - F.col("v.dx")).alias("x"), F.col("v.k").alias("k")
     )
-    flags = votes.groupBy(*MASK, *POS).agg(*[F.max(F.col("k") == k).alias(k) for k in "cesd"])
+    flags = votes.groupBy(*keys, *POS).agg(*[F.max(F.col("k") == k).alias(k) for k in "cesd"])
     size = index.select(*FRAME, "height", "width").distinct()
     j = flags.join(size, FRAME).filter((F.col("y") >= 0) & (F.col("x") >= 0))
     c, e, s, d = (F.col(k) for k in "cesd")
     bottom, right = F.col("y") == F.col("height") - 1, F.col("x") == F.col("width") - 1
     edge = F.when(bottom & right, False).when(bottom, c != e).when(right, c != s).otherwise((c != e) | (c != s) | (c != d))
-    return j.filter(edge).select(*MASK, *POS)
+    return j.filter(edge).select(*keys, *POS)
 
 
 def segmentation_scores(index: DataFrame, truth: DataFrame, pred: DataFrame, share: float = 0.008) -> DataFrame:
@@ -751,25 +756,20 @@ def segmentation_scores(index: DataFrame, truth: DataFrame, pred: DataFrame, sha
     sums = cell.groupBy(*MASK).agg(F.sum(F.col("g") * F.col("m")).alias("i"), F.sum(F.greatest("g", "m")).alias("u"))
     since = both.groupBy("video_id", "object_id").agg(F.min("frame").alias("__from"), F.max("g").alias("in_truth"))
     grid = frames.join(since, "video_id").filter(F.col("frame") >= F.col("__from")).filter("in_truth = 1").select(*MASK, "height", "width")
-    bt, bp = boundary(t, index), boundary(p, index)
     radius = F.ceil(share * F.sqrt(F.col("height") * F.col("height") + F.col("width") * F.col("width"))).cast("int")
-
-    def matched(mine: DataFrame, other: DataFrame) -> DataFrame:
-        r = other.join(frames.withColumn("__r", radius).select(*FRAME, "__r"), FRAME)
-        r = r.withColumn("__dy", F.explode(F.sequence(-F.col("__r"), F.col("__r"))))
-        s = F.floor(F.sqrt(F.col("__r") * F.col("__r") - F.col("__dy") * F.col("__dy")))
-        near = r.select(*MASK, (F.col("y") + F.col("__dy")).alias("y"), (F.col("x") - s).alias("x0"), (F.col("x") + s).alias("x1"))
-        # One interval per row and start: a disc row has one width, so overlapping starts merge first.
-        spans = merge_intervals(near, [*MASK, "y"])
-        hit = mine.join(spans, [*MASK, "y"]).filter(F.col("x").between(F.col("x0"), F.col("x1")))
-        return hit.groupBy(*MASK).agg(F.count(F.lit(1)).alias("k"))
-
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*MASK).agg(F.count(F.lit(1)).alias(name))
-
-    out = grid.join(sums, MASK, "left")
-    for df in (count(bt, "nt"), count(bp, "np"), matched(bt, bp).withColumnRenamed("k", "kt"), matched(bp, bt).withColumnRenamed("k", "kp")):
-        out = out.join(df, MASK, "left")
+    # truth (g = 1) and prediction (g = 0) take every step together
+    side = [*MASK, "g"]
+    edge = boundary(both.select(*side, *POS), index, side)
+    r = edge.join(frames.withColumn("__r", radius).select(*FRAME, "__r"), FRAME).withColumn("__dy", F.explode(F.sequence(-F.col("__r"), F.col("__r"))))
+    s = F.floor(F.sqrt(F.col("__r") * F.col("__r") - F.col("__dy") * F.col("__dy")))
+    near = r.select(*MASK, (1 - F.col("g")).alias("g"), (F.col("y") + F.col("__dy")).alias("y"), (F.col("x") - s).alias("x0"), (F.col("x") + s).alias("x1"))
+    # One interval per row and start: a disc row has one width, so overlapping starts merge first.
+    spans = merge_intervals(near, [*side, "y"]).withColumnsRenamed({"x0": "__x0", "x1": "__x1"})
+    hit = edge.join(spans, [*side, "y"]).filter(F.col("x").between(F.col("__x0"), F.col("__x1"))).select(*side, F.lit(1).alias("k"))
+    marks = edge.select(*side, F.lit(0).alias("k")).unionByName(hit)
+    of = lambda g, k: F.count_if((F.col("g") == g) & (F.col("k") == k))
+    counts = marks.groupBy(*MASK).agg(of(1, 0).alias("nt"), of(0, 0).alias("np"), of(1, 1).alias("kt"), of(0, 1).alias("kp"))
+    out = grid.join(sums, MASK, "left").join(counts, MASK, "left")
     out = out.na.fill(0, ["nt", "np", "kt", "kp"])
     nt, n_p = F.col("nt"), F.col("np")
     precision = F.when((n_p == 0), 1.0).when(nt == 0, 0.0).otherwise(F.try_divide(F.col("kp"), n_p))

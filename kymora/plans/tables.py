@@ -322,8 +322,8 @@ def a24(spark, d):
 
 @query(
     "s20_structure_profile",
-    """SELECT 'lengths' AS name, 'array<double>' AS kind, count(*) AS n_records, 64::BIGINT AS shortest, 64::BIGINT AS longest, 3::BIGINT AS sample_size FROM embeddings
-       UNION ALL SELECT 'psd', 'array<double>', count(*), 33, 33, 3 FROM embeddings
+    """SELECT 'lengths' AS name, 'array<double>' AS kind, count(*) AS n_records, min(len(embedding)) AS shortest, max(len(embedding)) AS longest, least(3, min(len(embedding))) AS sample_size FROM embeddings
+       UNION ALL SELECT 'psd', 'array<double>', count(*), min(len(embedding) // 2 + 1), max(len(embedding) // 2 + 1), least(3, min(len(embedding) // 2 + 1)) FROM embeddings
        UNION ALL SELECT 'f', 'array<double>', count(*), min(vec_id % 10), max(vec_id % 10), 0 FROM embeddings""",
 )
 def s20(spark, d):
