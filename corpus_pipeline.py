@@ -16,28 +16,34 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier, learned from ``docs`` and the labels, rejects."""
+    """Drop the documents that the classifier, learned from ``docs`` and the labels, rejects.
+
+    Null and empty texts are judged by their length alone; repeated rows alike. No documents give no rows.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later repeated runs of lines; a document of which nothing is left stays, with an empty text."""
+    """Delete later repeated passages; a document of which nothing is left stays, with an empty text.
+
+    Null texts stay null. A column ``deleted_bytes`` of the documents is dropped. No documents give no rows.
+    """
     n_chars = F.when(F.col("deleted_bytes") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return line_dedup.dedup_lines(docs).withColumn("n_chars", n_chars).drop("deleted_bytes")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near-duplicates."""
+    """Keep one document of each class of near-duplicates; texts without words are one class. No documents give no rows."""
     return lsh_forest.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold benchmark passages."""
+    """Drop the documents that hold benchmark passages; those without words stay. No documents or no items drop nothing."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
+    """Pack what is left into sequences; a null text is its end token alone. No documents give no rows."""
     return packing.pack_documents(docs, VOCABULARY)
 
 

@@ -147,7 +147,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated."""
+    """The rows of ``docs``, all columns, that are not contaminated; repeated rows alike, null texts stay, no items drop nothing."""
     bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("print").alias("__bad_print")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__bad_print"))
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__bad_print"])
     return docs.join(bad, same, "left_anti")

@@ -230,10 +230,10 @@ def dedup_lines(docs: DataFrame, words: int = RUN_WORDS) -> DataFrame:
     windows = stored(places_of(whole, spark.sparkContext.broadcast(bit_filter(opened, FILTER_WORDS)), words, True))
     ranges = joined_ranges(later_places(stretches, earliest).unionAll(later_places(windows, earliest_places(windows))))
     cut = kept_parts(ranges.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
-    part = F.transform("__parts", lambda p: F.expr("cast(text as binary)").substr(p["start"] + 1, p["size"]).cast("string"))
-    same = whole["doc_id"].cast("long").eqNullSafe(F.col("__cut_id")) & (_print(whole) == F.col("__cut_print"))
-    text = F.when(F.col("__parts").isNull(), whole["text"]).otherwise(F.array_join(part, "")).alias("text")
+    part = F.transform(cut["__parts"], lambda p: whole["text"].cast("binary").substr(p["start"] + 1, p["size"]).cast("string"))
+    same = whole["doc_id"].cast("long").eqNullSafe(cut["__cut_id"]) & (_print(whole) == cut["__cut_print"])
+    text = F.when(cut["__parts"].isNull(), whole["text"]).otherwise(F.array_join(part, "")).alias("text")
     return whole.join(cut, same, "left").select(
         *[text if c == "text" else whole[f"`{c}`"] for c in docs.columns if c != "deleted_bytes"],
-        F.coalesce("__gone", F.lit(0).cast("long")).alias("deleted_bytes"),
+        F.coalesce(cut["__gone"], F.lit(0).cast("long")).alias("deleted_bytes"),
     )

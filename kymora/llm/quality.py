@@ -17,6 +17,8 @@ ROWS, WIDTH, PLACES = 1 << 14, 32, 4
 REACH = 2
 #: Bytes of text pooled at once: every word holds a whole vector.
 POOL_BYTES = 1 << 19
+#: Words pooled at once.
+POOL_WORDS = 1 << 18
 #: Most labelled documents that the network is fitted on.
 SAMPLE = 20_000
 #: Features of a document: three pooled vectors and its length.
@@ -69,19 +71,26 @@ def word_table(vectors: DataFrame) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
 
 
-def pooled(column: pa.Array, words: np.ndarray) -> np.ndarray:
-    """Features of each text: mean, mean square and mean neighbour product of its word vectors, and its length."""
+def pooled(column: pa.Array, words: np.ndarray, block: int = POOL_WORDS) -> np.ndarray:
+    """Features of each text: mean, mean square and mean neighbour product of its word vectors, and its length.
+
+    Sums are carried over blocks of words, so a long text takes no more memory than its words' numbers.
+    """
     row, first = _rows_of(column)
     n = np.diff(first)
-    v = words[row]
-    beside = np.zeros_like(v)
-    beside[:-1] = v[:-1] * v[1:]
-    beside[first[1:][n > 0] - 1] = 0
+    owner = np.repeat(np.arange(len(n)), n)
     features = np.zeros((len(n), FEATURES), np.float32)
-    some = np.flatnonzero(n > 0)
-    if len(some):
+    for lo in range(0, len(row), block):
+        doc = owner[lo : lo + block]
+        v = words[row[lo : lo + block]]
+        beside = words[row[lo + 1 : lo + block + 1]]
+        beside = v * np.concatenate([beside, np.zeros((len(v) - len(beside), WIDTH), v.dtype)])
+        # the last word of a text has no neighbour in it
+        beside[np.append(owner, -1)[lo + 1 : lo + len(v) + 1] != doc] = 0
+        begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         for k, part in enumerate((v, v * v, beside)):
-            features[some, k * WIDTH : (k + 1) * WIDTH] = np.add.reduceat(part, first[:-1][some], axis=0) / n[some, None]
+            features[doc[begin], k * WIDTH : (k + 1) * WIDTH] += np.add.reduceat(part, begin, axis=0)
+    features /= np.maximum(n, 1)[:, None]
     features[:, -1] = np.log1p(n)
     return features
 
@@ -115,6 +124,14 @@ class Network:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
+    def slopes(self, x: np.ndarray, y: np.ndarray, decay: float) -> tuple[np.ndarray, ...]:
+        """Slopes of the mean cross-entropy and the decay by the parameters, for scaled features."""
+        w1, b1, w2, b2 = self.p
+        h = np.tanh(x @ w1 + b1)
+        d = (1 / (1 + np.exp(-np.clip(h @ w2 + b2[0], -500, 500))) - y) / len(y)
+        dh = np.outer(d, w2) * (1 - h * h)
+        return x.T @ dh + decay * w1, dh.sum(axis=0), h.T @ d + decay * w2, np.array([d.sum()])
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4) -> Network:
         """Adam on the cross-entropy; every fifth row is kept back for the temperature."""
         if not len(y):
@@ -128,13 +145,8 @@ class Network:
         for _ in range(epochs):
             order = rng.permutation(len(ty))
             for lo in range(0, len(ty), batch):
-                xb, yb = tx[order[lo : lo + batch]], ty[order[lo : lo + batch]]
-                w1, b1, w2, b2 = self.p
-                h = np.tanh(xb @ w1 + b1)
-                d = (1 / (1 + np.exp(-np.clip(h @ w2 + b2[0], -500, 500))) - yb) / len(yb)
-                dh = np.outer(d, w2) * (1 - h * h)
                 t += 1
-                for k, g in enumerate((xb.T @ dh + decay * w1, dh.sum(axis=0), h.T @ d + decay * w2, np.array([d.sum()]))):
+                for k, g in enumerate(self.slopes(tx[order[lo : lo + batch]], ty[order[lo : lo + batch]], decay)):
                     m1[k] = 0.9 * m1[k] + 0.1 * g
                     m2[k] = 0.999 * m2[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
