@@ -226,11 +226,6 @@ def t1(spark, d):
     return rounded(SH.head_angles(I.curves(spark, d), ["video_id"], "frame"), 5)
 
 
-@query("t2_posture_series", None)
-def t2(spark, d):
-    return rounded(SH.posture_series(I.curves(spark, d), ["video_id"], "frame", 10.0, 2.0, 1.0, window=9, threshold=1.5))
-
-
 @query("a52_angle_statistics", """WITH r AS (SELECT 'v' || (user_id % 3) AS viscosity, (value * 7.0) % 240.0 - 120.0 AS angle, value FROM events), l AS (SELECT viscosity, 'angle' AS measure, angle AS v FROM r UNION ALL SELECT viscosity, 'value', value FROM r)
   SELECT viscosity, measure, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.75), 6) AS q75 FROM l GROUP BY 1, 2""")
 def a52(spark, d):
@@ -496,3 +491,27 @@ HULL = """WITH b AS (SELECT DISTINCT l_returnflag AS g, CAST(l_quantity AS DOUBL
 def t16(spark, d):
     h = C.convex_hull(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
     return rounded(h)
+
+
+METRIC = ["max_amplitude", "avg_amplitude", "wavelength", "worm_length", "wave_number", "normalized_wavelength"]
+POSTURE = f"""WITH {CURV}, {PEAK}, {OFFS.replace(I.CURVE_POINTS_SQL + ', ', '')}, {CLASS.replace('0.85', '0.98')},
+  st AS (SELECT *, coalesce(sqrt((y - lag(y) OVER w) ** 2 + (x - lag(x) OVER w) ** 2), 0) AS d FROM curve_points WINDOW w AS (PARTITION BY {VF} ORDER BY pos)), ln AS (SELECT {VF}, sum(d) AS len FROM st GROUP BY {VF}),
+  wl AS (SELECT cl.video_id, cl.frame, shape, len, CASE shape WHEN 'C-shape' THEN 2 * len WHEN 'Straight' THEN 4 * len WHEN 'S-shape' THEN CASE WHEN n > 1 THEN 2.0 * (z - a) / (n - 1) ELSE 0 END ELSE 0 END AS w FROM cl JOIN ln USING ({VF}) LEFT JOIN pk USING ({VF})),
+  am AS (SELECT {VF}, max(d) AS max_amplitude, avg(d) AS avg_amplitude FROM off GROUP BY {VF}), mc AS (SELECT {VF}, avg(c) AS mean_curvature FROM cv GROUP BY {VF}),
+  fq AS (SELECT {VF}, k, round(sqrt(sum(c * cos(2 * pi() * k * i / 32)) ** 2 + sum(c * sin(2 * pi() * k * i / 32)) ** 2), 9) AS m FROM cv, range(1, 17) r(k) GROUP BY {VF}, k), sq AS (SELECT {VF}, arg_max(k, {{'m': m, 'k': -k}}) / 32.0 AS dominant_spatial_freq FROM fq GROUP BY {VF}),
+  base AS (SELECT video_id, frame, shape, max_amplitude, avg_amplitude, len AS worm_length, w AS wavelength, CASE WHEN w <> 0 THEN len / w END AS wave_number, w / len AS normalized_wavelength, dominant_spatial_freq, mean_curvature,
+    count(*) OVER v AS n, (mean_curvature - avg(mean_curvature) OVER v) / stddev_pop(mean_curvature) OVER v AS z FROM wl JOIN am USING ({VF}) JOIN mc USING ({VF}) JOIN sq USING ({VF}) WINDOW v AS (PARTITION BY video_id)),
+  sg AS (SELECT DISTINCT video_id, n, s FROM base, range(0, 1000) r(s) WHERE s * 10 < n), sv AS (SELECT g.video_id, g.n, s, o, z AS v FROM (SELECT * FROM sg, range(20) r(o)) g JOIN base ON base.video_id = g.video_id AND base.frame = least(g.n - 1, s * 10 + o)),
+  sd AS (SELECT *, (v - avg(v) OVER (PARTITION BY video_id, s)) * (0.5 - 0.5 * cos(2 * pi() * o / 20)) AS w FROM sv),
+  ps AS (SELECT video_id, n, s, k, (sum(w * cos(2 * pi() * k * o / 20)) ** 2 + sum(w * sin(2 * pi() * k * o / 20)) ** 2) / 75.0 * CASE WHEN k IN (0, 10) THEN 1 ELSE 2 END AS p FROM sd, range(11) r(k) GROUP BY video_id, n, s, k),
+  pm AS (SELECT *, lag(p) OVER w AS a, lead(p) OVER w AS b, max(p) OVER (PARTITION BY video_id, s) AS mx FROM ps WINDOW w AS (PARTITION BY video_id, s ORDER BY k)),
+  dm AS (SELECT video_id, n, s, coalesce(arg_max(k, p) FILTER (p > a AND p > b AND p >= 0.1 * mx), 0) / 2.0 AS f FROM pm WHERE s * 10 < n - 20 GROUP BY video_id, n, s),
+  l AS (SELECT video_id, frame, least(frame // 10, (SELECT max(s) FROM dm WHERE dm.video_id = base.video_id)) AS s FROM base),
+  fr AS (SELECT l.video_id, l.frame, CASE WHEN b.f IS NULL THEN a.f ELSE a.f + (b.f - a.f) * (l.frame - l.s * 10) / 10.0 END AS frequency FROM l LEFT JOIN dm a ON a.video_id = l.video_id AND a.s = l.s LEFT JOIN dm b ON b.video_id = l.video_id AND b.s = l.s + 1),
+  {GRAM}, c0 AS (SELECT video_id, frame, n, greatest(5, least(frame, n - 6)) AS mid FROM base),
+  sm AS (SELECT c0.video_id, c0.frame, {", ".join(f"sum(hat.w * b.{m}) AS {m}_smooth" for m in METRIC)} FROM c0 JOIN base b ON b.video_id = c0.video_id AND abs(b.frame - c0.mid) <= 5 JOIN hat ON hat.t = c0.frame - c0.mid AND hat.s = b.frame - c0.mid WHERE c0.n >= 11 GROUP BY 1, 2)"""
+
+
+@query("t2_posture_series", f"{POSTURE} SELECT {VF}, shape, dominant_spatial_freq, {', '.join(f'round({m}, 6) AS {m}, round({m}_smooth, 6) AS {m}_smooth' for m in METRIC)}, round(mean_curvature, 6) AS mean_curvature, round(z, 6) AS curvature_time_series, round(frequency, 6) AS frequency FROM base JOIN fr USING ({VF}) LEFT JOIN sm USING ({VF})")
+def t2(spark, d):
+    return rounded(SH.posture_series(I.curves(spark, d), ["video_id"], "frame", 10.0, 2.0, 1.0, window=9, threshold=1.5))
