@@ -221,11 +221,6 @@ def t5(spark, d):
     return rounded(o.select(*M.MASK, "pos", F.col("p.y").alias("y"), F.col("p.x").alias("x")))
 
 
-@query("t1_head_angle_series", None)
-def t1(spark, d):
-    return rounded(SH.head_angles(I.curves(spark, d), ["video_id"], "frame"), 5)
-
-
 @query("a52_angle_statistics", """WITH r AS (SELECT 'v' || (user_id % 3) AS viscosity, (value * 7.0) % 240.0 - 120.0 AS angle, value FROM events), l AS (SELECT viscosity, 'angle' AS measure, angle AS v FROM r UNION ALL SELECT viscosity, 'value', value FROM r)
   SELECT viscosity, measure, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.75), 6) AS q75 FROM l GROUP BY 1, 2""")
 def a52(spark, d):
@@ -515,3 +510,26 @@ POSTURE = f"""WITH {CURV}, {PEAK}, {OFFS.replace(I.CURVE_POINTS_SQL + ', ', '')}
 @query("t2_posture_series", f"{POSTURE} SELECT {VF}, shape, dominant_spatial_freq, {', '.join(f'round({m}, 6) AS {m}, round({m}_smooth, 6) AS {m}_smooth' for m in METRIC)}, round(mean_curvature, 6) AS mean_curvature, round(z, 6) AS curvature_time_series, round(frequency, 6) AS frequency FROM base JOIN fr USING ({VF}) LEFT JOIN sm USING ({VF})")
 def t2(spark, d):
     return rounded(SH.posture_series(I.curves(spark, d), ["video_id"], "frame", 10.0, 2.0, 1.0, window=9, threshold=1.5))
+
+
+ANGLES = f"""{HEAD}, {SMOOTH.replace(PTS + ', ', '')}, bd AS (SELECT video_id, frame, arg_max(i, {{'c': c, 'i': -i}}) AS i, max(c) AS c FROM hcv GROUP BY 1, 2),
+  be AS (SELECT bd.video_id, bd.frame, bd.i / 100.0 AS l, c AS m, y, x FROM bd JOIN rs ON rs.video_id = bd.video_id AND rs.frame = bd.frame AND rs.k = bd.i),
+  z0 AS (SELECT hp.video_id, hp.frame, a FROM hp LEFT JOIN hx_ USING ({VF})),
+  z1 AS (SELECT *, last_value(CASE WHEN a IS NOT NULL THEN {{'f': frame, 'a': a}} END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
+    first_value(CASE WHEN a IS NOT NULL THEN {{'f': frame, 'a': a}} END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM z0),
+  z2 AS (SELECT video_id, frame, CASE WHEN a IS NOT NULL THEN a WHEN p IS NOT NULL AND q IS NOT NULL THEN p.a * (1 - (frame - p.f) / (q.f - p.f)) + q.a * ((frame - p.f) / (q.f - p.f)) WHEN p IS NOT NULL THEN p.a * 0.9 ** (frame - p.f) WHEN q IS NOT NULL THEN q.a * 0.9 ** (q.f - frame) ELSE 0 END AS v FROM z1),
+  z3 AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM z2),
+  z4 AS (SELECT *, avg(v) OVER b AS mb, stddev_pop(v) OVER b AS sb, avg(v) OVER a AS ma, stddev_pop(v) OVER a AS sa FROM z3
+    WINDOW b AS (PARTITION BY video_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY video_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+  z5 AS (SELECT *, CASE WHEN i = 0 THEN CASE WHEN n > 3 AND abs(v - ma) > 50 AND sa < 10 THEN ma END WHEN i = n - 1 THEN CASE WHEN abs(v - mb) > 50 AND sb < 10 THEN mb END
+    WHEN abs(v - mb) > 50 AND abs(v - ma) > 50 AND sb < 10 AND sa < 10 THEN (mb / (sb + 1e-6) + ma / (sa + 1e-6)) / (1 / (sb + 1e-6) + 1 / (sa + 1e-6)) END AS x FROM z4),
+  z6 AS (SELECT *, lag(w) OVER o AS prev, avg(w) OVER (PARTITION BY video_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS w3 FROM (SELECT *, coalesce(x, v) AS w FROM z5) q WINDOW o AS (PARTITION BY video_id ORDER BY i)),
+  pc AS (SELECT z6.video_id, z6.frame, arg_max(hb.a, {{'s': abs(hb.a), 'h': -h}}) AS a, arg_max(hm, {{'s': abs(hb.a), 'h': -h}}) AS hm, arg_max(bm, {{'s': abs(hb.a), 'h': -h}}) AS bm FROM z6 JOIN hb USING ({VF}) WHERE hb.a <> 0 AND (prev IS NULL OR abs(hb.a - prev) <= 25) GROUP BY 1, 2),
+  an AS (SELECT z6.*, pc.a, hm, bm, l, m, be.y AS by_, be.x AS bx, abs(w) <= 3 OR abs(coalesce(pc.a, prev, 0)) <= 3 AS flat FROM z6 JOIN be USING ({VF}) LEFT JOIN pc USING ({VF}))"""
+
+
+@query("t1_head_angle_series", f"""{ANGLES} SELECT {VF}, round(w, 5) AS angle_degrees, round(CASE WHEN flat THEN 0 ELSE l END, 5) AS bend_location, round(CASE WHEN flat THEN 0 ELSE m END, 5) AS bend_magnitude, round(CASE WHEN flat THEN 0 ELSE by_ END, 5) AS bend_position_y,
+  round(CASE WHEN flat THEN 0 ELSE bx END, 5) AS bend_position_x, round(coalesce(hm, 0), 5) AS head_mag, round(coalesce(bm, 0), 5) AS body_mag, x IS NOT NULL AS is_noise_peak, round(CASE WHEN x IS NULL THEN 0 ELSE abs(v - x) END, 5) AS peak_deviation,
+  CAST(CASE WHEN x IS NULL THEN 0 WHEN i < 3 THEN i WHEN i >= n - 3 THEN n - i - 1 ELSE 3 END AS BIGINT) AS window_size_used, abs(w) <= 3 AS is_straight, CASE WHEN a IS NULL THEN 'No valid angle found with current parameters' END AS error, a IS NULL AS has_warning, round(w3, 5) AS angle_degrees_smoothed_3frame FROM an""")
+def t1(spark, d):
+    return rounded(SH.head_angles(I.curves(spark, d), ["video_id"], "frame"), 5)
