@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Store a shared step reliably, so that several readers do not compute it again."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_OWN: list[tuple[SparkSession, str]] = []
+
+
+def own_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, removed when the driver ends or ``remove_own`` is called."""
+    path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if not _OWN:
+        atexit.register(remove_own)
+    _OWN.append((spark, path))
+    return path
+
+
+def remove_own() -> None:
+    """Remove all that was written to own paths; call it when results that come from them are written elsewhere."""
+    while _OWN:
+        spark, path = _OWN.pop()
+        # at the end of the driver its JVM may have gone first
+        with contextlib.suppress(Exception):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    atexit.unregister(remove_own)

@@ -25,3 +25,19 @@ def test_a_cluster_must_name_a_shared_folder(master):
 @pytest.mark.parametrize("master", ["local", "local[8]", "local[*]"])
 def test_one_machine_may_do_without(master):
     assert os.path.isdir(checkpoint_dir(fake(master)))
+
+
+def test_own_paths_are_removed(spark):
+    from kymora import session
+
+    kept = session._OWN[:]
+    session._OWN.clear()
+    try:
+        paths = [session.own_path(spark, "table") for _ in range(2)]
+        spark.range(3).write.parquet(paths[0])
+        local = [p.removeprefix("file:") for p in paths]
+        assert paths[0] != paths[1] and os.path.exists(local[0])
+        session.remove_own()
+        assert not os.path.exists(local[0]) and not session._OWN
+    finally:
+        session._OWN.extend(kept)
