@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kymora.llm import decontaminate, line_dedup, lsh_forest, packing, quality
 from kymora.llm.queries import VOCABULARY, table
-from kymora.session import checkpoint_dir
+from kymora.session import own_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,7 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each stage on what the one before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = own_path(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

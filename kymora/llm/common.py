@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from kymora.session import checkpoint_dir
+from kymora.session import own_path
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 3 << 20
@@ -25,7 +24,7 @@ _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

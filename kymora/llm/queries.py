@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kymora.llm import bit_sliced, decontaminate, fill_middle, hidden_markov, line_dedup, lsh_forest, packing, prefix_trie, quality, rollups, toxicity, url_filter, vector_packing
 from kymora.llm.common import stored
-from kymora.session import checkpoint_dir
+from kymora.session import own_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,7 +165,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     the later copies of texts from both, and commit the last batch again."""
     counts = stored(rollups.token_counts(table(spark, sf_dir, "documents"), {"white_space-1": None, "word_bpe_49k-1": VOCABULARY}))
     revised = F.when(F.col("tokenizer") == "word_bpe_49k-1", F.col("n_tokens") + 1).otherwise(F.col("n_tokens"))
-    rollup = rollups.Rollup(spark, f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup = rollups.Rollup(spark, own_path(spark, "rollup"))
     rollup.commit("insert", rollups.inserts(counts))
     now = counts.withColumn("revised", revised)
     rollup.commit("revise", rollups.revisions(now.where("tokenizer = 'word_bpe_49k-1'"), "revised"))
