@@ -20,7 +20,7 @@ CHUNK = 4096
 #: Half the share of a group's values that a bracket around a quantile holds, and the accuracy of the summary that finds it.
 SPREAD, SUMMARY_ACCURACY = 0.0005, 10_000
 #: Values under which a summary's brackets are too narrow; such a group is counted whole.
-SUMMARY_ROWS = 5_000
+SUMMARY_ROWS = 20_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
