@@ -19,8 +19,6 @@ CLASSES = 128
 HEAD = (1 << 16) - CLASSES - 1
 #: Tokens whose state probabilities are held at once; a longer text is worked through again from the states at the borders of stretches.
 SPAN = 1 << 19
-#: Tokens whose emissions are summed at once.
-FLUSH = 1 << 16
 #: Weight of the corpus distribution in each state's emissions, of each transition, and of each known or unknown word.
 EMISSION, TRANSITION, WORD = 50.0, 1.0, 0.1
 
@@ -180,66 +178,49 @@ def expected_counts(chain: Chain, sequences: list[np.ndarray], limit: int = SPAN
 def _add_counts(chain: Chain, sequences: list[np.ndarray], limit: int, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and, without the factor of the transition itself, transitions of sequences by falling length; emissions are added to ``emitted``.
 
-    A first pass keeps the states at the borders of stretches of ``limit`` tokens; going back, each stretch is
-    worked through again from its border, so memory does not grow with the sequences' length.
+    Tokens lie place by place. A first pass keeps the states at the borders of stretches of ``limit`` tokens; going back,
+    each stretch is worked through again from its border, so memory does not grow with the sequences' length.
     """
     lengths = np.array([len(s) for s in sequences])
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-    flat = np.concatenate(sequences)
-    begin = np.cumsum(lengths) - lengths
+    place = np.cumsum(np.append(0, active))
+    within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    symbols = np.concatenate(sequences)[np.argsort(within, kind="stable")]
     k = len(chain.start)
     spans = _spans(active, limit)
 
-    def ahead_of(t0: int, t1: int, state: np.ndarray, alphas: list | None, scales: list | None) -> np.ndarray:
-        """Forward through places t0 to t1 from the states before them: the last states; all of them and their scales are appended."""
-        for t, n in enumerate(active[t0:t1].tolist(), t0):
-            a = (state[:n] @ chain.move if t else np.broadcast_to(chain.start, (n, k))) * chain.emit[flat[begin[:n] + t]]
-            scale = a.sum(axis=1)
-            state = a / scale[:, None]
-            if alphas is not None:
-                alphas.append(state)
-                scales.append(scale)
-        return state
-
-    entry = [np.zeros((0, k))]
+    def forward_through(t0: int, t1: int, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions, scaled states (a row for each state) and scales of the places t0 to t1, from the states before them."""
+        emit = np.take(table, symbols[place[t0] : place[t1]], axis=1)
+        alpha, scale = np.empty_like(emit), np.empty(emit.shape[1])
+        for lo, hi in zip((place[t0:t1] - place[t0]).tolist(), (place[t0 + 1 : t1 + 1] - place[t0]).tolist(), strict=True):
+            state = (back @ state[:, : hi - lo] if lo or t0 else chain.start[:, None]) * emit[:, lo:hi]
+            whole = np.add.reduce(state, axis=0, out=scale[lo:hi])
+            state /= whole
+            alpha[:, lo:hi] = state
+        return emit, alpha, scale
+
+    table, back = np.ascontiguousarray(chain.emit.T), np.ascontiguousarray(chain.move.T)
+    entry = [np.zeros((k, 0))]
     for t0, t1 in spans[:-1]:
-        entry.append(ahead_of(t0, t1, entry[-1], None, None))
+        entry.append(forward_through(t0, t1, entry[-1])[1][:, place[t1 - 1] - place[t0] :].copy())
     start, moves = np.zeros(k), np.zeros((k, k))
-    symbols: list[np.ndarray] = []
-    gammas: list[np.ndarray] = []
-
-    def flush() -> None:
-        symbol, gamma = np.concatenate(symbols), np.ascontiguousarray(np.concatenate(gammas).T)
-        for j in range(k):
-            emitted[j] += np.bincount(symbol, gamma[j], emitted.shape[1])
-        symbols.clear()
-        gammas.clear()
-
-    waiting = 0
-    later = np.zeros((0, k))  # of the place behind: emission times what follows, scaled
+    later = np.zeros((k, 0))  # of the place behind: emission times what follows, scaled
     for (t0, t1), before in zip(reversed(spans), reversed(entry), strict=True):
-        alphas: list[np.ndarray] = []
-        scales: list[np.ndarray] = []
-        ahead_of(t0, t1, before, alphas, scales)
+        emit, alpha, scale = forward_through(t0, t1, before)
+        emit /= scale
+        beta = np.ones_like(emit)
         for t in range(t1 - 1, t0 - 1, -1):
-            alpha, n, m = alphas.pop(), int(active[t]), len(later)
-            beta = np.ones((n, k))
+            lo, hi, m = place[t] - place[t0], place[t + 1] - place[t0], later.shape[1]
             if m:
-                beta[:m] = later @ chain.move.T
-                moves += alpha[:m].T @ later
-            symbol = flat[begin[:n] + t]
-            gamma = alpha * beta
-            later = chain.emit[symbol] * beta / scales.pop()[:, None]
-            gammas.append(gamma)
-            symbols.append(symbol)
-            waiting += n
-            if not t:
-                start = gamma.sum(axis=0)
-            if waiting >= FLUSH:
-                flush()
-                waiting = 0
-    if symbols:
-        flush()
+                moves += alpha[:, lo : lo + m] @ later.T
+                np.matmul(chain.move, later, out=beta[:, lo : lo + m])
+            later = emit[:, lo:hi] * beta[:, lo:hi]
+        beta *= alpha
+        if not t0:
+            start = beta[:, : active[0]].sum(axis=1)
+        for j in range(k):
+            emitted[j] += np.bincount(symbols[place[t0] : place[t1]], beta[j], emitted.shape[1])
     return start, moves
 
 
