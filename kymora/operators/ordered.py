@@ -178,21 +178,21 @@ def nearest_valid(
 ) -> DataFrame:
     """Nearest non-null payload strictly before and after each row of its group."""
     rows = df.withColumn("__o_b", width_bucket(F.col(order), width)).withColumn("__o_pay", payload)
-    w = Window.partitionBy(*keys, "__o_b").orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # both ways from the far end on: a frame that grows keeps its last value, one that shrinks would be read again for every row
+    back, ahead = (Window.partitionBy(*keys, "__o_b").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (order, F.desc(order)))
     inner = rows.withColumns(
-        {"__o_lp": F.last("__o_pay", True).over(back), "__o_ln": F.first("__o_pay", True).over(ahead)}
+        {"__o_lp": F.last("__o_pay", True).over(back), "__o_ln": F.last("__o_pay", True).over(ahead)}
     )
     edge = F.when(F.col("__o_pay").isNotNull(), F.col(order))
     ends = rows.groupBy(*keys, "__o_b").agg(
         F.max_by("__o_pay", edge).alias("__o_last"), F.min_by("__o_pay", edge).alias("__o_first")
     )
-    kw = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__o_b")
+    kw = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     ends = ends.select(
         *keys,
         "__o_b",
-        F.last("__o_last", True).over(kw.rowsBetween(Window.unboundedPreceding, -1)).alias("__o_op"),
-        F.first("__o_first", True).over(kw.rowsBetween(1, Window.unboundedFollowing)).alias("__o_on"),
+        F.last("__o_last", True).over(kw.orderBy("__o_b").rowsBetween(Window.unboundedPreceding, -1)).alias("__o_op"),
+        F.last("__o_first", True).over(kw.orderBy(F.desc("__o_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("__o_on"),
     )
     out = null_safe_join(inner, ends, [*keys, "__o_b"])
     return out.withColumns(

@@ -287,11 +287,12 @@ def adjusted_p(df: DataFrame, keys: Sequence[str], p: str, tie: Sequence[str], n
     valid = df.filter(F.col(p).isNotNull())
     ranked = attach_stats(with_sorted_index(valid, keys, [p, *tie], "__rank", 1, "__s"), keys, F.count(F.lit(1)).alias("__n"))
     ranked = ranked.withColumn("__q", F.col(p) * F.col("__n") / F.col("__rank"))
-    w = Window.partitionBy(*keys, "__s").orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
+    # from the largest rank down: a frame that grows keeps its minimum, one that shrinks would be read again for every row
+    w = Window.partitionBy(*keys, "__s").orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
     lows = ranked.groupBy(*keys, "__s").agg(F.min("__q").alias("__low"))
     # one row for each slice of a group
-    kw = Window.partitionBy(*keys).orderBy("__s")
-    lows = lows.select(*keys, "__s", F.min("__low").over(kw.rowsBetween(1, Window.unboundedFollowing)).alias("__rest"))
+    kw = Window.partitionBy(*keys).orderBy(F.desc("__s"))
+    lows = lows.select(*keys, "__s", F.min("__low").over(kw.rowsBetween(Window.unboundedPreceding, -1)).alias("__rest"))
     out = null_safe_join(ranked.withColumn("__own", F.min("__q").over(w)), lows, [*keys, "__s"])
     adj = F.least(F.lit(1.0), F.least(F.col("__own"), F.col("__rest")))
     return out.withColumn(name, adj).drop("__rank", "__n", "__q", "__s", "__own", "__rest")
