@@ -180,7 +180,7 @@ def greedy_select(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if open_.isEmpty():
             return nodes.join(reduce(DataFrame.unionAll, gone), "node", "left_anti")
         decided = step.filter("known IS NOT NULL").select(F.col("node").alias("winner"), "known")
-        ties = open_.filter("alone").join(decided, "winner", "left").select(F.col("node").alias("winner"), F.col("known").bitwiseXOR(F.col("flip")).bitwiseXOR(F.lit(1)).alias("known"), F.col("winner").alias("root"), F.col("flip").bitwiseXOR(F.lit(1)).alias("turn"))
+        ties = open_.filter("alone").drop("known").join(decided, "winner", "left").select(F.col("node").alias("winner"), F.col("known").bitwiseXOR(F.col("flip")).bitwiseXOR(F.lit(1)).alias("known"), F.col("winner").alias("root"), F.col("flip").bitwiseXOR(F.lit(1)).alias("turn"))
         facts = decided.select("winner", "known", F.lit(None).cast("long").alias("root"), F.lit(None).cast("int").alias("turn")).unionAll(ties)
         joined = open_.drop("known", "alone").withColumnRenamed("node", "loser").join(facts, "winner", "left")
         follow = F.col("root").isNotNull() & F.col("known").isNull()

@@ -171,3 +171,21 @@ def test_pixel_columns_out_of_range_are_an_error(spark):
     for x in (-1, 1 << 20):
         with pytest.raises(Exception, match="out of range"):
             spark.createDataFrame([(0, x)], "y int, x int").select(pixel_code(F.col("y"), F.col("x"))).collect()
+
+
+def test_box_suppression_over_several_places(spark):
+    """Chains that cross places wait for boxes elsewhere, so a second round follows."""
+    rows = [(k, float(1000 - k), 0.0, 4.0 * k, 40.0, 4.0 * k + 40) for k in range(400)]
+    boxes = spark.createDataFrame(rows, "box long, score double, x0 double, y0 double, x1 double, y1 double").withColumn("image", F.lit(1))
+    from kymora.operators.greedy import box_nms
+
+    kept = []
+    for k, *_ in rows:
+        if all((40 - 4 * (k - j)) / (40 + 4 * (k - j)) <= 0.7 for j in kept if k - j < 10):
+            kept.append(k)
+    # places in tasks of their own, as in large tables
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(r.box for r in box_nms(boxes, ["image"], "box", "score", 0.7, 1).collect()) == kept
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
