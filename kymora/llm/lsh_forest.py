@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kymora.llm.common import ALNUM, hash_sample, local_components, mix, shingle_sets, steps, stored, text_buffers, whole_groups, word_hashes, word_spans
+from kymora.llm.common import ALNUM, local_components, mix, shingle_sets, steps, stored, text_buffers, whole_groups, word_hashes, word_spans
 from kymora.llm.components import contracted_components
 
 #: Words of a shingle, and the similarity of a link.
@@ -18,8 +18,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 TREES, LONGEST, RECALL = 20, 6, 0.9999
 #: Signatures that agree less are not near; six standard errors below SIMILARITY.
 FLOOR = 0.57
-#: Clusters, and texts of each, on which a prefix length is judged.
-JUDGED, JUDGED_TEXTS = 400, 256
 #: Rows of one side of a cell; larger buckets and clusters are split into pairs of blocks.
 BLOCK = 512
 
@@ -164,13 +162,17 @@ def _overlaps(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return total
 
 
-def verified_links(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Per text and cell: links counted on whole shingle sets, and one linked text that spans the cell's links."""
+def verified_links(rows: DataFrame, similarity: float, shingle: int, length: int) -> DataFrame:
+    """Per text and cell: links counted on whole shingle sets, the links they stand for, and one linked text that spans the cell's links.
+
+    A link met with probability p by prefixes of ``length`` stands for 1 / p links (in millionths, similarities rounded down to thousandths).
+    """
+    stands_for = np.rint(1e6 / np.maximum(met(np.arange(1001) / 1000, length), 1e-6)).astype(np.int64)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in whole_groups(batches, "cell"):
             keys, side, own = table.column("key").combine_chunks(), table.column("side").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
-            links, root = np.zeros(table.num_rows, np.int64), np.arange(table.num_rows)
+            links, stands, root = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows, np.int64), np.arange(table.num_rows)
             for lo, hi in zip(first[:-1], first[1:], strict=True):
                 values, cut = _sets(table.column("text").slice(lo, hi - lo), shingle)
                 both, n = _overlaps(values, cut), np.diff(cut)
@@ -182,50 +184,35 @@ def verified_links(rows: DataFrame, similarity: float, shingle: int) -> DataFram
                     close &= side[lo:hi, None] != side[None, lo:hi]
                 links[lo:hi] = close.sum(axis=1)
                 a, b = np.nonzero(np.triu(close))
+                worth = stands_for[common[a, b] * 1000 // union[a, b]]
+                stands[lo:hi] = np.bincount(a, worth, hi - lo) + np.bincount(b, worth, hi - lo)
                 root[lo:hi] = lo + local_components(hi - lo, a, b)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(links), keys.take(pa.array(root))], names=["key", "links", "root"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(links), pa.array(stands), keys.take(pa.array(root))], names=["key", "links", "stands", "root"])
 
     dealt = rows.select("cell", "key", "side", "own", "text").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(verify, "key binary, links long, root binary")
-
-
-def link_similarities(rows: DataFrame, similarity: float, shingle: int) -> np.ndarray:
-    """Similarities (in thousandths, rounded down) of the links inside the clusters of ``rows`` (component, text), with their numbers."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first in whole_groups(batches, "component"):
-            for lo, hi in zip(first[:-1], first[1:], strict=True):
-                values, cut = _sets(table.column("text").slice(lo, hi - lo), shingle)
-                both, n = _overlaps(values, cut).astype(np.int64), np.diff(cut)
-                a, b = np.triu_indices(hi - lo, 1)
-                part = both[a, b] * 1000 // np.maximum(n[a] + n[b] - both[a, b], 1)
-                found, count = np.unique(part[part >= round(1000 * similarity)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count)], names=["part", "n"])
-
-    dealt = rows.select("component", "text").repartition("component").sortWithinPartitions("component")
-    return np.array([[r.part, r.n] for r in dealt.mapInArrow(measure, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()]).reshape(-1, 2)
+    return dealt.mapInArrow(verify, "key binary, links long, stands long, root binary")
 
 
 def adapted_clusters(edges: DataFrame, places: DataFrame, whole: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, int]:
-    """Clusters over the longest prefixes that meet the target recall, and their length.
+    """Verified links inside the clusters over the longest prefixes that meet the target recall, and their length.
 
-    From the longest prefix on: the links inside at most JUDGED clusters (of each at most JUDGED_TEXTS texts, both in hash
-    order) are measured on whole sets. A link of similarity s is met with probability p(s) at this length, so it stands for
-    1 / p(s) links; while what was met falls short of RECALL of that sum, the prefix is shortened. The shortest
-    prefix meets links at the threshold itself with that probability, so no data need a shorter one.
+    From the longest prefix on, all clusters are verified on whole sets. A link of similarity s is met with probability p(s)
+    at this length, so it stands for 1 / p(s) links; while the links met fall short of RECALL of that sum over all of them, the prefix
+    is shortened. The shortest prefix meets links at the threshold itself with that probability, so no data need a shorter one.
     """
-    for length in range(LONGEST, shortest_prefix(similarity) - 1, -1):
+    shortest = shortest_prefix(similarity)
+    for length in range(LONGEST, shortest - 1, -1):
         clusters = stored(contracted_components(edges.where(F.col("length") >= length).select("a", "b")))
-        if length == shortest_prefix(similarity):
-            break
-        chosen = hash_sample(clusters.select("component").distinct(), JUDGED, "component")
-        order = Window.partitionBy("component").orderBy(F.xxhash64("node"), "node")
-        some = clusters.join(F.broadcast(chosen), "component").withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= JUDGED_TEXTS)
-        texts = _texts_of(whole, F.broadcast(some.select(F.col("node").alias("key"), "component").join(places, "key")))
-        found = link_similarities(texts, similarity, shingle)
-        if not len(found) or found[:, 1].sum() >= RECALL * (found[:, 1] / met(found[:, 0] / 1000, length)).sum():
-            break
-    return clusters, length
+        sizes = stored(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+        members = clusters.join(sizes, "component").select(F.col("node").alias("key"), "component", "size")
+        found = _texts_of(whole, members.join(places, "key"))
+        dealt = cells(found.select("key", "component", "size", "text"), "component", F.col("size"))
+        checked = stored(verified_links(dealt, similarity, shingle, length))
+        if length > shortest:
+            links, stands = checked.agg(F.sum("links"), F.sum("stands")).first()
+            if not links or links * 1_000_000 >= RECALL * stands:
+                break
+    return checked, length
 
 
 def _texts_of(whole: DataFrame, places: DataFrame) -> DataFrame:
@@ -243,7 +230,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     all are null), ``is_first`` marks its smallest document by doc_id and print (all of its rows, if repeated).
 
     Texts whose labels share a prefix in one of TREES trees, and that look near by signature, are joined to clusters.
-    The prefix starts at LONGEST values and is shortened until the links met reach the target RECALL. Inside a
+    The prefix starts at LONGEST values and is shortened until the links met, all of them counted, reach the target RECALL. Inside a
     cluster all pairs are verified on whole sets; groups and clusters of more than BLOCK texts are split
     into pairs of blocks, no pair of them is dropped.
 
@@ -259,11 +246,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     edges = stored(forest_edges(cells(rows, "bucket", F.col("size"))))
     places = texts.select("key", F.col("low.doc_id").alias("low_id"), F.col("low.print").alias("low_print"))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
-    clusters, _ = adapted_clusters(edges, places, whole, similarity, shingle)
-    sizes = stored(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
-    members = clusters.join(sizes, "component").select(F.col("node").alias("key"), "component", "size")
-    found = _texts_of(whole, members.join(places, "key"))
-    checked = stored(verified_links(cells(found.select("key", "component", "size", "text"), "component", F.col("size")), similarity, shingle))
+    checked, _ = adapted_clusters(edges, places, whole, similarity, shingle)
     links = checked.groupBy("key").agg(F.sum("links").alias("n_links"))
     classes = contracted_components(checked.where("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = stored(

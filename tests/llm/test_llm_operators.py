@@ -456,3 +456,18 @@ def test_decontamination_digest(spark):
     rows = run(spark, "op9_benchmark_decontamination", MEDIUM)
     assert any(r.contaminated for r in rows)
     assert all((r.n_items == 0) == (r.items_sha256 == hashlib.sha256(b"").hexdigest()) for r in rows)
+
+
+def test_forest_judges_a_prefix_on_every_link(spark):
+    """Each link of every cluster says how many links it stands for; no sample of clusters or texts is left."""
+    from kymora.llm import lsh_forest as forest
+    from pyspark.sql import functions as F
+
+    rows = planted_pairs(np.random.default_rng(14), 0.8, 0.82, 60)
+    sets = [{"key": str(d).encode(), "component": d // 2, "size": 2, "text": t} for d, t in rows]
+    dealt = forest.cells(spark.createDataFrame(sets, "key binary, component long, size long, text string"), "component", F.col("size"))
+    checked = forest.verified_links(dealt, 0.8, 5, 6).collect()
+    assert len(checked) == 120 and all(r.links == 1 for r in checked)
+    low, high = (1e6 / forest.met(s, 6) for s in (0.82, 0.8))
+    assert all(low - 1 <= r.stands <= high + 1 for r in checked)
+    assert not hasattr(forest, "JUDGED") and not hasattr(forest, "link_similarities")
