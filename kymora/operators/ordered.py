@@ -19,6 +19,8 @@ from kymora.session import cut_lineage
 CHUNK = 4096
 #: Half the share of a group's values that a bracket around a quantile holds, and the accuracy of the summary that finds it.
 SPREAD, SUMMARY_ACCURACY = 0.0005, 10_000
+#: Parts that a group's values are dealt to when they meet its brackets.
+PARTS = 16
 #: Values under which a summary's brackets are too narrow; such a group is counted whole.
 SUMMARY_ROWS = 20_000
 
@@ -243,7 +245,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
     ranges = spans.select(*by, "__o_total", F.array(*[bracket(i, p) for i, p in enumerate(probs.values())]).alias("__o_in"))
     v = F.col("__o_v")
-    near = null_safe_join(values, ranges, by, "inner")
+    # a large group is dealt to several tasks, each with a copy of its brackets
+    dealt = values.withColumn("__o_k", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    copies = ranges.withColumn("__o_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    near = null_safe_join(dealt, copies, [*by, "__o_k"], "inner")
     inside = F.exists("__o_in", lambda r: (v >= r["lo"]) & (v <= r["hi"]))
     passed = F.size(F.filter("__o_in", lambda r: r["hi"] < v))
     counts = near.groupBy(*by, F.when(inside, v).alias("__o_at"), F.when(~inside, passed).alias("__o_gap"), "__o_total").agg(F.count(F.lit(1)).alias("__o_n"), F.min("__o_v").alias("__o_v"))

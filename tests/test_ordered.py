@@ -192,3 +192,9 @@ def test_adjusted_p_reads_a_slice_once(spark):
         assert out.filter(F.abs(F.col("padj") - F.col("t") / (F.col("t") + 1)) > 1e-9).isEmpty()
     finally:
         spark.conf.unset("spark.sql.shuffle.partitions")
+
+
+def test_values_of_one_group_meet_their_brackets_in_several_parts(spark):
+    df = spark.range(60_000).select(F.lit("all").alias("g"), (F.col("id") * 7 % 60_000).cast("double").alias("v"))
+    q = O.exact_quantiles(df, ["g"], "v", {"q": 0.5})
+    assert "__o_k" in q._jdf.queryExecution().analyzed().toString() and q.first().q == 29_999.5
