@@ -197,10 +197,13 @@ def adapted_clusters(edges: DataFrame, places: DataFrame, whole: DataFrame, simi
     """Verified links inside the clusters over the longest prefixes that meet the target recall, and their length.
 
     From the longest prefix on, all clusters are verified on whole sets. A link of similarity s is met with probability p(s)
-    at this length, so it stands for 1 / p(s) links; while the links met fall short of RECALL of that sum over all of them, the prefix
-    is shortened. The shortest prefix meets links at the threshold itself with that probability, so no data need a shorter one.
+    at this length, so it stands for 1 / p(s) links. Links met say nothing about one that no prefix met, so one more at the threshold,
+    met with its probability, is always reckoned with: few links, or none, do not end the search. While the links met fall short of
+    RECALL of that sum over all of them, and a shorter prefix joins any texts at all, the prefix is shortened. The shortest prefix meets
+    links at the threshold itself with that probability, so no data need a shorter one.
     """
     shortest = shortest_prefix(similarity)
+    least = edges.agg(F.min("length")).first()[0]
     for length in range(LONGEST, shortest - 1, -1):
         clusters = stored(contracted_components(edges.where(F.col("length") >= length).select("a", "b")))
         sizes = stored(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
@@ -208,9 +211,12 @@ def adapted_clusters(edges: DataFrame, places: DataFrame, whole: DataFrame, simi
         found = _texts_of(whole, members.join(places, "key"))
         dealt = cells(found.select("key", "component", "size", "text"), "component", F.col("size"))
         checked = stored(verified_links(dealt, similarity, shingle, length))
+        if least is None or length <= least:
+            break
         if length > shortest:
-            links, stands = checked.agg(F.sum("links"), F.sum("stands")).first()
-            if not links or links * 1_000_000 >= RECALL * stands:
+            links, stands = (n or 0 for n in checked.agg(F.sum("links"), F.sum("stands")).first())
+            # both texts of a link count it
+            if links + 2 * met(similarity, length) >= RECALL * (stands / 1_000_000 + 2):
                 break
     return checked, length
 

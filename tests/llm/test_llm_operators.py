@@ -471,3 +471,25 @@ def test_forest_judges_a_prefix_on_every_link(spark):
     low, high = (1e6 / forest.met(s, 6) for s in (0.82, 0.8))
     assert all(low - 1 <= r.stands <= high + 1 for r in checked)
     assert not hasattr(forest, "JUDGED") and not hasattr(forest, "link_similarities")
+
+
+def test_forest_finds_a_lone_link_that_longest_prefixes_miss(spark):
+    """No link met at a length is no proof that there is none: the prefix is shortened until the threshold itself is met."""
+    from kymora.llm import lsh_forest as forest
+
+    rows, changed = [], (50, 54, 58)
+    for k in range(2500):
+        words = [f"w{k}x{i}" for i in range(121)]
+        # 13 of 117 shingles differ: 104 of 130 are common, the threshold itself
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join("x" if i in changed else w for i, w in enumerate(words)))]
+    signed = {r.doc_id: r for r in forest.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = []
+    for d in range(0, len(rows), 2):
+        a, b = (np.frombuffer(signed[d + k].signature, np.uint8).reshape(forest.TREES, forest.LONGEST) for k in (0, 1))
+        together = np.array(signed[d].buckets) == np.array(signed[d + 1].buckets)
+        longest = np.logical_and.accumulate(a == b, axis=1).sum(axis=1)[together].max(initial=0)
+        if forest.shortest_prefix() <= longest < forest.LONGEST:
+            pairs.append(rows[d : d + 2])
+    assert pairs
+    got = forest.near_duplicates(spark.createDataFrame(pairs[0], "doc_id long, text string")).collect()
+    assert [(r.class_id, r.n_links) for r in got] == [(pairs[0][0][0], 1)] * 2
