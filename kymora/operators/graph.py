@@ -91,10 +91,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 #: Conditions that are settled together in one step of a task.
 STEP_ROWS = 500_000
-_SETTLED = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("known", pa.int32()), ("winner", pa.int64()), ("flip", pa.int32()), ("alone", pa.bool_())])
+SETTLED = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("known", pa.int32()), ("winner", pa.int64()), ("flip", pa.int32()), ("alone", pa.bool_())])
 
 
-def _settle(block: np.ndarray, loser: np.ndarray, winner: np.ndarray, flip: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+def settle(block: np.ndarray, loser: np.ndarray, winner: np.ndarray, flip: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
     """Settle losers as far as their conditions allow.
 
     A loser stays if none of its conditions holds; a condition holds if its winner stays (with ``flip`` if it goes).  Where
@@ -134,16 +134,16 @@ def _settle(block: np.ndarray, loser: np.ndarray, winner: np.ndarray, flip: np.n
         [pa.array(home[done]), pa.array(ids[done]), pa.array(state[done], pa.int32()), none, none.cast(pa.int32()), none.cast(pa.bool_())],
         [pa.array(home[low]), pa.array(ids[low]), pa.nulls(len(low), pa.int32()), pa.array(ids[high]), pa.array(flip, pa.int32()), pa.array(alone)],
     ]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*columns, strict=True)], schema=_SETTLED)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*columns, strict=True)], schema=SETTLED)
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Settle a task's conditions in steps, each of whole losers; the rows come sorted by block and loser."""
     held: list[pa.RecordBatch] = []
 
-    def settle(rows: pa.Table) -> pa.RecordBatch:
+    def whole(rows: pa.Table) -> pa.RecordBatch:
         known = rows.column("known").fill_null(-1).to_numpy()
-        return _settle(*(rows.column(c).to_numpy() for c in ("block", "loser", "winner")), rows.column("flip").to_numpy().astype(np.int64), known.astype(np.int64))
+        return settle(*(rows.column(c).to_numpy() for c in ("block", "loser", "winner")), rows.column("flip").to_numpy().astype(np.int64), known.astype(np.int64))
 
     for batch in batches:
         held.append(batch)
@@ -152,10 +152,10 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = rows.column("loser")[-1].as_py()
             cut = int(np.flatnonzero(rows.column("loser").to_numpy() != last)[-1]) + 1 if rows.column("loser")[0].as_py() != last else 0
             if cut:
-                yield settle(rows.slice(0, cut))
+                yield whole(rows.slice(0, cut))
             held = rows.slice(cut).to_batches()
     if sum(b.num_rows for b in held):
-        yield settle(pa.Table.from_batches(held))
+        yield whole(pa.Table.from_batches(held))
 
 
 def greedy_select(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -171,17 +171,26 @@ def greedy_select(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     named = cut_lineage(edges.select("winner", "loser", block.cast("long").alias("block")).distinct())
     losers = named.select(F.col("loser").alias("winner"), F.lit(True).alias("open")).distinct()
     now = named.join(losers, "winner", "left").select("block", "loser", "winner", F.lit(0).alias("flip"), F.when(F.col("open").isNull(), F.lit(1)).alias("known"))
+    return nodes.join(gone_after(_round(now)), "node", "left_anti")
+
+
+def _round(now: DataFrame) -> DataFrame:
+    dealt = now.select("block", "loser", "winner", "flip", "known").repartition("block").sortWithinPartitions("block", "loser")
+    return cut_lineage(dealt.mapInArrow(_settled, "block long, node long, known int, winner long, flip int, alone boolean"))
+
+
+def gone_after(step: DataFrame) -> DataFrame:
+    """Nodes that go, from a stored first round: what is known of nodes, and the conditions that stay open."""
     gone = []
     while True:
-        dealt = now.select("block", "loser", "winner", "flip", "known").repartition("block").sortWithinPartitions("block", "loser")
-        step = cut_lineage(dealt.mapInArrow(_settled, "block long, node long, known int, winner long, flip int, alone boolean"))
         gone.append(step.filter("known = 0").select("node"))
         open_ = step.filter("known IS NULL")
         if open_.isEmpty():
-            return nodes.join(reduce(DataFrame.unionAll, gone), "node", "left_anti")
+            return reduce(DataFrame.unionAll, gone)
         decided = step.filter("known IS NOT NULL").select(F.col("node").alias("winner"), "known")
         ties = open_.filter("alone").drop("known").join(decided, "winner", "left").select(F.col("node").alias("winner"), F.col("known").bitwiseXOR(F.col("flip")).bitwiseXOR(F.lit(1)).alias("known"), F.col("winner").alias("root"), F.col("flip").bitwiseXOR(F.lit(1)).alias("turn"))
         facts = decided.select("winner", "known", F.lit(None).cast("long").alias("root"), F.lit(None).cast("int").alias("turn")).unionAll(ties)
         joined = open_.drop("known", "alone").withColumnRenamed("node", "loser").join(facts, "winner", "left")
         follow = F.col("root").isNotNull() & F.col("known").isNull()
         now = joined.select("block", "loser", F.when(follow, F.col("root")).otherwise(F.col("winner")).alias("winner"), F.when(follow, F.col("flip").bitwiseXOR(F.col("turn"))).otherwise(F.col("flip")).alias("flip"), "known")
+        step = _round(now)

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kymora.functions.scalar import pixel_code
-from kymora.operators.graph import connected_components, greedy_select
+from kymora.operators.boxes import BEATEN, COPY, CORNERS, OWN, SHARED, beaten_in_batch, reach_of, suppressed
+from kymora.operators.graph import connected_components, gone_after
 from kymora.operators.masks import FRAME, MASK, POS, SHIFT, components, empty_pixels, keep_largest, overlap_pairs
-from kymora.operators.ordered import null_safe_join
-from kymora.session import cut_lineage
+from kymora.session import cut_lineage, release_shuffles, stored
 
 
 def spot_candidates(values: DataFrame, size: int = 10, percentile: float = 0.85) -> DataFrame:
@@ -58,7 +59,7 @@ def bright_spots(values: DataFrame, k: int = 3, distance: int = 10, percentile:
     return out.select(*FRAME, "spot", (-s["ny"]).alias("y"), (-s["nx"]).alias("x"))
 
 
-#: Side of the block of cells that a round of suppression settles at once.
+#: Side of a place in cells of its largest boxes; boxes of a place are settled at once.
 CELLS = 64
 
 
@@ -66,56 +67,67 @@ def box_nms(boxes: DataFrame, group: Sequence[str], box_id: str, score: str, thr
     """Greedy suppression of boxes (x0, y0, x1, y1) by score; ties go to the smaller id, null scores come last.
 
     Of equal boxes only the best can stay.  IoU over t forces sizes within a factor 1/t, so a box meets boxes of its own
-    level of sizes and the next one up; its centre lies within (1 - t) of its own side if t is a half or more (else of half
-    its side and (1/2 - t) of the other one), so it goes only to the cells it can reach, four at most for each level.
-    Conflicts are settled by places of ``cells`` x ``cells`` cells.  Boxes without an area stay.
+    level of sizes and the next ones; its centre lies within (1 - t) of its own side if t is a half or more (else of half
+    its side and (1/2 - t) of the other one).  A place is a square of ``cells`` x ``cells`` cells for some levels of sizes: a
+    box goes to its own place and, as a copy, to the others it can reach.  Pairs are found and settled inside a place, none
+    of them is stored; what depends on boxes of other places is settled in rounds.  Boxes without a finite area stay.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
+    # rows of a group that follow each other take less room in files and shuffles
+    near = boxes.sortWithinPartitions(F.xxhash64(*group, F.lit(0)), "y0", "x0")
+    numbered = stored(near.withColumn("node", F.monotonically_increasing_id()), "boxes")
+    release_shuffles(boxes.sparkSession)
+    gone = gone_after(_first_round(numbered, group, box_id, score, threshold, cells))
+    release_shuffles(boxes.sparkSession)
+    return numbered.join(gone, "node", "left_anti").drop("node")
+
+
+def _first_round(numbered: DataFrame, group: Sequence[str], box_id: str, score: str, threshold: float, cells: int) -> DataFrame:
+    """Send boxes to places and settle each place: what is known of boxes, and the conditions that stay open."""
     base = 1.0 / threshold
-    numbered = cut_lineage(boxes.withColumn("node", F.monotonically_increasing_id()))
-    sides = [(F.col(f"{c}1") - F.col(f"{c}0")).cast("double") for c in "yx"]
-    rows = numbered.filter((sides[0] > 0) & (sides[1] > 0)).select(
-        *group, "node", F.coalesce(F.col(score).cast("double"), F.lit(-math.inf)).alias("__s"), F.col(box_id).alias("__i"), *[F.col(c).cast("double").alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")]
+    span = max(1, math.floor(math.log(16) / math.log(base)))
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in CORNERS)
+    measured = reduce(lambda a, b: a & b, [F.abs(c) < math.inf for c in (x0, y0, x1, y1)])
+    rows = numbered.filter(measured & (x1 > x0) & (y1 > y0)).select(
+        *group, "node", F.coalesce(F.col(score).cast("double"), F.lit(-math.inf)).alias("__s"), F.col(box_id).alias("__i"), *[F.col(c).cast("double").alias(f"__{c}") for c in CORNERS]
     )
-    first = F.min(F.struct((-F.col("__s")).alias("__s"), F.col("__i"), F.col("node")))
-    best = rows.groupBy(*group, "__x0", "__y0", "__x1", "__y1").agg(first.alias("__f"))
-    best = best.select(*group, "__x0", "__y0", "__x1", "__y1", (-F.col("__f.__s")).alias("__s"), F.col("__f.__i").alias("__i"), F.col("__f.node").alias("node"))
+    # nested types are hashed as text, and nulls by place
+    same = [x for c in group for x in (F.col(c).isNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if _nested(rows, c) else F.col(c))]
+    again = F.lit(False)
+    if not _nested(rows, "__i"):
+        # it depends on the batch; said to be deterministic, it would run for a filter, too
+        again = F.arrow_udf(beaten_in_batch, T.BooleanType()).asNondeterministic()(F.xxhash64(*same, F.lit(0)), F.xxhash64(F.lit(1), *same), *[f"__{c}" for c in CORNERS], "__s", "__i", "node")
     h, w = F.col("__y1") - F.col("__y0"), F.col("__x1") - F.col("__x0")
-    best = best.withColumns({"__lv": F.floor(F.log(F.greatest(w, h)) / math.log(base)), "__cy": (F.col("__y0") + F.col("__y1")) / 2, "__cx": (F.col("__x0") + F.col("__x1")) / 2})
-    best = cut_lineage(best)
-
-    def side(level: Column) -> Column:
-        """Twice the way that the centres of two boxes up to this level can lie apart."""
-        return 2 * max(1 - threshold, 0.5) * F.pow(F.lit(base), level + 1)
-
-    def cell(centre: Column, level: Column) -> Column:
-        return F.floor(centre / side(level))
-
-    # The smaller level of a pair looks at its own level and the next one up.
-    a = best.withColumn("__l", F.explode(F.array(F.col("__lv"), F.col("__lv") + 1)))
+    rows = rows.withColumn("__again", again).withColumns({"__lv": F.floor(F.log(F.greatest(w, h)) / math.log(base)), "__cy": (F.col("__y0") + F.col("__y1")) / 2, "__cx": (F.col("__x0") + F.col("__x1")) / 2})
+    band = lambda level: F.floor(level / span)
+    lv, b = F.col("__lv"), F.col("__b")
+    bands = F.array_distinct(F.array(band(lv - 1), band(lv), band(lv + 1)))
+    # a box that an equal one beats goes anywhere, only to be told
+    rows = rows.withColumns({"__n": F.size(bands), "__bs": F.when(F.col("__again"), F.array(F.lit(None).cast("long"))).otherwise(bands)}).withColumn("__b", F.explode("__bs"))
+    side = 2 * max(1 - threshold, 0.5) * cells * F.pow(F.lit(base), (b + 1) * span)
+    most = F.pow(F.lit(base), lv + F.when(b < band(lv), 0).otherwise(2))
+    own = b == band(lv)
     for c, size in (("y", h), ("x", w)):
-        reach = (1 - threshold) * size if threshold >= 0.5 else size / 2 + (0.5 - threshold) * F.pow(F.lit(base), F.col("__l") + 1)
         # a little more than the way, for rounding
-        near = F.sequence(cell(F.col(f"__c{c}") - reach * 1.000001, F.col("__l")), cell(F.col(f"__c{c}") + reach * 1.000001, F.col("__l")))
-        a = a.withColumn(f"__g{c}", F.explode(near))
-    names = ["node", "__s", "__i", "__x0", "__y0", "__x1", "__y1"]
-    place = F.xxhash64(*group, "__lv", *[F.floor(cell(F.col(f"__c{c}"), F.col("__lv")) / cells) for c in "yx"])
-    left = a.select(*group, "__l", "__gy", "__gx", F.struct(*names, place.alias("place"), "__lv").alias("a"))
-    right = best.select(*group, F.col("__lv").alias("__l"), cell(F.col("__cy"), F.col("__lv")).alias("__gy"), cell(F.col("__cx"), F.col("__lv")).alias("__gx"), F.struct(*names, place.alias("place"), "__lv").alias("b"))
-    p = null_safe_join(left, right, [*group, "__l", "__gy", "__gx"], "inner")
-    A, B = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    p = p.filter((A("__lv") < B("__lv")) | (A("node") < B("node")))
-    iw = F.greatest(F.least(A("__x1"), B("__x1")) - F.greatest(A("__x0"), B("__x0")), F.lit(0.0))
-    ih = F.greatest(F.least(A("__y1"), B("__y1")) - F.greatest(A("__y0"), B("__y0")), F.lit(0.0))
-    areas = (A("__x1") - A("__x0")) * (A("__y1") - A("__y0")) + (B("__x1") - B("__x0")) * (B("__y1") - B("__y0"))
-    wins = (A("__s") > B("__s")) | ((A("__s") == B("__s")) & (A("__i") < B("__i")))
-    near = p.filter(iw * ih > threshold * (areas - iw * ih))
-    pick = lambda c: (F.when(wins, A(c)).otherwise(B(c)), F.when(wins, B(c)).otherwise(A(c)))
-    edges = near.select(pick("node")[0].alias("winner"), pick("node")[1].alias("loser"), pick("place")[1].alias("block"))
-    kept = greedy_select(best.select("node"), edges)
-    flat = numbered.filter(~F.coalesce((sides[0] > 0) & (sides[1] > 0), F.lit(False))).select("node")
-    return numbered.join(kept.unionAll(flat), "node", "left_semi").drop("node")
+        reach = 1.000001 * reach_of(size, most, threshold, F.least, lambda x, y, z: F.when(x, y).otherwise(z))
+        centre = F.col(f"__c{c}")
+        rows = rows.withColumns({f"__l{c}": F.coalesce(F.floor((centre - reach) / side), "node"), f"__h{c}": F.coalesce(F.floor((centre + reach) / side), "node"), f"__o{c}": F.floor(centre / side)})
+        rows = rows.withColumn(f"__t{c}", F.explode(F.sequence(f"__l{c}", f"__h{c}")))
+        own &= F.col(f"__t{c}") == F.col(f"__o{c}")
+    shared = (F.col("__n") > 1) | (F.col("__ly") < F.col("__hy")) | (F.col("__lx") < F.col("__hx"))
+    kind = F.when(b.isNull(), BEATEN).when(own & shared, SHARED).when(own, OWN).otherwise(COPY).cast("byte")
+    place = ["__b", "__ty", "__tx", *group]
+    sent = rows.select(*place, kind.alias("kind"), "node", F.col("__s").alias("score"), F.col("__i").alias("id"), *[F.col(f"__{c}").alias(c) for c in CORNERS]).repartition(*place)
+    ids = F.rank().over(Window.partitionBy(*place).orderBy("id")) if _nested(rows, "__i") else F.col("id")
+    at = [b.isNull(), "__b", "__ty", "__tx", *same]
+    dealt = sent.select(F.xxhash64(*at).alias("p1"), F.xxhash64(F.lit(1), *at).alias("p2"), "kind", "node", "score", ids.alias("id"), *CORNERS)
+    dealt = dealt.sortWithinPartitions("p1", "p2", (F.col("y0") + F.col("y1")) / 2)
+    return cut_lineage(dealt.mapInArrow(suppressed(threshold), "block long, node long, known int, winner long, flip int, alone boolean"))
+
+
+def _nested(df: DataFrame, c: str) -> bool:
+    return not isinstance(df.schema[c].dataType, (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
 def overlap_groups(px: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -63,6 +65,26 @@ def own_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """Store a large step in compressed columns, which take less disk than a checkpoint's rows.
+
+    What Parquet cannot hold (types such as intervals) goes to a checkpoint.
+    """
+    spark = df.sparkSession
+    path = own_path(spark, kind)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    except AnalysisException:
+        return cut_lineage(df)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Collect garbage in the driver and its JVM: Spark removes the files of shuffles that nothing refers to only then."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove_own() -> None:
     """Remove all that was written to own paths; call it when results that come from them are written elsewhere."""
     while _OWN:
